@@ -90,10 +90,34 @@ def _pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
         yield held
 
 
-def words_of(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word, in order."""
+def _lanes() -> np.ndarray:
+    lane = np.full(256, 1 << 48, dtype=np.uint64)
+    lane[97:123] = lane[128:] = 1
+    lane[65:91] = 1 << 16
+    lane[48:58] = 1 << 32
+    return lane
+
+
+_LANE = _lanes()
+
+
+def _shape(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of a word's mix of lower, upper, digit and other characters, of its length's band and of a last character that is no letter."""
+    prefix = np.zeros(len(buffer) + 1, dtype=np.uint64)
+    np.cumsum(_LANE[buffer], out=prefix[1:])
+    held = prefix[ends] - prefix[starts]
+    lower, upper, digit, other = (((held >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64) for k in range(4))
+    last = buffer[ends - 1].astype(np.int64)
+    last[(_LANE[last] & np.uint64(0x1FFFF)) != 0] = 0
+    band = np.minimum(np.log2(ends - starts).astype(np.int64), 7)
+    code = (lower > 0) + 2 * np.minimum(upper, 2) + 6 * (digit > 0) + 12 * np.minimum(other, 3) + 48 * band + 384 * last
+    return mix(code.astype(np.uint64) + np.uint64(1))
+
+
+def words_of(texts: list[bytes], fold: bool = False, shapes: bool = False) -> tuple[np.ndarray, ...]:
+    """Hash and text number of every word, in order; with ``shapes`` also a hash of what kinds of characters it has."""
     letters = _LETTER[_FOLD] if fold else _LETTER
-    hashes, owners = [], []
+    hashes, owners, forms = [], [], []
     for piece in _pieces(texts):
         buffer = np.frombuffer(b" ".join(t for _, t in piece) + b" ", dtype=np.uint8)
         inside = ~_WHITE[buffer]
@@ -110,9 +134,11 @@ def words_of(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.nda
         offsets = np.cumsum([len(t) + 1 for _, t in piece])
         numbers = np.array([i for i, _ in piece], dtype=np.int64)
         owners.append(numbers[np.searchsorted(offsets, starts, side="right")])
+        if shapes:
+            forms.append(_shape(buffer, starts, ends))
     if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(owners)
+        hashes, owners, forms = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    return (np.concatenate(hashes), np.concatenate(owners)) + ((np.concatenate(forms),) if shapes else ())
 
 
 def window_hash(words: np.ndarray, starts: np.ndarray, width: int, seed: int) -> np.ndarray:

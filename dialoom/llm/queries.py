@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import op01_substring, op05_packing, op10_decontaminate
+from dialoom.llm import op01_substring, op03_quality, op05_packing, op08_jaccard, op10_decontaminate
 from dialoom.session import table
 
 
@@ -14,16 +14,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_substring.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_jaccard.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op5_packing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_quality, op5_packing, op8_jaccard_join, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
