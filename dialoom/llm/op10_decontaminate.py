@@ -28,7 +28,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """The lower-cased words; one empty word for a blank text. Kept in a column of its own before a lambda reads it, else each element splits the text anew."""
+    return F.split(F.trim(F.lower(text), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
+
+
+def has_words(w: Column) -> Column:
+    return F.get(w, F.lit(0)) != ""
 
 
 def _starts(w: Column, size: int) -> Column:
@@ -48,7 +53,7 @@ def shingles(w: Column, size: int = SHINGLE) -> Column:
 def _items(benchmark: DataFrame, size: int, percent: int) -> DataFrame:
     """(ikey, shingles, n_item, need) of every distinct item that has words."""
     own = benchmark.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("ikey"), words(F.col("text")).alias("w"))
-    own = own.where(F.size("w") > 0).dropDuplicates(["ikey"]).select("ikey", shingles(F.col("w"), size).alias("shingles"))
+    own = own.where(has_words(F.col("w"))).dropDuplicates(["ikey"]).select("ikey", shingles(F.col("w"), size).alias("shingles"))
     n = F.size("shingles")
     return own.select("ikey", "shingles", n.alias("n_item"), F.expr(f"cast(div({percent} * size(shingles) + 99, 100) as int)").alias("need"))
 
@@ -66,13 +71,13 @@ def containment_pairs(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE
     sketch = sketches(items, size)
     small = sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
-    probe = texts.select("key", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    probe = texts.select("key", words(F.col("text")).alias("w")).where(has_words(F.col("w")))
     probe = probe.select("key", F.size("w").alias("n"), F.explode(shingle_hashes(F.col("w"), size)).alias("h"))
     met = probe.join(F.broadcast(sketch) if small else sketch, "h").where(F.greatest(F.col("n") - (size - 1), F.lit(1)) >= F.col("need"))
     candidates = met.groupBy("key").agg(F.collect_set("ikey").alias("ikeys"))
     held = texts.join(candidates, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("ikeys").alias("ikeys"))
-    held = held.select("key", "text", F.explode("ikeys").alias("ikey")).join(items, "ikey")
-    shared = F.size(F.array_intersect(shingles(words(F.col("text")), size), F.col("shingles")))
+    held = held.select("key", words(F.col("text")).alias("w"), "ikeys").select("key", shingles(F.col("w"), size).alias("own"), F.explode("ikeys").alias("ikey")).join(items, "ikey")
+    shared = F.size(F.array_intersect("own", "shingles"))
     counted = held.select("key", "ikey", shared.alias("n_shared"), "n_item", "need")
     return counted.where(F.col("n_shared") >= F.col("need")).drop("need")
 
