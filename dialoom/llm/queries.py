@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import op01_substring, op03_quality, op04_wrappers, op05_packing, op06_url_filters, op07_suffix_tree, op08_jaccard, op09_media, op10_decontaminate
+from dialoom.llm import op01_substring, op02_toxicity, op03_quality, op04_wrappers, op05_packing, op06_url_filters, op07_suffix_tree, op08_jaccard, op09_media, op10_decontaminate
 from dialoom.session import table
 
 
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_substring.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_substring_dedup,
+            op2_toxicity,
             op3_quality,
             op4_html_extraction,
             op5_packing,
