@@ -24,13 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.llm import blocks as B
 from dialoom.session import input_bytes
 
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a Python worker keeps; beyond it the table starts anew.
-CACHED_WORDS = 400_000
+#: Pieces of words whose ids a Python worker keeps; beyond it the table starts anew.
+CACHED_PIECES = 4_000_000
 SHARD_BYTES = 24 << 20
 _NEVER = 1 << 40
 
@@ -41,29 +42,138 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def _classes() -> np.ndarray:
+    kind = np.full(256, _SYMBOL, dtype=np.uint8)
+    kind[65:91] = kind[97:123] = _LETTER
+    kind[48:58] = _DIGIT
+    kind[:32] = kind[127:] = kind[ord("'")] = _ODD
+    kind[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _SPACE
+    return kind
+
+
+_SPACE, _LETTER, _DIGIT, _SYMBOL, _ODD, _WHOLE = range(6)
+_CLASS = _classes()
+
+
+def _cut(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(Folded bytes, first byte, end and class of each piece) of a buffer of UTF-8 that ends in a space.
+
+    Pieces are runs of Latin letters, single digits, runs of other ASCII characters, and whole words that hold anything else.
+    """
+    kind, folded = _CLASS[buffer], B._FOLD.astype(np.uint8)[buffer]
+    lead = np.flatnonzero(buffer[:-1] == 0xC3)
+    after = buffer[lead + 1]
+    lead = lead[(after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    capital = lead[buffer[lead + 1] <= 0x9E] + 1
+    folded[capital] += 0x20
+    kind[np.flatnonzero((buffer[:-1] == ord("<")) & (buffer[1:] == ord("|")))] = _ODD
+    if (kind == _ODD).any():
+        edge = np.flatnonzero(np.diff((kind != _SPACE).view(np.int8), prepend=0))
+        starts, ends = edge[0::2], edge[1::2]
+        odd = np.concatenate([[0], np.cumsum(kind == _ODD)])
+        whole = odd[ends] > odd[starts]
+        starts, sizes = starts[whole], (ends - starts)[whole]
+        at = np.repeat(starts, sizes) + B.spans_of(sizes)
+        kind[at], folded[at] = _WHOLE, buffer[at]
+    border = np.flatnonzero((np.diff(kind, prepend=255) != 0) | (kind == _DIGIT))
+    of = kind[border]
+    ends = np.append(border[1:], len(buffer))
+    good = of != _SPACE
+    return folded, border[good], ends[good], of[good]
+
+
 class WordIds:
-    """Ids of a text as little-endian bytes. Tokens of this vocabulary never cross white space, so each word is encoded once."""
+    """Ids of texts.
+
+    Tokens of this vocabulary cross neither white space nor the borders between letters, digits
+    and other characters, and the last of each such piece is marked. So a text's ids are those of
+    its pieces. A table by the pieces' hashes keeps what was encoded before; unseen pieces are
+    encoded many at a time. Words with characters whose handling is not plain (outside ASCII and the
+    Latin letters of ISO 8859-1, apostrophes, control characters, marks of special tokens) are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list({w for w in words if w not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, coded in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.asarray(coded.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        names = sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])
+        self.last = np.array([t.endswith("</w>") for t, _ in names])
+        self.kind = "<u2" if names[-1][1] < 1 << 16 else "<u4"
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.pool, self.used = np.empty(1 << 16, self.kind), 0
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(c.ids, dtype=np.int64) for c in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _encode_plain(self, pieces: list[str]) -> list[np.ndarray]:
+        out = []
+        for at in range(0, len(pieces), 2048):
+            part = pieces[at : at + 2048]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            out += np.split(ids, ends[:-1]) if len(ends) == len(part) and ends[-1] == len(ids) else self._encode(part)
+        return out
+
+    def _learn(self, hashes: np.ndarray, plain: list[str], odd: list[str], is_plain: np.ndarray) -> None:
+        coded = np.empty(len(hashes), dtype=object)
+        for flag, ids in ((True, self._encode_plain(plain)), (False, self._encode(odd))):
+            for i, x in zip(np.flatnonzero(is_plain == flag).tolist(), ids, strict=True):
+                coded[i] = x
+        size = np.array([len(x) for x in coded], dtype=np.int32)
+        flat = np.concatenate(list(coded)) if len(coded) else np.empty(0, np.int64)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(len(self.pool), self.kind)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        where = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.size = np.insert(self.hashes, where, hashes), np.insert(self.at, where, at), np.insert(self.size, where, size)
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        parts: list[list[bytes]] = [[] for _ in texts]
+        for piece in B._pieces(texts):
+            raw = b" ".join(t for _, t in piece) + b" "
+            folded, starts, ends, kind = _cut(np.frombuffer(raw, np.uint8))
+            if not len(starts):
+                continue
+            if len(self.hashes) > CACHED_PIECES:
+                self._clear()
+            up, down = B._BYTES.get(len(folded) + 1)
+            prefix = np.zeros(len(folded) + 1, dtype=np.uint64)
+            np.cumsum(B._LETTER[folded] * up[: len(folded)], out=prefix[1:])
+            value = B.mix((prefix[ends] - prefix[starts]) * down[starts] + (2 * (ends - starts) + (kind == _WHOLE)).astype(np.uint64))
+            unique, first, place = np.unique(value, return_index=True, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.hashes, unique), max(len(self.hashes) - 1, 0))
+            new = np.flatnonzero(self.hashes[at] != unique) if len(self.hashes) else np.arange(len(unique))
+            if len(new):
+                is_plain = kind[first[new]] != _WHOLE
+                low = folded.tobytes()
+                spans = list(zip(starts[first[new]].tolist(), ends[first[new]].tolist(), is_plain.tolist(), strict=True))
+                self._learn(unique[new], [low[a:b].decode() for a, b, p in spans if p], [raw[a:b].decode("utf-8", "replace") for a, b, p in spans if not p], is_plain)
+                at = np.searchsorted(self.hashes, unique)
+            size = self.size[at][place]
+            index = np.repeat(self.at[at][place], size) + B.spans_of(size)
+            ids = self.pool[index].astype("<u4")
+            total = np.concatenate([[0], np.cumsum(size)])
+            offsets = np.cumsum([0] + [len(t) + 1 for _, t in piece])
+            cuts = total[np.searchsorted(starts, offsets)].tolist()
+            for (i, _), a, b in zip(piece, cuts, cuts[1:], strict=False):
+                parts[i].append(ids[a:b].tobytes())
+        return [b"".join(p) if len(p) != 1 else p[0] for p in parts]
+
+
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def encoder(path: str) -> WordIds:
+    """One encoder for each Python worker, which serves many tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordIds(path)
+    return _ENCODERS[path]
 
 
 def binary_parts(n: int) -> list[int]:
@@ -73,12 +183,14 @@ def binary_parts(n: int) -> list[int]:
 
 def _tokenise(path: str, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordIds(path)
+        import dialoom.llm.op05_packing as own  # the worker's module, not this pickled function's copy
+
+        encode = own.encoder(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for frame in batches:
+        for frame in B.blocks(batches, limit=4 << 20):
             rows = []
-            for doc, shard, text in zip(frame["doc_id"], frame["shard"], frame["text"], strict=True):
-                ids = encode(b"" if text is None else text.encode("utf-8", "surrogatepass")) + end
+            for doc, shard, ids in zip(frame["doc_id"], frame["shard"], encode(list(frame["text"])), strict=True):
+                ids += end
                 n = len(ids) // 4
                 whole, rest = divmod(n, capacity)
                 cuts = [capacity * i for i in range(whole + 1)]
