@@ -2,7 +2,7 @@
 
 A word's input is a learned word vector (of the words whose share differs most between toxic and other
 training texts; one vector for the rest) and the mean of learned vectors of its character
-pairs. Two gated recurrent layers read a window of WINDOW words forwards and backwards, attention
+triples. Two gated recurrent layers read a window of WINDOW words forwards and backwards, attention
 pools their states, and a logistic output scores the window. Windows start every STEP words, so
 neighbours overlap, and cover the whole text; a text's score is its highest window's.
 
@@ -31,8 +31,8 @@ from dialoom.llm.op03_quality import fold, train_sample
 FOLDS, HELD_OUT = 5, 0
 TRAIN_ROWS = 4096
 WINDOW, STEP = 48, 36
-HIDDEN, WORD_SIZE, PAIR_SIZE, ATTENTION = 8, 8, 6, 8
-VOCABULARY, PAIRS = 4096, 1024
+HIDDEN, WORD_SIZE, TRIPLE_SIZE, ATTENTION = 8, 8, 6, 8
+VOCABULARY, TRIPLES = 4096, 4096
 #: Passes over large samples; small ones get more, up to LONGEST.
 PASSES, LONGEST, BATCH, RATE = 4, 30, 64, 0.01
 #: Share of other texts' windows that are trained on as their first word over and over, which texts of one word need.
@@ -43,7 +43,7 @@ _OUTSIDE[48:58] = _OUTSIDE[65:91] = _OUTSIDE[97:123] = _OUTSIDE[128:] = False
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(Place in the list of distinct words and text number of each word; distinct words' hashes, pair codes one after the other, numbers of these)."""
+    """(Place in the list of distinct words and text number of each word; distinct words' hashes, triple codes one after the other, numbers of these)."""
     places, owners, hashes, codes, sizes = [], [], [], [], []
     base = 0
     for piece in B._pieces(texts):
@@ -61,12 +61,13 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         length = ends[first] - starts[first]
         at = np.repeat(starts[first], length) + B.spans_of(length)
         after = np.where(_OUTSIDE[buffer[at + 1]], 0, folded[at + 1])
+        third = np.where((after == 0) | _OUTSIDE[buffer[at + 2]], 0, folded[at + 2])
         places.append(place + base)
         base += len(unique)
         offsets = np.cumsum([len(t) + 1 for _, t in piece])
         owners.append(np.array([i for i, _ in piece], dtype=np.int64)[np.searchsorted(offsets, starts, side="right")])
         hashes.append(unique)
-        codes.append(((folded[at] * 37 + after * 101) % PAIRS).astype(np.int32))
+        codes.append(((folded[at] * 37 + after * 1009 + third * 30011) % TRIPLES).astype(np.int32))
         sizes.append(length)
     if not places:
         none = np.empty(0, np.int64)
@@ -128,10 +129,10 @@ class Network:
         rng = np.random.default_rng(7)
         scale = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.vocabulary = vocabulary
-        size = WORD_SIZE + PAIR_SIZE
+        size = WORD_SIZE + TRIPLE_SIZE
         self.p = {
             "words": (0.1 * rng.standard_normal((len(vocabulary) + 1, WORD_SIZE))).astype(np.float32),
-            "pairs": (0.1 * rng.standard_normal((PAIRS, PAIR_SIZE))).astype(np.float32),
+            "triples": (0.1 * rng.standard_normal((TRIPLES, TRIPLE_SIZE))).astype(np.float32),
             "in": scale(size, 6 * HIDDEN),
             "bias": np.zeros(6 * HIDDEN, np.float32),
             "u0": scale(HIDDEN, 3 * HIDDEN),
@@ -149,10 +150,10 @@ class Network:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
-    def pair_means(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def triple_means(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         if not len(sizes):
-            return np.empty((0, PAIR_SIZE), np.float32)
-        return np.add.reduceat(self.p["pairs"][codes], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
+            return np.empty((0, TRIPLE_SIZE), np.float32)
+        return np.add.reduceat(self.p["triples"][codes], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
 
     def forward(self, x: np.ndarray, length: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Logit of each window; x holds projected inputs (steps, windows, 6 HIDDEN)."""
@@ -189,7 +190,7 @@ class Network:
 
     def projected(self, hashes: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Projected input of each distinct word, and of padding last."""
-        x = np.concatenate([self.p["words"][self.word_ids(hashes)], self.pair_means(codes, sizes)], axis=1)
+        x = np.concatenate([self.p["words"][self.word_ids(hashes)], self.triple_means(codes, sizes)], axis=1)
         return np.concatenate([x @ self.p["in"] + self.p["bias"], np.zeros((1, 6 * HIDDEN), np.float32)])
 
     def score_windows(self, place: np.ndarray, table: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -263,7 +264,7 @@ def train(texts: list[bytes], label: np.ndarray) -> Network:
             used, where = np.unique(place[index[inside]], return_inverse=True)
             n_codes = sizes[used]
             at_codes = codes[np.repeat(code_at[used], n_codes) + B.spans_of(n_codes)]
-            raw = np.concatenate([net.p["words"][ids[used]], net.pair_means(at_codes, n_codes)], axis=1)
+            raw = np.concatenate([net.p["words"][ids[used]], net.triple_means(at_codes, n_codes)], axis=1)
             x = np.zeros((steps, len(part), 6 * HIDDEN), np.float32)
             x[inside] = (raw @ net.p["in"] + net.p["bias"])[where]
             keep: dict = {}
@@ -274,9 +275,9 @@ def train(texts: list[bytes], label: np.ndarray) -> Network:
             np.add.at(flat, where, dx[inside])
             g["in"], g["bias"] = raw.T @ flat, flat.sum(axis=0)
             back = flat @ net.p["in"].T
-            g["words"], g["pairs"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["pairs"])
+            g["words"], g["triples"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["triples"])
             np.add.at(g["words"], ids[used], back[:, :WORD_SIZE])
-            np.add.at(g["pairs"], at_codes, np.repeat(back[:, WORD_SIZE:] / n_codes[:, None], n_codes, axis=0))
+            np.add.at(g["triples"], at_codes, np.repeat(back[:, WORD_SIZE:] / n_codes[:, None], n_codes, axis=0))
             step += 1
             for k, v in g.items():
                 first_m[k] += 0.1 * (v - first_m[k])
