@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 N = 4
@@ -11,7 +11,12 @@ N = 4
 def ngrams(df: DataFrame, id_col: str, tokens: str, most: int = N) -> DataFrame:
     """(id, n, gram, c): how often each text has each of its n-grams, n = 1 to ``most``."""
     t = F.col(tokens)
-    sets = [F.transform(F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, n), " ").alias("gram"))) for n in range(1, most + 1)]
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, n), " ").alias("gram")))
+
+    sets = [of(n) for n in range(1, most + 1)]
     return df.select(id_col, F.explode(F.concat(*sets)).alias("g")).groupBy(id_col, "g.n", "g.gram").agg(F.count("*").alias("c"))
 
 
