@@ -130,7 +130,7 @@ def narration(passes: Column) -> Column:
     """One sentence from the first two narrations: unsure ones go, the actor's mark is needed, a second one becomes 'and'."""
     held = F.filter(F.slice(passes, 1, 2), lambda p: ~p.contains("#unsure") & p.startswith("#C C"))
     first = F.transform(held, lambda p: F.trim(F.split_part(F.substring(p, 5, 1_000_000), F.lit("#C C"), F.lit(1))))
-    text = F.concat(F.lit("C "), F.array_join(F.transform(first, lambda p: F.rtrim(F.lit("."), p)), " and "))
+    text = F.concat(F.lit("C "), F.array_join(F.transform(first, lambda p: F.rtrim(p, F.lit("."))), " and "))
     return F.when(F.size(held) > 0, F.concat(text, F.lit(".")))
 
 
@@ -160,7 +160,7 @@ def mistake_text(verb: Column, this: Column, that: Column) -> tuple[Column, Colu
 def connected(first: Column, second: Column) -> Column:
     """Two phrases joined by a comma, the second one's first letter in lower case; by a colon, unchanged, if the first ends in one."""
     head = F.rtrim(first)
-    return F.when(head.endswith(":"), F.concat(head, F.lit(" "), second)).otherwise(F.concat(F.rtrim(F.lit(".,"), head), F.lit(", "), F.lower(F.left(second, F.lit(1))), F.substring(second, 2, 1_000_000)))
+    return F.when(head.endswith(":"), F.concat(head, F.lit(" "), second)).otherwise(F.concat(F.rtrim(head, F.lit(".,")), F.lit(", "), F.lower(F.left(second, F.lit(1))), F.substring(second, 2, 1_000_000)))
 
 
 def ptb_tokens(text: Column) -> Column:

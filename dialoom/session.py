@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "dialoom", cpus: str | int | None = None, shuffle: int | None = None, **conf: str) -> SparkSession:
@@ -44,7 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found.get()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; no job is run."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__str__())
-    return min(size, 1 << 62)
+def input_bytes(df: DataFrame, column: str = "text") -> int:
+    """About how many bytes ``df`` reads: the sizes of its plan's sources, or, where a source has none, a count over ``column``."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if all(s < 1 << 60 for s in sizes):
+        return sum(sizes)
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)

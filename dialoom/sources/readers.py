@@ -50,7 +50,7 @@ def tick_lines(spark: SparkSession, path: str) -> DataFrame:
 def timing_pair(spark: SparkSession, path: str) -> DataFrame:
     """(file, duration) of files that hold a start and an end tick on two lines."""
     part = F.split(F.trim("value"), r"\s+")
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.select(F.col("_metadata.file_name").alias("file"), ((F.get(part, F.lit(1)).try_cast("long") - F.get(part, F.lit(0)).try_cast("long")) / 1e7).alias("duration"))
 
 
