@@ -108,3 +108,29 @@ def frames_tokens(n: Column, per_image: int, separator: bool) -> Column:
 def pause_repeats(words: Column, fps: float) -> Column:
     """How many times a frame is shown while a text of so many words is read, at 300 words a minute, for 10 s at most."""
     return F.floor(F.least(words / 300.0 * 60, F.lit(10.0)) * fps).cast("int")
+
+
+def learn_ranges(n_frames: Column, image_chars: int, per_image: int, separator_chars: int) -> Column:
+    """Character ranges of the separators between the images of n frames, which are what is learned of them."""
+    block = image_chars * per_image
+    starts = lambda i: i * block + (i - 1) * separator_chars
+    none = F.array().cast("array<array<int>>")
+    return F.when(n_frames > 1, F.transform(F.sequence(F.lit(1), n_frames - 1), lambda i: F.array(starts(i), starts(i) + separator_chars))).otherwise(none)
+
+
+def shifted_labels(tokens: Column, start: Column, end: Column, ignore: int = -100) -> Column:
+    """Labels of a token array: the tokens of [start, end), one place to the left; other places are ignored."""
+    return F.transform(tokens, lambda t, i: F.when((i >= start - 1) & (i < end - 1), F.get(tokens, i + 1)).otherwise(F.lit(ignore)))
+
+
+def cover_size(width: Column, height: Column, side: int) -> tuple[Column, Column]:
+    """Width and height that cover a square of ``side`` with the same shape."""
+    scale = F.lit(float(side)) / F.least(width, height)
+    return F.round(width * scale).cast("int"), F.round(height * scale).cast("int")
+
+
+def pad_size(width: Column, height: Column, side: int) -> tuple[Column, Column, Column, Column]:
+    """Width and height that fit a square of ``side``, and the left and top padding."""
+    scale = F.lit(float(side)) / F.greatest(width, height)
+    w, h = F.round(width * scale).cast("int"), F.round(height * scale).cast("int")
+    return w, h, F.floor((side - w) / 2).cast("int"), F.floor((side - h) / 2).cast("int")

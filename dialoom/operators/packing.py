@@ -126,3 +126,58 @@ def knowledge_in_first(turns: Column) -> Column:
     first = F.element_at(turns, 1)
     joined = first.withField("content", F.concat(first["content"], F.lit("\n\n"), second["content"]))
     return F.when(has, F.concat(F.array(joined), F.slice(turns, F.lit(3), F.greatest(F.size(turns) - 2, F.lit(0))))).otherwise(turns)
+
+
+SAMPLE = "conv_id long, clip_idx int, first_pos int, last_pos int, seq_len long, start_frame long, end_frame long, progress string, has_summary boolean"
+
+
+def prepare_samples(df: DataFrame, most: int, system: int, summary: int, context: tuple[int, int] = (0, 0), summaries: bool = True) -> DataFrame:
+    """Training samples of conversations (conv_id, pos, role, length, start, end, progress).
+
+    Every clip has a system turn of ``system`` tokens, from the second on with the progress that the last assistant turn before it noted, and, with ``summaries``, ends in a summary
+    of ``summary`` tokens asked for on one more frame; both are taken off ``most`` before the turns are split. Samples that still exceed it are not kept, and do not count.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        conv = int(group["conv_id"].iloc[0])
+        turns = group[["pos", "role", "length", "start", "end"]].fillna(0).to_dict("records")
+        noted = [(int(p), x) for p, r, x in zip(group["pos"], group["role"], group["progress"], strict=True) if r == "assistant" and isinstance(x, str)]
+        rows, number = [], 0
+        for clip in split_turns(turns, most - system - (summary if summaries else 0), context, conv):
+            first, last = int(clip[0]["pos"]), int(clip[-1]["pos"])
+            before = [x for p, x in noted if p < first]
+            frames = [t for t in clip if t["role"] == "frames"]
+            size = int(sum(t["length"] for t in clip)) + system + (summary if summaries else 0)
+            if size > most or not frames:
+                continue
+            rows.append((conv, number, first, last, size, int(frames[0]["start"]), int(frames[-1]["end"]) + int(summaries), before[-1] if before else None, summaries))
+            number += 1
+        return pd.DataFrame(rows, columns=["conv_id", "clip_idx", "first_pos", "last_pos", "seq_len", "start_frame", "end_frame", "progress", "has_summary"])
+
+    return df.select("conv_id", "pos", "role", "length", "start", "end", "progress").groupBy("conv_id").applyInPandas(run, SAMPLE)
+
+
+def pack_with_restarts(turns: list[int], most: int, head: int, restart: int, summary: int) -> list[tuple[int, int, int]]:
+    """(First turn, end, tokens) of samples: a turn that takes a sample over ``most`` is taken out, a summary pair is put behind what is left, and the next sample starts with instruction, summary and knowledge of ``restart`` tokens."""
+    out, first, total = [], 0, head
+    for i, n in enumerate(turns):
+        if total + n + summary > most and i > first:
+            out.append((first, i, total + summary))
+            first, total = i, restart
+        total += n
+    if first < len(turns):
+        out.append((first, len(turns), total))
+    return out
+
+
+def packed_with_restarts(df: DataFrame, key: str, most: int = 7500, head: int = 100, restart: int = 300, summary: int = 200) -> DataFrame:
+    """Samples (key, sample_idx, first_pos, end_pos, tokens) of turns (key, pos, length)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        pos = group["pos"].tolist()
+        rows = [(group[key].iloc[0], k, pos[a], pos[b - 1], t) for k, (a, b, t) in enumerate(pack_with_restarts([int(x) for x in group["length"]], most, head, restart, summary))]
+        return pd.DataFrame(rows, columns=[key, "sample_idx", "first_pos", "last_pos", "tokens"])
+
+    return df.select(key, "pos", "length").groupBy(key).applyInPandas(run, f"{key} long, sample_idx int, first_pos long, last_pos long, tokens long")

@@ -124,3 +124,17 @@ def infer_stream(frames: DataFrame, key: str, step: Callable[[dict, dict], tuple
 def gate(df: DataFrame, probability: str, threshold: float) -> DataFrame:
     """``df`` with talk: silence where the silence probability is over the threshold; a threshold of 0 always talks."""
     return df.withColumn("talk", F.lit(True) if threshold == 0 else F.col(probability) <= threshold)
+
+
+def generate_by_clip(clips: DataFrame, key: str, model: Callable[[str, list[str]], list[str]], rolling: int = 20) -> DataFrame:
+    """(key, clip_idx, turn, text): each clip's turns made from its description and the last ``rolling`` turns before it, clip after clip of one key."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        history, out = [], []
+        for row in group.sort_values("clip_idx").itertuples():
+            made = model(row.description, history[-rolling:])
+            out += [(getattr(row, key), int(row.clip_idx), len(history) + i, text) for i, text in enumerate(made)]
+            history += made
+        return pd.DataFrame(out, columns=[key, "clip_idx", "turn", "text"])
+
+    return clips.select(key, "clip_idx", "description").groupBy(key).applyInPandas(run, f"{key} long, clip_idx int, turn int, text string")

@@ -268,3 +268,45 @@ def test_model_hooks(spark):
     assert {r.generated for r in quality.generate(df, "p", lambda xs: [x.upper() for x in xs]).collect()} == {"A", "B"}
     assert {tuple(r.embedding) for r in quality.encode(df, "p", lambda xs: [[float(len(x))] for x in xs]).collect()} == {(1.0,)}
     assert "StreamEvaluator" in quality.Evaluator.registry
+
+
+def test_prepared_samples(spark):
+    rows = []
+    for conv in range(4):
+        frame = 0
+        for pos in range(30):
+            role = ("frames", "user", "assistant")[pos % 3]
+            n = 3 if role == "frames" else 0
+            rows.append((conv, pos, role, 10 * n or 15, frame if n else None, frame + n if n else None, f"p{pos}" if role == "assistant" else None))
+            frame += n
+    df = spark.createDataFrame(rows, "conv_id long, pos int, role string, length long, start int, end int, progress string")
+    got = packing.prepare_samples(df, 200, 20, 30, (1, 2)).collect()
+    assert got
+    assert all(r.seq_len <= 200 for r in got)
+    for conv in range(4):
+        mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.clip_idx)
+        assert [r.clip_idx for r in mine] == list(range(len(mine)))
+        assert mine[0].progress is None
+        assert all(r.progress == f"p{r.first_pos - 1}" for r in mine[1:])
+
+
+def test_restarting_pack():
+    out = packing.pack_with_restarts([40] * 10, 200, 20, 50, 30)
+    assert [a for a, _, _ in out][1:] == [b for _, b, _ in out][:-1]
+    assert out[0] == (0, 3, 170)
+    assert out[-1][1] == 10
+    assert all(t <= 200 for _, _, t in out)
+
+
+def test_learn_ranges_and_labels(spark):
+    assert one(spark, tm.learn_ranges(F.lit(3), 3, 3, 5)) == [[9, 14], [23, 28]]
+    assert one(spark, tm.learn_ranges(F.lit(1), 3, 3, 5)) == []
+    assert one(spark, tm.shifted_labels(F.array(*map(F.lit, (5, 6, 7, 8, 9))), F.lit(2), F.lit(4))) == [-100, 7, 8, -100, -100]
+    assert [one(spark, c) for c in tm.cover_size(F.lit(640), F.lit(480), 384)] == [512, 384]
+    assert [one(spark, c) for c in tm.pad_size(F.lit(640), F.lit(480), 384)] == [384, 288, 0, 48]
+
+
+def test_clip_history(spark):
+    clips = spark.createDataFrame([(1, i, f"d{i}") for i in range(5)], "v long, clip_idx int, description string")
+    got = expand.generate_by_clip(clips, "v", lambda d, h: [f"{d}|{len(h)}", "x"], 3).orderBy("turn").collect()
+    assert [r.text for r in got if r.text != "x"] == ["d0|0", "d1|2", "d2|3", "d3|3", "d4|3"]
