@@ -10,9 +10,11 @@ set whose filled cells are too few for that proof takes part again with finer ce
 the end with one element for each, where the proof always holds.
 
 Signatures go through the block shuffle. Up to SMALL sets of one signature give all pairs; more
-give a star around one of several pivots, and those of them that stars leave in different components are
-compared later in blocks of bounded size, on their whole sets. Every pair is verified on
-whole sets; a histogram of the hashes, whose distance cannot exceed the sets', goes first.
+give a star around the least, and those of them that stars leave in different components are
+compared later, by sketch and in blocks of bounded size: first each with its nearest of another component, then, where
+that did not join the two, with all of it. Every pair is verified on
+whole sets; a parity sketch, whose distance cannot exceed the sets', goes first. A
+text travels once for all its pairs: they meet where its least partner's do.
 
 Defined results: exact copies are joined beforehand and linked; texts of one to four words have one
 shingle, the whole sequence; null or blank texts have none and are linked with nothing;
@@ -30,17 +32,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import blocks as B
-from dialoom.llm.components import connected_components, cut
+from dialoom.llm.components import connected_components, cut, release
 from dialoom.llm.texts import distinct_texts, text_key
 from dialoom.session import input_bytes
 
 SHINGLE = 5
 N2, K2 = 2, 1
 SPARE = 1.15
-SMALL = 12
-PIVOTS = 4
-CHUNK = 2048
-CELLS = 64
+SMALL, LOCAL = 3, 64
+CHUNK, STAR = 2048, 256
+#: Keys of 16 bytes that may be broadcast to pick the texts that are needed; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+LEAST_BITS, BITS_EACH = 512, 4
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -126,7 +129,8 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ids(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(k[:8] for k in keys), dtype="<u8")
+    """The first 8 bytes of each key, in the keys' order."""
+    return np.frombuffer(b"".join(k[:8] for k in keys), dtype=">u8").astype(np.uint64)
 
 
 def _sign(n_buckets: int):
@@ -145,16 +149,15 @@ def _sign(n_buckets: int):
             size = np.diff(np.append(head, len(codes)))
             rows = []
             send = np.ones(len(codes), dtype=bool)
-            for h, n in zip(head[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                held = ids[np.unique(owner[h : h + n])]
+            large = size > LOCAL
+            for h, n in zip(head[large].tolist(), size[large].tolist(), strict=True):
+                held = np.unique(ids[owner[h : h + n]])
                 code = int(codes[h])
-                star = int(B.mix(held ^ np.uint64(code % PIVOTS)).argmin())
                 send[h : h + n] = False
-                send[h + int(np.flatnonzero(ids[owner[h : h + n]] == held[star])[0])] = True
-                rows.append((code % n_buckets, 1, B.pack(np.array([code], "<u8"), np.array([held[star]], "<u8"), np.delete(held, star).astype("<u8"))))
-            big = np.zeros(len(codes), dtype=bool)
-            big[np.repeat(head, size)[send & (np.repeat(size, size) > SMALL)]] = True
-            flag = (np.repeat(size, size) > SMALL)[send]
+                send[h + int(np.flatnonzero(ids[owner[h : h + n]] == held[0])[0])] = True
+                bucket = int(B.bucket_of(codes[h : h + 1], n_buckets)[0])
+                rows.append((code % n_buckets, 1, B.pack(_whole_code(codes[h : h + 1] & np.uint64(0xFFFFFFFF), bucket), held.astype("<u8"))))
+            flag = np.repeat(large, size)[send]
             codes, owner = codes[send], owner[send]
             for bucket, part in B.by_bucket(B.bucket_of(codes, n_buckets)):
                 at = part[np.argsort(owner[part], kind="stable")]
@@ -165,39 +168,43 @@ def _sign(n_buckets: int):
     return run
 
 
+def _whole_code(low: np.ndarray, bucket: int) -> np.ndarray:
+    """One name for a bucket's signature; a block's share of it gets the same."""
+    return B.mix(low.astype(np.uint64) + (np.uint64(bucket) << np.uint64(32)))
+
+
 def _candidates(group: pd.DataFrame) -> pd.DataFrame:
     """Rows (kind, a, b): kind 0 candidate pairs of ids; kind 1 a signature of many sets (a) and one of them (b)."""
     pairs, many = [], []
-    own = [B.unpack(p, "<u8", "<u8", "<u8") for p in group.loc[group["kind"] == 1, "payload"]]
-    for code, star, rest in own:
-        pairs.append(np.stack([rest, np.full(len(rest), star[0])], axis=1))
-        many.append(np.stack([np.full(len(rest), code[0]), rest], axis=1))
+    own = [B.unpack(p, "<u8", "<u8") for p in group.loc[group["kind"] == 1, "payload"]]
+    for code, held in own:
+        pairs.append(np.stack([np.full(len(held) - 1, held[0]), held[1:]], axis=1))
+        many.append(np.stack([np.full(len(held), code[0]), held], axis=1))
     held = [B.unpack(p, "<u8", "<u4", "<u4", np.uint8) for p in group.loc[group["kind"] == 0, "payload"]]
     if held:
         ids = np.concatenate([np.repeat(h[0], h[1]) for h in held])
         codes = np.concatenate([h[2] for h in held])
         flags = np.concatenate([h[3] for h in held])
-        bucket = np.uint64(int(group["bucket"].iloc[0]))
-        order = np.argsort(codes, kind="stable")
-        codes = codes[order]
+        bucket = int(group["bucket"].iloc[0])
+        order = np.lexsort((ids, codes))
+        codes, ids, flags = codes[order], ids[order], flags[order]
         head = np.flatnonzero(np.diff(codes, prepend=codes[0] ^ np.uint32(1)))
         size = np.diff(np.append(head, len(codes)))
         for n in range(2, SMALL + 1):
             at = head[size == n]
             if len(at):
-                table = ids[order[at[:, None] + np.arange(n)]]
+                table = ids[at[:, None] + np.arange(n)]
                 for i, j in combinations(range(n), 2):
                     pairs.append(table[:, [i, j]])
-        for h, n in zip(head[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            all_of = np.unique(ids[order[h : h + n]])
-            star = all_of[int(B.mix(all_of ^ np.uint64(int(codes[h]) % PIVOTS)).argmin())]
-            pairs.append(np.stack([all_of, np.full(len(all_of), star)], axis=1))
-        marked = np.zeros(len(head), dtype=bool)
-        np.logical_or.at(marked, np.repeat(np.arange(len(head)), size), flags[order] > 0)
-        for h, n in zip(head[(size > SMALL) | marked].tolist(), size[(size > SMALL) | marked].tolist(), strict=True):
-            all_of = np.unique(ids[order[h : h + n]])
-            code = B.mix(np.array([codes[h]], np.uint64) + (bucket << np.uint64(32)))
-            many.append(np.stack([np.full(len(all_of), code[0]), all_of], axis=1))
+        marked = np.add.reduceat(flags.astype(np.int64), head) > 0
+        large = np.flatnonzero((size > SMALL) | marked)
+        if len(large):
+            mark = np.where(marked[large], np.arange(len(large)).astype(np.uint64), np.add.reduceat(B.mix(ids), head)[large])
+            large = large[np.unique(mark, return_index=True)[1]]
+            sizes = size[large]
+            at = np.repeat(head[large], sizes) + B.spans_of(sizes)
+            pairs.append(np.stack([np.repeat(ids[head[large]], sizes), ids[at]], axis=1))
+            many.append(np.stack([np.repeat(_whole_code(codes[head[large]], bucket), sizes), ids[at]], axis=1))
     out = []
     if pairs:
         p = np.sort(np.concatenate(pairs), axis=1)
@@ -209,26 +216,38 @@ def _candidates(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"kind": [], "a": [], "b": []}).astype("int64")
 
 
-def _histogram(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 65535).astype("<u2")
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the hashes, set if an odd number of elements has it; a power of two of bits, BITS_EACH or more for each element."""
+    n = max(LEAST_BITS, 1 << (BITS_EACH * len(s) - 1).bit_length() if len(s) else 1)
+    return np.packbits((np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8))
+
+
+def folded(bits: np.ndarray, n: int) -> np.ndarray:
+    """The sketch of n bytes, out of one with as many or more."""
+    while len(bits) > n:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the number of elements in which the two sets differ."""
+    n = min(len(a), len(b))
+    return int(np.bitwise_count((folded(a, n) ^ folded(b, n)).view(np.uint64)).sum(dtype=np.int64))
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in B.blocks(batches, limit=4 << 20):
         sets = shingle_sets(list(frame["text"]))
         keys = list(frame["key"])
-        yield pd.DataFrame({"key": keys, "id": _ids(keys).view(np.int64), "n": [len(s) for s in sets], "cells": [_histogram(s).tobytes() for s in sets]})
+        yield pd.DataFrame({"key": keys, "id": _ids(keys).view(np.int64), "n": [len(s) for s in sets], "bits": [parity(s).tobytes() for s in sets]})
 
 
 def _near(a: str, b: str, n: Column) -> Column:
-    """Whether the histograms' distance leaves room for a difference of n / 7 elements."""
+    """Whether the sketches' distance leaves room for a difference of n / 7 elements."""
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(s), dtype="<u2").reshape(-1, CELLS).astype(np.int32) for s in (a, b))
-        return pd.Series(7 * np.abs(x - y).sum(axis=1) <= n.to_numpy())
+        return pd.Series([7 * distance(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= m for x, y, m in zip(a, b, n, strict=True)], dtype=bool)
 
     return near(a, b, n)
 
@@ -238,81 +257,121 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in B.blocks((f for f in batches), column="text_a", limit=3 << 20):
-        first = shingle_sets(list(frame["text_a"]))
-        second = shingle_sets([t.encode("utf-8", "surrogatepass") for t in frame["text_b"]])
-        good = [linked(x, y) for x, y in zip(first, second, strict=True)]
-        yield frame.loc[good, ["a", "b"]]
+def _verify(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    sets = {}
+    for at in range(0, len(texts), 128):
+        part = texts.iloc[at : at + 128]
+        sets.update(zip(part["key"], shingle_sets([t.encode("utf-8", "surrogatepass") for t in part["text"]]), strict=True))
+    good = [linked(sets[a], sets[b]) for a, b in zip(pairs["a"], pairs["b"], strict=True)]
+    return pairs.loc[good, ["a", "b"]] if len(pairs) else pd.DataFrame({"a": [], "b": []}, dtype=object)
 
 
-def _set_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in B.blocks(batches, limit=4 << 20):
-        sets = shingle_sets(list(frame["text"]))
-        yield pd.DataFrame({"key": list(frame["key"]), "elements": [s.tobytes() for s in sets]})
+def _verified(near: DataFrame, texts: DataFrame, n_buckets: int) -> DataFrame:
+    """The pairs (a, b), a < b, whose texts are linked. Each text goes to the bucket of its least partner, in shares of STAR texts."""
+    least = near.groupBy("b").agg(F.min("a").alias("m"))
+    shares = least.groupBy("m").agg(F.expr(f"cast(ceil(count(*) / {STAR}) as int)").alias("shares"))
+    placed = near.join(least, "b").join(shares, "m")
+    placed = placed.select("a", "b", F.expr(f"cast(pmod(xxhash64(m, pmod(xxhash64(b), shares)), {n_buckets}) as int)").alias("bucket"))
+    needed = placed.select((F.col("bucket") + 0).alias("spot"), F.explode(F.array("a", "b")).alias("key")).distinct()
+    there = needed.join(texts.select("key", "text"), "key")
+    return placed.groupBy("bucket").cogroup(there.groupBy("spot")).applyInPandas(_verify, "a binary, b binary")
 
 
 def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between sets of different components within one block of a signature's sets."""
-    sets = [np.frombuffer(e, dtype="<u8") for e in group["elements"]]
-    keys, parts, sides = list(group["key"]), pd.factorize(group["label"].map(bytes))[0], group["side"].to_numpy()
-    size = np.array([len(s) for s in sets])
-    cells = np.stack([_histogram(s) for s in sets]).astype(np.int32)
-    root = list(range(int(parts.max()) + 1))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i in range(len(sets)):
-        far = np.abs(cells[i + 1 :] - cells[i]).sum(axis=1)
-        room = (7 * far <= size[i + 1 :] + size[i]) & (parts[i + 1 :] != parts[i]) & (4 * np.minimum(size[i + 1 :], size[i]) >= 3 * np.maximum(size[i + 1 :], size[i]))
-        if len(group) and sides.max() > 0:
-            room &= sides[i + 1 :] != sides[i]
-        for j in (np.flatnonzero(room) + i + 1).tolist():
-            a, b = find(int(parts[i])), find(int(parts[j]))
-            if a != b and linked(sets[i], sets[j]):
-                root[b] = a
-                out.append((keys[i], keys[j]))
-    return pd.DataFrame(out, columns=["a", "b"])
-
-
-def _residual(many: DataFrame, about: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links (a, b) between components among the sets of signatures that many sets have."""
+    """Rows (x, other, y, d, more): a set, a component that it is not of, the nearest of that which size and sketch leave open, its distance, and the further ones.
+
+    Only sets within one block of a signature are compared; of two, x is that of the component with fewer sets there.
+    """
+    group = group.sort_values(["code", "i", "j", "key"]).reset_index(drop=True)
+    sides, size = group["side"].to_numpy(), group["n"].to_numpy()
+    which, distinct = pd.factorize(group["key"].map(bytes))
+    which = which.tolist()
+    parts, names = pd.factorize(group["label"].map(bytes))
+    bits = [np.frombuffer(c, dtype=np.uint8) for c in group["bits"]]
+    block = group[["code", "i", "j"]].to_numpy()
+    cuts = np.flatnonzero((np.diff(block, axis=0) != 0).any(axis=1)) + 1
+    found: dict[tuple[int, int], dict[int, int]] = {}
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
+        width = min(len(c) for c in bits[lo:hi])
+        low = np.stack([folded(c, width) for c in bits[lo:hi]]).view(np.uint64)
+        share = dict(zip(*np.unique(parts[lo:hi], return_counts=True), strict=True))
+        for i in range(lo, hi - 1):
+            rest = slice(i + 1, hi)
+            room = (parts[rest] != parts[i]) & (4 * np.minimum(size[rest], size[i]) >= 3 * np.maximum(size[rest], size[i])) & ((sides[rest] != sides[i]) | (sides[i] == 0))
+            rest = np.flatnonzero(room) + i + 1
+            if len(rest):
+                far = np.bitwise_count(low[rest - lo] ^ low[i - lo]).sum(axis=1, dtype=np.int64)
+                good = 7 * far <= size[rest] + size[i]
+                for j, d in zip(rest[good].tolist(), far[good].tolist(), strict=True):
+                    if not len(bits[i]) == width == len(bits[j]):
+                        d = distance(bits[i], bits[j])
+                        if 7 * d > size[i] + size[j]:
+                            continue
+                    x, y = (i, j) if share[parts[i]] <= share[parts[j]] else (j, i)
+                    found.setdefault((which[x], int(parts[y])), {})[which[y]] = d
+    rows = []
+    for (x, part), near in found.items():
+        y = min(near, key=lambda k: (near[k], k))
+        rows.append((distinct[x], names[part], distinct[y], near[y], [distinct[k] for k in near if k != y]))
+    return pd.DataFrame(rows, columns=["x", "other", "y", "d", "more"])
+
+
+def _residual(many: DataFrame, about: DataFrame, labels: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows (x, other, y, more) as of ``_across``, one for each set and component, among the sets of signatures that many sets have."""
     of = labels.select(F.col("id").alias("key"), "label")
-    member = many.select(F.col("a").alias("code"), F.col("b").alias("id")).distinct().join(about.select("id", "key"), "id")
-    member = member.join(of, "key", "left").select("code", "key", F.coalesce("label", "key").alias("label"))
-    spread = member.groupBy("code").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    spread = spread.where(F.col("lo") != F.col("hi")).select("code", F.expr(f"cast(ceil(n / {CHUNK}) as int)").alias("chunks"))
-    open_members = cut(member.join(spread, "code"))
-    sets = texts.join(open_members.select("key").distinct(), "key", "left_semi").select("key", "text").mapInPandas(_set_of, "key binary, elements binary")
-    chunk = F.expr("cast(pmod(xxhash64(key), chunks) as int)")
-    dealt = open_members.withColumn("own", chunk).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    dealt = dealt.select("code", "key", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-    return dealt.join(sets, "key").groupBy("code", "i", "j").applyInPandas(_across, "a binary, b binary").distinct()
+    member = many.distinct().join(about.select("id", "key"), "id").join(of, "key", "left").select("code", "key", F.coalesce("label", "key").alias("label"))
+    # Signatures of the same sets are one.
+    spread = member.groupBy("code").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("key")).alias("f"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("g"))
+    spread = spread.where(F.col("lo") != F.col("hi")).groupBy("size", "f", "g").agg(F.min("code").alias("code")).select("code", F.expr(f"cast(ceil(size / {CHUNK}) as int)").alias("chunks"))
+    dealt = member.join(spread, "code").withColumn("own", F.expr("cast(pmod(xxhash64(key), chunks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.join(about.select("key", "n", "bits"), "key")
+    dealt = dealt.select("code", "key", "label", "n", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    dealt = dealt.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(code, i, j), {4 * n_buckets}) as int)"))
+    rows = dealt.groupBy("bucket").applyInPandas(_across, "x binary, other binary, y binary, d long, more array<binary>")
+    return rows.groupBy("x", "other").agg(F.min_by("y", F.struct("d", "y")).alias("y"), F.array_distinct(F.flatten(F.collect_list(F.concat("more", F.array("y"))))).alias("more"))
+
+
+def _verified_few(pairs: DataFrame, docs: DataFrame, texts: DataFrame, n_buckets: int) -> DataFrame:
+    """As ``_verified``, for pairs of which there may be few: then their texts are picked without dealing all texts."""
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        own = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
+        texts = own.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("text").alias("text"))
+    return cut(_verified(pairs, texts, n_buckets))
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, id, n, cells) of every distinct text, and (id, label) of those with links: the least key of the component."""
+    """(key, n) of every distinct text, and (id, label) of those with links: the least key of the component."""
     texts = distinct_texts(docs).select("key", "text")
-    about = cut(texts.mapInPandas(_describe, "key binary, id long, n long, cells binary"))
-    buckets = B.bucket_count(input_bytes(docs), 10 << 20)
-    found = texts.mapInPandas(_sign(buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInPandas(_candidates, "kind long, a long, b long")
-    found = cut(found)
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    left, right = (about.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}"), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}")) for c in "ab")
-    near = pairs.join(left, "a").join(right, "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    near = cut(near.where(_near("cells_a", "cells_b", F.col("n_a") + F.col("n_b"))).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
-    both = near.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    links = cut(both.mapInPandas(_verify, "a binary, b binary"))
+    n_buckets = B.bucket_count(input_bytes(docs), 10 << 20)
+    about = texts.mapInPandas(_describe, "key binary, id long, n long, bits binary")
+    found = texts.mapInPandas(_sign(n_buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInPandas(_candidates, "kind long, a long, b long")
+    left, right = (about.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    near = found.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    near = near.where(_near("bits_a", "bits_b", F.col("n_a") + F.col("n_b"))).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+    # One job for all that is kept of this pass, so that the texts are dealt by key once.
+    none, zero = F.lit(None).cast("binary"), F.lit(None).cast("long")
+    kept = _verified(near, texts, 4 * n_buckets).select(F.lit(0).alias("kind"), "a", "b", zero.alias("code"), zero.alias("id"), zero.alias("n"))
+    kept = kept.unionByName(found.where("kind = 1").select(F.lit(1).alias("kind"), none.alias("a"), none.alias("b"), F.col("a").alias("code"), F.col("b").alias("id"), zero.alias("n")))
+    kept = cut(kept.unionByName(about.select(F.lit(2).alias("kind"), F.col("key").alias("a"), F.col("bits").alias("b"), zero.alias("code"), "id", "n")))
+    release(docs.sparkSession)
+    links, many = kept.where("kind = 0").select("a", "b"), kept.where("kind = 1").select("code", "id")
+    about = kept.where("kind = 2").select(F.col("a").alias("key"), "id", "n", F.col("b").alias("bits"))
     labels = connected_components(links)
-    more = cut(_residual(found.where("kind = 1"), about, texts, labels))
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more))
-    return about, labels
+    rest = cut(_residual(many, about, labels, n_buckets))
+    release(docs.sparkSession)
+    if rest.limit(1).count():
+        links = links.unionByName(_verified_few(rest.select(F.col("x").alias("a"), F.col("y").alias("b")), docs, texts, 4 * n_buckets))
+        labels = connected_components(links)
+        of = lambda c, name: labels.select(F.col("id").alias(c), F.col("label").alias(name))
+        apart = rest.join(of("x", "lx"), "x", "left").join(of("other", "lo"), "other", "left").where(F.coalesce("lx", "x") != F.coalesce("lo", "other"))
+        last = apart.select(F.col("x").alias("a"), F.explode(F.array_except("more", F.array("y"))).alias("b"))
+        more = _verified_few(last, docs, texts, 4 * n_buckets)
+        if more.limit(1).count():
+            labels = connected_components(links.unionByName(more))
+    return about.select("key", "n"), labels
 
 
 def components(docs: DataFrame) -> DataFrame:

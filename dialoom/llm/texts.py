@@ -16,6 +16,7 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return (
         docs.where(F.col(text_col).isNotNull())
         .select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+        .where(F.col("key").isNotNull())  # as joins on the key infer; so all uses have one plan and share its shuffle
         .groupBy("key")
         .agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     )
