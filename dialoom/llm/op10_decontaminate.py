@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.texts import text_key
+from dialoom.llm.texts import distinct_texts, text_key
 
 SHINGLE = 5
 PERCENT = 75
@@ -70,13 +70,12 @@ def containment_pairs(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE
     items = _items(benchmark, size, percent)
     sketch = sketches(items, size)
     small = sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
+    texts = distinct_texts(docs).select("key", "text")
     probe = texts.select("key", words(F.col("text")).alias("w")).where(has_words(F.col("w")))
     probe = probe.select("key", F.size("w").alias("n"), F.explode(shingle_hashes(F.col("w"), size)).alias("h"))
     met = probe.join(F.broadcast(sketch) if small else sketch, "h").where(F.greatest(F.col("n") - (size - 1), F.lit(1)) >= F.col("need"))
     candidates = met.groupBy("key").agg(F.collect_set("ikey").alias("ikeys"))
-    held = texts.join(candidates, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("ikeys").alias("ikeys"))
-    held = held.select("key", words(F.col("text")).alias("w"), "ikeys").select("key", shingles(F.col("w"), size).alias("own"), F.explode("ikeys").alias("ikey")).join(items, "ikey")
+    held = texts.join(candidates, "key").select("key", words(F.col("text")).alias("w"), "ikeys").select("key", shingles(F.col("w"), size).alias("own"), F.explode("ikeys").alias("ikey")).join(items, "ikey")
     shared = F.size(F.array_intersect("own", "shingles"))
     counted = held.select("key", "ikey", shared.alias("n_shared"), "n_item", "need")
     return counted.where(F.col("n_shared") >= F.col("need")).drop("need")
