@@ -179,11 +179,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` in its own columns: texts that lose words are their kept words, n_chars if there is renewed; other texts stay as they are."""
     kept = repeated_passages(docs, window).select(F.col("key").alias("_key"), F.when(F.col("n_removed") > 0, F.col("kept_text")).alias("_kept"))
-    out = docs.withColumn("_key", text_key(F.col("text"))).join(kept, "_key", "left")
-    change = {"text": F.coalesce("_kept", "text")}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_key(F.col("text")).alias("_key"))
+    of = lambda c: F.col("_row").getField(c)
+    change = {"text": F.coalesce("_kept", of("text"))}
     if "n_chars" in docs.columns:
-        change["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[change[c].alias(c) if c in change else F.col(f"`{c}`") for c in docs.columns])
+        change["n_chars"] = F.when(F.col("_kept").isNull(), of("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
+    return rows.join(kept, "_key", "left").select(*[change.get(c, of(c)).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:

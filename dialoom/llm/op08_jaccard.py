@@ -391,7 +391,8 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the least doc_id, and every row without words; columns as given."""
-    names = docs.columns
-    rows = components(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "_label", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("h")).alias("_order"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64(*names).alias("h"))
+    rows = components(docs.select(F.struct(*names).alias("_row"), order.alias("_order"), "text")).select("_row", "_order", "_label")
     one = rows.where(F.col("_label").isNotNull()).groupBy("_label").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
     return one.unionByName(rows.where(F.col("_label").isNull()).select("_row.*"))

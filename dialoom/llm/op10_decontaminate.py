@@ -93,8 +93,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, per
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows that hold an item; rows without text stay."""
     bad = containment_pairs(docs, benchmark, size, percent).select(F.col("key").alias("_held")).distinct()
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    return keyed.join(bad, F.col("_key") == F.col("_held"), "left_anti").drop("_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_key(F.col("text")).alias("_key"))
+    return rows.join(bad, F.col("_key") == F.col("_held"), "left_anti").select("_row.*")
 
 
 ORACLE = r"""

@@ -97,6 +97,15 @@ def test_op1_cover_meets_every_shift():
         assert any((k in cover) and ((k + shift) % period in cover) for k in range(period))
 
 
+def test_clashing_columns_survive(spark, docs):
+    wide = widened(docs).withColumn("_label", F.lit("x")).withColumn("_row", F.lit(1)).withColumn("n_shingles", F.lit(2)).withColumn("_kept", F.lit(3))
+    bench = spark.createDataFrame([(1, "some words that no text at all holds")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").limit(0)
+    for out in (op01_substring.without_passages(wide), op08_jaccard.keep_one(wide), op10_decontaminate.decontaminate(wide, bench), op03_quality.keep_good(wide, labels)):
+        assert out.columns == wide.columns
+        assert out.where("_label = 'x' and _row = 1 and key = 'clash'").count() == out.count() > 0
+
+
 def test_op1_columns(docs):
     out = op01_substring.without_passages(docs)
     assert out.columns == docs.columns
