@@ -15,7 +15,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = (1 << 20) - (1 << 12)
+SEGMENT_WORDS = 1 << 18
 BLOCK_BYTES = 12 << 20
 
 _WHITE = np.zeros(256, dtype=bool)
@@ -142,13 +143,20 @@ def words_of(texts: list[bytes], fold: bool = False, shapes: bool = False) -> tu
 
 
 def window_hash(words: np.ndarray, starts: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """Hash of the ``width`` words from each start on."""
+    """Hash of the ``width`` words from each start on, starts rising; in segments, so that the tables of powers stay small."""
     powers = _WORDS.setdefault(seed, Powers(seed))
-    up, down = powers.get(len(words) + 1)
-    prefix = np.empty(len(words) + 1, dtype=np.uint64)
-    prefix[0] = 0
-    np.cumsum(words * up[: len(words)], out=prefix[1:])
-    return mix((prefix[starts + width] - prefix[starts]) * down[starts])
+    out = np.empty(len(starts), dtype=np.uint64)
+    for at in range(0, len(words), SEGMENT_WORDS):
+        lo, hi = np.searchsorted(starts, (at, at + SEGMENT_WORDS))
+        if lo == hi:
+            continue
+        part = words[at : at + SEGMENT_WORDS + width]
+        up, down = powers.get(len(part) + 1)
+        prefix = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * up[: len(part)], out=prefix[1:])
+        own = starts[lo:hi] - at
+        out[lo:hi] = mix((prefix[own + width] - prefix[own]) * down[own])
+    return out
 
 
 def doc_bounds(owners: np.ndarray, n: int) -> np.ndarray:

@@ -371,6 +371,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = _verified_few(last, docs, texts, 4 * n_buckets)
         if more.limit(1).count():
             labels = connected_components(links.unionByName(more))
+    release(docs.sparkSession)
     return about.select("key", "n"), labels
 
 
@@ -393,6 +394,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the least doc_id, and every row without words; columns as given."""
     names = [F.col(f"`{c}`") for c in docs.columns]
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64(*names).alias("h"))
-    rows = components(docs.select(F.struct(*names).alias("_row"), order.alias("_order"), "text")).select("_row", "_order", "_label")
-    one = rows.where(F.col("_label").isNotNull()).groupBy("_label").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")
-    return one.unionByName(rows.where(F.col("_label").isNull()).select("_row.*"))
+    about, labels = link_classes(docs)
+    known = about.where("n > 0").join(labels.withColumnRenamed("id", "key"), "key", "left").select(F.col("key").alias("_key"), F.coalesce("label", "key").alias("_label"))
+    # The winners are found on narrow rows, so that whole rows are dealt once; copies of a row are equal in key and hash.
+    narrow = docs.select(text_key(F.col("text")).alias("_key"), order.alias("_order")).join(known, "_key")
+    won = narrow.groupBy("_label").agg(F.min(F.struct("_order", "_key")).alias("w")).select(F.col("w._key").alias("k"), F.col("w._order.h").alias("h"))
+    rows = docs.select(F.struct(*names).alias("_row"), text_key(F.col("text")).alias("k"), F.xxhash64(*names).alias("h"))
+    one = rows.join(won, ["k", "h"]).groupBy("k", "h").agg(F.first("_row").alias("_row")).select("_row.*")
+    empty = rows.join(about.where("n = 0").select(F.col("key").alias("k")), "k", "left_semi").select("_row.*")
+    return one.unionByName(empty).unionByName(docs.where(F.col("text").isNull()))
