@@ -1,18 +1,15 @@
 """Text scores by a probabilistic suffix tree with contexts of variable length.
 
-Tokens are lower-cased words and one end for each text. The tree's alphabet is the words whose share
-of the training tokens is at least 2**-ALPHABET_BITS, the end, and one symbol for all other words, which
-spell themselves by their smoothed counts. Candidate contexts are the suffixes, of at most
-DEPTH symbols, with a share of at least that floor; their next symbols are kept from a share of
-2**-ENTRY_BITS on. So the tree has at most 2**ALPHABET_BITS contexts and 2**ENTRY_BITS entries for each depth, however
-large the corpus, and may be broadcast. A context is retained if its next-symbol
-distribution diverges from its suffix's: if their divergence times its count is at least RETAIN nats.
+Tokens are lower-cased words and one end for each text, whose start is a symbol before its first token. Contexts are
+all runs of at most DEPTH symbols, next symbols all tokens; an entry (context, next symbol) is kept if it occurs LEAST
+times, however large the corpus, so the tree grows with it. A context is retained if its suffix is and its
+next-symbol distribution diverges from its suffix's: if their divergence times its count is at least RETAIN nats.
 Distributions are smoothed by an absolute discount that goes to the suffix's distribution, at
 the root to the smoothed word counts. A token is scored in the longest retained suffix of what precedes it.
 
-Counts cover every training text: each block of texts counts its distinct words, buckets of words add
-these up. For scoring, a block sends its rare words to their buckets and gets sums for each text back;
-the alphabet's words, which alone may be in most texts, are looked up in the broadcast tree.
+Counts cover every training text: each block of texts counts its distinct words and runs, buckets of their hashes add
+these up, and the levels of the tree are tables of rows. For scoring, a block sends its distinct words and runs to
+their buckets and gets the tree's values for them back. Nothing of the tree is gathered or broadcast.
 
 Defined results: a null or empty text is one end token; rows with a null doc_id are scored, have held_out null
 and are not learned from; repeated rows each give a row and count each; without training rows all
@@ -30,15 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import blocks as B
-from dialoom.llm.components import cut
+from dialoom.llm.components import cut, release
 from dialoom.llm.op03_quality import fold
 from dialoom.session import input_bytes
 
 FOLDS, HELD_OUT = 7, 2
-ALPHABET_BITS, ENTRY_BITS, DEPTH = 14, 20, 3
+DEPTH, LEAST = 3, 2
 DISCOUNT, RETAIN = 0.75, 12.0
-END = np.uint64(0x0E0E0E0E0E0E0E0E)
-_SHIFT = ALPHABET_BITS + 1
+END, START = np.uint64(0x0E0E0E0E0E0E0E0E), np.uint64(0x0F0F0F0F0F0F0F0F)
+#: Texts of a block in which runs are counted or looked up, in bytes: its arrays are a few tens of times as large.
+RUN_BYTES = 6 << 20
+#: Inputs above PASS_BYTES are worked in passes, each of which frees its shuffle files before the next: runs by their buckets, texts to score by a hash of the row.
+PASS_BYTES, RUN_PASSES, SCORE_PASSES = 32 << 20, 3, 4
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_SHORT = np.uint64((1 << 48) - 1)
+#: Bits of a symbol in the codes of ``Tree``.
+_SHIFT = 15
 
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +52,32 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, at, END), np.insert(owner, at, np.arange(len(texts)))
 
 
+def _after(run: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of each run with one more word."""
+    return B.mix(run * _STEP + word)
+
+
+def _before(values: np.ndarray, place: np.ndarray, least: int, none: np.uint64) -> np.ndarray:
+    """The value ``least`` tokens before each token, ``none`` where the text has no such token."""
+    out = np.full(len(values), none, dtype=np.uint64)
+    out[least:] = np.where(place[least:] >= least, values[: len(values) - least], none)
+    return out
+
+
+def runs_of(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(Place of each token in its text, hashes of the runs of 1 to DEPTH + 1 symbols that end there, the start included).
+
+    A run of k symbols is there from place k - 2 on.
+    """
+    at = np.arange(len(words))
+    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, bool)
+    place = at - np.maximum.accumulate(np.where(first, at, 0)) if len(at) else at
+    runs = [words]
+    for _ in range(DEPTH):
+        runs.append(_after(_before(runs[-1], place, 1, START), words))
+    return place, runs
+
+
 def _count(n_buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in B.blocks(batches):
@@ -86,7 +116,7 @@ def _frequent(least: int):
 
 
 class Tree:
-    """The alphabet and, for each depth, the contexts and their next-symbol entries."""
+    """The model of a small alphabet in one process: for each depth, the contexts and their next-symbol entries."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int):
         keep = (words != END) & (words != 0)
@@ -175,162 +205,236 @@ class Tree:
         return p
 
 
-def _pairs(tree: Tree, depth: int, wanted: np.ndarray | None, n_buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in B.blocks(batches):
-            tokens, owner = tokens_of(list(frame["text"]))
-            symbols = tree.symbols(tokens)
-            code, some = tree.contexts(symbols, owner, depth)
-            if wanted is not None:
-                some &= Tree._find(code, wanted) >= 0
-            keys, counts = np.unique(code[some] << _SHIFT | symbols[some], return_counts=True)
-            yield pd.DataFrame([(b, B.pack(keys[p].astype("<i8"), counts[p].astype("<u4"))) for b, p in B.by_bucket(B.bucket_of(B.mix(keys.astype(np.uint64)), n_buckets))], columns=["bucket", "payload"])
-
-    return run
-
+def _runs(n_buckets: int, number: int, passes: int):
+    """Rows (bucket, payload) of the buckets of one pass: pairs by their hash, and what has three or four symbols by the hash of its last three."""
 
-def _add_pairs(least: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _added(group["payload"], "<i8")
-        keep = counts >= least
-        return pd.DataFrame({"key": keys[keep].astype(np.int64), "c": counts[keep]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in B.blocks(batches, limit=RUN_BYTES):
+            words, owner = tokens_of(list(frame["text"]))
+            place, runs = runs_of(words, owner)
+            before = [words, *(_before(words, place, k, np.uint64(0)) for k in range(1, DEPTH + 1))]
+            for k in range(1, DEPTH + 1):
+                before[k][place == k - 1] = START
+            own = [B.bucket_of(r, n_buckets) % passes == number for r in runs[1:3]]
+            short, long = np.flatnonzero(own[0]), np.flatnonzero(own[1] & (place >= 1))
+            _, two, n_two = np.unique(runs[1][short], return_index=True, return_counts=True)
+            two = short[two]
+            _, four, n_four = np.unique(np.where(place >= 2, runs[3], ~runs[2])[long], return_index=True, return_counts=True)
+            four = long[four]
+            order = np.argsort(runs[1][four])
+            four, n_four = four[order], n_four[order]
+            twos, fours = (dict(B.by_bucket(B.bucket_of(h, n_buckets))) for h in (runs[1][two], runs[2][four]))
+            none = np.empty(0, np.int64)
+            rows = []
+            for b in sorted(twos.keys() | fours.keys()):
+                p, q = twos.get(b, none), fours.get(b, none)
+                rows.append((b, B.pack(*(before[k][two[p]] for k in (1, 0)), n_two[p].astype("<u4"), *(before[k][four[q]] for k in (3, 2, 1, 0)), n_four[q].astype("<u4"))))
+            yield pd.DataFrame(rows, columns=["bucket", "payload"])
 
     return run
 
 
-def _score(handle, n_buckets: int):
-    """Rows (bucket, kind, block, payload): kind 0 rare words of a block, kind 1 what the block knows of its texts."""
+def _add_runs(group: pd.DataFrame) -> pd.DataFrame:
+    """(level, key, ctx, suf, c) of the bucket's runs that occur LEAST times: without its last symbol a run is its context, without its first its suffix."""
+    held = [B.unpack(p, "<u8", "<u8", "<u4", "<u8", "<u8", "<u8", "<u8", "<u4") for p in group["payload"]]
+    b1, b0, n_two, c3, c2, c1, c0, n_four = (np.concatenate(a) for a in zip(*held, strict=True))
+    third = _after(c2, c1)
+    whole = c3 != 0
+    found = []
+    for level, context, word, suffix, n in (
+        (1, b1, b0, b0, n_two),
+        (2, third, c0, _after(c1, c0), n_four),
+        (3, _after(_after(c3, c2), c1)[whole], c0[whole], _after(third, c0)[whole], n_four[whole]),
+    ):
+        key, at, of = np.unique(_after(context, word), return_index=True, return_inverse=True)
+        c = np.bincount(of, weights=n, minlength=len(key)).astype(np.int64)
+        keep = c >= LEAST
+        at = at[keep]
+        found.append(pd.DataFrame({"level": np.full(len(at), level, np.int32), "key": key[keep].view(np.int64), "ctx": context[at].view(np.int64), "suf": suffix[at].view(np.int64), "c": c[keep]}))
+    return pd.concat(found, ignore_index=True)
+
+
+def _level(entries: DataFrame, totals: DataFrame, parents: DataFrame) -> DataFrame:
+    """(key, ctx, share, rest, p): the entries of the contexts of one depth that are retained.
+
+    ``entries`` are (key, ctx, suf, c), ``totals`` (ctx, total), ``parents`` (suf, parent) the probabilities in the suffix.
+    """
+    share = (F.col("c") - DISCOUNT) / F.col("total")
+    of = entries.join(parents, "suf")
+    sums = of.groupBy("ctx").agg(F.sum(F.col("c") - DISCOUNT).alias("kept")).join(totals, "ctx").select("ctx", "total", (1 - F.col("kept") / F.col("total")).alias("rest"))
+    of = of.join(sums, "ctx").withColumn("share", share).withColumn("p", F.col("share") + F.col("rest") * F.col("parent"))
+    left, below = (F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "parent"))
+    gain = F.sum(F.col("p") * F.log(F.col("p") / F.col("parent"))) + left * F.log(left / below)
+    good = of.groupBy("ctx").agg((F.first("total") * gain).alias("gain")).where(F.col("gain") >= RETAIN).select("ctx")
+    return cut(of.join(good, "ctx", "left_semi").select("key", "ctx", "share", "rest", "p"))
+
+
+def _score(n_buckets: int):
+    """Rows (bucket, kind, block, payload): kind 0 distinct words and runs of a block, kind 1 the block's texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tree = handle.value
         part, number = TaskContext.get().partitionId(), 0
-        for frame in B.blocks(batches):
-            tokens, owner = tokens_of(list(frame["text"]))
-            n = len(frame)
-            symbols = tree.symbols(tokens)
-            valid, code = [], None
-            for depth in range(1, len(tree.levels) + 1):
-                code, some = tree.contexts(symbols, owner, depth)
-                valid.append(some)
-            code = code if code is not None else np.zeros(len(symbols), np.int64)
-            log_p = np.log10(tree.probability(code, symbols, len(tree.levels), valid))
-            rare = symbols == tree.other
-            base = np.bincount(owner, weights=np.where(rare, 0.0, tree.log_plus[symbols]), minlength=n)
-            score = np.bincount(owner, weights=log_p + np.where(rare, tree.log_spell, 0.0), minlength=n)
-            size, known = np.bincount(owner, minlength=n), np.bincount(owner, weights=tree.known[symbols], minlength=n)
-            words, docs = tokens[rare], owner[rare]
-            buckets = B.bucket_of(words, n_buckets)
-            used = np.unique(buckets)
+        for frame in B.blocks(batches, limit=RUN_BYTES):
+            texts = list(frame["text"])
+            keys = _wanted(*tokens_of(texts))[0]
+            buckets = B.bucket_of(keys, n_buckets)
+            parts = list(B.by_bucket(buckets))
             ids = frame["doc_id"]
-            local = B.pack(ids.fillna(0).astype("int64").to_numpy(), ids.isna().to_numpy().astype(np.uint8), frame["held_out"].fillna(False).astype(bool).to_numpy().astype(np.uint8), size.astype("<i8"), known.astype("<i8"), base, score, np.array([len(used)], "<i8"))
+            local = B.pack(
+                ids.fillna(0).astype("int64").to_numpy(),
+                ids.isna().to_numpy().astype(np.uint8),
+                frame["held_out"].fillna(False).astype(bool).to_numpy().astype(np.uint8),
+                np.array([len(t) for t in texts], "<i8"),
+                b"".join(texts),
+                np.array([len(parts)], "<i8"),
+            )
             block = int.from_bytes(hashlib.sha256(f"{part} {number}".encode() + local).digest()[:7], "little")
             number += 1
             rows = [(block % n_buckets, 1, block, local)]
-            for b, at in B.by_bucket(buckets):
-                held, counts = np.unique(docs[at], return_counts=True)
-                rows.append((b, 0, block, B.pack(np.array([n], "<i8"), held.astype("<u4"), counts.astype("<u4"), (words[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), (words[at] >> np.uint64(32)).astype("<u2"))))
+            rows += [(b, 0, block, B.pack((keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), (keys[at] >> np.uint64(32)).astype("<u2"))) for b, at in parts]
             yield pd.DataFrame(rows, columns=["bucket", "kind", "block", "payload"])
 
     return run
 
 
-def _look_up(entries: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    words = np.concatenate([np.frombuffer(w, "<u8") for w in table["words"]]) if len(table) else np.empty(0, np.uint64)
-    counts = np.concatenate([np.frombuffer(c, "<i8") for c in table["counts"]]) if len(table) else np.empty(0, np.int64)
-    short = words & np.uint64((1 << 48) - 1)
+def _wanted(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(Sorted distinct hashes of all words and runs of a block, so in the order of their buckets; place; runs)."""
+    place, runs = runs_of(words, owner)
+    held = [np.unique(r[place >= k - 1]) for k, r in enumerate(runs)]
+    return np.unique(np.concatenate([*held, np.array([START])])), place, runs
+
+
+def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    short = keys & _SHORT
     order = np.argsort(short)
-    short, counts = short[order], counts[order]
+    return short[order], values[order]
+
+
+def _look_up(entries: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    packed = table["words"].notna().to_numpy()
+    words = np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(w, "<u8") for w in table["words"][packed])])
+    counts = np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(c, "<i8") for c in table["counts"][packed])])
+    tables = [_sorted(words, counts)]
+    for name in ("share", "rest"):
+        some = table[name].notna().to_numpy()
+        tables.append(_sorted(table["key"][some].to_numpy(np.int64).view(np.uint64), table[name][some].to_numpy(np.float32)))
     rows = []
     for kind, block, payload in zip(entries["kind"], entries["block"], entries["payload"], strict=True):
         if kind == 1:
             rows.append((block, -1, payload))
             continue
-        n, docs, per, low, high = B.unpack(payload, "<i8", "<u4", "<u4", "<u4", "<u2")
+        low, high = B.unpack(payload, "<u4", "<u2")
         wanted = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-        at = np.minimum(np.searchsorted(short, wanted), max(len(short) - 1, 0))
-        c = np.where(short[at] == wanted, counts[at], 0) if len(short) else np.zeros(len(wanted), np.int64)
-        owner = np.repeat(np.arange(len(docs)), per)
-        log = np.bincount(owner, weights=np.log10(c + 1.0), minlength=len(docs))
-        known = np.bincount(owner, weights=c > 0, minlength=len(docs))
-        rows.append((block, int(entries["bucket"].iloc[0]), B.pack(docs, log, known.astype("<u4"))))
+        found = []
+        for keys, values in tables:
+            at = Tree._find(wanted, keys)
+            some = np.flatnonzero(at >= 0)
+            found += [some.astype("<u4"), values[at[some]]]
+        rows.append((block, int(entries["bucket"].iloc[0]), B.pack(*found)))
     return pd.DataFrame(rows, columns=["block", "part", "payload"])
 
 
-def _gather(n: int, v: int):
+def _gather(n: int, v: int, n_buckets: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("part")
-        ids, null, held, size, known, base, score, parts = (a.copy() for a in B.unpack(group["payload"].iloc[0], "<i8", np.uint8, np.uint8, "<i8", "<i8", "<f8", "<f8", "<i8"))
+        ids, null, held, sizes, text, parts = B.unpack(group["payload"].iloc[0], "<i8", np.uint8, np.uint8, "<i8", bytes, "<i8")
         if group["part"].iloc[0] != -1 or len(group) != parts[0] + 1:
             raise RuntimeError("a block's input changed between attempts")
-        for payload in group["payload"].iloc[1:]:
-            docs, log, more = B.unpack(payload, "<u4", "<f8", "<u4")
-            base[docs] += log
-            score[docs] += log
-            known[docs] += more
+        ends = np.cumsum(sizes)
+        tokens, owner = tokens_of([text[e - s : e] for s, e in zip(sizes, ends, strict=True)])
+        keys, place, runs = _wanted(tokens, owner)
+        buckets = B.bucket_of(keys, n_buckets)
+        count, share, rest = np.zeros(len(keys)), np.zeros(len(keys)), np.full(len(keys), np.nan)
+        for part, payload in zip(group["part"].iloc[1:], group["payload"].iloc[1:], strict=True):
+            first = int(np.searchsorted(buckets, part))
+            got = B.unpack(payload, "<u4", "<i8", "<u4", "<f4", "<u4", "<f4")
+            for out, at, values in zip((count, share, rest), got[0::2], got[1::2], strict=True):
+                out[first + at.astype(np.int64)] = values
+        at = np.searchsorted(keys, tokens)
+        c = count[at]
+        p = (c + 1) / (n + v + 1)
+        context = np.full(len(tokens), np.searchsorted(keys, START))
+        context[1:] = np.where(place[1:] >= 1, at[:-1], context[1:])
+        for k in range(1, DEPTH + 1):
+            some = np.flatnonzero(place >= k - 1)
+            left = rest[context[some]]
+            of = np.zeros(len(tokens), np.int64)
+            of[some] = np.searchsorted(keys, runs[k][some])
+            good = ~np.isnan(left)
+            there = some[good]
+            p[there] = share[of[there]] + left[good] * p[there]
+            context[1:] = of[:-1]
+        m = len(ids)
+        size = np.bincount(owner, minlength=m)
         void = null.astype(bool)
         return pd.DataFrame(
             {
                 "doc_id": pd.Series(ids, dtype="Int64").mask(void),
                 "held_out": pd.Series(held.astype(bool), dtype="boolean").mask(void),
                 "n_tokens": size,
-                "n_known": known,
+                "n_known": np.bincount(owner, weights=c > 0, minlength=m).astype(np.int64),
                 "train_tokens": n,
-                "base_score": base - size * np.log10(n + v + 1.0),
-                "score": score,
+                "base_score": np.bincount(owner, weights=np.log10(c + 1), minlength=m) - size * np.log10(n + v + 1.0),
+                "score": np.bincount(owner, weights=np.log10(p), minlength=m),
             }
         )
 
     return run
 
 
-def learn(train: DataFrame, n_buckets: int) -> tuple[Tree, DataFrame]:
-    """The tree of the ``text`` of ``train``, and its word counts by bucket (bucket, n, v, words, counts)."""
+def learn(train: DataFrame, n_buckets: int, passes: int = 1) -> tuple[int, int, DataFrame]:
+    """(Tokens, distinct tokens, table) of the ``text`` of ``train``; the table is by bucket (bucket, words, counts, key, share, rest).
+
+    Rows hold a bucket's word counts, or the share of an entry, or what a retained context leaves to its suffix.
+    """
     rows = "bucket int, payload binary"
-    table = train.mapInPandas(_count(n_buckets), rows).groupBy("bucket").applyInPandas(_add, "bucket int, n long, v long, words binary, counts binary")
-    table = cut(table)
+    table = cut(train.mapInPandas(_count(n_buckets), rows).groupBy("bucket").applyInPandas(_add, "bucket int, n long, v long, words binary, counts binary"))
     total = table.agg(F.sum("n"), F.sum("v")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
-    floor = max(2, -(-n >> ALPHABET_BITS))
-    top = table.mapInPandas(_frequent(floor), "word long, c long").toPandas()
-    words, counts = top["word"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    if END not in words and n:
-        words, counts = np.append(words, END), np.append(counts, _count_of(table, END))
-    tree = Tree(words, counts, n, v)
-    codes = np.concatenate([np.arange(tree.size), [tree.other, tree.start]]).astype(np.int64)
-    totals = np.concatenate([tree.counts, [n - int(tree.counts.sum()) - tree.end_count, tree.end_count]])
-    codes, totals = codes[totals > 0], totals[totals > 0]
-    for depth in range(1, DEPTH + 1):
-        if not len(codes):
-            break
-        found = train.mapInPandas(_pairs(tree, depth, codes if depth > 1 else None, n_buckets), rows)
-        least = max(2, -(-n >> ENTRY_BITS))
-        entries = found.groupBy("bucket").applyInPandas(_add_pairs(least), "key long, c long").toPandas()
-        keys, c = entries["key"].to_numpy(np.int64), entries["c"].to_numpy(np.int64)
-        tree.add_level(codes, totals, keys, c)
-        good = (c >= floor) & (keys & ((1 << _SHIFT) - 1) != tree.end) & (Tree._find(keys >> _SHIFT, tree.levels[-1]["codes"]) >= 0)
-        codes, totals = keys[good], c[good]
-    return tree, table
-
-
-def _count_of(table: DataFrame, word: np.uint64) -> int:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for w, c in zip(frame["words"], frame["counts"], strict=True):
-                yield pd.DataFrame({"c": np.frombuffer(c, "<i8")[np.frombuffer(w, "<u8") == word]})
-
-    found = table.mapInPandas(run, "c long").first()
-    return int(found[0]) if found else 0
+    runs = None
+    for number in range(passes):
+        part = cut(train.mapInPandas(_runs(n_buckets, number, passes), rows).groupBy("bucket").applyInPandas(_add_runs, "level int, key long, ctx long, suf long, c long"))
+        runs = part if runs is None else runs.union(part)
+        release(train.sparkSession)
+    words = table.mapInPandas(_frequent(LEAST), "word long, c long")
+    ends = words.where(F.col("word") == int(END)).select(F.lit(int(START)).alias("word"), "c")
+    totals = words.union(ends).toDF("ctx", "total")
+    parents = words.select(F.col("word").alias("suf"), ((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("parent"))
+    bucket = F.shiftright(F.shiftrightunsigned("key", 32) * n_buckets, 32).cast("int").alias("bucket")
+    void = [F.lit(None).cast("binary").alias(x) for x in ("words", "counts")]
+    none = F.lit(None).cast("float")
+    out = table.select("bucket", "words", "counts", F.lit(0).cast("long").alias("key"), none.alias("share"), none.alias("rest"))
+    for level in range(1, DEPTH + 1):
+        entries = runs.where(F.col("level") == level).select("key", "ctx", "suf", "c")
+        kept = _level(entries, totals, parents)
+        contexts = kept.groupBy(F.col("ctx").alias("key")).agg(F.first("rest").cast("float").alias("rest"))
+        out = out.union(kept.select(bucket, *void, "key", F.col("share").cast("float"), none)).union(contexts.select(bucket, *void, "key", none, "rest"))
+        totals = entries.select(F.col("key").alias("ctx"), F.col("c").alias("total"))
+        parents = kept.select(F.col("key").alias("suf"), F.col("p").alias("parent"))
+    release(train.sparkSession)
+    return n, v, out
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
-    n_buckets = B.bucket_count(input_bytes(docs))
+    n_bytes = input_bytes(docs)
+    n_buckets, large = B.bucket_count(n_bytes), n_bytes > PASS_BYTES
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    tree, table = learn(given.where(~F.col("held_out")).select("text"), n_buckets)
-    handle = docs.sparkSession.sparkContext.broadcast(tree)
-    entries = given.mapInPandas(_score(handle, n_buckets), "bucket int, kind int, block long, payload binary")
+    n, v, table = learn(given.where(~F.col("held_out")).select("text"), n_buckets, RUN_PASSES if large else 1)
+    if not large:
+        return _scored(given, n, v, table, n_buckets)
+    out = None
+    for number in range(SCORE_PASSES):
+        part = cut(_scored(given.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SCORE_PASSES)) == number), n, v, table, n_buckets))
+        out = part if out is None else out.union(part)
+        release(docs.sparkSession)
+    return out
+
+
+def _scored(given: DataFrame, n: int, v: int, table: DataFrame, n_buckets: int) -> DataFrame:
+    entries = given.mapInPandas(_score(n_buckets), "bucket int, kind int, block long, payload binary")
     looked = entries.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_look_up, "block long, part int, payload binary")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return looked.groupBy("block").applyInPandas(_gather(tree.n, tree.v), out)
+    return looked.groupBy("block").applyInPandas(_gather(n, v, n_buckets), out)

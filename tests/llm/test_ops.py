@@ -337,6 +337,69 @@ def test_op7_counts_and_base(docs, empty):
     assert op07_suffix_tree.score_texts(empty).count() == 0
 
 
+def brute_scores(rows):
+    """Scores of (held out, words) by dictionaries; a missing word is the end."""
+    train = [["<s>", *ws] for held, ws in rows if held is False]
+    n, root = sum(len(t) - 1 for t in train), Counter(w for t in train for w in t[1:])
+    v = len(root)
+    counts = Counter(tuple(t[i - k : i + 1]) for t in train for i in range(1, len(t)) for k in range(1, 4) if i - k >= 0)
+    totals = Counter((w,) for t in train for w in t[:-1]) + counts
+    entries = defaultdict(dict)
+    for g, c in counts.items():
+        if c >= 2:
+            entries[g[:-1]][g[-1]] = c
+    retained = {}
+
+    def p(context, w):
+        out = (root[w] + 1) / (n + v + 1)
+        for k in range(1, len(context) + 1):
+            c = context[-k:]
+            if c not in retained:
+                break
+            out = (entries[c][w] - 0.75) / totals[c] + retained[c] * out if w in entries[c] else retained[c] * out
+        return out
+
+    for c in sorted(entries, key=len):
+        if len(c) > 1 and c[1:] not in retained:
+            continue
+        rest = 1 - sum(x - 0.75 for x in entries[c].values()) / totals[c]
+        under = {w: p(c[1:], w) for w in entries[c]}
+        own = {w: (x - 0.75) / totals[c] + rest * under[w] for w, x in entries[c].items()}
+        left, below = max(1 - sum(own.values()), 1e-12), max(1 - sum(under.values()), 1e-12)
+        if totals[c] * (sum(own[w] * math.log(own[w] / under[w]) for w in own) + left * math.log(left / below)) >= 12:
+            retained[c] = rest
+    return [sum(math.log10(p(tuple(["<s>", *ws][max(0, i - 2) : i + 1]), w)) for i, w in enumerate(ws)) for _, ws in rows], retained
+
+
+def test_op7_scores_by_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(op07_suffix_tree, "PASS_BYTES", -1)
+    rng = random.Random(6)
+    more = [(100 + i, " ".join(f"k{k} x y p{k} z y q" for k in rng.choices(range(6), k=30))) for i in range(12)]
+    given = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = [(r.doc_id, words(r.text, True) + [None]) for r in given.collect()]
+    expected, retained = brute_scores([(None if d is None else zlib.crc32(str(d).encode()) % 7 == 2, ws) for d, ws in rows])
+    assert (b"k1", b"x", b"y") in retained and (b"k1", b"x") not in retained
+    got = op07_suffix_tree.score_texts(given).collect()
+    want = sorted((d or -1, len(ws), e) for (d, ws), e in zip(rows, expected, strict=True))
+    for (d, n, score), r in zip(want, sorted(got, key=lambda r: (r.doc_id or -1, r.n_tokens, r.score)), strict=True):
+        assert (d, n) == (r.doc_id or -1, r.n_tokens)
+        assert r.score == pytest.approx(score, rel=1e-5, abs=1e-5)
+
+
+def test_op7_rare_phrase_stays_in_a_large_corpus(spark):
+    """Five times in 120,000 tokens, under a share of 2**-14, as are many words: its words and runs are learned as in a small corpus."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    seldom = [f"s{i}" for i in range(4000)]
+    phrase = " ".join(f"rare{i}" for i in range(12))
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, " ".join(rng.choice(seldom if j % 8 == 0 else vocabulary) for j in range(400)) + (" " + phrase if k < 5 else "")) for k, i in enumerate(ids)] + [(held, phrase)]
+    got = {r.doc_id: r for r in op07_suffix_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held].train_tokens > 5 << 14
+    assert got[held].score > got[held].base_score + 30
+
+
 def test_op7_distributions_sum_to_one():
     rng = np.random.default_rng(4)
     counts = np.array([50, 30, 20, 40])
