@@ -32,8 +32,10 @@ from dialoom.llm.components import cut
 from dialoom.llm.op06_url_filters import host_of
 
 SHARE, LEAST = 0.6, 4
-#: Larger trees than this are not aligned; their slots are named by their own labels.
-ALIGNED_NODES = 400
+#: Alignments of trees up to this size are kept for the next page of the shape.
+KEPT_NODES = 400
+#: Cells of a table of two lists of children; longer lists are halved by the best cut first.
+CELLS = 1 << 21
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>""", re.S)
 _CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
@@ -181,7 +183,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
     return root, blocks
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=64)
 def _tree(shape: str) -> tuple[list[str], list[list[int]]]:
     """Labels and children of the nodes of a shape, in preorder."""
     labels, children, stack, at = [], [], [], 0
@@ -198,44 +200,123 @@ def _tree(shape: str) -> tuple[list[str], list[list[int]]]:
     return labels, children
 
 
-@lru_cache(maxsize=4096)
 def align(shape: str, model: str) -> dict[int, int]:
-    """Matched node of ``model`` for nodes of ``shape``, by simple tree matching."""
+    """Matched node of ``model`` for nodes of ``shape``, by simple tree matching of trees of any size."""
+    return (_kept if max(shape.count("("), model.count("(")) <= KEPT_NODES else _match)(shape, model)
+
+
+class _Weights:
+    """Sizes of the largest matches of equally labelled subtrees; equal subtrees have one number and match whole."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[str, tuple[int, ...]], int] = {}
+        self.labels: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.pairs: dict[tuple[int, int], int] = {}
+
+    def number(self, labels: list[str], children: list[list[int]]) -> list[int]:
+        """Number of each node's subtree, a child's below its parent's."""
+        out = [0] * len(labels)
+        for i in range(len(labels) - 1, -1, -1):
+            key = (labels[i], tuple(out[c] for c in children[i]))
+            out[i] = self.numbers.setdefault(key, len(self.labels))
+            if out[i] == len(self.labels):
+                self.labels.append(key[0])
+                self.kids.append(key[1])
+                self.sizes.append(1 + sum(self.sizes[c] for c in key[1]))
+        return out
+
+    def fill(self, a: int, b: int) -> None:
+        """The weights of all pairs that a match of ``a`` and ``b`` can hold."""
+        seen, todo = {(a, b)}, [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            of: dict[str, list[int]] = {}
+            for q in set(self.kids[y]):
+                of.setdefault(self.labels[q], []).append(q)
+            for p in set(self.kids[x]):
+                for q in of.get(self.labels[p], ()):
+                    if p != q and (p, q) not in seen:
+                        seen.add((p, q))
+                        todo.append((p, q))
+        for x, y in sorted(seen):
+            xs, ys = self.kids[x], self.kids[y]
+            k = _common(xs, ys)
+            self.pairs[x, y] = 1 + sum(self.sizes[p] for p in xs[:k]) + int(self.last(xs[k:], ys[k:])[-1])
+
+    def rows(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> Iterator[np.ndarray]:
+        """The rows of the table of two lists of children, one after the other."""
+        best = np.zeros(len(ys) + 1, dtype=np.int64)
+        yield best
+        distinct, of = np.unique(np.array(ys, dtype=np.int64), return_inverse=True)
+        for p in xs:
+            weight = np.array([self.sizes[p] if p == q else self.pairs.get((p, q), 0) for q in distinct.tolist()], dtype=np.int64)[of]
+            best = np.concatenate([[0], np.maximum.accumulate(np.maximum(best[1:], best[:-1] + weight))])
+            yield best
+
+    def last(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> np.ndarray:
+        if not xs or not ys:
+            return np.zeros(len(ys) + 1, dtype=np.int64)
+        for best in self.rows(xs, ys):
+            pass
+        return best
+
+    def matched(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of the children that a largest match pairs."""
+        k = _common(xs, ys)
+        out, todo = [(i, i) for i in range(k)], [(k, len(xs), k, len(ys))]
+        while todo:
+            i0, i, j0, j = todo.pop()
+            if i0 == i or j0 == j:
+                continue
+            if i - i0 > 1 and (i - i0) * (j - j0) > CELLS:
+                mid = (i0 + i) // 2
+                both = self.last(xs[i0:mid], ys[j0:j]) + self.last(xs[mid:i][::-1], ys[j0:j][::-1])[::-1]
+                at = j0 + int(both.argmax())
+                todo += [(i0, mid, j0, at), (mid, i, at, j)]
+                continue
+            best = list(self.rows(xs[i0:i], ys[j0:j]))
+            while i > i0 and j > j0:
+                here = best[i - i0][j - j0]
+                if here == best[i - i0 - 1][j - j0]:
+                    i -= 1
+                elif here == best[i - i0][j - j0 - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+        return out
+
+
+def _common(xs: tuple[int, ...], ys: tuple[int, ...]) -> int:
+    """How many children are equal from the first on; some largest match pairs them."""
+    return next((i for i, (p, q) in enumerate(zip(xs, ys, strict=False)) if p != q), min(len(xs), len(ys)))
+
+
+def _match(shape: str, model: str) -> dict[int, int]:
     if shape == model:
         return {i: i for i in range(shape.count("("))}
-    if max(shape.count("("), model.count("(")) > ALIGNED_NODES:
-        return {}
     (la, ca), (lb, cb) = _tree(shape), _tree(model)
-    weight: dict[tuple[int, int], int] = {}
-
-    def table(a: int, b: int) -> np.ndarray:
-        x, y = ca[a], cb[b]
-        best = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int64)
-        for i, p in enumerate(x):
-            for j, q in enumerate(y):
-                best[i + 1, j + 1] = max(best[i + 1, j], best[i, j + 1], best[i, j] + weight.get((p, q), 0))
-        return best
-
-    for a in range(len(la) - 1, -1, -1):
-        for b in range(len(lb) - 1, -1, -1):
-            if la[a] == lb[b]:
-                weight[a, b] = 1 + int(table(a, b)[-1, -1])
-    out, todo = {}, [(0, 0)] if la[0] == lb[0] else []
+    if la[0] != lb[0]:
+        return {}
+    weights = _Weights()
+    na, nb = weights.number(la, ca), weights.number(lb, cb)
+    weights.fill(na[0], nb[0])
+    out, todo = {}, [(0, 0)]
     while todo:
         a, b = todo.pop()
+        if na[a] == nb[b]:
+            out.update(zip(range(a, a + weights.sizes[na[a]]), range(b, b + weights.sizes[na[a]]), strict=True))
+            continue
         out[a] = b
-        best, i, j = table(a, b), len(ca[a]), len(cb[b])
-        while i and j:
-            if best[i, j] == best[i - 1, j]:
-                i -= 1
-            elif best[i, j] == best[i, j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((ca[a][i], cb[b][j]))
+        todo += [(ca[a][i], cb[b][j]) for i, j in weights.matched(weights.kids[na[a]], weights.kids[nb[b]])]
     return out
 
 
+_kept = lru_cache(maxsize=4096)(_match)
+
+
 def _hash(text: str, seed: int = 0) -> int:
     data = text.encode("utf-8", "surrogatepass")
     return (zlib.crc32(data, seed) << 31 ^ zlib.adler32(data, seed + 1)) & 0x7FFFFFFFFFFFFFFF

@@ -221,6 +221,36 @@ def test_op4_tree_matching():
     assert [t for _, t, _ in blocks] == ["a", "b", "c", "deep"]
 
 
+def test_op4_aligns_trees_of_any_size(spark, monkeypatch):
+    def size(a, b):
+        if a[0] != b[0]:
+            return 0
+        best = defaultdict(int)
+        for i, p in enumerate(a[1], 1):
+            for j, q in enumerate(b[1], 1):
+                best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + size(p, q))
+        return 1 + best[len(a[1]), len(b[1])]
+
+    grow = lambda d: (rng.choice("ab"), [grow(d - 1) for _ in range(rng.randint(0, 3))] if d else [])
+    write = lambda t: f"{t[0]}({''.join(write(c) for c in t[1])})"
+    rng = random.Random(2)
+    for cells in (1, op04_wrappers.CELLS):
+        monkeypatch.setattr(op04_wrappers, "CELLS", cells)
+        for _ in range(150):
+            a, b = grow(4), grow(4)
+            got = op04_wrappers._match(write(a), write(b))
+            assert len(got) == len(set(got.values())) == size(a, b)
+            labels = [[x for x in write(t) if x in "ab"] for t in (a, b)]
+            assert all(labels[0][i] == labels[1][j] for i, j in got.items())
+
+
+def test_op4_large_pages_lose_template(spark):
+    page = lambda n, k: "<article>" + "".join(f"<div class='{chr(97 + i % 23)}'><p>word{k} number{i}</p></div>" for i in range(n)) + "<div class='tail'>The same line on each page.</div></article>"
+    rows = [(k, f"https://large{h}.org/{k}", page(6 + k if k < 5 else 300, 10 * h + k)) for h in range(6) for k in range(6)]
+    for r in op04_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert "number4" in r.text and "same line" not in r.text
+
+
 def check_packing(rows, texts):
     from tokenizers import Tokenizer
 
