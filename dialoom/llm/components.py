@@ -15,8 +15,17 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared checkpoint folder: no lineage, and none of a plan's constraints, which grow from round to round."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once nothing that is still to run reads them."""
+    for df in cuts:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -31,15 +40,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round a node takes the least label among its neighbours, and then its label's label,
     so the rounds grow as the logarithm of the longest path. Nulls and loops are no edges;
     without edges there are no rows. Each round's table is written, so a lost executor repeats one round at most.
+    Rows are two nodes wide; the joins that a hub or a giant component's label makes uneven have it on their left
+    side, which adaptive execution splits.
     """
     there = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     both = cut(there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "m").alias("new"), F.col("label").alias("old"))
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b", "left").groupBy("a").agg(F.min("label").alias("m"))
+        step = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "m").alias("new"), labels["label"].alias("old"))
         top = labels.select(F.col("id").alias("new"), F.col("label").alias("up"))
         fresh = cut(step.join(top, "new", "left").select("id", F.least("new", "up").alias("label"), "old"))
+        drop(labels)
         if fresh.where(F.col("label") != F.col("old")).limit(1).count() == 0:
+            drop(both)
             return fresh.select("id", "label")
-        labels = fresh.select("id", "label")
+        labels = fresh

@@ -9,12 +9,13 @@ at least (k + 1) / (K2 + 1), so they share a signature. Empty subsets give none:
 set whose filled cells are too few for that proof takes part again with finer cells, in
 the end with one element for each, where the proof always holds.
 
-Signatures go through the block shuffle. Up to SMALL sets of one signature give all pairs; more
-give a star around the least, and those of them that stars leave in different components are
-compared later, by sketch and in blocks of bounded size: first each with its nearest of another component, then, where
-that did not join the two, with all of it. Every pair is verified on
-whole sets; a parity sketch, whose distance cannot exceed the sets', goes first. A
-text travels once for all its pairs: they meet where its least partner's do.
+Signatures go through the block shuffle, straight from the rows; copies are joined in a block and again in a bucket, and no text is
+shuffled for them. Up to SMALL sets of one signature give all pairs; more
+give a star around the least. Where that leaves a signature's sets in several components, those outside the
+largest one are compared with the others, by sketch and in blocks of bounded size: each set yields its nearest few of
+other components, which are verified, and the sets still apart yield more in the next round, until nothing is left. Every pair is verified on
+whole sets; a parity sketch, whose distance cannot exceed the sets', goes first. Only texts of open pairs
+travel, once for all their pairs: they meet where the least partner's do.
 
 Defined results: exact copies are joined beforehand and linked; texts of one to four words have one
 shingle, the whole sequence; null or blank texts have none and are linked with nothing;
@@ -32,18 +33,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import blocks as B
-from dialoom.llm.components import connected_components, cut, release
-from dialoom.llm.texts import distinct_texts, text_key
+from dialoom.llm.components import connected_components, cut, drop, release
+from dialoom.llm.texts import text_key
 from dialoom.session import input_bytes
 
 SHINGLE = 5
 N2, K2 = 2, 1
 SPARE = 1.15
 SMALL, LOCAL = 3, 64
-CHUNK, STAR = 2048, 256
-#: Keys of 16 bytes that may be broadcast to pick the texts that are needed; more are joined by a shuffle.
+CHUNK, STAR = 2048, 128
+#: How many partners a set yields in the first round of what stars leave, and how many times more in each later one.
+NEAREST, MORE = 16, 16
+#: Keys of 16 bytes that may be broadcast to pick the texts or rows that are needed; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 LEAST_BITS, BITS_EACH = 512, 4
+#: Texts that are signed at a time, in bytes.
+BLOCK = 4 << 20
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -134,15 +139,24 @@ def _ids(keys: list[bytes]) -> np.ndarray:
 
 
 def _sign(n_buckets: int):
-    """Rows (bucket, kind, payload): kind 0 entries of a bucket; kind 1 a block's share of a signature that many of its sets have."""
+    """Rows (bucket, kind, payload): kind 0 entries of a bucket; kind 1 a block's share of a signature that many of its sets have; kind 2 key, size and sketch of texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in B.blocks(batches, limit=6 << 20):
+        for frame in B.blocks(batches, limit=BLOCK):
+            frame = frame.drop_duplicates("key")
+            keys = list(frame["key"])
             sets = shingle_sets(list(frame["text"]))
+            ids = _ids(keys)
+            sketches = [parity(s).tobytes() for s in sets]
+            n = np.array([len(s) for s in sets], "<u4")
+            about = []
+            for bucket, part in B.by_bucket(B.bucket_of(B.mix(ids), n_buckets)):
+                of = part.tolist()
+                about.append((bucket, 2, B.pack(b"".join(keys[i] for i in of), n[part], np.array([len(sketches[i]) for i in of], "<u4"), b"".join(sketches[i] for i in of))))
+            yield pd.DataFrame(about, columns=["bucket", "kind", "payload"])
             codes, owner = signatures(sets)
             if not len(codes):
                 continue
-            ids = _ids(list(frame["key"]))
             order = np.argsort(codes, kind="stable")
             codes, owner = codes[order], owner[order]
             head = np.flatnonzero(np.diff(codes, prepend=codes[0] + np.uint64(1)))
@@ -174,7 +188,7 @@ def _whole_code(low: np.ndarray, bucket: int) -> np.ndarray:
 
 
 def _candidates(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows (kind, a, b): kind 0 candidate pairs of ids; kind 1 a signature of many sets (a) and one of them (b)."""
+    """Rows (kind, a, b, key, bits): kind 0 candidate pairs of ids; kind 1 a signature of many sets (a) and one of them (b); kind 2 id, size, key and sketch of a text."""
     pairs, many = [], []
     own = [B.unpack(p, "<u8", "<u8") for p in group.loc[group["kind"] == 1, "payload"]]
     for code, held in own:
@@ -188,6 +202,8 @@ def _candidates(group: pd.DataFrame) -> pd.DataFrame:
         bucket = int(group["bucket"].iloc[0])
         order = np.lexsort((ids, codes))
         codes, ids, flags = codes[order], ids[order], flags[order]
+        head = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (ids[1:] != ids[:-1])]))
+        codes, ids, flags = codes[head], ids[head], np.maximum.reduceat(flags, head)  # copies in other blocks
         head = np.flatnonzero(np.diff(codes, prepend=codes[0] ^ np.uint32(1)))
         size = np.diff(np.append(head, len(codes)))
         for n in range(2, SMALL + 1):
@@ -205,15 +221,24 @@ def _candidates(group: pd.DataFrame) -> pd.DataFrame:
             at = np.repeat(head[large], sizes) + B.spans_of(sizes)
             pairs.append(np.stack([np.repeat(ids[head[large]], sizes), ids[at]], axis=1))
             many.append(np.stack([np.repeat(_whole_code(codes[head[large]], bucket), sizes), ids[at]], axis=1))
-    out = []
-    if pairs:
-        p = np.sort(np.concatenate(pairs), axis=1)
-        p = np.unique(p[p[:, 0] != p[:, 1]], axis=0)
-        out.append(pd.DataFrame({"kind": 0, "a": p[:, 0].astype(np.int64), "b": p[:, 1].astype(np.int64)}))
-    if many:
-        m = np.concatenate(many)
-        out.append(pd.DataFrame({"kind": 1, "a": m[:, 0].astype(np.int64), "b": m[:, 1].astype(np.int64)}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"kind": [], "a": [], "b": []}).astype("int64")
+    texts: dict[bytes, tuple[int, bytes]] = {}
+    for payload in group.loc[group["kind"] == 2, "payload"]:
+        keys, n, sizes, bits = B.unpack(payload, bytes, "<u4", "<u4", bytes)
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
+        for i, (size, end) in enumerate(zip(sizes.tolist(), ends, strict=True)):
+            texts.setdefault(keys[16 * i : 16 * i + 16], (int(n[i]), bits[end - size : end]))
+    own_keys = list(texts)
+    out = [pd.DataFrame({"kind": 2, "a": _ids(own_keys).view(np.int64), "b": np.array([texts[k][0] for k in own_keys], np.int64), "key": own_keys, "bits": [texts[k][1] for k in own_keys]})]
+    for kind, found in ((0, pairs), (1, many)):
+        if found:
+            p = np.concatenate(found)
+            if kind == 0:
+                p = np.sort(p, axis=1)
+                p = p[p[:, 0] != p[:, 1]]
+            p = p[np.lexsort((p[:, 1], p[:, 0]))]
+            p = p[np.concatenate([[True], (p[1:] != p[:-1]).any(axis=1)])] if len(p) else p
+            out.append(pd.DataFrame({"kind": kind, "a": p[:, 0].view(np.int64), "b": p[:, 1].view(np.int64), "key": None, "bits": None}))
+    return pd.concat(out, ignore_index=True)
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -235,13 +260,6 @@ def distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count((folded(a, n) ^ folded(b, n)).view(np.uint64)).sum(dtype=np.int64))
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in B.blocks(batches, limit=4 << 20):
-        sets = shingle_sets(list(frame["text"]))
-        keys = list(frame["key"])
-        yield pd.DataFrame({"key": keys, "id": _ids(keys).view(np.int64), "n": [len(s) for s in sets], "bits": [parity(s).tobytes() for s in sets]})
-
-
 def _near(a: str, b: str, n: Column) -> Column:
     """Whether the sketches' distance leaves room for a difference of n / 7 elements."""
 
@@ -277,102 +295,113 @@ def _verified(near: DataFrame, texts: DataFrame, n_buckets: int) -> DataFrame:
     return placed.groupBy("bucket").cogroup(there.groupBy("spot")).applyInPandas(_verify, "a binary, b binary")
 
 
-def _across(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows (x, other, y, d, more): a set, a component that it is not of, the nearest of that which size and sketch leave open, its distance, and the further ones.
+def _across(most: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Rows (x, y, more): a set and one of its ``most`` nearest that size and sketch leave open, of other components; whether it has further ones.
+
+        Only sets within one block of a signature, and of its two sides, are compared; of two, x is that of the component with fewer sets there.
+        """
+        group = group.sort_values(["code", "kind", "i", "j", "key"]).reset_index(drop=True)
+        sides, size, keys = group["side"].to_numpy(), group["n"].to_numpy(), group["key"].tolist()
+        parts = pd.factorize(group["label"].map(bytes))[0]
+        bits = [np.frombuffer(c, dtype=np.uint8) for c in group["bits"]]
+        block = group[["code", "kind", "i", "j"]].to_numpy()
+        cuts = np.flatnonzero((np.diff(block, axis=0) != 0).any(axis=1)) + 1
+        rows = []
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
+            width = min(len(c) for c in bits[lo:hi])
+            low = np.stack([folded(c, width) for c in bits[lo:hi]]).view(np.uint64)
+            of, at, share = np.unique(parts[lo:hi], return_inverse=True, return_counts=True)
+            rank = np.empty(len(of), np.int64)
+            rank[np.lexsort((of, share))] = np.arange(len(of))
+            rank = rank[at]
+            n, s = size[lo:hi], sides[lo:hi]
+            for i in range(hi - lo):
+                rest = np.flatnonzero((rank > rank[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])) & ((s != s[i]) | (s[i] == 0)))
+                if not len(rest):
+                    continue
+                far = np.bitwise_count(low[rest] ^ low[i]).sum(axis=1, dtype=np.int64)
+                good = 7 * far <= n[rest] + n[i]
+                rest, far = rest[good], far[good]
+                for k, j in enumerate(rest.tolist()):
+                    if not len(bits[lo + i]) == width == len(bits[lo + j]):
+                        far[k] = distance(bits[lo + i], bits[lo + j])
+                good = 7 * far <= n[rest] + n[i]
+                rest, far = rest[good], far[good]
+                for j in rest[np.argsort(far, kind="stable")[:most]].tolist():
+                    rows.append((keys[lo + i], keys[lo + j], len(rest) > most))
+        return pd.DataFrame(rows, columns=["x", "y", "more"]).astype({"more": bool})
+
+    return run
+
 
-    Only sets within one block of a signature are compared; of two, x is that of the component with fewer sets there.
+def _residual(many: DataFrame, about: DataFrame, labels: DataFrame, n_buckets: int, most: int) -> DataFrame:
+    """Rows (x, y, more) as of ``_across`` among the sets of signatures that many sets have.
+
+    A signature's largest component is dealt against the other sets only, so a set travels once for each CHUNK of these.
     """
-    group = group.sort_values(["code", "i", "j", "key"]).reset_index(drop=True)
-    sides, size = group["side"].to_numpy(), group["n"].to_numpy()
-    which, distinct = pd.factorize(group["key"].map(bytes))
-    which = which.tolist()
-    parts, names = pd.factorize(group["label"].map(bytes))
-    bits = [np.frombuffer(c, dtype=np.uint8) for c in group["bits"]]
-    block = group[["code", "i", "j"]].to_numpy()
-    cuts = np.flatnonzero((np.diff(block, axis=0) != 0).any(axis=1)) + 1
-    found: dict[tuple[int, int], dict[int, int]] = {}
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
-        width = min(len(c) for c in bits[lo:hi])
-        low = np.stack([folded(c, width) for c in bits[lo:hi]]).view(np.uint64)
-        share = dict(zip(*np.unique(parts[lo:hi], return_counts=True), strict=True))
-        for i in range(lo, hi - 1):
-            rest = slice(i + 1, hi)
-            room = (parts[rest] != parts[i]) & (4 * np.minimum(size[rest], size[i]) >= 3 * np.maximum(size[rest], size[i])) & ((sides[rest] != sides[i]) | (sides[i] == 0))
-            rest = np.flatnonzero(room) + i + 1
-            if len(rest):
-                far = np.bitwise_count(low[rest - lo] ^ low[i - lo]).sum(axis=1, dtype=np.int64)
-                good = 7 * far <= size[rest] + size[i]
-                for j, d in zip(rest[good].tolist(), far[good].tolist(), strict=True):
-                    if not len(bits[i]) == width == len(bits[j]):
-                        d = distance(bits[i], bits[j])
-                        if 7 * d > size[i] + size[j]:
-                            continue
-                    x, y = (i, j) if share[parts[i]] <= share[parts[j]] else (j, i)
-                    found.setdefault((which[x], int(parts[y])), {})[which[y]] = d
-    rows = []
-    for (x, part), near in found.items():
-        y = min(near, key=lambda k: (near[k], k))
-        rows.append((distinct[x], names[part], distinct[y], near[y], [distinct[k] for k in near if k != y]))
-    return pd.DataFrame(rows, columns=["x", "other", "y", "d", "more"])
-
-
-def _residual(many: DataFrame, about: DataFrame, labels: DataFrame, n_buckets: int) -> DataFrame:
-    """Rows (x, other, y, more) as of ``_across``, one for each set and component, among the sets of signatures that many sets have."""
     of = labels.select(F.col("id").alias("key"), "label")
-    member = many.distinct().join(about.select("id", "key"), "id").join(of, "key", "left").select("code", "key", F.coalesce("label", "key").alias("label"))
+    member = many.join(about.select("id", "key"), "id").join(of, "key", "left").select("code", "key", F.coalesce("label", "key").alias("label"))
+    print_of = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(name) for k, name in ((0, "f"), (1, "g"))]
+    by_part = member.groupBy("code", "label").agg(F.count("*").alias("size"), *print_of)
+    spread = by_part.groupBy("code").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max("size").alias("top"), F.max_by("label", F.struct("size", "label")).alias("largest"), F.bit_xor("f").alias("f"), F.bit_xor("g").alias("g"))
     # Signatures of the same sets are one.
-    spread = member.groupBy("code").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("key")).alias("f"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("g"))
-    spread = spread.where(F.col("lo") != F.col("hi")).groupBy("size", "f", "g").agg(F.min("code").alias("code")).select("code", F.expr(f"cast(ceil(size / {CHUNK}) as int)").alias("chunks"))
-    dealt = member.join(spread, "code").withColumn("own", F.expr("cast(pmod(xxhash64(key), chunks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.join(about.select("key", "n", "bits"), "key")
-    dealt = dealt.select("code", "key", "label", "n", "bits", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    dealt = dealt.withColumn("bucket", F.expr(f"cast(pmod(xxhash64(code, i, j), {4 * n_buckets}) as int)"))
-    rows = dealt.groupBy("bucket").applyInPandas(_across, "x binary, other binary, y binary, d long, more array<binary>")
-    return rows.groupBy("x", "other").agg(F.min_by("y", F.struct("d", "y")).alias("y"), F.array_distinct(F.flatten(F.collect_list(F.concat("more", F.array("y"))))).alias("more"))
-
-
-def _verified_few(pairs: DataFrame, docs: DataFrame, texts: DataFrame, n_buckets: int) -> DataFrame:
-    """As ``_verified``, for pairs of which there may be few: then their texts are picked without dealing all texts."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    spread = spread.where("parts > 1").groupBy("size", "f", "g").agg(F.min(F.struct("code", "top", "largest")).alias("s"))
+    spread = spread.select("s.code", "s.largest", F.expr(f"cast(ceil((size - s.top) / {CHUNK}) as int)").alias("few"), F.expr(f"cast(ceil(s.top / {CHUNK}) as int)").alias("large"))
+    dealt = member.join(spread, "code").withColumn("main", F.col("label") == F.col("largest"))
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(key), if(main, large, few)) as int)"))
+    among = "transform(sequence(0, few - 1), k -> named_struct('kind', 0, 'i', least(own, k), 'j', greatest(own, k), 'side', case when own = k then 0 when own < k then 1 else 2 end))"
+    against = "transform(sequence(0, large - 1), k -> named_struct('kind', 1, 'i', own, 'j', k, 'side', 1))"
+    met = "transform(sequence(0, few - 1), k -> named_struct('kind', 1, 'i', k, 'j', own, 'side', 2))"
+    dealt = dealt.select("code", "key", "label", F.explode(F.expr(f"if(main, {met}, concat({among}, {against}))")).alias("b")).join(about.select("key", "n", "bits"), "key")
+    dealt = dealt.select("code", "key", "label", "n", "bits", "b.*").withColumn("bucket", F.expr(f"cast(pmod(xxhash64(code, kind, i, j), {4 * n_buckets}) as int)"))
+    return dealt.groupBy("bucket").applyInPandas(_across(most), "x binary, y binary, more boolean")
+
+
+def _linked_pairs(pairs: DataFrame, docs: DataFrame, n_buckets: int) -> DataFrame:
+    """The pairs (a, b) of keys, a < b, that are linked; where few texts are in them, these are picked without dealing all texts."""
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    own = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        own = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
-        texts = own.join(F.broadcast(keys), "key").groupBy("key").agg(F.first("text").alias("text"))
-    return cut(_verified(pairs, texts, n_buckets))
+        own = own.join(F.broadcast(keys), "key", "left_semi")
+    texts = own.groupBy("key").agg(F.first("text").alias("text"))
+    found = cut(_verified(pairs, texts, n_buckets))
+    release(docs.sparkSession)
+    return found
 
 
 def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, n) of every distinct text, and (id, label) of those with links: the least key of the component."""
-    texts = distinct_texts(docs).select("key", "text")
     n_buckets = B.bucket_count(input_bytes(docs), 10 << 20)
-    about = texts.mapInPandas(_describe, "key binary, id long, n long, bits binary")
-    found = texts.mapInPandas(_sign(n_buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInPandas(_candidates, "kind long, a long, b long")
+    given = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
+    kept = given.mapInPandas(_sign(n_buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInPandas(_candidates, "kind int, a long, b long, key binary, bits binary")
+    kept = cut(kept)
+    release(docs.sparkSession)
+    many = kept.where("kind = 1").select(F.col("a").alias("code"), F.col("b").alias("id")).distinct()
+    about = kept.where("kind = 2").select("key", F.col("a").alias("id"), F.col("b").alias("n"), "bits")
     left, right = (about.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    near = found.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    near = kept.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
     near = near.where(_near("bits_a", "bits_b", F.col("n_a") + F.col("n_b"))).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
-    # One job for all that is kept of this pass, so that the texts are dealt by key once.
-    none, zero = F.lit(None).cast("binary"), F.lit(None).cast("long")
-    kept = _verified(near, texts, 4 * n_buckets).select(F.lit(0).alias("kind"), "a", "b", zero.alias("code"), zero.alias("id"), zero.alias("n"))
-    kept = kept.unionByName(found.where("kind = 1").select(F.lit(1).alias("kind"), none.alias("a"), none.alias("b"), F.col("a").alias("code"), F.col("b").alias("id"), zero.alias("n")))
-    kept = cut(kept.unionByName(about.select(F.lit(2).alias("kind"), F.col("key").alias("a"), F.col("bits").alias("b"), zero.alias("code"), "id", "n")))
+    near = cut(near)
     release(docs.sparkSession)
-    links, many = kept.where("kind = 0").select("a", "b"), kept.where("kind = 1").select("code", "id")
-    about = kept.where("kind = 2").select(F.col("a").alias("key"), "id", "n", F.col("b").alias("bits"))
+    links = _linked_pairs(near, docs, 4 * n_buckets)
+    drop(near)
     labels = connected_components(links)
-    rest = cut(_residual(many, about, labels, n_buckets))
-    release(docs.sparkSession)
-    if rest.limit(1).count():
-        links = links.unionByName(_verified_few(rest.select(F.col("x").alias("a"), F.col("y").alias("b")), docs, texts, 4 * n_buckets))
-        labels = connected_components(links)
-        of = lambda c, name: labels.select(F.col("id").alias(c), F.col("label").alias(name))
-        apart = rest.join(of("x", "lx"), "x", "left").join(of("other", "lo"), "other", "left").where(F.coalesce("lx", "x") != F.coalesce("lo", "other"))
-        last = apart.select(F.col("x").alias("a"), F.explode(F.array_except("more", F.array("y"))).alias("b"))
-        more = _verified_few(last, docs, texts, 4 * n_buckets)
-        if more.limit(1).count():
-            labels = connected_components(links.unionByName(more))
-    release(docs.sparkSession)
-    return about.select("key", "n"), labels
+    most, tried = NEAREST, None
+    while True:
+        rest = cut(_residual(many, about, labels, n_buckets, most))
+        release(docs.sparkSession)
+        pairs = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            found = _linked_pairs(pairs, docs, 4 * n_buckets)
+            if found.limit(1).count():
+                links = links.unionByName(found)
+                labels = connected_components(links)
+        if not rest.where("more").limit(1).count():
+            return about.select("key", "n"), labels
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        most *= MORE
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -391,15 +420,19 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the least doc_id, and every row without words; columns as given."""
+    """One row of each component, that of the least doc_id, and every row without words; columns as given. Rows equal in all columns are one."""
     names = [F.col(f"`{c}`") for c in docs.columns]
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64(*names).alias("h"))
     about, labels = link_classes(docs)
     known = about.where("n > 0").join(labels.withColumnRenamed("id", "key"), "key", "left").select(F.col("key").alias("_key"), F.coalesce("label", "key").alias("_label"))
-    # The winners are found on narrow rows, so that whole rows are dealt once; copies of a row are equal in key and hash.
-    narrow = docs.select(text_key(F.col("text")).alias("_key"), order.alias("_order")).join(known, "_key")
-    won = narrow.groupBy("_label").agg(F.min(F.struct("_order", "_key")).alias("w")).select(F.col("w._key").alias("k"), F.col("w._order.h").alias("h"))
+    # Losers, and winners that equal another row, are found on narrow rows; whole rows travel only if they are such winners, or if losers are many.
+    narrow = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("_key"), order.alias("_order")).join(known, "_key")
+    won = narrow.groupBy("_label").agg(F.min(F.struct("_order", "_key")).alias("w")).select("_label", F.col("w._key").alias("k"), F.col("w._order.h").alias("h"))
+    met = narrow.select("_label", F.col("_key").alias("k"), F.col("_order.h").alias("h")).groupBy("_label", "k", "h").agg(F.count("*").alias("c")).join(won.withColumn("first", F.lit(True)), ["_label", "k", "h"], "left")
+    met = cut(met.where("first is null or c > 1").select("k", "h", F.coalesce("first", F.lit(False)).alias("first")))
+    if met.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        met = F.broadcast(met)
     rows = docs.select(F.struct(*names).alias("_row"), text_key(F.col("text")).alias("k"), F.xxhash64(*names).alias("h"))
-    one = rows.join(won, ["k", "h"]).groupBy("k", "h").agg(F.first("_row").alias("_row")).select("_row.*")
-    empty = rows.join(about.where("n = 0").select(F.col("key").alias("k")), "k", "left_semi").select("_row.*")
-    return one.unionByName(empty).unionByName(docs.where(F.col("text").isNull()))
+    one = rows.join(met, ["k", "h"], "left").where("first is null or first")
+    several = one.where("first").groupBy("k", "h").agg(F.first("_row").alias("_row")).select("_row.*")
+    return one.where("first is null").select("_row.*").unionByName(several)
