@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from dialoom.llm import op01_substring, op03_quality, op05_packing, op08_jaccard, op10_decontaminate
-from dialoom.session import ensure_checkpoint_dir, table
+from dialoom.session import delete_path, ensure_checkpoint_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each stage's result is written to the shared checkpoint folder."""
+    """The stages over ``documents``; each stage's result is written to the shared checkpoint folder and goes when the next one's is there."""
     base = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            delete_path(spark, before)
+        before = f"{base}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,20 +9,23 @@ from pyspark.sql import functions as F
 
 
 def build_session(app: str = "dialoom", cpus: str | int | None = None, shuffle: int | None = None, **conf: str) -> SparkSession:
-    """A session with UTC time, adaptive execution and Arrow exchange switched on."""
-    cores = str(cpus or os.environ.get("BENCH_CPUS", "*"))
+    """A session with UTC time, adaptive execution and Arrow exchange switched on.
+
+    The master and the number of shuffle partitions are the cluster's own unless ``cpus`` (or BENCH_CPUS) or ``shuffle`` is given.
+    """
+    cores = cpus or os.environ.get("BENCH_CPUS")
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle or 8))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("DIALOOM_DRIVER_MEMORY", "8g"))
     )
+    if cores:
+        builder = builder.master(f"local[{cores}]").config("spark.ui.enabled", "false").config("spark.driver.memory", os.environ.get("DIALOOM_DRIVER_MEMORY", "8g"))
+    if shuffle:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
@@ -36,15 +39,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the cluster's own, or a local one where none is set (tests)."""
+    """The shared checkpoint folder that ``spark.checkpoint.dir`` names. Only a local session, whose tasks all run on this machine, may do without."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", "")
+        if not configured and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(configured or "/tmp/checkpoints/dialoom")
     found = context._jsc.sc().getCheckpointDir()
     return found.get()
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table that this engine wrote, on whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def input_bytes(df: DataFrame, column: str = "text") -> int:
     """About how many bytes ``df`` reads: the sizes of its plan's sources, or, where a source has none, a count over ``column``."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
