@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.session import ensure_checkpoint_dir
+from dialoom.session import delete_path, ensure_checkpoint_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,8 +24,7 @@ def cut(df: DataFrame) -> DataFrame:
 def drop(*cuts: DataFrame) -> None:
     """Deletes tables that ``cut`` wrote, once nothing that is still to run reads them."""
     for df in cuts:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete_path(df.sparkSession, df.cut_path)
 
 
 def release(spark: SparkSession) -> None:
