@@ -153,10 +153,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = B.bucket_count(input_bytes(docs))
     texts = distinct_texts(docs)
     rows, hits = "bucket int, kind int, payload binary", "key binary, hit binary"
-    found = texts.mapInPandas(_anchors(buckets, window), rows).groupBy("bucket").applyInPandas(_matches(False), hits)
+    found = texts.mapInPandas(_anchors(buckets, window), rows).groupBy("bucket").applyInPandas(B.freed(_matches(False)), hits)
     found = found.groupBy("key").agg(F.collect_list("hit").alias("hits"))
     near = texts.join(found, "key", "left").select("key", "text", "copies", "hits")
-    whole = near.mapInPandas(_windows(buckets, window), rows).groupBy("bucket").applyInPandas(_matches(True), hits)
+    whole = near.mapInPandas(_windows(buckets, window), rows).groupBy("bucket").applyInPandas(B.freed(_matches(True)), hits)
     whole = whole.groupBy("key").agg(F.collect_list("hit").alias("hits"))
     out = "key binary, n_words long, n_removed long, kept_text string, kept_sha256 string"
     return texts.join(whole, "key", "left").select("key", "text", "copies", "hits").mapInPandas(_finish(window), out)

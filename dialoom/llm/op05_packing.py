@@ -301,4 +301,4 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(f"cast(pmod(xxhash64(doc_id, text), {shards}) as long)").alias("shard"), "text")
     coded = rows.mapInPandas(_tokenise(path, capacity), "doc_id long, shard long, n long, sums array<long>, rest_sum long, parts array<long>")
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return coded.groupBy("shard").applyInPandas(_pack(capacity), out)
+    return coded.groupBy("shard").applyInPandas(B.freed(_pack(capacity)), out)

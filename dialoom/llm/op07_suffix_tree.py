@@ -1,24 +1,27 @@
 """Text scores by a probabilistic suffix tree with contexts of variable length.
 
 Tokens are lower-cased words and one end for each text, whose start is a symbol before its first token. Contexts are
-all runs of at most DEPTH symbols, next symbols all tokens; an entry (context, next symbol) is kept if it occurs LEAST
-times, however large the corpus, so the tree grows with it. A context is retained if its suffix is and its
-next-symbol distribution diverges from its suffix's: if their divergence times its count is at least RETAIN nats.
-Distributions are smoothed by an absolute discount that goes to the suffix's distribution, at
-the root to the smoothed word counts. A token is scored in the longest retained suffix of what precedes it.
-
-Counts cover every training text: each block of texts counts its distinct words and runs, buckets of their hashes add
-these up, and the levels of the tree are tables of rows. For scoring, a block sends its distinct words and runs to
-their buckets and gets the tree's values for them back. Nothing of the tree is gathered or broadcast.
+the runs of at most DEPTH symbols before a token. An entry (context, next token) is kept if it occurs LEAST
+times in the training texts, however large the corpus, so the tree grows with it. A context is retained if its suffix is, and if
+its next-token distribution diverges from its suffix's: the relative entropy of the two, over the kept next tokens and the rest as one,
+times the context's count must reach RETAIN nats. Distributions are smoothed by an absolute discount of the kept entries, whose
+mass and that of all others goes to the suffix's distribution, at the root to the smoothed word counts. A token is scored in the
+longest retained suffix of what precedes it.
+
+Texts are tokenised once, into a table of blocks with a block's distinct words and its tokens as numbers of these. Then blocks
+ask and buckets of hashes answer, in rounds: first for the counts of words and pairs; round r for the contexts of r - 1
+symbols, to which each block brings its share of their sums, and for the counts of runs of r + 1 symbols both of whose parts
+occur LEAST times. Questions and answers are packed arrays of a block's distinct runs, so a run in a third of all texts is one entry a
+block. With the last answers a block scores its tokens. Nothing of the tree is gathered or broadcast. Texts of any
+length are cut into blocks; a block starts with the last symbols of the one before, as context only.
 
 Defined results: a null or empty text is one end token; rows with a null doc_id are scored, have held_out null
-and are not learned from; repeated rows each give a row and count each; without training rows all
-counts are 0; an empty table gives no rows; extra columns are ignored.
+and are not learned from; repeated rows each give a row and count each; without training rows all counts are 0, and
+score and base_score too; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,409 +35,350 @@ from dialoom.llm.op03_quality import fold
 from dialoom.session import input_bytes
 
 FOLDS, HELD_OUT = 7, 2
-DEPTH, LEAST = 3, 2
-DISCOUNT, RETAIN = 0.75, 12.0
+DEPTH, LEAST = 2, 2
+DISCOUNT, RETAIN = 0.75, 6.0
 END, START = np.uint64(0x0E0E0E0E0E0E0E0E), np.uint64(0x0F0F0F0F0F0F0F0F)
-#: Texts of a block in which runs are counted or looked up, in bytes: its arrays are a few tens of times as large.
-RUN_BYTES = 6 << 20
-#: Inputs above PASS_BYTES are worked in passes, each of which frees its shuffle files before the next: runs by their buckets, texts to score by a hash of the row.
-PASS_BYTES, RUN_PASSES, SCORE_PASSES = 32 << 20, 3, 4
+#: Text of a block in bytes and its tokens; its arrays are a few tens of times as large.
+BLOCK_BYTES, BLOCK_TOKENS = 3 << 20, 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SHORT = np.uint64((1 << 48) - 1)
-#: Bits of a symbol in the codes of ``Tree``.
-_SHIFT = 15
+_LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(0xFFFF)
 
 
-def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of each token, the ends included."""
+def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of each symbol: start, words, end."""
     words, owner = B.words_of(texts, fold=True)
-    at = np.searchsorted(owner, np.arange(len(texts)), side="right")
-    return np.insert(words, at, END), np.insert(owner, at, np.arange(len(texts)))
+    first = B.doc_bounds(owner, len(texts))
+    number = np.arange(len(texts))
+    at = np.concatenate([first[:-1], first[1:]])
+    order = np.argsort(2 * np.concatenate([number, number]) + np.repeat([0, 1], len(texts)), kind="stable")
+    marks = np.repeat(np.array([START, END]), len(texts))[order]
+    return np.insert(words, at[order], marks), np.insert(owner, at[order], np.concatenate([number, number])[order])
 
 
-def _after(run: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of each run with one more word."""
-    return B.mix(run * _STEP + word)
+def squeeze(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in one byte each, and those that need more."""
+    return np.minimum(counts, 255).astype(np.uint8), counts[counts >= 255].astype("<i8")
 
 
-def _before(values: np.ndarray, place: np.ndarray, least: int, none: np.uint64) -> np.ndarray:
-    """The value ``least`` tokens before each token, ``none`` where the text has no such token."""
-    out = np.full(len(values), none, dtype=np.uint64)
-    out[least:] = np.where(place[least:] >= least, values[: len(values) - least], none)
+def widen(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[small == 255] = large
     return out
 
 
-def runs_of(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(Place of each token in its text, hashes of the runs of 1 to DEPTH + 1 symbols that end there, the start included).
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(Place of one of each distinct code, in the codes' order; number of each code's; the distinct codes)."""
+    order = np.argsort(codes)
+    held = codes[order]
+    head = np.concatenate([[True], held[1:] != held[:-1]]) if len(held) else np.empty(0, bool)
+    number = np.empty(len(codes), np.int64)
+    number[order] = np.cumsum(head) - 1
+    return order[head], number, held[head]
+
+
+def _tokenise(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataFrame]:
+    """Rows (block, docs, vocab, tokens); docs has for each text its row, doc, void, held and its symbols here."""
+    from pyspark import TaskContext
+
+    base = TaskContext.get().partitionId() << 33
+    row = number = 0
+    for frame in B.blocks(batches, limit=BLOCK_BYTES):
+        hashes, owner = symbols_of(list(frame["text"]))
+        doc, void, held = frame["doc"].to_numpy(np.int64), frame["void"].to_numpy(bool), frame["held"].to_numpy(bool)
+        for a in range(0, len(hashes), BLOCK_TOKENS):
+            b = min(a + BLOCK_TOKENS, len(hashes))
+            lead = min(depth, a - int(np.searchsorted(owner, owner[a])))
+            own = owner[a - lead : b]
+            of, sizes = np.unique(own, return_counts=True)
+            _, tokens, vocab = distinct(hashes[a - lead : b])
+            docs = B.pack(base + row + of, doc[of], void[of].astype(np.uint8), held[of].astype(np.uint8), sizes.astype("<i8"), np.array([lead], "<i8"))
+            yield pd.DataFrame({"block": [base + number], "docs": [docs], "vocab": [vocab.tobytes()], "tokens": [B.pack(tokens.astype("<u2" if len(vocab) <= 1 << 16 else "<u4"))]})
+            number += 1
+        row += len(frame)
+
+
+class Block:
+    """A block's runs of each length, as answers to its questions make them known. Lists are by the number of symbols."""
+
+    def __init__(self, row: pd.Series, depth: int, n: int = 0, v: int = 0):
+        self.rows, self.docs, self.void, self.held, sizes, lead = B.unpack(row["docs"], "<i8", "<i8", np.uint8, np.uint8, "<i8", "<i8")
+        words = np.frombuffer(row["vocab"], "<u8")
+        token = B.unpack(row["tokens"], "<u2" if len(words) <= 1 << 16 else "<u4")[0].astype(np.int64)
+        self.depth, self.n, self.v = depth, n, v
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.own = np.ones(len(token), bool)
+        self.own[: int(lead[0])] = False
+        self.train = self.own & (self.held == 0)[self.owner] & (self.void == 0)[self.owner]
+        #: Number of the run that ends at each place, -1 if none is known; hashes of the runs, their order, a place of each.
+        self.run, self.hash, self.order, self.at = [None, token], [None, words], [None, np.arange(len(words))], [None, None]
+        self.count, self.rest, self.asked = [None, None], [None], [None]
+
+    def grow(self) -> None:
+        """The runs one longer, both of whose parts occur LEAST times."""
+        k = len(self.run)
+        good = self.place[1:] >= k - 1
+        if k > 2:
+            frequent = np.append(self.count[k - 1] >= LEAST, False)[self.run[k - 1]]
+            good &= frequent[:-1] & frequent[1:]
+        at = np.flatnonzero(good) + 1
+        width = len(self.hash[1])
+        first, number, codes = distinct(self.run[k - 1][at - 1] * width + self.run[1][at])
+        run = np.full(len(self.place), -1)
+        run[at] = number
+        hashes = B.mix(self.hash[k - 1][codes // width] * _STEP + self.hash[1][codes % width])
+        self.run.append(run)
+        self.hash.append(hashes)
+        self.order.append(np.argsort(hashes))
+        self.at.append(at[first])
+
+    def learned(self, k: int) -> np.ndarray:
+        """How often each run of k symbols ends at a place that is learned from."""
+        run = self.run[k][self.train]
+        return np.bincount(run[run >= 0], minlength=len(self.hash[k]))
+
+    def ask(self, depth: int) -> None:
+        """Settles which contexts of ``depth`` symbols matter here: those that precede a token, occur LEAST times and have a retained suffix."""
+        before = np.flatnonzero(self.own & (self.place >= depth)) - 1
+        run = self.run[depth][before]
+        good = run >= 0
+        if depth > 1:
+            good &= ~np.isnan(np.append(self.rest[depth - 1], np.nan)[self.run[depth - 1][before]])
+        wanted = np.zeros(len(self.hash[depth]), bool)
+        wanted[run[good]] = True
+        wanted &= self.count[depth] >= LEAST
+        order = self.order[depth]
+        self.asked.append(order[wanted[order]])
+
+    def sums(self, depth: int) -> tuple[np.ndarray, ...]:
+        """(Place among the asked contexts, count, and this block's share of: kept entries, their counts, counts times log of count over parent's share, parents' shares)."""
+        k = depth + 1
+        local = self.learned(k)
+        e = np.flatnonzero((self.count[k] >= LEAST) & (local > 0))
+        at, c = self.at[k][e], self.count[k][e].astype(np.float64)
+        whole = self.n if depth == 1 else self.count[depth - 1][self.run[depth - 1][at - 1]]
+        q = self.count[depth][self.run[depth][at]] / whole
+        of = np.full(len(self.hash[depth]), -1)
+        of[self.asked[depth]] = np.arange(len(self.asked[depth]))
+        of = of[self.run[depth][at - 1]]
+        good = of >= 0
+        of, c, q, local = of[good], c[good], q[good], local[e][good].astype(np.float64)
+        size = len(self.asked[depth])
+        add = lambda x: np.bincount(of, weights=x, minlength=size)
+        total = add(local)
+        some = np.flatnonzero(total)
+        return (some, self.count[depth][self.asked[depth][some]], *(s[some] for s in (add(local / c), total, add(local * np.log(c / q)), add(local / c * q))))
+
+    def question(self, number: int, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+        """(Bucket, payload) of what round ``number`` asks: hashes to count, in round 1 of two lengths, and contexts with their sums."""
+        if number > 1:
+            self.ask(number - 1)
+        if number <= self.depth:
+            self.grow()
+        counted = [1, 2] if number == 1 else [number + 1] if number <= self.depth else []
+        parts = []
+        for k in counted:
+            hashes = self.hash[k][self.order[k]]
+            parts.append((hashes, _edges(hashes, n_buckets), self.learned(k)[self.order[k]]))
+        contexts, edges, some = np.empty(0, np.uint64), np.zeros(n_buckets + 1, np.int64), None
+        if number > 1:
+            contexts = self.hash[number - 1][self.asked[number - 1]]
+            edges = _edges(contexts, n_buckets)
+            some, *values = self.sums(number - 1)
+            cuts = np.searchsorted(some, edges)
+        none = np.empty(0, np.int64)
+        for b in range(n_buckets):
+            out, size = [], 0
+            for hashes, of, local in parts:
+                span = slice(of[b], of[b + 1])
+                out += [*_short(hashes[span]), *squeeze(local[span])]
+                size += of[b + 1] - of[b]
+            for _ in range(2 - len(parts)):
+                out += [none] * 4
+            span = slice(edges[b], edges[b + 1])
+            out += [*_short(contexts[span])]
+            if some is not None:
+                own = slice(cuts[b], cuts[b + 1])
+                out += [(some[own] - edges[b]).astype("<u4"), *squeeze(values[0][own]), values[1][own].astype("<f4"), *squeeze(np.rint(values[2][own]).astype(np.int64)), *(x[own].astype("<f4") for x in values[3:])]
+            else:
+                out += [none] * 8
+            if size + edges[b + 1] - edges[b]:
+                yield b, B.pack(*out)
+
+    def hear(self, number: int, answers: list[bytes]) -> None:
+        """Takes in the answers of a round, in the order of their buckets."""
+        held = [B.unpack(a, np.uint8, "<i8", np.uint8, "<i8", np.uint8, "<f4", "<i8") for a in answers]
+        for k, i in ((1, 0), (2, 2)) if number == 1 else ((number + 1, 0),) if number <= self.depth else ():
+            told = np.concatenate([np.empty(0, np.int64), *(widen(h[i], h[i + 1]) for h in held)])
+            count = np.empty(len(self.hash[k]), np.int64)
+            count[self.order[k]] = told
+            self.count[k:] = [count]
+        if number > 1:
+            rest = np.full(len(self.hash[number - 1]), np.nan)
+            told = np.concatenate([np.empty(0), *(_rests(h[4], h[5], int(h[6][0])) for h in held)])
+            rest[self.asked[number - 1]] = told
+            self.rest.append(rest)
+
+    def scores(self) -> pd.DataFrame:
+        """(row, doc, void, held, n_tokens, n_known, base, score) of the block's texts or parts of them."""
+        at = np.flatnonzero(self.own & (self.hash[1][self.run[1]] != START))
+        c = self.count[1][self.run[1][at]]
+        p = (c + 1) / (self.n + self.v + 1)
+        base, owner, n = np.log10(c + 1.0), self.owner[at], len(self.rows)
+        alive = np.arange(len(at))
+        for depth in range(1, self.depth + 1):
+            alive = alive[self.place[at[alive]] >= depth]
+            context = self.run[depth][at[alive] - 1]
+            rest = np.append(self.rest[depth], np.nan)[context]
+            good = ~np.isnan(rest)
+            alive, context, rest = alive[good], context[good], rest[good]
+            entry = np.append(self.count[depth + 1], 0)[self.run[depth + 1][at[alive]]]
+            share = np.where(entry >= LEAST, (entry - DISCOUNT) / self.count[depth][context], 0.0)
+            p[alive] = share + rest * p[alive]
+        size = np.bincount(owner, minlength=n)
+        return pd.DataFrame(
+            {
+                "row": self.rows,
+                "doc": self.docs,
+                "void": self.void.astype(bool),
+                "held": self.held.astype(bool),
+                "n_tokens": size,
+                "n_known": np.bincount(owner, weights=c > 0, minlength=n).astype(np.int64),
+                "base": np.bincount(owner, weights=base, minlength=n) - size * np.log10(self.n + self.v + 1.0),
+                "score": np.bincount(owner, weights=np.log10(p), minlength=n),
+            }
+        )
 
-    A run of k symbols is there from place k - 2 on.
-    """
-    at = np.arange(len(words))
-    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, bool)
-    place = at - np.maximum.accumulate(np.where(first, at, 0)) if len(at) else at
-    runs = [words]
-    for _ in range(DEPTH):
-        runs.append(_after(_before(runs[-1], place, 1, START), words))
-    return place, runs
 
+def _edges(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Where each bucket starts among sorted hashes, and the end."""
+    return np.searchsorted(B.bucket_of(hashes, n_buckets), np.arange(n_buckets + 1))
 
-def _count(n_buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in B.blocks(batches):
-            words, counts = np.unique(tokens_of(list(frame["text"]))[0], return_counts=True)
-            yield pd.DataFrame([(b, B.pack(words[p], counts[p].astype("<u4"))) for b, p in B.by_bucket(B.bucket_of(words, n_buckets))], columns=["bucket", "payload"])
 
-    return run
+def _short(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits of each hash; the bucket tells the others."""
+    return (hashes & _LOW).astype("<u4"), (hashes >> np.uint64(32) & _HIGH).astype("<u2")
 
 
-def _added(payloads: Iterator[bytes], keys: str = "<u8") -> tuple[np.ndarray, np.ndarray]:
-    held = [B.unpack(p, keys, "<u4") for p in payloads]
-    if not held:
-        return np.empty(0, keys), np.empty(0, np.int64)
-    all_of = np.concatenate([h[0] for h in held])
-    order = np.argsort(all_of, kind="stable")
-    sorted_of = all_of[order]
-    head = np.flatnonzero(np.concatenate([[True], sorted_of[1:] != sorted_of[:-1]])) if len(all_of) else np.empty(0, np.int64)
-    counts = np.add.reduceat(np.concatenate([h[1] for h in held]).astype(np.int64)[order], head) if len(head) else np.empty(0, np.int64)
-    return sorted_of[head], counts
+def _rests(bits: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(size, np.nan)
+    out[np.unpackbits(bits, count=size).astype(bool)] = values
+    return out
+
 
+def _play(row: pd.Series, answers: pd.DataFrame, depth: int, n: int, v: int, rounds: int) -> Block:
+    """A block with the answers of the first ``rounds`` rounds."""
+    block = Block(row, depth, n, v)
+    answers = answers.sort_values(["round", "bucket"])
+    for number in range(1, rounds + 1):
+        if number > 1:
+            block.ask(number - 1)
+        if number <= depth:
+            block.grow()
+        block.hear(number, answers.loc[answers["round"] == number, "payload"].tolist())
+    return block
 
-def _add(group: pd.DataFrame) -> pd.DataFrame:
-    words, counts = _added(group["payload"])
-    return pd.DataFrame({"bucket": [int(group["bucket"].iloc[0])], "n": [int(counts.sum())], "v": [len(words)], "words": [words.tobytes()], "counts": [counts.astype("<i8").tobytes()]})
 
+def _asked(block: Block, key: int, number: int, n_buckets: int) -> pd.DataFrame:
+    return pd.DataFrame([(b, key, payload) for b, payload in block.question(number, n_buckets)], columns=["bucket", "block", "payload"])
 
-def _frequent(least: int):
+
+def _first_questions(depth: int, n_buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for w, c in zip(frame["words"], frame["counts"], strict=True):
-                words, counts = np.frombuffer(w, "<u8"), np.frombuffer(c, "<i8")
-                keep = counts >= least
-                yield pd.DataFrame({"word": words[keep].astype(np.int64), "c": counts[keep]})
+            for _, row in frame.iterrows():
+                yield _asked(Block(row, depth), row["block"], 1, n_buckets)
+        B.give_back()
 
     return run
 
 
-class Tree:
-    """The model of a small alphabet in one process: for each depth, the contexts and their next-symbol entries."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int):
-        keep = (words != END) & (words != 0)
-        order = np.argsort(words[keep])
-        self.words, self.counts = words[keep][order], counts[keep][order]
-        self.n, self.v = n, v
-        self.size = len(self.words)
-        self.other, self.end, self.start = self.size, self.size + 1, self.size + 2
-        end = counts[words == END]
-        self.end_count = int(end[0]) if len(end) else 0
-        plus = np.concatenate([self.counts + 1, [0, self.end_count + 1]]).astype(np.float64)
-        plus[self.other] = n + v + 1 - plus.sum()
-        self.log_plus = np.log10(np.concatenate([self.counts + 1, [1, self.end_count + 1]]))
-        self.root = plus / (n + v + 1)
-        self.log_spell = -np.log10(plus[self.other])
-        self.known = np.concatenate([np.ones(self.size, bool), [False, self.end_count > 0]])
-        self.levels: list[dict[str, np.ndarray]] = []
-
-    def symbols(self, tokens: np.ndarray) -> np.ndarray:
-        if not self.size:
-            return np.where(tokens == END, self.end, self.other)
-        at = np.minimum(np.searchsorted(self.words, tokens), self.size - 1)
-        return np.where(tokens == END, self.end, np.where(self.words[at] == tokens, at, self.other))
-
-    def contexts(self, symbols: np.ndarray, owner: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """(Code of the ``depth`` symbols before each token, whether there are so many); a text's start is a symbol."""
-        code = np.zeros(len(symbols), dtype=np.int64)
-        some = np.ones(len(symbols), dtype=bool)
-        first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, bool)
-        place = np.arange(len(symbols)) - np.maximum.accumulate(np.where(first, np.arange(len(symbols)), 0))
-        for k in range(1, depth + 1):
-            before = np.full(len(symbols), self.start, dtype=np.int64)
-            before[k:] = np.where(place[k:] >= k, symbols[:-k], self.start)
-            code |= before << (_SHIFT * (k - 1))
-            some &= place >= k - 1
-        return code, some
-
-    def add_level(self, codes: np.ndarray, totals: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Contexts of the next depth with their counts, and entries (context code << _SHIFT | symbol); prunes by divergence."""
-        depth = len(self.levels) + 1
-        order = np.argsort(codes)
-        codes, totals = codes[order], totals[order].astype(np.float64)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order].astype(np.float64)
-        of = np.searchsorted(codes, keys >> _SHIFT)
-        share = (counts - DISCOUNT) / totals[of] if len(keys) else np.empty(0)
-        rest = 1 - np.bincount(of, weights=share, minlength=len(codes)) if len(keys) else np.ones(len(codes))
-        parent = self.probability(keys >> _SHIFT & ((1 << _SHIFT * (depth - 1)) - 1), keys & ((1 << _SHIFT) - 1), depth - 1)
-        p = share + rest[of] * parent if len(keys) else np.empty(0)
-        gain = np.bincount(of, weights=p * np.log(p / parent), minlength=len(codes)) if len(keys) else np.zeros(len(codes))
-        held = np.bincount(of, weights=p, minlength=len(codes)) if len(keys) else np.zeros(len(codes))
-        under = np.bincount(of, weights=parent, minlength=len(codes)) if len(keys) else np.zeros(len(codes))
-        left, below = np.maximum(1 - held, 1e-12), np.maximum(1 - under, 1e-12)
-        gain = gain + left * np.log(left / below)
-        good = totals * gain >= RETAIN
-        if depth > 1:
-            good &= self._find(codes & ((1 << _SHIFT * (depth - 1)) - 1), self.levels[-1]["codes"]) >= 0
-        keep = good[of] if len(keys) else np.empty(0, bool)
-        self.levels.append({"codes": codes[good], "rest": rest[good], "keys": keys[keep], "share": share[keep]})
-
-    @staticmethod
-    def _find(wanted: np.ndarray, among: np.ndarray) -> np.ndarray:
-        """Place of each value, -1 if there is none."""
-        if not len(among):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(among, wanted), len(among) - 1)
-        return np.where(among[at] == wanted, at, -1)
-
-    def probability(self, code: np.ndarray, symbol: np.ndarray, depth: int, valid: list[np.ndarray] | None = None) -> np.ndarray:
-        """Probability of each symbol in its longest retained suffix of at most ``depth`` symbols."""
-        p = self.root[symbol]
-        at = np.arange(len(symbol))
-        for d in range(1, depth + 1):
-            level = self.levels[d - 1]
-            own = code[at] & ((1 << _SHIFT * d) - 1)
-            place = self._find(own, level["codes"])
-            good = place >= 0
-            if valid is not None:
-                good &= valid[d - 1][at]
-            at, own, place = at[good], own[good], place[good]
-            if not len(at):
-                break
-            entry = self._find(own << _SHIFT | symbol[at], level["keys"])
-            share = np.where(entry >= 0, level["share"][np.maximum(entry, 0)], 0.0) if len(level["share"]) else 0.0
-            p[at] = share + level["rest"][place] * p[at]
-        return p
-
-
-def _runs(n_buckets: int, number: int, passes: int):
-    """Rows (bucket, payload) of the buckets of one pass: pairs by their hash, and what has three or four symbols by the hash of its last three."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in B.blocks(batches, limit=RUN_BYTES):
-            words, owner = tokens_of(list(frame["text"]))
-            place, runs = runs_of(words, owner)
-            before = [words, *(_before(words, place, k, np.uint64(0)) for k in range(1, DEPTH + 1))]
-            for k in range(1, DEPTH + 1):
-                before[k][place == k - 1] = START
-            own = [B.bucket_of(r, n_buckets) % passes == number for r in runs[1:3]]
-            short, long = np.flatnonzero(own[0]), np.flatnonzero(own[1] & (place >= 1))
-            _, two, n_two = np.unique(runs[1][short], return_index=True, return_counts=True)
-            two = short[two]
-            _, four, n_four = np.unique(np.where(place >= 2, runs[3], ~runs[2])[long], return_index=True, return_counts=True)
-            four = long[four]
-            order = np.argsort(runs[1][four])
-            four, n_four = four[order], n_four[order]
-            twos, fours = (dict(B.by_bucket(B.bucket_of(h, n_buckets))) for h in (runs[1][two], runs[2][four]))
-            none = np.empty(0, np.int64)
-            rows = []
-            for b in sorted(twos.keys() | fours.keys()):
-                p, q = twos.get(b, none), fours.get(b, none)
-                rows.append((b, B.pack(*(before[k][two[p]] for k in (1, 0)), n_two[p].astype("<u4"), *(before[k][four[q]] for k in (3, 2, 1, 0)), n_four[q].astype("<u4"))))
-            yield pd.DataFrame(rows, columns=["bucket", "payload"])
+def _questions(depth: int, number: int, n_buckets: int, n: int, v: int):
+    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return _asked(_play(blocks.iloc[0], answers, depth, n, v, number - 1), int(blocks["block"].iloc[0]), number, n_buckets)
 
     return run
 
 
-def _add_runs(group: pd.DataFrame) -> pd.DataFrame:
-    """(level, key, ctx, suf, c) of the bucket's runs that occur LEAST times: without its last symbol a run is its context, without its first its suffix."""
-    held = [B.unpack(p, "<u8", "<u8", "<u4", "<u8", "<u8", "<u8", "<u8", "<u4") for p in group["payload"]]
-    b1, b0, n_two, c3, c2, c1, c0, n_four = (np.concatenate(a) for a in zip(*held, strict=True))
-    third = _after(c2, c1)
-    whole = c3 != 0
-    found = []
-    for level, context, word, suffix, n in (
-        (1, b1, b0, b0, n_two),
-        (2, third, c0, _after(c1, c0), n_four),
-        (3, _after(_after(c3, c2), c1)[whole], c0[whole], _after(third, c0)[whole], n_four[whole]),
-    ):
-        key, at, of = np.unique(_after(context, word), return_index=True, return_inverse=True)
-        c = np.bincount(of, weights=n, minlength=len(key)).astype(np.int64)
-        keep = c >= LEAST
-        at = at[keep]
-        found.append(pd.DataFrame({"level": np.full(len(at), level, np.int32), "key": key[keep].view(np.int64), "ctx": context[at].view(np.int64), "suf": suffix[at].view(np.int64), "c": c[keep]}))
-    return pd.concat(found, ignore_index=True)
-
-
-def _level(entries: DataFrame, totals: DataFrame, parents: DataFrame) -> DataFrame:
-    """(key, ctx, share, rest, p): the entries of the contexts of one depth that are retained.
-
-    ``entries`` are (key, ctx, suf, c), ``totals`` (ctx, total), ``parents`` (suf, parent) the probabilities in the suffix.
-    """
-    share = (F.col("c") - DISCOUNT) / F.col("total")
-    of = entries.join(parents, "suf")
-    sums = of.groupBy("ctx").agg(F.sum(F.col("c") - DISCOUNT).alias("kept")).join(totals, "ctx").select("ctx", "total", (1 - F.col("kept") / F.col("total")).alias("rest"))
-    of = of.join(sums, "ctx").withColumn("share", share).withColumn("p", F.col("share") + F.col("rest") * F.col("parent"))
-    left, below = (F.greatest(1 - F.sum(x), F.lit(1e-12)) for x in ("p", "parent"))
-    gain = F.sum(F.col("p") * F.log(F.col("p") / F.col("parent"))) + left * F.log(left / below)
-    good = of.groupBy("ctx").agg((F.first("total") * gain).alias("gain")).where(F.col("gain") >= RETAIN).select("ctx")
-    return cut(of.join(good, "ctx", "left_semi").select("key", "ctx", "share", "rest", "p"))
-
-
-def _score(n_buckets: int):
-    """Rows (bucket, kind, block, payload): kind 0 distinct words and runs of a block, kind 1 the block's texts."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, number = TaskContext.get().partitionId(), 0
-        for frame in B.blocks(batches, limit=RUN_BYTES):
-            texts = list(frame["text"])
-            keys = _wanted(*tokens_of(texts))[0]
-            buckets = B.bucket_of(keys, n_buckets)
-            parts = list(B.by_bucket(buckets))
-            ids = frame["doc_id"]
-            local = B.pack(
-                ids.fillna(0).astype("int64").to_numpy(),
-                ids.isna().to_numpy().astype(np.uint8),
-                frame["held_out"].fillna(False).astype(bool).to_numpy().astype(np.uint8),
-                np.array([len(t) for t in texts], "<i8"),
-                b"".join(texts),
-                np.array([len(parts)], "<i8"),
-            )
-            block = int.from_bytes(hashlib.sha256(f"{part} {number}".encode() + local).digest()[:7], "little")
-            number += 1
-            rows = [(block % n_buckets, 1, block, local)]
-            rows += [(b, 0, block, B.pack((keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), (keys[at] >> np.uint64(32)).astype("<u2"))) for b, at in parts]
-            yield pd.DataFrame(rows, columns=["bucket", "kind", "block", "payload"])
+def _scores(depth: int, n: int, v: int):
+    def run(blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        return _play(blocks.iloc[0], answers, depth, n, v, depth + 1).scores()
 
     return run
 
 
-def _wanted(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(Sorted distinct hashes of all words and runs of a block, so in the order of their buckets; place; runs)."""
-    place, runs = runs_of(words, owner)
-    held = [np.unique(r[place >= k - 1]) for k, r in enumerate(runs)]
-    return np.unique(np.concatenate([*held, np.array([START])])), place, runs
-
-
-def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    short = keys & _SHORT
-    order = np.argsort(short)
-    return short[order], values[order]
-
-
-def _look_up(entries: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    packed = table["words"].notna().to_numpy()
-    words = np.concatenate([np.empty(0, "<u8"), *(np.frombuffer(w, "<u8") for w in table["words"][packed])])
-    counts = np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(c, "<i8") for c in table["counts"][packed])])
-    tables = [_sorted(words, counts)]
-    for name in ("share", "rest"):
-        some = table[name].notna().to_numpy()
-        tables.append(_sorted(table["key"][some].to_numpy(np.int64).view(np.uint64), table[name][some].to_numpy(np.float32)))
-    rows = []
-    for kind, block, payload in zip(entries["kind"], entries["block"], entries["payload"], strict=True):
-        if kind == 1:
-            rows.append((block, -1, payload))
-            continue
-        low, high = B.unpack(payload, "<u4", "<u2")
-        wanted = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-        found = []
-        for keys, values in tables:
-            at = Tree._find(wanted, keys)
-            some = np.flatnonzero(at >= 0)
-            found += [some.astype("<u4"), values[at[some]]]
-        rows.append((block, int(entries["bucket"].iloc[0]), B.pack(*found)))
-    return pd.DataFrame(rows, columns=["block", "part", "payload"])
-
-
-def _gather(n: int, v: int, n_buckets: int):
+def _wide(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
+def _answers(number: int):
+    """Rows (block, round, bucket, n, v, payload): the answer to each block; in round 1 also, for no block, the tokens and distinct tokens of the bucket."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
-        ids, null, held, sizes, text, parts = B.unpack(group["payload"].iloc[0], "<i8", np.uint8, np.uint8, "<i8", bytes, "<i8")
-        if group["part"].iloc[0] != -1 or len(group) != parts[0] + 1:
-            raise RuntimeError("a block's input changed between attempts")
-        ends = np.cumsum(sizes)
-        tokens, owner = tokens_of([text[e - s : e] for s, e in zip(sizes, ends, strict=True)])
-        keys, place, runs = _wanted(tokens, owner)
-        buckets = B.bucket_of(keys, n_buckets)
-        count, share, rest = np.zeros(len(keys)), np.zeros(len(keys)), np.full(len(keys), np.nan)
-        for part, payload in zip(group["part"].iloc[1:], group["payload"].iloc[1:], strict=True):
-            first = int(np.searchsorted(buckets, part))
-            got = B.unpack(payload, "<u4", "<i8", "<u4", "<f4", "<u4", "<f4")
-            for out, at, values in zip((count, share, rest), got[0::2], got[1::2], strict=True):
-                out[first + at.astype(np.int64)] = values
-        at = np.searchsorted(keys, tokens)
-        c = count[at]
-        p = (c + 1) / (n + v + 1)
-        context = np.full(len(tokens), np.searchsorted(keys, START))
-        context[1:] = np.where(place[1:] >= 1, at[:-1], context[1:])
-        for k in range(1, DEPTH + 1):
-            some = np.flatnonzero(place >= k - 1)
-            left = rest[context[some]]
-            of = np.zeros(len(tokens), np.int64)
-            of[some] = np.searchsorted(keys, runs[k][some])
-            good = ~np.isnan(left)
-            there = some[good]
-            p[there] = share[of[there]] + left[good] * p[there]
-            context[1:] = of[:-1]
-        m = len(ids)
-        size = np.bincount(owner, minlength=m)
-        void = null.astype(bool)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.Series(ids, dtype="Int64").mask(void),
-                "held_out": pd.Series(held.astype(bool), dtype="boolean").mask(void),
-                "n_tokens": size,
-                "n_known": np.bincount(owner, weights=c > 0, minlength=m).astype(np.int64),
-                "train_tokens": n,
-                "base_score": np.bincount(owner, weights=np.log10(c + 1), minlength=m) - size * np.log10(n + v + 1.0),
-                "score": np.bincount(owner, weights=np.log10(p), minlength=m),
-            }
-        )
+        group = group.sort_values("block")
+        bucket, blocks = int(group["bucket"].iloc[0]), group["block"].tolist()
+        kinds = ("<u4", "<u2", np.uint8, "<i8") * 2 + ("<u4", "<u2", "<u4", np.uint8, "<i8", "<f4", np.uint8, "<i8", "<f4", "<f4")
+        held = [B.unpack(p, *kinds) for p in group["payload"]]
+        out, total, known = [[] for _ in blocks], 0, 0
+        for i in (0, 4):
+            keys = np.concatenate([_wide(h[i], h[i + 1]) for h in held])
+            local = np.concatenate([widen(h[i + 2], h[i + 3]) for h in held])
+            _, at, names = distinct(keys)
+            counts = np.bincount(at, weights=local, minlength=len(names)).astype(np.int64)
+            if number == 1 and i == 0:
+                real = names != _wide(*(x[0] for x in _short(np.array([START]))))
+                total, known = int(counts[real].sum()), int((counts[real] > 0).sum())
+            for row, told in zip(out, np.split(counts[at], np.cumsum([len(h[i]) for h in held])[:-1]), strict=True):
+                row += squeeze(told)
+        sizes = [len(h[8]) for h in held]
+        _, at, names = distinct(np.concatenate([_wide(h[8], h[9]) for h in held]))
+        begin = np.cumsum([0, *sizes])
+        of = at[np.concatenate([h[10].astype(np.int64) + b for h, b in zip(held, begin, strict=False)])] if len(at) else at
+        add = lambda i: np.bincount(of, weights=np.concatenate([h[i] for h in held]), minlength=len(names))
+        n = np.ones(len(names))
+        n[of] = np.concatenate([widen(h[11], h[12]) for h in held])
+        kept, count, logs, shares = add(13), np.bincount(of, weights=np.concatenate([widen(h[14], h[15]) for h in held]), minlength=len(names)), add(16), add(17)
+        left = np.maximum(n - count, 0)
+        gain = logs - count * np.log(n) + left * (np.log(np.maximum(left, 1) / n) - np.log(np.maximum(1 - shares, 1e-12)))
+        rest = np.where((count > 0) & (gain >= RETAIN), 1 - (count - DISCOUNT * kept) / n, np.nan)
+        for row, told in zip(out, np.split(rest[at], begin[1:-1]), strict=True):
+            there = ~np.isnan(told)
+            row += [np.packbits(there), told[there].astype("<f4"), np.array([len(told)], "<i8")]
+        rows = [(block, number, bucket, 0, 0, B.pack(*x)) for block, x in zip(blocks, out, strict=True)]
+        if number == 1:
+            rows.append((-1, number, bucket, total, known, None))
+        return pd.DataFrame(rows, columns=["block", "round", "bucket", "n", "v", "payload"])
 
     return run
 
 
-def learn(train: DataFrame, n_buckets: int, passes: int = 1) -> tuple[int, int, DataFrame]:
-    """(Tokens, distinct tokens, table) of the ``text`` of ``train``; the table is by bucket (bucket, words, counts, key, share, rest).
-
-    Rows hold a bucket's word counts, or the share of an entry, or what a retained context leaves to its suffix.
-    """
-    rows = "bucket int, payload binary"
-    table = cut(train.mapInPandas(_count(n_buckets), rows).groupBy("bucket").applyInPandas(_add, "bucket int, n long, v long, words binary, counts binary"))
-    total = table.agg(F.sum("n"), F.sum("v")).first()
-    n, v = int(total[0] or 0), int(total[1] or 0)
-    runs = None
-    for number in range(passes):
-        part = cut(train.mapInPandas(_runs(n_buckets, number, passes), rows).groupBy("bucket").applyInPandas(_add_runs, "level int, key long, ctx long, suf long, c long"))
-        runs = part if runs is None else runs.union(part)
-        release(train.sparkSession)
-    words = table.mapInPandas(_frequent(LEAST), "word long, c long")
-    ends = words.where(F.col("word") == int(END)).select(F.lit(int(START)).alias("word"), "c")
-    totals = words.union(ends).toDF("ctx", "total")
-    parents = words.select(F.col("word").alias("suf"), ((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("parent"))
-    bucket = F.shiftright(F.shiftrightunsigned("key", 32) * n_buckets, 32).cast("int").alias("bucket")
-    void = [F.lit(None).cast("binary").alias(x) for x in ("words", "counts")]
-    none = F.lit(None).cast("float")
-    out = table.select("bucket", "words", "counts", F.lit(0).cast("long").alias("key"), none.alias("share"), none.alias("rest"))
-    for level in range(1, DEPTH + 1):
-        entries = runs.where(F.col("level") == level).select("key", "ctx", "suf", "c")
-        kept = _level(entries, totals, parents)
-        contexts = kept.groupBy(F.col("ctx").alias("key")).agg(F.first("rest").cast("float").alias("rest"))
-        out = out.union(kept.select(bucket, *void, "key", F.col("share").cast("float"), none)).union(contexts.select(bucket, *void, "key", none, "rest"))
-        totals = entries.select(F.col("key").alias("ctx"), F.col("c").alias("total"))
-        parents = kept.select(F.col("key").alias("suf"), F.col("p").alias("parent"))
-    release(train.sparkSession)
-    return n, v, out
-
-
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
-    n_bytes = input_bytes(docs)
-    n_buckets, large = B.bucket_count(n_bytes), n_bytes > PASS_BYTES
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    n, v, table = learn(given.where(~F.col("held_out")).select("text"), n_buckets, RUN_PASSES if large else 1)
-    if not large:
-        return _scored(given, n, v, table, n_buckets)
-    out = None
-    for number in range(SCORE_PASSES):
-        part = cut(_scored(given.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SCORE_PASSES)) == number), n, v, table, n_buckets))
-        out = part if out is None else out.union(part)
+    n_buckets = B.bucket_count(input_bytes(docs))
+    doc_id = F.col("doc_id").cast("long")
+    held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
+    given = docs.select(F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc"), doc_id.isNull().alias("void"), held.alias("held"), "text")
+    blocks = cut(given.mapInPandas(lambda batches: _tokenise(batches, depth), "block long, docs binary, vocab binary, tokens binary"))
+    asked, told = "bucket int, block long, payload binary", "block long, round int, bucket int, n long, v long, payload binary"
+    answers, n, v = None, 0, 0
+    for number in range(1, depth + 2):
+        if answers is None:
+            questions = blocks.mapInPandas(_first_questions(depth, n_buckets), asked)
+        else:
+            questions = _met(blocks, answers).applyInPandas(B.freed(_questions(depth, number, n_buckets, n, v)), asked)
+        new = cut(questions.groupBy("bucket").applyInPandas(B.freed(_answers(number)), told))
         release(docs.sparkSession)
-    return out
-
-
-def _scored(given: DataFrame, n: int, v: int, table: DataFrame, n_buckets: int) -> DataFrame:
-    entries = given.mapInPandas(_score(n_buckets), "bucket int, kind int, block long, payload binary")
-    looked = entries.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInPandas(_look_up, "block long, part int, payload binary")
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return looked.groupBy("block").applyInPandas(_gather(n, v, n_buckets), out)
+        if number == 1:
+            total = new.where("block < 0").agg(F.sum("n"), F.sum("v")).first()
+            n, v = int(total[0] or 0), int(total[1] or 0)
+            answers = new.where("block >= 0")
+        else:
+            answers = answers.unionByName(new)
+    scored = _met(blocks, answers).applyInPandas(B.freed(_scores(depth, n, v)), "row long, doc long, void boolean, held boolean, n_tokens long, n_known long, base double, score double")
+    whole = scored.groupBy("row").agg(F.first("doc").alias("doc"), F.first("void").alias("void"), F.first("held").alias("held"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    of = lambda c: F.when(~F.col("void"), F.col(c))
+    return whole.select(of("doc").alias("doc_id"), of("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+
+
+def _met(blocks: DataFrame, answers: DataFrame):
+    return blocks.groupBy("block").cogroup(answers.select("block", "round", "bucket", "payload").groupBy("block"))

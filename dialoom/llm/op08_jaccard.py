@@ -292,7 +292,7 @@ def _verified(near: DataFrame, texts: DataFrame, n_buckets: int) -> DataFrame:
     placed = placed.select("a", "b", F.expr(f"cast(pmod(xxhash64(m, pmod(xxhash64(b), shares)), {n_buckets}) as int)").alias("bucket"))
     needed = placed.select((F.col("bucket") + 0).alias("spot"), F.explode(F.array("a", "b")).alias("key")).distinct()
     there = needed.join(texts.select("key", "text"), "key")
-    return placed.groupBy("bucket").cogroup(there.groupBy("spot")).applyInPandas(_verify, "a binary, b binary")
+    return placed.groupBy("bucket").cogroup(there.groupBy("spot")).applyInPandas(B.freed(_verify), "a binary, b binary")
 
 
 def _across(most: int):
@@ -355,7 +355,7 @@ def _residual(many: DataFrame, about: DataFrame, labels: DataFrame, n_buckets: i
     met = "transform(sequence(0, few - 1), k -> named_struct('kind', 1, 'i', k, 'j', own, 'side', 2))"
     dealt = dealt.select("code", "key", "label", F.explode(F.expr(f"if(main, {met}, concat({among}, {against}))")).alias("b")).join(about.select("key", "n", "bits"), "key")
     dealt = dealt.select("code", "key", "label", "n", "bits", "b.*").withColumn("bucket", F.expr(f"cast(pmod(xxhash64(code, kind, i, j), {4 * n_buckets}) as int)"))
-    return dealt.groupBy("bucket").applyInPandas(_across(most), "x binary, y binary, more boolean")
+    return dealt.groupBy("bucket").applyInPandas(B.freed(_across(most)), "x binary, y binary, more boolean")
 
 
 def _linked_pairs(pairs: DataFrame, docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -374,7 +374,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, n) of every distinct text, and (id, label) of those with links: the least key of the component."""
     n_buckets = B.bucket_count(input_bytes(docs), 10 << 20)
     given = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
-    kept = given.mapInPandas(_sign(n_buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInPandas(_candidates, "kind int, a long, b long, key binary, bits binary")
+    kept = given.mapInPandas(_sign(n_buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInPandas(B.freed(_candidates), "kind int, a long, b long, key binary, bits binary")
     kept = cut(kept)
     release(docs.sparkSession)
     many = kept.where("kind = 1").select(F.col("a").alias("code"), F.col("b").alias("id")).distinct()

@@ -367,12 +367,12 @@ def test_op7_counts_and_base(docs, empty):
     assert op07_suffix_tree.score_texts(empty).count() == 0
 
 
-def brute_scores(rows):
-    """Scores of (held out, words) by dictionaries; a missing word is the end."""
+def brute_scores(rows, depth):
+    """Scores of (held out, words) by dictionaries, and the retained contexts; a missing word is the end."""
     train = [["<s>", *ws] for held, ws in rows if held is False]
     n, root = sum(len(t) - 1 for t in train), Counter(w for t in train for w in t[1:])
     v = len(root)
-    counts = Counter(tuple(t[i - k : i + 1]) for t in train for i in range(1, len(t)) for k in range(1, 4) if i - k >= 0)
+    counts = Counter(tuple(t[i - k : i + 1]) for t in train for i in range(1, len(t)) for k in range(1, depth + 1) if i - k >= 0)
     totals = Counter((w,) for t in train for w in t[:-1]) + counts
     entries = defaultdict(dict)
     for g, c in counts.items():
@@ -392,28 +392,73 @@ def brute_scores(rows):
     for c in sorted(entries, key=len):
         if len(c) > 1 and c[1:] not in retained:
             continue
-        rest = 1 - sum(x - 0.75 for x in entries[c].values()) / totals[c]
-        under = {w: p(c[1:], w) for w in entries[c]}
-        own = {w: (x - 0.75) / totals[c] + rest * under[w] for w, x in entries[c].items()}
-        left, below = max(1 - sum(own.values()), 1e-12), max(1 - sum(under.values()), 1e-12)
-        if totals[c] * (sum(own[w] * math.log(own[w] / under[w]) for w in own) + left * math.log(left / below)) >= 12:
-            retained[c] = rest
-    return [sum(math.log10(p(tuple(["<s>", *ws][max(0, i - 2) : i + 1]), w)) for i, w in enumerate(ws)) for _, ws in rows], retained
-
-
-def test_op7_scores_by_brute_force(spark, docs, monkeypatch):
-    monkeypatch.setattr(op07_suffix_tree, "PASS_BYTES", -1)
+        under = {w: counts[c[1:] + (w,)] / totals[c[1:]] if len(c) > 1 else root[w] / n for w in entries[c]}
+        total, kept = totals[c], sum(entries[c].values())
+        gain = sum(x * math.log(x / total / under[w]) for w, x in entries[c].items())
+        if kept < total:
+            gain += (total - kept) * math.log((total - kept) / total / max(1 - sum(under.values()), 1e-12))
+        if gain >= op07_suffix_tree.RETAIN:
+            retained[c] = 1 - sum(x - 0.75 for x in entries[c].values()) / total
+    return [sum(math.log10(p(tuple(["<s>", *ws][max(0, i + 1 - depth) : i + 1]), w)) for i, w in enumerate(ws)) for _, ws in rows], retained
+
+
+@pytest.mark.parametrize(("depth", "tokens"), [(1, 1 << 20), (2, 1 << 20), (3, 1 << 20), (2, 300)])
+def test_op7_scores_by_brute_force(spark, docs, monkeypatch, depth, tokens):
+    """Contexts of one, two and three symbols; with texts cut into blocks of 300 symbols too. A null doc_id stands beside one of more than 53 bits."""
     rng = random.Random(6)
-    more = [(100 + i, " ".join(f"k{k} x y p{k} z y q" for k in rng.choices(range(6), k=30))) for i in range(12)]
+    more = [(100 + i, " ".join(f"k{k} x y p{k} z y q" for k in rng.choices(range(6), k=30))) for i in range(12)] + [((1 << 53) + 1, "k1 x y p1"), (None, "k1 x y p2")]
     given = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     rows = [(r.doc_id, words(r.text, True) + [None]) for r in given.collect()]
-    expected, retained = brute_scores([(None if d is None else zlib.crc32(str(d).encode()) % 7 == 2, ws) for d, ws in rows])
-    assert (b"k1", b"x", b"y") in retained and (b"k1", b"x") not in retained
-    got = op07_suffix_tree.score_texts(given).collect()
-    want = sorted((d or -1, len(ws), e) for (d, ws), e in zip(rows, expected, strict=True))
-    for (d, n, score), r in zip(want, sorted(got, key=lambda r: (r.doc_id or -1, r.n_tokens, r.score)), strict=True):
-        assert (d, n) == (r.doc_id or -1, r.n_tokens)
-        assert r.score == pytest.approx(score, rel=1e-5, abs=1e-5)
+    expected, retained = brute_scores([(None if d is None else zlib.crc32(str(d).encode()) % 7 == 2, ws) for d, ws in rows], depth)
+    assert (b"y",) in retained and ((b"x", b"y") in retained) == (depth > 1) and (depth < 3 or (b"k1", b"x", b"y") in retained)
+    given = given.coalesce(2)
+    if tokens < 1 << 20:
+        cutting = op07_suffix_tree._tokenise.__globals__
+        monkeypatch.setitem(cutting, "BLOCK_TOKENS", tokens)
+        frame = given.toPandas()
+        held = [d == d and zlib.crc32(str(int(d)).encode()) % 7 == 2 for d in frame["doc_id"]]
+        plain = [(0 if d != d else int(d), d != d, h, t) for d, h, t in zip(frame["doc_id"], held, frame["text"], strict=True)]
+        got = local_scores(plain, depth)
+        for score, e in zip(got, brute_scores([(None if v else h, words(t, True) + [None]) for _, v, h, t in plain], depth)[0], strict=True):
+            assert score == pytest.approx(e, rel=1e-5, abs=1e-5)
+        return
+    got = op07_suffix_tree.score_texts(given, depth).collect()
+    key = lambda r: (r[0] or -1, r[1], r[2])
+    want = sorted(((d or -1, len(ws), e) for (d, ws), e in zip(rows, expected, strict=True)), key=key)
+    for (d, n, score), r in zip(want, sorted(((r.doc_id, r.n_tokens, r.score) for r in got), key=key), strict=True):
+        assert (d, n) == (r[0] or -1, r[1])
+        assert r[2] == pytest.approx(score, rel=1e-5, abs=1e-5)
+
+
+def local_scores(rows, depth, n_buckets=5):
+    """The operator's blocks, questions and answers in this process; the scores in the order of ``rows`` (doc, void, held, text)."""
+    import pandas as pd
+    import pyspark
+
+    o = op07_suffix_tree
+    context = pyspark.TaskContext.get
+    pyspark.TaskContext.get = classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})())
+    try:
+        blocks = pd.concat(list(o._tokenise(iter([pd.DataFrame(rows, columns=["doc", "void", "held", "text"])]), depth)), ignore_index=True)
+    finally:
+        pyspark.TaskContext.get = context
+    assert len(blocks) > 5
+    answers, n, v = pd.DataFrame(columns=["block", "round", "bucket", "payload"]), 0, 0
+    for number in range(1, depth + 2):
+        asked = pd.concat([o._asked(o._play(r, answers[answers["block"] == r["block"]], depth, n, v, number - 1), r["block"], number, n_buckets) for _, r in blocks.iterrows()])
+        new = pd.concat([o._answers(number)(g) for _, g in asked.groupby("bucket")])
+        if number == 1:
+            n, v = int(new["n"].sum()), int(new["v"].sum())
+        answers = pd.concat([answers, new[new["block"] >= 0]])
+    parts = pd.concat([o._play(r, answers[answers["block"] == r["block"]], depth, n, v, depth + 1).scores() for _, r in blocks.iterrows()])
+    return parts.groupby("row")["score"].sum().tolist()
+
+
+def test_op7_without_training_rows(spark):
+    """Every row held out or without id: nothing is known, and the scores are those of the base, 0."""
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = op07_suffix_tree.score_texts(spark.createDataFrame([(held, "a b c"), (None, "a b c"), (held, None)], "doc_id long, text string")).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got) == [(1, 0, 0, 0.0, 0.0), (4, 0, 0, 0.0, 0.0), (4, 0, 0, 0.0, 0.0)]
 
 
 def test_op7_rare_phrase_stays_in_a_large_corpus(spark):
@@ -430,22 +475,6 @@ def test_op7_rare_phrase_stays_in_a_large_corpus(spark):
     assert got[held].score > got[held].base_score + 30
 
 
-def test_op7_distributions_sum_to_one():
-    rng = np.random.default_rng(4)
-    counts = np.array([50, 30, 20, 40])
-    tree = op07_suffix_tree.Tree(np.array([11, 22, 33, int(op07_suffix_tree.END)], np.uint64), counts, 200, 30)
-    shift = op07_suffix_tree._SHIFT
-    symbols = np.arange(tree.end + 1)
-    for depth in (1, 2):
-        codes = np.array([0, 1]) if depth == 1 else np.array([(1 << shift) | 0])
-        keys = np.concatenate([[c << shift | s for s in (0, 2, tree.end)] for c in codes])
-        tree.add_level(codes, np.full(len(codes), 1000), keys, rng.integers(100, 300, len(keys)))
-    assert len(tree.levels[0]["codes"]) == 2
-    for code, depth in ((0, 1), (1, 1), ((1 << shift) | 0, 2), (2, 1)):
-        total = tree.probability(np.full(len(symbols), code), symbols, depth).sum()
-        assert total == pytest.approx(1)
-
-
 def brute_components(rows):
     sets = []
     for d, t in rows:
