@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from dialoom.llm.op03_quality import fold
 from dialoom.session import input_bytes
 
 FOLDS, HELD_OUT = 7, 2
-DEPTH, LEAST = 2, 2
+DEPTH, LEAST = 3, 2
 DISCOUNT, RETAIN = 0.75, 6.0
 END, START = np.uint64(0x0E0E0E0E0E0E0E0E), np.uint64(0x0F0F0F0F0F0F0F0F)
 #: Text of a block in bytes and its tokens; its arrays are a few tens of times as large.
@@ -66,6 +67,14 @@ def widen(small: np.ndarray, large: np.ndarray) -> np.ndarray:
     return out
 
 
+def pressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def opened(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(Place of one of each distinct code, in the codes' order; number of each code's; the distinct codes)."""
     order = np.argsort(codes)
@@ -91,8 +100,10 @@ def _tokenise(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataFr
             own = owner[a - lead : b]
             of, sizes = np.unique(own, return_counts=True)
             _, tokens, vocab = distinct(hashes[a - lead : b])
+            common = np.argsort(-np.bincount(tokens), kind="stable")  # small numbers for frequent words: they compress
+            tokens, vocab = np.argsort(common)[tokens].astype("<u4"), vocab[common]
             docs = B.pack(base + row + of, doc[of], void[of].astype(np.uint8), held[of].astype(np.uint8), sizes.astype("<i8"), np.array([lead], "<i8"))
-            yield pd.DataFrame({"block": [base + number], "docs": [docs], "vocab": [vocab.tobytes()], "tokens": [B.pack(tokens.astype("<u2" if len(vocab) <= 1 << 16 else "<u4"))]})
+            yield pd.DataFrame({"block": [base + number], "docs": [docs], "vocab": [vocab.tobytes()], "tokens": [pressed(tokens.view(np.uint8).reshape(-1, 4).T.tobytes())]})
             number += 1
         row += len(frame)
 
@@ -103,7 +114,7 @@ class Block:
     def __init__(self, row: pd.Series, depth: int, n: int = 0, v: int = 0):
         self.rows, self.docs, self.void, self.held, sizes, lead = B.unpack(row["docs"], "<i8", "<i8", np.uint8, np.uint8, "<i8", "<i8")
         words = np.frombuffer(row["vocab"], "<u8")
-        token = B.unpack(row["tokens"], "<u2" if len(words) <= 1 << 16 else "<u4")[0].astype(np.int64)
+        token = np.ascontiguousarray(np.frombuffer(opened(row["tokens"]), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
         self.depth, self.n, self.v = depth, n, v
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
         self.place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -111,7 +122,7 @@ class Block:
         self.own[: int(lead[0])] = False
         self.train = self.own & (self.held == 0)[self.owner] & (self.void == 0)[self.owner]
         #: Number of the run that ends at each place, -1 if none is known; hashes of the runs, their order, a place of each.
-        self.run, self.hash, self.order, self.at = [None, token], [None, words], [None, np.arange(len(words))], [None, None]
+        self.run, self.hash, self.order, self.at = [None, token], [None, words], [None, np.argsort(words)], [None, None]
         self.count, self.rest, self.asked = [None, None], [None], [None]
 
     def grow(self) -> None:
@@ -207,7 +218,7 @@ class Block:
 
     def hear(self, number: int, answers: list[bytes]) -> None:
         """Takes in the answers of a round, in the order of their buckets."""
-        held = [B.unpack(a, np.uint8, "<i8", np.uint8, "<i8", np.uint8, "<f4", "<i8") for a in answers]
+        held = [B.unpack(opened(a), np.uint8, "<i8", np.uint8, "<i8", np.uint8, "<f4", "<i8") for a in answers]
         for k, i in ((1, 0), (2, 2)) if number == 1 else ((number + 1, 0),) if number <= self.depth else ():
             told = np.concatenate([np.empty(0, np.int64), *(widen(h[i], h[i + 1]) for h in held)])
             count = np.empty(len(self.hash[k]), np.int64)
@@ -344,7 +355,7 @@ def _answers(number: int):
         for row, told in zip(out, np.split(rest[at], begin[1:-1]), strict=True):
             there = ~np.isnan(told)
             row += [np.packbits(there), told[there].astype("<f4"), np.array([len(told)], "<i8")]
-        rows = [(block, number, bucket, 0, 0, B.pack(*x)) for block, x in zip(blocks, out, strict=True)]
+        rows = [(block, number, bucket, 0, 0, pressed(B.pack(*x))) for block, x in zip(blocks, out, strict=True)]
         if number == 1:
             rows.append((-1, number, bucket, total, known, None))
         return pd.DataFrame(rows, columns=["block", "round", "bucket", "n", "v", "payload"])
