@@ -21,6 +21,18 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_by(df: DataFrame, key: str, n: int) -> DataFrame:
+    """As ``cut``, dealt by ``key`` into ``n`` buckets or more, so that later groups and joins by ``key`` do not deal it again."""
+    spark = df.sparkSession
+    n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))  # with fewer, Spark would deal both sides of a join
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.cut_path = path
+    return out
+
+
 def drop(*cuts: DataFrame) -> None:
     """Deletes tables that ``cut`` wrote, once nothing that is still to run reads them."""
     for df in cuts:
@@ -28,7 +40,8 @@ def drop(*cuts: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs, which it does when the driver collects its garbage."""
+    """Lets Spark delete the shuffle files of finished jobs, which it does when the driver collects its garbage; those of the last job only once another one has run."""
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

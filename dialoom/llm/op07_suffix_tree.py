@@ -11,7 +11,8 @@ longest retained suffix of what precedes it.
 Texts are tokenised once, into a table of blocks with a block's distinct words and its tokens as numbers of these. Then blocks
 ask and buckets of hashes answer, in rounds: first for the counts of words and pairs; round r for the contexts of r - 1
 symbols, to which each block brings its share of their sums, and for the counts of runs of r + 1 symbols both of whose parts
-occur LEAST times. Questions and answers are packed arrays of a block's distinct runs, so a run in a third of all texts is one entry a
+occur LEAST times. A context of n occurrences whose suffix has m diverges by n log(m / n) nats at most; where that is
+under RETAIN, or is so for a suffix, it cannot be retained, and neither it nor what only it needs is asked for. Questions and answers are packed arrays of a block's distinct runs, so a run in a third of all texts is one entry a
 block. With the last answers a block scores its tokens. Nothing of the tree is gathered or broadcast. Texts of any
 length are cut into blocks; a block starts with the last symbols of the one before, as context only.
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import blocks as B
-from dialoom.llm.components import cut, release
+from dialoom.llm.components import cut, cut_by, release
 from dialoom.llm.op03_quality import fold
 from dialoom.session import input_bytes
 
@@ -80,8 +81,8 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(codes)
     held = codes[order]
     head = np.concatenate([[True], held[1:] != held[:-1]]) if len(held) else np.empty(0, bool)
-    number = np.empty(len(codes), np.int64)
-    number[order] = np.cumsum(head) - 1
+    number = np.empty(len(codes), np.int32)
+    number[order] = np.cumsum(head, dtype=np.int32) - np.int32(1)
     return order[head], number, held[head]
 
 
@@ -114,28 +115,29 @@ class Block:
     def __init__(self, row: pd.Series, depth: int, n: int = 0, v: int = 0):
         self.rows, self.docs, self.void, self.held, sizes, lead = B.unpack(row["docs"], "<i8", "<i8", np.uint8, np.uint8, "<i8", "<i8")
         words = np.frombuffer(row["vocab"], "<u8")
-        token = np.ascontiguousarray(np.frombuffer(opened(row["tokens"]), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+        token = np.ascontiguousarray(np.frombuffer(opened(row["tokens"]), np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int32)
         self.depth, self.n, self.v = depth, n, v
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
-        self.place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.place = np.arange(len(token), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
         self.own = np.ones(len(token), bool)
         self.own[: int(lead[0])] = False
         self.train = self.own & (self.held == 0)[self.owner] & (self.void == 0)[self.owner]
-        #: Number of the run that ends at each place, -1 if none is known; hashes of the runs, their order, a place of each.
+        #: Number of the run that ends at each place, -1 if none is known; hashes of the runs, their order, a place of each. Counts and rests end in one more, for -1.
         self.run, self.hash, self.order, self.at = [None, token], [None, words], [None, np.argsort(words)], [None, None]
-        self.count, self.rest, self.asked = [None, None], [None], [None]
+        self.count, self.rest, self.asked, self._possible = [None, None], [None], [None], [None]
 
     def grow(self) -> None:
-        """The runs one longer, both of whose parts occur LEAST times."""
+        """The runs one longer that are needed: both parts occur LEAST times, and what precedes the last symbol may be a retained context, or what follows the first may, as the suffix of one."""
         k = len(self.run)
         good = self.place[1:] >= k - 1
         if k > 2:
-            frequent = np.append(self.count[k - 1] >= LEAST, False)[self.run[k - 1]]
-            good &= frequent[:-1] & frequent[1:]
+            run = self.run[k - 1]
+            frequent, may = (self.count[k - 1] >= LEAST)[run], self.possible(k - 1)[run]
+            good &= frequent[:-1] & frequent[1:] & (may[:-1] | may[1:] if k <= self.depth else may[:-1])
         at = np.flatnonzero(good) + 1
         width = len(self.hash[1])
-        first, number, codes = distinct(self.run[k - 1][at - 1] * width + self.run[1][at])
-        run = np.full(len(self.place), -1)
+        first, number, codes = distinct(self.run[k - 1][at - 1].astype(np.int64) * width + self.run[1][at])
+        run = np.full(len(self.place), -1, np.int32)
         run[at] = number
         hashes = B.mix(self.hash[k - 1][codes // width] * _STEP + self.hash[1][codes % width])
         self.run.append(run)
@@ -143,21 +145,32 @@ class Block:
         self.order.append(np.argsort(hashes))
         self.at.append(at[first])
 
+    def possible(self, k: int) -> np.ndarray:
+        """Which runs of k symbols may be retained contexts, by their counts and their suffixes'; one more, for -1, may not."""
+        if len(self._possible) == k:
+            n = self.count[k][:-1]
+            suffix = self.run[k - 1][self.at[k]] if k > 1 else None
+            whole = self.n if k == 1 else self.count[k - 1][suffix]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                may = (n >= LEAST) & (n * np.log(whole / n) >= RETAIN)
+            self._possible.append(np.append(may if k == 1 else may & self._possible[k - 1][suffix], False))
+        return self._possible[k]
+
     def learned(self, k: int) -> np.ndarray:
         """How often each run of k symbols ends at a place that is learned from."""
         run = self.run[k][self.train]
         return np.bincount(run[run >= 0], minlength=len(self.hash[k]))
 
     def ask(self, depth: int) -> None:
-        """Settles which contexts of ``depth`` symbols matter here: those that precede a token, occur LEAST times and have a retained suffix."""
+        """Settles which contexts of ``depth`` symbols matter here: those that precede a token, may be retained and have a retained suffix."""
         before = np.flatnonzero(self.own & (self.place >= depth)) - 1
         run = self.run[depth][before]
         good = run >= 0
         if depth > 1:
-            good &= ~np.isnan(np.append(self.rest[depth - 1], np.nan)[self.run[depth - 1][before]])
+            good &= ~np.isnan(self.rest[depth - 1])[self.run[depth - 1][before]]
         wanted = np.zeros(len(self.hash[depth]), bool)
         wanted[run[good]] = True
-        wanted &= self.count[depth] >= LEAST
+        wanted &= self.possible(depth)[:-1]
         order = self.order[depth]
         self.asked.append(order[wanted[order]])
 
@@ -165,11 +178,11 @@ class Block:
         """(Place among the asked contexts, count, and this block's share of: kept entries, their counts, counts times log of count over parent's share, parents' shares)."""
         k = depth + 1
         local = self.learned(k)
-        e = np.flatnonzero((self.count[k] >= LEAST) & (local > 0))
+        e = np.flatnonzero((self.count[k][:-1] >= LEAST) & (local > 0))
         at, c = self.at[k][e], self.count[k][e].astype(np.float64)
         whole = self.n if depth == 1 else self.count[depth - 1][self.run[depth - 1][at - 1]]
         q = self.count[depth][self.run[depth][at]] / whole
-        of = np.full(len(self.hash[depth]), -1)
+        of = np.full(len(self.hash[depth]) + 1, -1)
         of[self.asked[depth]] = np.arange(len(self.asked[depth]))
         of = of[self.run[depth][at - 1]]
         good = of >= 0
@@ -221,11 +234,11 @@ class Block:
         held = [B.unpack(opened(a), np.uint8, "<i8", np.uint8, "<i8", np.uint8, "<f4", "<i8") for a in answers]
         for k, i in ((1, 0), (2, 2)) if number == 1 else ((number + 1, 0),) if number <= self.depth else ():
             told = np.concatenate([np.empty(0, np.int64), *(widen(h[i], h[i + 1]) for h in held)])
-            count = np.empty(len(self.hash[k]), np.int64)
+            count = np.zeros(len(self.hash[k]) + 1, np.int64)
             count[self.order[k]] = told
             self.count[k:] = [count]
         if number > 1:
-            rest = np.full(len(self.hash[number - 1]), np.nan)
+            rest = np.full(len(self.hash[number - 1]) + 1, np.nan)
             told = np.concatenate([np.empty(0), *(_rests(h[4], h[5], int(h[6][0])) for h in held)])
             rest[self.asked[number - 1]] = told
             self.rest.append(rest)
@@ -240,10 +253,10 @@ class Block:
         for depth in range(1, self.depth + 1):
             alive = alive[self.place[at[alive]] >= depth]
             context = self.run[depth][at[alive] - 1]
-            rest = np.append(self.rest[depth], np.nan)[context]
+            rest = self.rest[depth][context]
             good = ~np.isnan(rest)
             alive, context, rest = alive[good], context[good], rest[good]
-            entry = np.append(self.count[depth + 1], 0)[self.run[depth + 1][at[alive]]]
+            entry = self.count[depth + 1][self.run[depth + 1][at[alive]]]
             share = np.where(entry >= LEAST, (entry - DISCOUNT) / self.count[depth][context], 0.0)
             p[alive] = share + rest * p[alive]
         size = np.bincount(owner, minlength=n)
@@ -369,7 +382,8 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     doc_id = F.col("doc_id").cast("long")
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     given = docs.select(F.coalesce(doc_id, F.lit(0).cast("long")).alias("doc"), doc_id.isNull().alias("void"), held.alias("held"), "text")
-    blocks = cut(given.mapInPandas(lambda batches: _tokenise(batches, depth), "block long, docs binary, vocab binary, tokens binary"))
+    blocks = cut_by(given.mapInPandas(lambda batches: _tokenise(batches, depth), "block long, docs binary, vocab binary, tokens binary"), "block", n_buckets)
+    release(docs.sparkSession)
     asked, told = "bucket int, block long, payload binary", "block long, round int, bucket int, n long, v long, payload binary"
     answers, n, v = None, 0, 0
     for number in range(1, depth + 2):
@@ -392,4 +406,5 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def _met(blocks: DataFrame, answers: DataFrame):
+    """Each block, which stays where it is, with its answers."""
     return blocks.groupBy("block").cogroup(answers.select("block", "round", "bucket", "payload").groupBy("block"))
