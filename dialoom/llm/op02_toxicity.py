@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from dialoom.llm import blocks as B
 from dialoom.llm.op03_quality import fold, train_sample
+from dialoom.llm.texts import score_column
 
 FOLDS, HELD_OUT = 5, 0
 TRAIN_ROWS = 4096
@@ -306,23 +307,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network |
     return net
 
 
-def _score(net: Network | None):
-    state = (net.vocabulary, net.p) if net is not None else None
+def _scorer(net: Network | None):
+    if net is None:
+        return lambda texts: np.zeros(len(texts))
+    vocabulary, p = net.vocabulary, net.p
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = None
-        if state is not None:
-            own = Network(state[0], np.zeros(len(state[0]), np.float32))
-            own.p = state[1]
-        for frame in B.blocks(batches, limit=4 << 20):
-            score = score_texts(own, list(frame["text"])) if own is not None else np.zeros(len(frame))
-            yield frame.drop(columns="text").assign(score=score, predicted=(score >= 0.5).astype(np.int32))
+    def score(texts: list[bytes]) -> np.ndarray:
+        own = Network(vocabulary, np.zeros(len(vocabulary), np.float32))
+        own.p = p
+        return score_texts(own, texts)
 
-    return run
+    return score
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
     net = fit(docs, labels, rows)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    return given.mapInPandas(_score(net), "doc_id long, held_out boolean, score double, predicted int")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), score_column(_scorer(net)).alias("score"))
+    return given.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

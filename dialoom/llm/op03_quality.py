@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import blocks as B
+from dialoom.llm.texts import score_column
 
 BITS = 18
 TRAIN_ROWS = 6144
@@ -125,20 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarra
     return np.frombuffer(bytes(found[0][0]), dtype=np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def _score(weights: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in B.blocks(batches, limit=4 << 20):
-            score = scores(list(frame["text"]), weights)
-            yield frame.drop(columns="text").assign(score=score, predicted=(score >= 0.5).astype(np.int32))
-
-    return run
-
-
 def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     weights = fit(docs, labels, rows)
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    return given.mapInPandas(_score(weights), "doc_id long, held_out boolean, score double, predicted int")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), score_column(lambda texts: scores(texts, weights)).alias("score"))
+    return given.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -147,16 +139,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Dat
 
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
-    score = _score_column(weights)
-    return packed.where(score(F.col("_text")) >= 0.5).select("_row.*")
-
-
-def _score_column(weights: np.ndarray):
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        out = []
-        for i in range(0, len(texts), 512):
-            out.append(scores([b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts.iloc[i : i + 512]], weights))
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
-
-    return score
+    return packed.where(score_column(lambda texts: scores(texts, weights), "_text") >= 0.5).select("_row.*")

@@ -387,5 +387,5 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
     wrappers = induce(pages)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "model", "constants").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
+    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "model", "constants").mapInPandas(_extract, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))

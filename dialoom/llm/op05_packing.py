@@ -201,7 +201,7 @@ def _tokenise(path: str, capacity: int):
                     parts.append(zlib.crc32(ids[4 * at : 4 * (at + size)]))
                     at += size
                 rows.append((doc, shard, n, sums, zlib.crc32(ids[4 * last :]) if rest else 0, parts))
-            yield pd.DataFrame(rows, columns=["doc_id", "shard", "n", "sums", "rest_sum", "parts"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "shard", "n", "sums", "rest_sum", "parts"])
 
     return run
 
@@ -289,7 +289,7 @@ def _pack(capacity: int):
             else:
                 crc = parts[doc][binary_parts(rest).index(length)]
             rows.append((docs[doc], start, length, int(crc), int(n[doc]), base + sequence, offset))
-        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
@@ -298,7 +298,7 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) for every piece. ``capacity`` is a power of two."""
     shards = max(8, -(-input_bytes(docs) // SHARD_BYTES))
     path = path or tokenizer_path()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(f"cast(pmod(xxhash64(doc_id, text), {shards}) as long)").alias("shard"), "text")
-    coded = rows.mapInPandas(_tokenise(path, capacity), "doc_id long, shard long, n long, sums array<long>, rest_sum long, parts array<long>")
-    out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return coded.groupBy("shard").applyInPandas(B.freed(_pack(capacity)), out)
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.expr(f"cast(pmod(xxhash64(doc_id, text), {shards}) as long)").alias("shard"), "text")
+    coded = rows.mapInPandas(_tokenise(path, capacity), "doc_id string, shard long, n long, sums array<long>, rest_sum long, parts array<long>")
+    out = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return coded.groupBy("shard").applyInPandas(B.freed(_pack(capacity)), out).withColumn("doc_id", F.col("doc_id").cast("long"))

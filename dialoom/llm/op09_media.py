@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from dialoom.llm import blocks as B
 
-WIDTH_MCUS = 64
+WIDTH_MCUS, MOST_ROWS = 64, 4095
 BANDS = ((1, 5), (6, 63))
 
 
@@ -156,12 +156,16 @@ def _correction(low: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def encode(payload: bytes) -> bytes:
+def grid(mcus: int, most_rows: int = MOST_ROWS) -> tuple[int, int]:
+    """(Rows, columns) of an image of so many MCUs: WIDTH_MCUS columns, more where the rows would be too many for the format's 16 bits."""
+    wide = min(mcus, max(WIDTH_MCUS, -(-mcus // most_rows)))
+    return -(-mcus // wide), wide
+
+
+def encode(payload: bytes, most_rows: int = MOST_ROWS) -> bytes:
     """A progressive JPEG whose coefficients are ``payload``, of a positive multiple of 64 bytes."""
     data = np.frombuffer(payload, np.uint8).reshape(-1, 64)
-    mcus = -(-len(data) // 6)
-    wide = min(mcus, WIDTH_MCUS)
-    high = -(-mcus // wide)
+    high, wide = grid(-(-len(data) // 6), most_rows)
     if len(data) < 6 * wide * high:
         data = np.concatenate([data, np.zeros((6 * wide * high - len(data), 64), np.uint8)])
     n = wide * high
@@ -453,12 +457,13 @@ def padded(text: bytes) -> bytes:
 
 def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in B.blocks(batches, limit=2 << 20):
-        yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_bytes": [len(t) for t in frame["text"]], "media": [encode(padded(t)) for t in frame["text"]]})
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": [len(t) for t in frame["text"]], "media": [encode(padded(t)) for t in frame["text"]]})
 
 
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text as a progressive JPEG."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_store, "doc_id long, n_bytes long, media binary")
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(_store, "doc_id string, n_bytes long, media binary")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _tensors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -466,12 +471,13 @@ def _tensors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i in range(0, len(frame), 16):
             part = frame.iloc[i : i + 16]
             rgb = [decode(bytes(m)) for m in part["media"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "height": [t.shape[0] for t in rgb], "width": [t.shape[1] for t in rgb], "rgb": [t.tobytes() for t in rgb]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "height": [t.shape[0] for t in rgb], "width": [t.shape[1] for t in rgb], "rgb": [t.tobytes() for t in rgb]})
 
 
 def tensors(media: DataFrame) -> DataFrame:
     """(doc_id, height, width, rgb): the full-resolution tensor of each stored image, row-major with channels last."""
-    return media.where(F.col("media").isNotNull()).select("doc_id", "media").mapInPandas(_tensors, "doc_id long, height int, width int, rgb binary")
+    rows = media.where(F.col("media").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "media").mapInPandas(_tensors, "doc_id string, height int, width int, rgb binary")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -483,11 +489,11 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rgb = to_rgb(image, quantisers)
             sums = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
             feature = f"{image.width}x{image.height}:" + ",".join(f"{s / (image.width * image.height):.4f}" for s in sums)
-            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype({"doc_id": "Int64"})
+            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, image.height, image.width, hashlib.sha256(rgb).hexdigest()))
+        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb_sha256"])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per row: what was stored, and what was read back from the stored bytes."""
-    out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return store(docs).mapInPandas(_digest, out)
+    """Per row: what was stored, and what was read back from the stored bytes, the tensor among it."""
+    out = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb_sha256 string"
+    return store(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_digest, out).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of text that are scored at a time.
+SCORED_BYTES = 4 << 20
+
 
 def text_key(text: Column) -> Column:
     """16 bytes of the SHA-256 of a text; null stays null."""
@@ -20,3 +27,20 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .groupBy("key")
         .agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     )
+
+
+def score_column(score: Callable[[list[bytes]], np.ndarray], text: str = "text") -> Column:
+    """A number for each text, a null one as the empty one; only texts go to the Python worker, so ids and other columns stay as they are."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        held = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+        out, at = [np.empty(0)], 0
+        ends = np.cumsum([len(t) for t in held])
+        while at < len(held):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SCORED_BYTES, side="right")))
+            out.append(score(held[at:to]))
+            at = to
+        return pd.Series(np.concatenate(out))
+
+    return scored(F.col(text))
