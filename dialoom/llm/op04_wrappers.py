@@ -4,12 +4,15 @@ Each page becomes a tree of labelled elements (tag and class names), in which eq
 repeated node. The trees of a host are aligned with one of its pages' by simple tree
 matching: the largest match of two trees that keeps order and ancestry, by dynamic programming over children.
 A block of text then has a slot, the matched node of that page. Texts that the same slot holds in most of
-a host's different pages are template; slots whose text varies are content, unless their elements
-name them as something else (menus, adverts, notices, forms, comments, ...). Where a page marks its
-article, content is looked for inside it.
+a host's different pages are template. The slots whose text varies show where the content is: the host's region
+is the innermost node of the model that is not itself a block of text and under which REGION of the varying text of all pages
+stands, text of links not counted. Blocks in the region are content, unless their elements name them as something else
+(menus, adverts, notices, forms, comments, ...), and if a page marks articles there, those in an article. A page that
+has nothing in its host's region is judged by its marks and links alone.
 
 Counting is distributed: pages of equal content count once; a host's constants number at most the blocks of a
-page over SHARE. Hosts with fewer than LEAST different pages have no template texts.
+page over SHARE, its slots at most the nodes of a page. Hosts with fewer than LEAST different pages have no template texts.
+Wrappers meet the pages by broadcast where their measured size allows it, else by host, large hosts salted.
 
 Defined results: a null or blank html gives an empty text; markup that is cut off ends there; a null url is
 a host of its own name ``""``; repeated rows each give a row; an empty table gives no rows; extra columns are ignored.
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from dialoom.llm.components import cut
 from dialoom.llm.op06_url_filters import host_of
 
-SHARE, LEAST = 0.6, 4
+SHARE, LEAST, REGION = 0.6, 4, 0.75
+#: Bytes of wrappers that may be broadcast, and the part of all rows from which on a host is salted (so at most as many hosts are).
+BROADCAST_BYTES, SALTED = 16 << 20, 1024
 #: Alignments of trees up to this size are kept for the next page of the shape.
 KEPT_NODES = 400
 #: Cells of a table of two lists of children; longer lists are halved by the best cut first.
@@ -141,7 +146,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
         if tag in VOID:
             if tag == "hr":
                 flush(block_node())
-            run.append(" ")
+            elif tag == "br":
+                run.append(" ")
             continue
         attributes = m[3] or m[6] or ""
         if tag in RAW:
@@ -322,19 +328,72 @@ def _hash(text: str, seed: int = 0) -> int:
     return (zlib.crc32(data, seed) << 31 ^ zlib.adler32(data, seed + 1)) & 0x7FFFFFFFFFFFFFFF
 
 
-def main_text(blocks: list[tuple[Node, str, int]], keys: list[int], constant: frozenset[int]) -> str:
-    """The content blocks in page order."""
-    good = [(n, t, link) for (n, t, link), k in zip(blocks, keys, strict=True) if not n.unwanted and k not in constant]
-    articles: dict[int, int] = {}
-    for node, text, _ in good:
+@lru_cache(maxsize=64)
+def _parents(shape: str) -> list[int]:
+    """The parent of each node of a shape, -1 for the root."""
+    _, children = _tree(shape)
+    out = [-1] * len(children)
+    for node, held in enumerate(children):
+        for child in held:
+            out[child] = node
+    return out
+
+
+def placed(shape: str, model: str, numbers: list[int]) -> list[int]:
+    """The model's node that matches each given node or its nearest matched ancestor; 0 without any."""
+    of, parents = align(shape, model), _parents(shape)
+    out = []
+    for n in numbers:
+        while n >= 0 and n not in of:
+            n = parents[n]
+        out.append(of[n] if n >= 0 else 0)
+    return out
+
+
+@lru_cache(maxsize=1024)
+def region(model: str, masses: tuple[tuple[int, int, int], ...]) -> frozenset[int]:
+    """The nodes of a host's region; ``masses`` are (node, length of varying text placed there, length of that in blocks of the node itself)."""
+    _, children = _tree(model)
+    total, own = [0] * len(children), [0] * len(children)
+    for node, mass, direct in masses:
+        total[node] += mass
+        own[node] += direct
+    for node in range(len(children) - 1, -1, -1):
+        total[node] += sum(total[c] for c in children[node])
+    if not total[0]:
+        return frozenset()
+    at = 0
+    while children[at]:
+        best = max(children[at], key=lambda c: total[c])
+        if total[best] < REGION * total[at] or 2 * own[best] > total[best]:
+            break
+        at = best
+    inside, todo = [], [at]
+    while todo:
+        inside.append(todo.pop())
+        todo += children[inside[-1]]
+    return frozenset(inside)
+
+
+def main_text(blocks: list[tuple[Node, str, int]], keys: list[int], constant: frozenset[int], nodes: list[int] | None = None, inside: frozenset[int] = frozenset()) -> str:
+    """The content blocks in page order; ``nodes`` are the blocks' places in the model and ``inside`` its region, if there is one."""
+    held = [(n, t, link, not inside or nodes[i] in inside) for i, (n, t, link) in enumerate(blocks) if not n.unwanted and keys[i] not in constant]
+    within = [b[:3] for b in held if b[3]]
+    articles: dict[int, list[int]] = {}
+    for node, text, link, _ in held:
         if node.article is not None:
-            articles[id(node.article)] = articles.get(id(node.article), 0) + len(text)
-    if articles:
-        chosen = max(articles, key=articles.get)
-        return "\n".join(t for n, t, _ in good if n.article is not None and id(n.article) == chosen)
+            size = articles.setdefault(id(node.article), [0, 0])
+            size[0] += len(text)
+            size[1] += link
+    chosen = {k for k, (size, link) in articles.items() if 2 * link <= size}
+    for good in (within, [b[:3] for b in held]):
+        marked = [t for n, t, _ in good if n.article is not None and id(n.article) in chosen]
+        if marked:
+            return "\n".join(marked)
+    good = within or [b[:3] for b in held]
     if any(n.main for n, _, _ in good):
         return "\n".join(t for n, t, _ in good if n.main)
-    return "\n".join(t for n, t, link in good if 2 * link <= len(t))
+    return "\n".join(t for _, t, link in good if 2 * link <= len(t))
 
 
 def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -343,17 +402,21 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for host, page in zip(frame["host"], frame["html"], strict=True):
             root, blocks = parse(page or "")
             texts = [t for _, t, _ in blocks]
-            rows.append((host, _hash("\n".join(texts)), root.shape, [n.number for n, _, _ in blocks], [zlib.crc32(n.label.encode()) % 100_000 for n, _, _ in blocks], texts))
-        yield pd.DataFrame(rows, columns=["host", "digest", "shape", "numbers", "labels", "texts"]).assign(texts=lambda f: [[_hash(t) for t in x] for x in f["texts"]])
+            rows.append((host, _hash("\n".join(texts)), root.shape, [n.number for n, _, _ in blocks], [zlib.crc32(n.label.encode()) % 100_000 for n, _, _ in blocks], [_hash(t) for t in texts], [max(len(t) - 2 * link, 0) for _, t, link in blocks]))
+        yield pd.DataFrame(rows, columns=["host", "digest", "shape", "numbers", "labels", "texts", "sizes"])
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        keys = []
-        for shape, model, numbers, labels, texts in zip(frame["shape"], frame["model"], frame["numbers"], frame["labels"], frame["texts"], strict=True):
-            of = align(shape, model)
-            keys.append([_slot(int(of.get(int(n), 100_000 + int(l))), int(t)) for n, l, t in zip(numbers, labels, texts, strict=True)])
-        yield pd.DataFrame({"host": frame["host"], "pages": frame["pages"], "slots": keys})
+        rows = []
+        for host, shape, model, numbers, labels, texts, sizes in zip(*(frame[c] for c in ("host", "shape", "model", "numbers", "labels", "texts", "sizes")), strict=True):
+            of, seen = align(shape, model), {}
+            for n, l, t, size, node in zip(numbers, labels, texts, sizes, placed(shape, model, [int(n) for n in numbers]), strict=True):
+                x = seen.setdefault((_slot(int(of.get(int(n), 100_000 + int(l))), int(t)), node), [0, 0])
+                x[0] += int(size)
+                x[1] += int(size) if int(n) in of else 0
+            rows += [(host, slot, node, mass, direct) for (slot, node), (mass, direct) in seen.items()]
+        yield pd.DataFrame(rows, columns=["host", "slot", "node", "mass", "direct"])
 
 
 def _slot(slot: int, text: int) -> int:
@@ -361,31 +424,51 @@ def _slot(slot: int, text: int) -> int:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, model, constants): the tree to align with and the hashes of template texts by slot."""
+    """(host, model, rows, constants, masses): the tree to align with, the host's rows, the hashes of template texts by slot, and how much varying text each node has."""
     given = pages.select(host_of(F.col("url")).alias("host"), "html")
-    seen = given.mapInPandas(_survey, "host string, digest long, shape string, numbers array<int>, labels array<int>, texts array<long>")
-    seen = cut(seen.dropDuplicates(["host", "digest"]))
-    models = seen.groupBy("host").agg(F.min_by("shape", "digest").alias("model"), F.count("*").alias("pages"))
-    placed = seen.join(models, "host").mapInPandas(_aligned, "host string, pages long, slots array<long>")
-    counts = placed.select("host", "pages", F.explode(F.array_distinct("slots")).alias("slot")).groupBy("host", "slot", "pages").count()
-    constant = counts.where(f"pages >= {LEAST} and count >= {SHARE} * pages").groupBy("host").agg(F.collect_list("slot").alias("constants"))
-    return models.join(constant, "host", "left").select("host", "model", "constants")
+    seen = given.mapInPandas(_survey, "host string, digest long, shape string, numbers array<int>, labels array<int>, texts array<long>, sizes array<int>")
+    page = F.struct("shape", "numbers", "labels", "texts", "sizes")
+    seen = cut(seen.groupBy("host", "digest").agg(F.min(page).alias("p"), F.count("*").alias("rows")).select("host", "digest", "rows", "p.*"))
+    # The model is a page with about as many blocks as three in four pages have at most: no empty one, no outlier.
+    usual = seen.groupBy("host").agg(F.percentile_approx(F.size("texts"), F.lit(0.75)).alias("usual"), F.count("*").alias("pages"), F.sum("rows").alias("rows"))
+    nearest = F.struct(F.abs(F.size("texts") - F.col("usual")), "digest")
+    models = seen.select("host", "digest", "shape", "texts").join(usual, "host").groupBy("host").agg(F.min_by("shape", nearest).alias("model"), F.first("pages").alias("pages"), F.first("rows").alias("rows"))
+    slots = seen.join(models.select("host", "model"), "host").select("host", "shape", "model", "numbers", "labels", "texts", "sizes")
+    slots = slots.mapInPandas(_aligned, "host string, slot long, node int, mass long, direct long")
+    slots = slots.groupBy("host", "slot", "node").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"), F.sum("direct").alias("direct"))
+    slots = slots.join(models.select("host", "pages"), "host")
+    is_constant = (F.col("pages") >= LEAST) & (F.col("n") >= SHARE * F.col("pages"))
+    by_node = slots.groupBy("host", F.when(~is_constant, F.col("node")).alias("node")).agg(F.sum("mass").alias("mass"), F.sum("direct").alias("direct"), F.collect_set(F.when(is_constant, F.col("slot"))).alias("constants"))
+    varying = F.when(F.col("node").isNotNull() & (F.col("mass") > 0), F.struct("node", "mass", "direct"))
+    found = by_node.groupBy("host").agg(F.sort_array(F.collect_list(varying)).alias("masses"), F.flatten(F.collect_list("constants")).alias("constants"))
+    return models.join(found, "host", "left").select("host", "model", "rows", "constants", "masses")
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         texts = []
-        for page, model, constants in zip(frame["html"], frame["model"], frame["constants"], strict=True):
+        for page, model, constants, masses in zip(frame["html"], frame["model"], frame["constants"], frame["masses"], strict=True):
             root, blocks = parse(page or "")
-            of = align(root.shape, model or root.shape)
+            model = model or root.shape
+            of = align(root.shape, model)
             held = frozenset(int(c) for c in constants) if constants is not None else frozenset()
             keys = [_slot(of.get(n.number, 100_000 + zlib.crc32(n.label.encode()) % 100_000), _hash(t)) for n, t, _ in blocks] if held else [0] * len(blocks)
-            texts.append(main_text(blocks, keys, held))
+            inside = region(model, tuple((int(m["node"]), int(m["mass"]), int(m["direct"])) for m in masses)) if masses is not None else frozenset()
+            texts.append(main_text(blocks, keys, held, placed(root.shape, model, [n.number for n, _, _ in blocks]), inside))
         yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``."""
-    wrappers = induce(pages)
+    wrappers = cut(induce(pages))
     rows = pages.select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "model", "constants").mapInPandas(_extract, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))
+    size = wrappers.agg(F.sum(F.length("model") + 8 * F.size("constants") + 24 * F.size("masses")), F.sum("rows")).first()
+    if (size[0] or 0) <= BROADCAST_BYTES:
+        met = rows.join(F.broadcast(wrappers.drop("rows")), "host", "left")
+    else:
+        salts = F.greatest(F.lit(1), F.expr(f"cast(rows * {SALTED} div {size[1]} as int)"))
+        wrappers = wrappers.withColumn("salts", salts)
+        rows = rows.join(F.broadcast(wrappers.where("salts > 1").select("host", "salts")), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int"))
+        met = rows.drop("salts").join(wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), ["host", "salt"], "left")
+    out = met.select("page_id", "url", "html", "model", "constants", "masses").mapInPandas(_extract, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))

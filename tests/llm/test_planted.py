@@ -206,3 +206,45 @@ def test_op3_scores_by_brute_force():
         at, value = op03_quality.example(places, int(first[i]), int(first[i + 1]))
         dot = sum(weight(k) * v for k, v in zip(at.tolist(), value.tolist(), strict=True))
         assert got == pytest.approx(1 / (1 + np.exp(-dot)), abs=1e-5)
+
+
+def neutral_pages(n=12, seed=4):
+    """(html, article) of pages of one host without a telling tag or name: a varying menu of links, a varying line, an article, a constant notice, a varying footer."""
+    rng = np.random.default_rng(seed)
+    say = lambda k: " ".join(rng.choice([f"w{i}" for i in range(500)], k))
+    out = []
+    for i in range(n):
+        article = [say(int(rng.integers(8, 40))) for _ in range(int(rng.integers(1, 9)))]
+        menu = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in say(4).split())
+        body = "".join(f"<p>{t}</p>" for t in article[1:])
+        html = f'<body><div class="c1"><ul>{menu}</ul></div><div class="c2">{say(5)}</div><div class="c3"><h1>{article[0]}</h1>{body}</div><div class="c4">All rights are kept by us</div><div class="c5">{say(4)}</div></body>'
+        out.append((html, "\n".join(article)))
+    return out
+
+
+def test_op4_finds_content_without_names(spark, monkeypatch):
+    """Only alignment and what varies tell the article; wrappers that are joined, by salted hosts, give the same as broadcast ones."""
+    given = neutral_pages()
+    rows = [(i, f"http://neutral.net/{i}", h) for i, (h, _) in enumerate(given)] + [(100, "http://alone.net/", given[0][0]), (101, None, None), (102, "http://neutral.net/x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in op04_wrappers.extract(pages).collect()}
+    for i, (_, article) in enumerate(given):
+        assert got[i] == article
+    assert got[100] and got[101] == got[102] == ""
+    monkeypatch.setattr(op04_wrappers, "BROADCAST_BYTES", -1)
+    assert {r.page_id: r.text for r in op04_wrappers.extract(pages).collect()} == got
+
+
+def test_op4_markup_inside_words_and_several_articles(spark):
+    html = '<body><div><a href="/x">menu</a></div><article><h2>One</h2><p>super<wbr>cali <img src="x">fra<b>gi</b>l<br>istic</p></article><article><p>Second text stands here.</p></article><article class="comment"><p>a reader</p></article></body>'
+    pages = spark.createDataFrame([(1, "http://two.net/", html)], "page_id long, url string, html string")
+    row = op04_wrappers.extract(pages).first()
+    assert row.text == "One\nsupercali fragil istic\nSecond text stands here." and row.n_chars == len(row.text)
+
+
+def test_op4_ties_are_stable(spark):
+    """Pages of equal texts and different shapes, and repeated rows: the same result in any order."""
+    rows = [(i, "http://tie.net/", f"<div>{'<p>same text</p>' if i % 2 else '<section><p>same text</p></section>'}</div>") for i in range(8)]
+    schema = "page_id long, url string, html string"
+    one, two = (sorted((r.page_id, r.text) for r in op04_wrappers.extract(spark.createDataFrame(x, schema)).collect()) for x in (rows, rows[::-1]))
+    assert one == two
