@@ -1,13 +1,13 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame operations only.
 
 A test item of m distinct five-word shingles is held by a document if at least t = ceil(0.75 m)
-of them are among the document's. Items are partitioned by m, and each size has its own
-sketch: the k = m - t + 1 shingles of least hash (its bottom-k MinHash). A document that holds
-t of the m shingles misses at most m - t, so at least one of any k: with this k the search
-misses nothing, whatever the document's length. Documents probe with all their shingle
-hashes, large enough ones only (t is the least size). Candidates are then verified by
-counting shared shingles as strings. A fixed number of hash bands tuned for Jaccard similarity
-would miss short items in documents of thousands of words; the sketch by size does not.
+of them are among the document's. Items are partitioned by size, m within a factor 4/3; a partition has its own
+sketches: of each item the k = m - t + 1 shingles of least hash (its bottom-k MinHash), and the threshold under which all of
+these lie. A document that holds t of the m shingles misses at most m - t, so it holds at least one of any k: with this k the search
+misses nothing, whatever the document's length. A document's sketch for a partition is its hashes up to the
+partition's threshold, taken only if the document is large enough for an item of it; where sketches meet, the pair is a
+candidate and is verified by counting shared shingles as strings. A fixed number of hash bands tuned for Jaccard similarity
+would miss short items in documents of thousands of words; sketches by size do not.
 
 Defined results: null or blank texts and items have no shingles and match nothing; a text of
 one to four words is one shingle; repeated rows, or rows of equal ids, each give their own
@@ -58,11 +58,25 @@ def _items(benchmark: DataFrame, size: int, percent: int) -> DataFrame:
     return own.select("ikey", "shingles", n.alias("n_item"), F.expr(f"cast(div({percent} * size(shingles) + 99, 100) as int)").alias("need"))
 
 
+def partition_of(n: Column) -> Column:
+    """The number of the size partition: sizes up to a power of 4/3."""
+    return F.ceil(F.round(F.log(n.cast("double")) / F.log(F.lit(4 / 3)), 9)).cast("int")
+
+
 def sketches(items: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(ikey, need, h): the bottom-k hashes of each item, k by the item's size."""
+    """(part, ikey, need, h): the bottom-k hashes of each item, k by the item's size."""
     hashes = F.transform("shingles", lambda s: F.xxhash64(*[F.get(F.split(s, " "), F.lit(k)) for k in range(size)]))
     least = F.slice(F.array_sort(hashes), F.lit(1), F.col("n_item") - F.col("need") + 1)
-    return items.select("ikey", "need", F.explode(least).alias("h"))
+    return items.select(partition_of(F.col("n_item")).alias("part"), "ikey", "need", F.explode(least).alias("h"))
+
+
+def threshold(parts: list, n: Column) -> Column:
+    """The largest hash that a document of ``n`` shingles probes with; ``parts`` are (least need, threshold) of the partitions. Null if it is too small for all."""
+    out, held = F.lit(None).cast("long"), None
+    for need, top in sorted((int(need), int(top)) for need, top in parts):
+        held = top if held is None else max(held, top)
+        out = F.when(n >= need, F.lit(held)).otherwise(out)
+    return out
 
 
 def containment_pairs(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -70,10 +84,13 @@ def containment_pairs(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE
     items = _items(benchmark, size, percent)
     sketch = sketches(items, size)
     small = sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    parts = [(r.need, r.top) for r in sketch.groupBy("part").agg(F.min("need").alias("need"), F.max("h").alias("top")).collect()]  # a row for each size partition
     texts = distinct_texts(docs).select("key", "text")
     probe = texts.select("key", words(F.col("text")).alias("w")).where(has_words(F.col("w")))
-    probe = probe.select("key", F.size("w").alias("n"), F.explode(shingle_hashes(F.col("w"), size)).alias("h"))
-    met = probe.join(F.broadcast(sketch) if small else sketch, "h").where(F.greatest(F.col("n") - (size - 1), F.lit(1)) >= F.col("need"))
+    n = F.greatest(F.size("w") - (size - 1), F.lit(1))
+    probe = probe.select("key", n.alias("n"), threshold(parts, n).alias("top"), "w").where("top is not null")
+    probe = probe.select("key", "n", "top", F.explode(shingle_hashes(F.col("w"), size)).alias("h")).where("h <= top")
+    met = probe.join(F.broadcast(sketch) if small else sketch, "h").where("n >= need")
     candidates = met.groupBy("key").agg(F.collect_set("ikey").alias("ikeys"))
     held = texts.join(candidates, "key").select("key", words(F.col("text")).alias("w"), "ikeys").select("key", shingles(F.col("w"), size).alias("own"), F.explode("ikeys").alias("ikey")).join(items, "ikey")
     shared = F.size(F.array_intersect("own", "shingles"))
