@@ -41,7 +41,7 @@ DEPTH, LEAST = 3, 2
 DISCOUNT, RETAIN = 0.75, 6.0
 END, START = np.uint64(0x0E0E0E0E0E0E0E0E), np.uint64(0x0F0F0F0F0F0F0F0F)
 #: Text of a block in bytes and its tokens; its arrays are a few tens of times as large.
-BLOCK_BYTES, BLOCK_TOKENS = 3 << 20, 1 << 20
+BLOCK_BYTES, BLOCK_TOKENS = 4 << 20, 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(0xFFFF)
 
@@ -223,7 +223,9 @@ class Block:
             out += [*_short(contexts[span])]
             if some is not None:
                 own = slice(cuts[b], cuts[b + 1])
-                out += [(some[own] - edges[b]).astype("<u4"), *squeeze(values[0][own]), values[1][own].astype("<f4"), *squeeze(np.rint(values[2][own]).astype(np.int64)), *(x[own].astype("<f4") for x in values[3:])]
+                there = np.zeros(edges[b + 1] - edges[b], bool)
+                there[some[own] - edges[b]] = True
+                out += [np.packbits(there), *squeeze(values[0][own]), values[1][own].astype("<f4"), *squeeze(np.rint(values[2][own]).astype(np.int64)), *(x[own].astype("<f4") for x in values[3:])]
             else:
                 out += [none] * 8
             if size + edges[b + 1] - edges[b]:
@@ -341,7 +343,7 @@ def _answers(number: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("block")
         bucket, blocks = int(group["bucket"].iloc[0]), group["block"].tolist()
-        kinds = ("<u4", "<u2", np.uint8, "<i8") * 2 + ("<u4", "<u2", "<u4", np.uint8, "<i8", "<f4", np.uint8, "<i8", "<f4", "<f4")
+        kinds = ("<u4", "<u2", np.uint8, "<i8") * 2 + ("<u4", "<u2", np.uint8, np.uint8, "<i8", "<f4", np.uint8, "<i8", "<f4", "<f4")
         held = [B.unpack(p, *kinds) for p in group["payload"]]
         out, total, known = [[] for _ in blocks], 0, 0
         for i in (0, 4):
@@ -357,7 +359,7 @@ def _answers(number: int):
         sizes = [len(h[8]) for h in held]
         _, at, names = distinct(np.concatenate([_wide(h[8], h[9]) for h in held]))
         begin = np.cumsum([0, *sizes])
-        of = at[np.concatenate([h[10].astype(np.int64) + b for h, b in zip(held, begin, strict=False)])] if len(at) else at
+        of = at[np.concatenate([np.flatnonzero(np.unpackbits(h[10], count=n)) + b for h, n, b in zip(held, sizes, begin, strict=False)])] if len(at) else at
         add = lambda i: np.bincount(of, weights=np.concatenate([h[i] for h in held]), minlength=len(names))
         n = np.ones(len(names))
         n[of] = np.concatenate([widen(h[11], h[12]) for h in held])

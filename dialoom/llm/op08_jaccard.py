@@ -12,7 +12,7 @@ the end with one element for each, where the proof always holds.
 Signatures go through the block shuffle, straight from the rows; copies are joined in a block and again in a bucket, and no text is
 shuffled for them. Up to SMALL sets of one signature give all pairs; more
 give a star around the least. Where that leaves a signature's sets in several components, those outside the
-largest one are compared with the others, by sketch and in blocks of bounded size: each set yields its nearest few of
+largest one are compared with the others, by sketch and in blocks of bounded size: small sketches tell which sets have open pairs at all; each of these yields its nearest few of
 other components, which are verified, and the sets still apart yield more in the next round, until nothing is left. Every pair is verified on
 whole sets; a parity sketch, whose distance cannot exceed the sets', goes first. Only texts of open pairs
 travel, once for all their pairs: they meet where the least partner's do.
@@ -43,7 +43,7 @@ SPARE = 1.15
 SMALL, LOCAL = 3, 64
 CHUNK, STAR = 2048, 128
 #: How many partners a set yields in the first round of what stars leave, and how many times more in each later one.
-NEAREST, MORE = 16, 16
+NEAREST, MORE = 4, 16
 #: Keys of 16 bytes that may be broadcast to pick the texts or rows that are needed; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
 LEAST_BITS, BITS_EACH = 512, 4
@@ -188,7 +188,7 @@ def _whole_code(low: np.ndarray, bucket: int) -> np.ndarray:
 
 
 def _candidates(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows (kind, a, b, key, bits): kind 0 candidate pairs of ids; kind 1 a signature of many sets (a) and one of them (b); kind 2 id, size, key and sketch of a text."""
+    """Rows (kind, a, b, key, bits, small): kind 0 candidate pairs of ids; kind 1 a signature of many sets (a) and one of them (b); kind 2 id, size, key, sketch and small sketch of a text."""
     pairs, many = [], []
     own = [B.unpack(p, "<u8", "<u8") for p in group.loc[group["kind"] == 1, "payload"]]
     for code, held in own:
@@ -228,7 +228,7 @@ def _candidates(group: pd.DataFrame) -> pd.DataFrame:
         for i, (size, end) in enumerate(zip(sizes.tolist(), ends, strict=True)):
             texts.setdefault(keys[16 * i : 16 * i + 16], (int(n[i]), bits[end - size : end]))
     own_keys = list(texts)
-    out = [pd.DataFrame({"kind": 2, "a": _ids(own_keys).view(np.int64), "b": np.array([texts[k][0] for k in own_keys], np.int64), "key": own_keys, "bits": [texts[k][1] for k in own_keys]})]
+    out = [pd.DataFrame({"kind": 2, "a": _ids(own_keys).view(np.int64), "b": np.array([texts[k][0] for k in own_keys], np.int64), "key": own_keys, "bits": [texts[k][1] for k in own_keys], "small": [small_sketch(texts[k][1]) for k in own_keys]})]
     for kind, found in ((0, pairs), (1, many)):
         if found:
             p = np.concatenate(found)
@@ -237,7 +237,7 @@ def _candidates(group: pd.DataFrame) -> pd.DataFrame:
                 p = p[p[:, 0] != p[:, 1]]
             p = p[np.lexsort((p[:, 1], p[:, 0]))]
             p = p[np.concatenate([[True], (p[1:] != p[:-1]).any(axis=1)])] if len(p) else p
-            out.append(pd.DataFrame({"kind": kind, "a": p[:, 0].view(np.int64), "b": p[:, 1].view(np.int64), "key": None, "bits": None}))
+            out.append(pd.DataFrame({"kind": kind, "a": p[:, 0].view(np.int64), "b": p[:, 1].view(np.int64), "key": None, "bits": None, "small": None}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -254,6 +254,11 @@ def folded(bits: np.ndarray, n: int) -> np.ndarray:
     return bits
 
 
+def small_sketch(bits: bytes) -> bytes:
+    """The sketch folded to a bit or more for each element, LEAST_BITS at least."""
+    return folded(np.frombuffer(bits, np.uint8), max(len(bits) // BITS_EACH, LEAST_BITS // 8)).tobytes()
+
+
 def distance(a: np.ndarray, b: np.ndarray) -> int:
     """A lower bound of the number of elements in which the two sets differ."""
     n = min(len(a), len(b))
@@ -297,7 +302,9 @@ def _verified(near: DataFrame, texts: DataFrame, n_buckets: int) -> DataFrame:
 
 def _across(most: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Rows (x, y, more): a set and one of its ``most`` nearest that size and sketch leave open, of other components; whether it has further ones.
+        """Rows (code, x, y, more): of a signature a set and one of its ``most`` nearest that size and sketch leave open, of other components; whether it has further ones.
+
+        If ``most`` is 0, a row (code, x) for each set that has one or is one.
 
         Only sets within one block of a signature, and of its two sides, are compared; of two, x is that of the component with fewer sets there.
         """
@@ -315,7 +322,7 @@ def _across(most: int):
             rank = np.empty(len(of), np.int64)
             rank[np.lexsort((of, share))] = np.arange(len(of))
             rank = rank[at]
-            n, s = size[lo:hi], sides[lo:hi]
+            n, s, some = size[lo:hi], sides[lo:hi], np.zeros(hi - lo, bool)
             for i in range(hi - lo):
                 rest = np.flatnonzero((rank > rank[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])) & ((s != s[i]) | (s[i] == 0)))
                 if not len(rest):
@@ -328,20 +335,25 @@ def _across(most: int):
                         far[k] = distance(bits[lo + i], bits[lo + j])
                 good = 7 * far <= n[rest] + n[i]
                 rest, far = rest[good], far[good]
+                some[i] |= len(rest) > 0
+                some[rest] = True
                 for j in rest[np.argsort(far, kind="stable")[:most]].tolist():
-                    rows.append((keys[lo + i], keys[lo + j], len(rest) > most))
-        return pd.DataFrame(rows, columns=["x", "y", "more"]).astype({"more": bool})
+                    rows.append((int(block[lo, 0]), keys[lo + i], keys[lo + j], len(rest) > most))
+            if not most:
+                rows += [(int(block[lo, 0]), keys[lo + i], None, False) for i in np.flatnonzero(some).tolist()]
+        return pd.DataFrame(rows, columns=["code", "x", "y", "more"]).astype({"more": bool})
 
     return run
 
 
 def _residual(many: DataFrame, about: DataFrame, labels: DataFrame, n_buckets: int, most: int) -> DataFrame:
-    """Rows (x, y, more) as of ``_across`` among the sets of signatures that many sets have.
+    """Rows (code, x, y, more) as of ``_across`` among the sets (code, key) of signatures that many have.
 
-    A signature's largest component is dealt against the other sets only, so a set travels once for each CHUNK of these.
+    A signature's largest component is dealt against the other sets only, so a set travels once for each CHUNK of these, with
+    its whole sketch or, to find which sets have open pairs at all (``most`` 0), its small one, which leaves open all that the whole one does.
     """
     of = labels.select(F.col("id").alias("key"), "label")
-    member = many.join(about.select("id", "key"), "id").join(of, "key", "left").select("code", "key", F.coalesce("label", "key").alias("label"))
+    member = many.join(of, "key", "left").select("code", "key", F.coalesce("label", "key").alias("label"))
     print_of = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(name) for k, name in ((0, "f"), (1, "g"))]
     by_part = member.groupBy("code", "label").agg(F.count("*").alias("size"), *print_of)
     spread = by_part.groupBy("code").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max("size").alias("top"), F.max_by("label", F.struct("size", "label")).alias("largest"), F.bit_xor("f").alias("f"), F.bit_xor("g").alias("g"))
@@ -353,9 +365,17 @@ def _residual(many: DataFrame, about: DataFrame, labels: DataFrame, n_buckets: i
     among = "transform(sequence(0, few - 1), k -> named_struct('kind', 0, 'i', least(own, k), 'j', greatest(own, k), 'side', case when own = k then 0 when own < k then 1 else 2 end))"
     against = "transform(sequence(0, large - 1), k -> named_struct('kind', 1, 'i', own, 'j', k, 'side', 1))"
     met = "transform(sequence(0, few - 1), k -> named_struct('kind', 1, 'i', k, 'j', own, 'side', 2))"
-    dealt = dealt.select("code", "key", "label", F.explode(F.expr(f"if(main, {met}, concat({among}, {against}))")).alias("b")).join(about.select("key", "n", "bits"), "key")
+    dealt = dealt.select("code", "key", "label", F.explode(F.expr(f"if(main, {met}, concat({among}, {against}))")).alias("b")).join(about.select("key", "n", F.col("bits" if most else "small").alias("bits")), "key")
     dealt = dealt.select("code", "key", "label", "n", "bits", "b.*").withColumn("bucket", F.expr(f"cast(pmod(xxhash64(code, kind, i, j), {4 * n_buckets}) as int)"))
-    return dealt.groupBy("bucket").applyInPandas(B.freed(_across(most)), "x binary, y binary, more boolean")
+    return dealt.groupBy("bucket").applyInPandas(B.freed(_across(most)), "code long, x binary, y binary, more boolean")
+
+
+def _near_pairs(pairs: DataFrame, about: DataFrame, by: str) -> DataFrame:
+    """(a, b), keys, a < b, of the pairs (a, b) of ids or keys whose sizes and sketches leave a link open."""
+    left, right = (about.select(F.col(by).alias(c), F.col("key").alias(f"key_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    near = pairs.join(left, "a").join(right, "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    near = near.where(_near("bits_a", "bits_b", F.col("n_a") + F.col("n_b")))
+    return near.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
 
 
 def _linked_pairs(pairs: DataFrame, docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -374,25 +394,25 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, n) of every distinct text, and (id, label) of those with links: the least key of the component."""
     n_buckets = B.bucket_count(input_bytes(docs), 10 << 20)
     given = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
-    kept = given.mapInPandas(_sign(n_buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInPandas(B.freed(_candidates), "kind int, a long, b long, key binary, bits binary")
+    kept = given.mapInPandas(_sign(n_buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInPandas(B.freed(_candidates), "kind int, a long, b long, key binary, bits binary, small binary")
     kept = cut(kept)
     release(docs.sparkSession)
     many = kept.where("kind = 1").select(F.col("a").alias("code"), F.col("b").alias("id")).distinct()
-    about = kept.where("kind = 2").select("key", F.col("a").alias("id"), F.col("b").alias("n"), "bits")
-    left, right = (about.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    near = kept.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    near = near.where(_near("bits_a", "bits_b", F.col("n_a") + F.col("n_b"))).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
-    near = cut(near)
+    about = kept.where("kind = 2").select("key", F.col("a").alias("id"), F.col("b").alias("n"), "bits", "small")
+    near = cut(_near_pairs(kept.where("kind = 0").select("a", "b").distinct(), about, "id"))
     release(docs.sparkSession)
     links = _linked_pairs(near, docs, 4 * n_buckets)
     drop(near)
     labels = connected_components(links)
+    many = many.join(about.select("id", "key"), "id").select("code", "key")
+    many = cut(_residual(many, about, labels, n_buckets, 0).select("code", F.col("x").alias("key")).distinct())
+    release(docs.sparkSession)
     most, tried = NEAREST, None
     while True:
         rest = cut(_residual(many, about, labels, n_buckets, most))
         release(docs.sparkSession)
         pairs = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = cut(_near_pairs(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), about, "key"))
         if pairs.limit(1).count():
             found = _linked_pairs(pairs, docs, 4 * n_buckets)
             if found.limit(1).count():
@@ -400,6 +420,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 labels = connected_components(links)
         if not rest.where("more").limit(1).count():
             return about.select("key", "n"), labels
+        many = many.join(rest.where("more").select("code").distinct(), "code", "left_semi")  # all others have yielded all
         tried = pairs if tried is None else tried.unionByName(pairs)
         most *= MORE
 
@@ -425,14 +446,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64(*names).alias("h"))
     about, labels = link_classes(docs)
     known = about.where("n > 0").join(labels.withColumnRenamed("id", "key"), "key", "left").select(F.col("key").alias("_key"), F.coalesce("label", "key").alias("_label"))
-    # Losers, and winners that equal another row, are found on narrow rows; whole rows travel only if they are such winners, or if losers are many.
-    narrow = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("_key"), order.alias("_order")).join(known, "_key")
-    won = narrow.groupBy("_label").agg(F.min(F.struct("_order", "_key")).alias("w")).select("_label", F.col("w._key").alias("k"), F.col("w._order.h").alias("h"))
-    met = narrow.select("_label", F.col("_key").alias("k"), F.col("_order.h").alias("h")).groupBy("_label", "k", "h").agg(F.count("*").alias("c")).join(won.withColumn("first", F.lit(True)), ["_label", "k", "h"], "left")
-    met = cut(met.where("first is null or c > 1").select("k", "h", F.coalesce("first", F.lit(False)).alias("first")))
+    # What loses is found on narrow rows, one for each text; whole rows travel only if their text is in several rows, or if such texts are many.
+    own = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("_key"), order.alias("_order")).groupBy("_key").agg(F.min("_order").alias("_order"), F.count("*").alias("c"))
+    own = own.join(known, "_key")
+    won = own.groupBy("_label").agg(F.min(F.struct("_order", "_key")).alias("w"), F.sum("c").alias("rows")).where("rows > 1").select("_label", "w")
+    met = cut(own.join(won, "_label").select(F.col("_key").alias("k"), "c", F.when(F.col("_key") == F.col("w._key"), F.col("w._order.h")).alias("won"), F.lit(True).alias("met")))
     if met.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         met = F.broadcast(met)
     rows = docs.select(F.struct(*names).alias("_row"), text_key(F.col("text")).alias("k"), F.xxhash64(*names).alias("h"))
-    one = rows.join(met, ["k", "h"], "left").where("first is null or first")
-    several = one.where("first").groupBy("k", "h").agg(F.first("_row").alias("_row")).select("_row.*")
-    return one.where("first is null").select("_row.*").unionByName(several)
+    one = rows.join(met, "k", "left").where("met is null or h = won")
+    several = one.where("met and c > 1").groupBy("k").agg(F.first("_row").alias("_row")).select("_row.*")
+    return one.where("met is null or c = 1").select("_row.*").unionByName(several)
