@@ -18,7 +18,7 @@ import numpy as np
 
 PIECE_BYTES = (1 << 20) - (1 << 12)
 SEGMENT_WORDS = 1 << 18
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

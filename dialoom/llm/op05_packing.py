@@ -31,7 +31,7 @@ CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of words whose ids a Python worker keeps; beyond it the table starts anew.
-CACHED_PIECES = 4_000_000
+CACHED_PIECES = 1_500_000
 SHARD_BYTES = 24 << 20
 _NEVER = 1 << 40
 
@@ -187,7 +187,7 @@ def _tokenise(path: str, capacity: int):
 
         encode = own.encoder(path)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for frame in B.blocks(batches, limit=4 << 20):
+        for frame in B.blocks(batches, limit=2 << 20):
             rows = []
             for doc, shard, ids in zip(frame["doc_id"], frame["shard"], encode(list(frame["text"])), strict=True):
                 ids += end

@@ -48,7 +48,7 @@ NEAREST, MORE = 4, 16
 BROADCAST_KEYS = 200_000
 LEAST_BITS, BITS_EACH = 512, 4
 #: Texts that are signed at a time, in bytes.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -420,7 +420,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 labels = connected_components(links)
         if not rest.where("more").limit(1).count():
             return about.select("key", "n"), labels
-        many = many.join(rest.where("more").select("code").distinct(), "code", "left_semi")  # all others have yielded all
+        many = cut(many.join(rest.where("more").select("code").distinct(), "code", "left_semi"))  # all others have yielded all
         tried = pairs if tried is None else tried.unionByName(pairs)
         most *= MORE
 

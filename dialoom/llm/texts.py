@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.llm.blocks import give_back
+
 #: Bytes of text that are scored at a time.
-SCORED_BYTES = 4 << 20
+SCORED_BYTES = 1 << 20
 
 
 def text_key(text: Column) -> Column:
@@ -34,13 +36,16 @@ def score_column(score: Callable[[list[bytes]], np.ndarray], text: str = "text")
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        held = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-        out, at = [np.empty(0)], 0
-        ends = np.cumsum([len(t) for t in held])
-        while at < len(held):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SCORED_BYTES, side="right")))
-            out.append(score(held[at:to]))
-            at = to
+        out, held, size = [np.empty(0)], [], 0
+        for t in texts:
+            held.append(b"" if t is None else t.encode("utf-8", "surrogatepass"))
+            size += len(held[-1])
+            if size >= SCORED_BYTES:
+                out.append(score(held))
+                held, size = [], 0
+        if held:
+            out.append(score(held))
+        give_back()
         return pd.Series(np.concatenate(out))
 
     return scored(F.col(text))
