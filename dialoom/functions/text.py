@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Labels of assistant turns, the tokens that a PTB-style tokeniser drops, verbs that carry no action.
+# Labels of assistant turns, the form of a dialogue's line and of a label in it, the tokens that a PTB-style tokeniser drops, verbs that carry no action.
 INTENTIONS = (("instruction", "instruction"), ("correction", "correction"), ("info", "info_sharing"), ("feedback", "feedback"))
 DEFAULT_LABEL = "initiative|other"
 PUNCTUATION = ("''", "'", "``", "`", "-lrb-", "-rrb-", "-lcb-", "-rcb-", ".", "?", "!", ",", ":", "-", "--", "...", ";")
+DIALOG_LINE, LABEL_MARK = r"^\[(.*?)s\] (.*?): (.*)", r"\[(.*?)\|(.*?)\]"
 PASSIVE_VERBS = ("hold", "touch", "rotate", "inspect")
 
 TURN = T.StructType([T.StructField("role", T.StringType()), T.StructField("time", T.DoubleType()), T.StructField("content", T.StringType()), T.StructField("labels", T.StringType())])
@@ -24,41 +25,40 @@ def word_count(text: Column) -> Column:
 
 
 def initiativity(text: Column) -> Column:
-    """'initiative' before 'responsive'; a text with neither is an error."""
+    """'initiative' before 'responsive', in any case; a text with neither is an error."""
+    text = F.lower(text)
     return F.when(text.contains("initiative"), "initiative").when(text.contains("responsive"), "responsive").otherwise(F.raise_error(F.concat(F.lit("no initiativity in "), text)).cast("string"))
 
 
 def intention(text: Column) -> Column:
-    """All intentions in fixed order, joined by commas; 'other' if there is none."""
-    held = F.concat_ws(",", *[F.when(text.contains(mark), name) for mark, name in INTENTIONS])
+    """All intentions in fixed order, in any case, joined by commas; 'other' if there is none."""
+    held = F.concat_ws(",", *[F.when(F.lower(text).contains(mark), name) for mark, name in INTENTIONS])
     return F.when(held == "", "other").otherwise(held)
 
 
 def turn_label(text: Column) -> Column:
-    """``initiativity|intention`` of a label text, DEFAULT_LABEL if that cannot be parsed."""
-    first = F.when(text.contains("initiative"), "initiative").when(text.contains("responsive"), "responsive")
-    return F.coalesce(F.concat(first, F.lit("|"), intention(text)), F.lit(DEFAULT_LABEL))
+    """``initiativity|intention`` of the first ``[..|..]`` in a text, DEFAULT_LABEL if there is none or it cannot be parsed."""
+    mark = lambda k: F.regexp_extract(text, LABEL_MARK, k)
+    first = F.when(F.lower(mark(1)).contains("initiative"), "initiative").when(F.lower(mark(1)).contains("responsive"), "responsive")
+    return F.coalesce(F.concat(first, F.lit("|"), intention(mark(2))), F.lit(DEFAULT_LABEL))
 
 
 def parse_dialog(text: Column, with_labels: bool = True) -> Column:
-    """Array of turns from lines ``[12.5s] Role: content [labels]``.
+    """Array of turns from lines ``[12.5s] Role: content [initiativity|intention]``; the label may stand anywhere and is cut out.
 
-    Lines of another form, times that are no numbers, roles but user and assistant, and contents in
-    parentheses go. Neighbours of one role and time are joined, unless the new text equals what is there.
+    Lines of another form, times that are no numbers, roles but user and assistant, and contents that begin with a
+    parenthesis go; empty contents stay. Neighbours of one role and time are joined, unless the new text equals what is there.
     """
-    pattern = r"^\[(.*?)s\] (.*?): (.*)"
-    label = r"^(.*?)\s*\[([^\[\]]*\|[^\[\]]*)\]\s*$"
 
     def turn(line: Column) -> Column:
-        role = F.lower(F.regexp_extract(line, pattern, 2))
-        content = F.trim(F.regexp_extract(line, pattern, 3))
-        marked = F.regexp_extract(content, label, 2)
-        plain = F.when(F.length(marked) > 0, F.regexp_extract(content, label, 1)).otherwise(content) if with_labels else content
-        labels = F.when(role != "assistant", "").when(F.length(marked) > 0, turn_label(marked)).otherwise(DEFAULT_LABEL) if with_labels else F.lit("")
-        return F.struct(role.alias("role"), F.regexp_extract(line, pattern, 1).try_cast("double").alias("time"), plain.alias("content"), labels.alias("labels"))
+        part = lambda k: F.regexp_extract(line, DIALOG_LINE, k)
+        role, said = F.lower(part(2)), F.trim(part(3))
+        labels = F.when(role == "assistant", turn_label(said)).otherwise("") if with_labels else F.lit("")
+        plain = F.trim(F.regexp_replace(said, LABEL_MARK, ""))
+        return F.struct(role.alias("role"), part(1).try_cast("double").alias("time"), plain.alias("content"), labels.alias("labels"), said.startswith("(").alias("aside"))
 
     lines = F.transform(F.split(text, "\n"), turn)
-    good = F.filter(lines, lambda t: t["role"].isin("user", "assistant") & t["time"].isNotNull() & ~t["content"].startswith("(") & (t["content"] != ""))
+    good = F.filter(lines, lambda t: t["role"].isin("user", "assistant") & t["time"].isNotNull() & ~t["aside"])
     return merge_adjacent(good)
 
 
@@ -77,7 +77,7 @@ def merge_adjacent(turns: Column) -> Column:
 
 
 def conversation_text(turns: Column, head_tail: int | None = None) -> Column:
-    """``[t s] Role: content [labels]`` lines; with ``head_tail`` only the first and last half of so many, and '...' between."""
+    """``[t s] Role: content [labels]`` lines, each ended by a line feed; with ``head_tail`` only the first and last half of so many, and '...' between."""
 
     def line(t: Column) -> Column:
         labels = F.when(F.length(F.coalesce(t["labels"], F.lit(""))) > 0, F.concat(F.lit(" ["), t["labels"], F.lit("]"))).otherwise("")
@@ -88,7 +88,7 @@ def conversation_text(turns: Column, head_tail: int | None = None) -> Column:
         half = head_tail // 2
         short = F.concat(F.slice(lines, 1, half), F.array(F.lit("...")), F.slice(lines, -half, half))
         lines = F.when(F.size(lines) > head_tail, short).otherwise(lines)
-    return F.array_join(lines, "\n")
+    return F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
 
 
 def step_times(text: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_OPTIONS = 1000
+
 
 def required(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Inner join in which a key without a partner is an error."""
@@ -111,8 +113,10 @@ def concat_groups(files: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def with_existing(df: DataFrame, options: DataFrame, files: DataFrame, path: Column) -> DataFrame:
-    """Every row with each option for which the file exists; ``options`` is exploded as a literal list, so no side is multiplied blindly."""
-    values = [r[0] for r in options.limit(1000).collect()]
+    """Every row with each option for which the file exists; ``options`` is exploded as a literal list, so no side is multiplied blindly. More than MOST_OPTIONS are an error."""
+    values = [r[0] for r in options.limit(MOST_OPTIONS + 1).collect()]
+    if len(values) > MOST_OPTIONS:
+        raise ValueError(f"more than {MOST_OPTIONS} options")
     name = options.columns[0]
     there = files.select(F.col(files.columns[0]).alias("path"))
     return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values]))).withColumn("path", path).join(there, "path", "left_semi")

@@ -55,8 +55,10 @@ def timing_pair(spark: SparkSession, path: str) -> DataFrame:
 
 
 def literal_list(column: str) -> Column:
-    """An array column from a text such as ``['a', 'b']``."""
-    return F.from_json(F.translate(F.col(column), "'", '"'), "array<string>")
+    """An array column from a text such as ``['a', "it's"]``, in either kind of quotes; null if it is no list."""
+    quoted = F.regexp_extract_all(column, F.lit(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""), F.lit(0))
+    plain = F.transform(quoted, lambda q: F.regexp_replace(F.substring(q, F.lit(2), F.length(q) - 2), r"\\(.)", "$1"))
+    return F.when(F.trim(column).rlike(r"(?s)^\[.*\]$"), plain)
 
 
 def excel(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:
