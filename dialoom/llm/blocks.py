@@ -12,6 +12,7 @@ shuffle, so that a hash in a third of all rows costs its bucket one entry for ea
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -221,6 +222,7 @@ def blocks(batches: Iterable, column: str = "text", limit: int = BLOCK_BYTES) ->
     if held:
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
     held.clear()
+    gc.collect()
     give_back()
 
 

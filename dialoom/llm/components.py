@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from dialoom.session import delete_path, ensure_checkpoint_dir
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared checkpoint folder: no lineage, and none of a plan's constraints, which grow from round to round."""
+def cut(df: DataFrame, merged: bool = True) -> DataFrame:
+    """``df`` as a table written to the shared checkpoint folder: no lineage, and none of a plan's constraints, which grow from round to round.
+
+    If ``merged``, its rows are dealt once more, in parts of the size that adaptive execution aims at, so that many tasks of few rows leave few files.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if merged else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

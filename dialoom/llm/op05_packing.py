@@ -16,6 +16,7 @@ one; an empty table gives no rows; extra columns are ignored; a null doc_id stay
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces of words whose ids a Python worker keeps; beyond it the table starts anew.
-CACHED_PIECES = 1_500_000
+CACHED_PIECES = 400_000
 SHARD_BYTES = 24 << 20
 _NEVER = 1 << 40
 
@@ -94,6 +95,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -393,7 +393,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             questions = blocks.mapInPandas(_first_questions(depth, n_buckets), asked)
         else:
             questions = _met(blocks, answers).applyInPandas(B.freed(_questions(depth, number, n_buckets, n, v)), asked)
-        new = cut(questions.groupBy("bucket").applyInPandas(B.freed(_answers(number)), told))
+        new = cut(questions.groupBy("bucket").applyInPandas(B.freed(_answers(number)), told), merged=False)
         release(docs.sparkSession)
         if number == 1:
             total = new.where("block < 0").agg(F.sum("n"), F.sum("v")).first()
