@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialoom.llm import op01_substring, op02_toxicity, op03_quality, op04_wrappers, op05_packing, op06_url_filters, op07_suffix_tree, op08_jaccard, op09_media, op10_decontaminate
+from dialoom.llm import op01_substring, op02_toxicity, op03_quality, op04_wrappers, op05_packing, op06_url_filters, op07_suffix_tree, op08_jaccard, op09_media, op10_decontaminate, op11_vector_codes, op12_mixing, op13_repair
 from dialoom.session import table
 
 
@@ -50,6 +50,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_repair.digest(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -64,9 +76,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_jaccard_join,
             op9_media_columns,
             op10_decontamination,
+            op11_vector_code_compression,
+            op12_source_mixing,
+            op13_conversation_repair,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": op06_url_filters.ORACLE, "op10_decontamination": op10_decontaminate.ORACLE}
+    return {
+        "op6_url_filters": op06_url_filters.ORACLE,
+        "op10_decontamination": op10_decontaminate.ORACLE,
+        "op11_vector_code_compression": op11_vector_codes.ORACLE,
+        "op12_source_mixing": op12_mixing.ORACLE,
+    }
