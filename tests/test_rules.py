@@ -224,7 +224,7 @@ def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(i, "train" if i % 2 else "val") for i in range(10)], "i int, split string")
     sinks.json_by_split(df, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).where("split = 'val'").count() == 5
-    sinks.grouped_files(df, str(tmp_path / "grouped"), 4)
+    sinks.grouped_files(df, str(tmp_path / "grouped"), df.columns[0], [df.columns[0]], 4)
     assert spark.read.parquet(str(tmp_path / "grouped")).count() == 10
     done, todo = readers.resume(df, df.where("i < 3").select("i"), "i")
     assert (done.count(), todo.count()) == (3, 7)
