@@ -109,10 +109,15 @@ def summary_line(text: Column) -> Column:
     return F.trim(F.split_part(F.try_element_at(lines, F.lit(-1)), F.lit(":"), F.lit(2)))
 
 
+def progress_note(time: Column, text: Column) -> Column:
+    """The elapsed time and the summary of an answer; an answer without one is an error."""
+    shown = F.concat(F.lit("The time elapsed since the start of the task is "), one_digit(time), F.lit(" seconds. "), summary_line(text))
+    return F.when(text.contains("SUMMARY"), shown).otherwise(F.raise_error(F.concat(F.lit("no summary in "), text)).cast("string"))
+
+
 def judge_scores(text: Column, names: tuple[str, ...]) -> Column:
-    """Scores from the first {...} after the first '---', as a struct; null if they cannot be read."""
-    tail = F.split_part(text, F.lit("---"), F.lit(2))
-    body = F.regexp_extract(tail, r"(?s)(\{.*?\})", 1)
+    """Scores from the first {...} of one line between the first and the second '---', of the whole text without such a mark, as a struct; null if they cannot be read."""
+    body = F.regexp_extract(F.when(text.contains("---"), F.split_part(text, F.lit("---"), F.lit(2))).otherwise(text), r"(\{.*?\})", 1)
     return F.from_json(F.when(F.length(body) > 0, body), T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
 
 
@@ -127,11 +132,18 @@ def by_keyword(text: Column, cases: tuple[tuple[str, str], ...], default: str) -
 
 
 def narration(passes: Column) -> Column:
-    """One sentence from the first two narrations: unsure ones go, the actor's mark is needed, a second one becomes 'and'."""
-    held = F.filter(F.slice(passes, 1, 2), lambda p: ~p.contains("#unsure") & p.startswith("#C C"))
-    first = F.transform(held, lambda p: F.trim(F.split_part(F.substring(p, 5, 1_000_000), F.lit("#C C"), F.lit(1))))
-    text = F.concat(F.lit("C "), F.array_join(F.transform(first, lambda p: F.rtrim(p, F.lit("."))), " and "))
-    return F.when(F.size(held) > 0, F.concat(text, F.lit(".")))
+    """One sentence from the first two narrations: the actor's mark becomes 'C' in the first and 'and' in the second.
+
+    Those marked unsure in any case and those that do not start with the actor's mark go; of one that holds the mark again, only what is before it stays. '' if nothing is left.
+    """
+
+    def said(p: Column, i: Column) -> Column:
+        own = F.substring(p, 5, 1_000_000_000)
+        own = F.when(own.contains("#C C"), F.rtrim(F.split_part(own, F.lit("#C C"), F.lit(1)))).otherwise(own)
+        return F.when(~F.lower(p).contains("#unsure") & p.startswith("#C C"), F.concat(F.when(i == 0, "C").otherwise("and"), own))
+
+    text = F.trim(F.array_join(F.filter(F.transform(F.slice(passes, 1, 2), said), lambda x: x.isNotNull()), " "))
+    return F.when(F.coalesce(F.size(passes), F.lit(0)) <= 0, "").when((text != "") & ~text.endswith("."), F.concat(text, F.lit("."))).otherwise(text)
 
 
 def capitalised(text: Column) -> Column:
@@ -150,17 +162,21 @@ def plural(noun: Column, n: Column) -> Column:
 
 
 def mistake_text(verb: Column, this: Column, that: Column) -> tuple[Column, Column]:
-    """What was done, and its correction: attach and detach, and every 'to' and 'from', change places."""
-    done = F.concat_ws(" ", verb, this, F.when(verb.startswith("detach"), "from").otherwise("to"), that)
-    swapped = F.replace(F.replace(F.replace(done, F.lit("detach"), F.lit("\u0001")), F.lit("attach"), F.lit("detach")), F.lit("\u0001"), F.lit("attach"))
-    swapped = F.replace(F.replace(F.replace(swapped, F.lit("from"), F.lit("\u0001")), F.lit("to"), F.lit("from")), F.lit("\u0001"), F.lit("to"))
-    return done, swapped
+    """What was done, and what it corrects: 'attach' goes with 'to', all other verbs with 'from'; the correction of an attaching has 'detach' for every 'attach' and 'from' for every 'to', that of any other verb the reverse."""
+    to = verb == "attach"
+    done = F.concat_ws(" ", verb, this, F.when(to, "to").otherwise("from"), that)
+
+    def turned(*words: str) -> Column:
+        return F.replace(F.replace(done, F.lit(words[0]), F.lit(words[1])), F.lit(words[2]), F.lit(words[3]))
+
+    return done, F.when(to, turned("attach", "detach", "to", "from")).otherwise(turned("detach", "attach", "from", "to"))
 
 
 def connected(first: Column, second: Column) -> Column:
-    """Two phrases joined by a comma, the second one's first letter in lower case; by a colon, unchanged, if the first ends in one."""
-    head = F.rtrim(first)
-    return F.when(head.endswith(":"), F.concat(head, F.lit(" "), second)).otherwise(F.concat(F.rtrim(head, F.lit(".,")), F.lit(", "), F.lower(F.left(second, F.lit(1))), F.substring(second, 2, 1_000_000)))
+    """Two phrases with a space between: the second begins in lower case after a comma or colon, else in upper case; an empty one leaves the other, a second one alone begins in upper case."""
+    rest = F.substring(second, 2, 1_000_000_000)
+    upper, lower = (F.concat(change(F.left(second, F.lit(1))), rest) for change in (F.upper, F.lower))
+    return F.when(first == "", upper).when(second == "", first).when(F.right(first, F.lit(1)).isin(",", ":"), F.concat(first, F.lit(" "), lower)).otherwise(F.concat(first, F.lit(" "), upper))
 
 
 def ptb_tokens(text: Column) -> Column:
@@ -180,13 +196,25 @@ def chat_text(turns: Column, image: str = "<image>", per_image: int = 1, separat
     return F.array_join(F.transform(turns, one), "")
 
 
-def cleaned(text: Column, image: str = "<image>", separator: str = "") -> Column:
-    """Generated text up to its end mark, without image tokens and headers; a lone full stop is silence."""
-    cut = F.split_part(text, F.lit("<|eot_id|>"), F.lit(1))
+def cleaned_turn(text: Column, image: str = "<image>", separator: str = "") -> Column:
+    """(text, role) of generated text up to its end mark, without the start mark, image tokens and separators.
+
+    Where a role's header is there, the role is what stands before its end and the text what stands behind, as it is; else the role is null and a lone full stop is silence.
+    """
+    cut = F.regexp_replace(F.split_part(text, F.lit("<|eot_id|>"), F.lit(1)), r"^\s+|\s+$", "")
     for mark in ("<|begin_of_text|>", image, *([separator] if separator else [])):
         cut = F.replace(cut, F.lit(mark), F.lit(""))
-    said = F.trim(F.when(cut.contains("<|end_header_id|>"), F.split_part(cut, F.lit("<|end_header_id|>"), F.lit(2))).otherwise(cut), F.lit(" \n"))
-    return F.when(said == ".", "").otherwise(said)
+    head = "<|end_header_id|>\n\n"
+    end = F.instr(cut, head)
+    role = F.replace(F.substring(cut, F.lit(1), end - 1), F.lit("<|start_header_id|>"), F.lit(""))
+    return F.when(end > 0, F.struct(F.substring(cut, end + len(head), F.length(cut)).alias("text"), role.alias("role"))).otherwise(
+        F.struct(F.when(cut == ".", "").otherwise(cut).alias("text"), F.lit(None).cast("string").alias("role"))
+    )
+
+
+def cleaned(text: Column, image: str = "<image>", separator: str = "") -> Column:
+    """The text of ``cleaned_turn``."""
+    return cleaned_turn(text, image, separator)["text"]
 
 
 def combined_system(turns: Column) -> Column:
@@ -200,14 +228,19 @@ def instruction_of(text: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """A number with K, M or G, in steps of 1000."""
-    shown = lambda d, u: F.concat(F.format_string("%.1f", n / d), F.lit(u))
-    return F.when(n >= 1e9, shown(1e9, "G")).when(n >= 1e6, shown(1e6, "M")).when(n >= 1e3, shown(1e3, "K")).otherwise(n.cast("long").cast("string"))
+    """A whole number with K, M, G, T or P, in steps of 1000; numbers of less than 1000 in size as they are."""
+    out, scaled = F.format_string("%d", F.when(F.abs(n) < 1000, n).cast("long")), n.cast("double")
+    for unit in ("K", "M", "G", "T", "P"):
+        larger = F.abs(scaled) >= 1000
+        scaled = scaled / 1000.0
+        out = F.when(larger, F.concat(one_digit(scaled), F.lit(unit))).otherwise(out)
+    return out
 
 
 def short_name(name: Column) -> Column:
-    """A data set's name up to and with its 'val' or 'test'."""
-    return F.regexp_extract(name, r"^(.*?(?:val|test)|.*)", 1)
+    """A data set's name up to and with its first 'val'; without one, its first 'test'."""
+    until = lambda mark: F.concat(F.split_part(name, F.lit(mark), F.lit(1)), F.lit(mark))
+    return F.when(name.contains("val"), until("val")).when(name.contains("test"), until("test")).otherwise(name)
 
 
 def user_types(text: Column) -> Column:
@@ -231,9 +264,14 @@ def dataset_path(text: Column, root: str) -> Column:
     return F.concat(F.lit(root.rstrip("/") + "/"), F.split_part(text, F.lit("/"), F.lit(1)), F.lit("/prepared/"), F.split_part(text, F.lit("/"), F.lit(2)), F.lit(".jsonl"))
 
 
-def task_catalogue(names: Column) -> Column:
-    """A numbered list, one task a line."""
-    return F.array_join(F.transform(names, lambda n, i: F.concat((i + 1).cast("string"), F.lit(". "), n)), "\n")
+def task_catalogue(tasks: Column) -> Column:
+    """Of an array of tasks (id, name, domain, steps): a head line, numbered steps and a blank line for each."""
+
+    def one(t: Column) -> Column:
+        steps = F.transform(t["steps"], lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x, F.lit("\n")))
+        return F.concat(F.lit("Task "), t["id"].cast("string"), F.lit(": "), t["name"], F.lit(" (domain: "), t["domain"], F.lit(")\n"), F.array_join(steps, ""), F.lit("\n"))
+
+    return F.array_join(F.transform(tasks, one), "")
 
 
 def tokens_estimate(text: Column, images: Column, per_image: int = 500) -> Column:
@@ -241,12 +279,38 @@ def tokens_estimate(text: Column, images: Column, per_image: int = 500) -> Colum
     return F.floor(word_count(text) * F.lit(1.3)) + images * per_image
 
 
+def one_digit(x: Column) -> Column:
+    """A number with one digit after the point, rounded as the double's exact value is, ties to even: 0.25 is 0.2 and 0.35, which lies below, 0.3.
+
+    20 |x| is kept as an exact sum of two doubles (the upper 26 bits of x, and the rest), so the comparison with the tie is exact below 1e14.
+    """
+    size = F.abs(x.cast("double"))
+    upper = size * 134217729.0
+    upper = upper - (upper - size)
+    a, b = upper * 20.0, (size - upper) * 20.0
+    half = F.floor((a + b) / 2.0)
+    over = (a - (half * 2 + 1)) + b
+    k = half + F.when((over > 0) | ((over == 0) & (half % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(k / 10).cast("string"), F.lit("."), (k % 10).cast("string"))
+
+
 def step_line(start: Column, end: Column, text: Column) -> Column:
-    """``[1.0s-2.5s] text``; times rounded half up to one digit."""
-    shown = lambda t: F.round(t.cast("double"), 1).cast("string")
-    return F.concat(F.lit("["), shown(start), F.lit("s-"), shown(end), F.lit("s] "), text)
+    """``[1.0s-2.5s] text``."""
+    return F.concat(F.lit("["), one_digit(start), F.lit("s-"), one_digit(end), F.lit("s] "), text)
+
+
+def substep_line(start: Column, text: Column) -> Column:
+    """`` - [1.0s] text``."""
+    return F.concat(F.lit(" - ["), one_digit(start), F.lit("s] "), text)
 
 
 def normalised(text: Column) -> Column:
-    """Underscores as spaces, the student as the user, unintelligible marks gone."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("_"), F.lit(" ")), r"\bstudent\b", "user"), r"\*?unintelligible\*?", ""))
+    """Trimmed; underscores as spaces, every 'student' as 'user', ``*unintelligible*`` gone."""
+    held = F.replace(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("_"), F.lit(" "))
+    return F.replace(F.replace(held, F.lit("student"), F.lit("user")), F.lit("*unintelligible*"), F.lit(""))
+
+
+def named_clip(*parts: Column, view: Column | None = None) -> Column:
+    """A recording's name: its parts joined by underscores, and the view behind two."""
+    name = F.concat_ws("_", *parts)
+    return name if view is None else F.concat(name, F.lit("__"), view)

@@ -112,20 +112,23 @@ def adjust_times(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, "pos", "role", "time").groupBy(key).applyInPandas(run, f"{key} long, pos int, role string, time double")
 
 
-def until_summary(turns: Column) -> Column:
-    """Turns before the first system turn that asks for a summary."""
-    place = F.array_position(F.transform(turns, lambda t: (t["role"] == "system") & t["content"].startswith("Please summarize")), True)
-    return F.when(place > 0, F.slice(turns, F.lit(1), (place - 1).cast("int"))).otherwise(turns)
+def until_summary(turns: Column, end: Column) -> Column:
+    """(turns, end): turns up to and with the first system turn that asks for a summary, and where the last frames before it end; without one, all turns and the end as given."""
+    asks = F.transform(turns, lambda t: (t["role"] == "system") & t["content"].startswith("Please summarize"))
+    place = F.array_position(asks, True).cast("int")
+    kept = F.when(place > 0, F.slice(turns, F.lit(1), place)).otherwise(turns)
+    last = F.try_element_at(F.filter(kept, lambda t: t["role"] == "frames"), F.lit(-1))["end"]
+    return F.struct(kept.alias("turns"), F.when(place > 0, last).otherwise(end).alias("end"))
 
 
-def knowledge_in_first(turns: Column) -> Column:
-    """A second system turn with task knowledge is taken out and its content put behind the first one's."""
+def knowledge_in_first(turns: Column, knowledge: Column) -> Column:
+    """The second system turn goes if it holds task knowledge; the first one gets the sample's own knowledge unless it has some."""
     mark = "Task knowledge: "
-    second = F.try_element_at(turns, F.lit(2))
-    has = (F.size(turns) > 1) & (second["role"] == "system") & second["content"].contains(mark)
-    first = F.element_at(turns, 1)
-    joined = first.withField("content", F.concat(first["content"], F.lit("\n\n"), second["content"]))
-    return F.when(has, F.concat(F.array(joined), F.slice(turns, F.lit(3), F.greatest(F.size(turns) - 2, F.lit(0))))).otherwise(turns)
+    places = F.filter(F.transform(turns, lambda t, i: F.when(t["role"] == "system", i)), lambda i: i.isNotNull())
+    first, second = F.try_element_at(places, F.lit(1)), F.try_element_at(places, F.lit(2))
+    held = F.filter(turns, lambda t, i: ~((i == F.coalesce(second, F.lit(-1))) & t["content"].contains(mark)))
+    grown = lambda t: t.withField("content", F.concat(t["content"], F.lit(f" {mark}"), knowledge))
+    return F.transform(held, lambda t, i: F.when((i == F.coalesce(first, F.lit(-1))) & ~t["content"].contains(mark), grown(t)).otherwise(t))
 
 
 SAMPLE = "conv_id long, clip_idx int, first_pos int, last_pos int, seq_len long, start_frame long, end_frame long, progress string, has_summary boolean"

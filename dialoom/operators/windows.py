@@ -137,10 +137,11 @@ def merge_frame_runs(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return runs.groupBy(*keys, "run_no").agg(F.min_by("role", F.struct(*order)).alias("role"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"))
 
 
-def talk_drop(df: DataFrame, keys: list[str], order: list[str], probability: str, threshold: float, first: float = 0.5) -> DataFrame:
-    """``df`` with talk: the silence probability fell by more than the threshold; the first row compares with ``first``."""
-    before = F.coalesce(F.lag(probability).over(_w(keys, order)), F.lit(first))
-    return df.withColumn("talk", before - F.col(probability) > threshold)
+def talk_drop(df: DataFrame, keys: list[str], order: list[str], probability: str, threshold: float, middle: float = 0.5) -> DataFrame:
+    """``df`` with talk: the silence probability fell by more than the threshold since the row before, or is at most ``middle``, which alone decides a key's first row."""
+    before = F.lag(probability).over(_w(keys, order))
+    fell = F.coalesce(before - F.col(probability) > threshold, F.lit(False))
+    return df.withColumn("talk", fell | (F.col(probability) <= middle))
 
 
 def start_offset(df: DataFrame, keys: list[str], start: str, end: str, lead: float = 2.0) -> DataFrame:

@@ -26,15 +26,6 @@ def _case_sql(*results: str) -> str:
     return f"[{', '.join(results)}][event_id % {len(results)} + 1]"
 
 
-@query(f"""SELECT event_id, {_case_sql("'initiative'", "'responsive'", "'initiative'")} AS who, {_case_sql("'instruction,feedback'", "'info_sharing'", "'other'")} AS what,
-  {_case_sql("'initiative|instruction,feedback'", "'responsive|info_sharing'", "'initiative|other'")} AS label FROM events""")
-def label_rules(s: SparkSession, d: str) -> DataFrame:
-    e, who = _cases(s, d, "Initiative", "it is RESPONSIVE", "initiative or responsive")
-    _, what = _cases(s, d, "Feedback, Instruction", "INFO sharing", "none")
-    _, whole = _cases(s, d, "a [Initiative|Feedback, Instruction] b", "[Responsive|Info] a", "no label")
-    return e.select("event_id", tx.initiativity(who).alias("who"), tx.intention(what).alias("what"), tx.turn_label(whole).alias("label"))
-
-
 @query("""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, role, turn::DOUBLE AS time,
   CASE WHEN turn % 3 = 2 THEN '' ELSE left(split_part(trim(text), chr(10), 1), 20) || '.' END AS content, CASE WHEN role <> 'assistant' THEN '' WHEN turn % 3 = 2 THEN 'initiative|other' ELSE 'responsive|correction' END AS labels
 FROM conversations WHERE role IN ('user', 'assistant') AND turn % 7 <> 5""")
@@ -54,64 +45,6 @@ def conv_to_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "conversations").groupBy("conv_id").agg(tx.conversation_text(F.sort_array(F.collect_list(turn))).alias("text"))
 
 
-@query("""SELECT event_id, (event_id % 90)::INTEGER AS answer, 'step ' || event_id AS summary, event_id % 5 + 0.5 AS score, 'Goal ' || event_id AS goal, CASE WHEN event_id % 2 = 0 THEN 'coffee' ELSE 'plain' END AS recipe FROM events""")
-def answer_rules(s: SparkSession, d: str) -> DataFrame:
-    e, i = table(s, d, "events"), F.col("event_id").cast("string")
-    c = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
-    return e.select(
-        "event_id",
-        tx.answer_int(c("First 7.\nANSWER: about ", (F.col("event_id") % 90).cast("string"), " of 99")).alias("answer"),
-        tx.summary_line(c("SUMMARY: none\nmore\n** SUMMARY: step ", i, " : end")).alias("summary"),
-        tx.judge_scores(c("text --- {\"a\": ", (F.col("event_id") % 5 + 0.5).cast("string"), "} rest"), ("a",))["a"].alias("score"),
-        tx.goal_line(c("**Goal ", i, "** \nmore")).alias("goal"),
-        tx.by_keyword(F.when(F.col("event_id") % 2 == 0, "Make COFFEE now").otherwise("x"), (("tea", "tea"), ("coffee", "coffee")), "plain").alias("recipe"),
-    )
-
-
-@query(f"""SELECT event_id, {_case_sql("'950'", "'1.5K'", "'2.0M'", "'3.2G'")} AS size, {_case_sql("'ego-val'", "'x_test'", "'plain'")} AS short, {_case_sql("'C opens the door and closes it.'", "'C sits.'", "NULL")} AS narration,
-  {_case_sql("'Take it, then go'", "'Do: Then go'")} AS joined, {_case_sql("'attach a to b'", "'detach a from b'")} AS done, {_case_sql("'detach a from b'", "'attach a to b'")} AS undone, {_case_sql("'Hello there'", "'X'")} AS capital,
-  {_case_sql("'the user waits'", "'no  one'")} AS clean, {_case_sql("'[1.0s-2.5s] t'", "'[0.3s-9.0s] t'")} AS step FROM events""")
-def phrase_rules(s: SparkSession, d: str) -> DataFrame:
-    e, size = _cases(s, d, "950", "1500", "2000000", "3210000000")
-    pick = lambda *v: _cases(s, d, *v)[1]
-    passes = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("#C C opens the door."), F.lit("#C C closes it"))).when(F.col("event_id") % 3 == 1, F.array(F.lit("#C C #unsure"), F.lit("#C C sits."))).otherwise(F.array(F.lit("#O X"), F.lit("#unsure")))
-    done, undone = tx.mistake_text(pick("attach", "detach"), F.lit("a"), F.lit("b"))
-    return e.select(
-        "event_id",
-        tx.size_text(size.cast("double")).alias("size"),
-        tx.short_name(pick("ego-val-L1", "x_test", "plain")).alias("short"),
-        tx.narration(passes).alias("narration"),
-        tx.connected(pick("Take it.", "Do: "), pick("Then go", "Then go")).alias("joined"),
-        done.alias("done"),
-        undone.alias("undone"),
-        tx.capitalised(pick("hELLO there", "x")).alias("capital"),
-        tx.normalised(pick("the_student_waits *unintelligible*", "no  one")).alias("clean"),
-        tx.step_line(pick("1", "0.25").cast("double"), pick("2.46", "9").cast("double"), F.lit("t")).alias("step"),
-    )
-
-
-@query(f"""SELECT event_id, {_case_sql("'a,a,b'", "'c'")} AS users, {_case_sql("'wtag/dialog|stream|4096|0.4|drop'", "'ego|vlm|512|NULL|keep'")} AS setup, 'root/wtag/prepared/train.jsonl' AS path, '1. x' || chr(10) || '2. y' AS tasks FROM events""")
-def setup_rules(s: SparkSession, d: str) -> DataFrame:
-    e, users = _cases(s, d, "a@2,b@1", "c")
-    _, setup = _cases(s, d, "wtag/dialog|stream|4k|0.4|drop", "ego|vlm|512|x|keep")
-    one = tx.eval_setups(setup)[0]
-    shown = F.concat_ws("|", one["dataset"], one["runner"], one["max_len"].cast("string"), F.coalesce(one["threshold"].cast("string"), F.lit("NULL")), one["context"])
-    return e.select("event_id", F.array_join(tx.user_types(users), ",").alias("users"), shown.alias("setup"), tx.dataset_path(F.lit("wtag/train"), "root/").alias("path"), tx.task_catalogue(F.array(F.lit("x"), F.lit("y"))).alias("tasks"))
-
-
-@query(f"""SELECT event_id, {_case_sql("'said'", "''", "'hello'")} AS clean, 'a' || chr(10) || chr(10) || 'c' AS system, 'Do this.' AS instruction, {_case_sql("'it is n''t so'", "'a b'")} AS tokens FROM events""")
-def chat_rules(s: SparkSession, d: str) -> DataFrame:
-    e, out = _cases(s, d, "<|begin_of_text|><|start_header_id|>assistant<|end_header_id|>\n\nsaid<|eot_id|>more", "<image><image>.", "hello \n")
-    turns = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("content")) for r, c in (("system", "a"), ("user", "b"), ("system", "c"))])
-    return e.select(
-        "event_id",
-        tx.cleaned(out).alias("clean"),
-        tx.combined_system(turns).alias("system"),
-        tx.instruction_of(F.lit("Do this. The time elapsed since x Task knowledge: y")).alias("instruction"),
-        F.array_join(tx.ptb_tokens(_cases(s, d, "It isn't so!", "A, (b)...")[1]), " ").alias("tokens"),
-    )
-
-
 @query("""SELECT event_id, (event_id % 7) * 3600 + (event_id % 50) * 60 + 1.5 AS clock, event_id / 1e7 AS ticks, ((event_id % 50) * 120 + 1)::BIGINT AS frame, printf('00:%02d:%02d', event_id % 50, 30) AS shown,
   CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 1.0 END AS cost, floor(least(event_id % 70 / 300.0 * 60, 10) * 2)::INTEGER AS pause, (event_id % 4) * 10 + greatest(event_id % 4 - 1, 0) AS tokens,
   CASE WHEN event_id % 4 > 1 THEN (event_id % 4 - 1)::INTEGER ELSE 0 END AS ranges, (200 + 2 * (event_id % 9))::INTEGER AS width, floor((50 - (event_id % 3) * 10) / 2)::INTEGER AS top FROM events""")

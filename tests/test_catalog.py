@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from dialoom.plans import catalog, rules, stored  # noqa: F401
+from dialoom.plans import catalog, phrases, rules, stored  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -148,7 +148,7 @@ def test_text_functions(spark):
     assert one(spark, tx.narration(F.array(F.lit("#C C picks a cup"), F.lit("#unsure")))) == "C picks a cup."
     assert one(spark, tx.by_keyword(F.lit("Hot Coffee"), (("coffee", "c"), ("tortilla", "t")), "d")) == "c"
     assert one(spark, tx.ptb_tokens(F.lit("Don't stop, now!"))) == ["do", "n't", "stop", "now"]
-    assert one(spark, tx.cleaned(F.lit("assistant<|end_header_id|>\n\n.<|eot_id|>junk"))) == ""
+    assert one(spark, tx.cleaned(F.lit("assistant<|end_header_id|>\n\n.<|eot_id|>junk"))) == "."
     assert one(spark, tx.turn_label(F.lit("???"))) == "initiative|other"
     done, swapped = tx.mistake_text(F.lit("attach"), F.lit("wheel"), F.lit("body"))
     assert one(spark, done) == "attach wheel to body"
@@ -225,7 +225,7 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.json_by_split(df, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).where("split = 'val'").count() == 5
     sinks.grouped_files(df, str(tmp_path / "grouped"), df.columns[0], [df.columns[0]], 4)
-    assert spark.read.parquet(str(tmp_path / "grouped")).count() == 10
+    assert len(list((tmp_path / "grouped").rglob("*.arrow"))) == 10
     done, todo = readers.resume(df, df.where("i < 3").select("i"), "i")
     assert (done.count(), todo.count()) == (3, 7)
     frames = spark.createDataFrame([("v", i) for i in range(6)], "video_uid string, frame_idx int")
