@@ -307,11 +307,29 @@ def stream_context_lengths(s: SparkSession, d: str) -> DataFrame:
     return sx.context_lengths(f, "user_id", 700, "drop_middle")
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, f AS (SELECT user_id AS sample_idx, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i, event_type = 'click' AS gen, event_type = 'view' AS ref, count(*) OVER (PARTITION BY user_id) AS n FROM e
+), costs AS (SELECT a.sample_idx, a.i, k, CASE WHEN b.ref THEN 0.0 ELSE 1.0 END + abs(k - 4) ** 1.5 * 0.3 / 4 ** 1.5 AS c FROM f a, range(7) r(k), f b WHERE a.gen AND b.sample_idx = a.sample_idx AND b.i = a.i + k - 4
+), best AS (
+  SELECT sample_idx, 0::BIGINT AS i, 0::BIGINT AS mask, 0.0::DOUBLE AS cost FROM f WHERE i = 0
+  UNION ALL
+  SELECT b.sample_idx, b.i + 1, (CASE WHEN c.k IS NULL THEN b.mask ELSE b.mask | (1::BIGINT << c.k) END) >> 1 AS mask, min(b.cost + coalesce(c.c, 0))
+  FROM best b JOIN f ON f.sample_idx = b.sample_idx AND f.i = b.i LEFT JOIN costs c ON f.gen AND c.sample_idx = b.sample_idx AND c.i = b.i WHERE NOT f.gen OR (b.mask & (1::BIGINT << c.k)) = 0 GROUP BY ALL
+) SELECT b.sample_idx, n_gen, round(min(cost), 6) AS total, true AS optimal FROM best b JOIN (SELECT sample_idx, max(n) AS n, count(*) FILTER (WHERE gen) AS n_gen FROM f GROUP BY ALL) g ON g.sample_idx = b.sample_idx AND g.n = b.i WHERE n_gen > 0 GROUP BY ALL""")
 def stream_matches(s: SparkSession, d: str) -> DataFrame:
+    """Least totals of the matching, proven by prices; the SQL goes over all sets of taken columns of the window."""
+    return matching.proven(_match_frames(s, d), -4, 2)
+
+
+def _match_frames(s: SparkSession, d: str) -> DataFrame:
     e = wn.row_index(_events(s, d), ["user_id"], ["t"])
-    f = e.select(F.col("user_id").alias("sample_idx"), F.col("frame_no").cast("long").alias("frame_idx"), F.when(F.col("event_type") == "click", "x").otherwise("").alias("gen"), F.when(F.col("event_type") == "view", "y").otherwise("").alias("ref"))
-    return matching.find_matches(f, -4, 2)
+    return e.select(F.col("user_id").alias("sample_idx"), F.col("frame_no").cast("long").alias("frame_idx"), F.when(F.col("event_type") == "click", "x").otherwise("").alias("gen"), F.when(F.col("event_type") == "view", "y").otherwise("").alias("ref"))
+
+
+@query("""SELECT user_id AS sample_idx, count(*) FILTER (WHERE event_type = 'click') AS n_gen, count(*) FILTER (WHERE event_type = 'view') AS n_ref FROM events GROUP BY user_id HAVING n_gen + n_ref > 0""")
+def stream_match_kinds(s: SparkSession, d: str) -> DataFrame:
+    """Every generated turn is matched or redundant, every reference matched or missed, none twice."""
+    m = matching.find_matches(_match_frames(s, d), -4, 2)
+    return m.groupBy("sample_idx").agg(F.count_distinct(F.when(F.col("kind") != "missed", F.col("gen_idx"))).alias("n_gen"), F.count_distinct(F.when(F.col("kind") != "redundant", F.col("ref_idx"))).alias("n_ref"))
 
 
 @query("""
