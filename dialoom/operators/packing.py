@@ -6,7 +6,9 @@ State runs along one conversation only, so each is one Arrow group or one fold o
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,57 +16,84 @@ from pyspark.sql import functions as F
 CLIP = "conv_id long, clip_idx int, first_pos int, last_pos int, seq_len long, n_turns int, start_frame long, end_frame long"
 
 
-def seeded_between(low: int, high: int, *key: object) -> int:
+def seeded_between(low: int, high: int, key: str) -> int:
     """A stable number of [low, high] for a key."""
-    return low + int(hashlib.md5(repr(key).encode()).hexdigest()[:8], 16) % (high - low + 1)
+    return low + int(hashlib.md5(key.encode()).hexdigest()[:8], 16) % (high - low + 1)
 
 
-def split_turns(turns: list[dict], most: int, context: tuple[int, int] = (0, 0), key: object = None) -> list[list[dict]]:
-    """Clips of turns {role, length, start, end, pos}: an assistant turn that takes the sum over ``most`` closes the clip after the last one that fitted.
+@dataclass
+class Clip:
+    """Turns [first, last] of a conversation, the frame that a cut frames turn in front now starts at, and the sum of lengths."""
 
-    What follows begins anew; a frames turn in front of it is cut to a seeded number of frames. Where no assistant turn fits yet,
-    the clip starts again from the frames turn before. Turns after the last assistant turn go, and so does a rest without one.
+    first: int
+    last: int
+    head: int | None
+    total: int
+
+
+def cut_points(group: pd.DataFrame, most: int, context: tuple[int, int] | None = None, key: object = None, per_image: int = 10, separator: bool = False) -> list[Clip]:
+    """Clips of turns (role, length, start, end) in order, each of at most ``most`` in length and ending in an assistant turn.
+
+    The assistant turn that takes the sum over ``most`` closes the clip after the last one that fitted; it is found by binary search in the prefix sums
+    at assistant turns. What follows begins anew, with ``context`` frames, a seeded number of [low, high], before the end of a frames turn in front,
+    also if that is more than it had. Where no assistant turn fits yet, the clip starts again from the frames turn before the first, cut in the same way; if that turn is no frames turn, the conversation ends, and
+    if it was so cut already, the clip starts behind the assistant turn. Turns after the last assistant turn go.
     """
-    clips, rest, guard = [], list(turns), 0
-    while any(t["role"] == "assistant" for t in rest) and guard <= 2 * len(turns):
-        guard += 1
-        total, last_fit, over = 0, -1, -1
-        for i, t in enumerate(rest):
-            total += t["length"]
-            if t["role"] == "assistant":
-                if total > most:
-                    over = i
-                    break
-                last_fit = i
-        if over < 0:
-            clips.append(rest[: last_fit + 1])
+    role = group["role"].to_numpy()
+    spans = group[["start", "end"]].fillna(0).to_numpy(np.int64)
+    total = np.concatenate([[0], np.cumsum(group["length"].to_numpy(np.int64))])
+    speaks = np.flatnonzero(role == "assistant")
+    at_speaks = total[speaks + 1]
+    clips: list[Clip] = []
+
+    def headed(first: int, number: int) -> int | None:
+        if context is None or first >= len(role) or role[first] != "frames":
+            return None
+        return max(0, int(spans[first, 1]) - seeded_between(*context, f"{key}:{number}"))
+
+    def grown(first: int, head: int | None) -> int:
+        if head is None:
+            return 0
+        n = int(spans[first, 1]) - head
+        return n * per_image + (max(n - 1, 0) if separator else 0) - int(total[first + 1] - total[first])
+
+    first, head = 0, None
+    for number in range(1, 2 * len(role) + 2):
+        low = int(np.searchsorted(speaks, first))
+        before = int(total[first]) - grown(first, head)
+        fit = int(np.searchsorted(at_speaks, most + before, side="right")) - 1
+        over = max(fit + 1, low)
+        if fit >= low:
+            clips.append(Clip(first, int(speaks[fit]), head, int(at_speaks[fit]) - before))
+        if over >= len(speaks):
             break
-        if last_fit >= 0:
-            clips.append(rest[: last_fit + 1])
-            rest = rest[last_fit + 1 :]
+        if fit >= low:
+            first = int(speaks[fit]) + 1
         else:
-            before = max((i for i in range(1, over) if rest[i]["role"] == "frames"), default=over + 1)
-            rest = rest[before:]
-        if rest and rest[0]["role"] == "frames" and rest[0]["end"] > rest[0]["start"]:
-            head = dict(rest[0])
-            n, per = head["end"] - head["start"], head["length"] / (head["end"] - head["start"])
-            keep = min(n, max(1, seeded_between(*context, key, len(clips)) if context[1] else n))
-            head |= {"start": head["end"] - keep, "length": int(round(per * keep))}
-            rest = [head, *rest[1:]]
+            frames = int(speaks[over]) - 1
+            if frames < first or role[frames] != "frames":
+                break
+            first = frames + 2 if frames == first and head is not None else frames
+        head = headed(first, number)
     return clips
 
 
-def split_conversations(df: DataFrame, most: int, context: tuple[int, int] = (0, 0)) -> DataFrame:
-    """Clips of each conversation of (conv_id, pos, role, length, start, end)."""
+def _frames_of(group: pd.DataFrame, clip: Clip) -> list[tuple[int, int]]:
+    part = group.iloc[clip.first : clip.last + 1]
+    spans = [(int(a), int(b)) for r, a, b in zip(part["role"], part["start"], part["end"], strict=True) if r == "frames"]
+    return [(clip.head, spans[0][1]), *spans[1:]] if clip.head is not None else spans
+
+
+def split_conversations(df: DataFrame, most: int, context: tuple[int, int] | None = None, per_image: int = 10, separator: bool = False) -> DataFrame:
+    """Clips of each conversation of (conv_id, pos, role, length, start, end), as ``cut_points`` says; the context is in frames, the lengths of cut frames turns in tokens for each image."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        conv = int(group["conv_id"].iloc[0])
-        turns = group[["pos", "role", "length", "start", "end"]].fillna(0).to_dict("records")
+        group = group.sort_values("pos").reset_index(drop=True)
+        conv, pos = int(group["conv_id"].iloc[0]), group["pos"].to_numpy()
         rows = []
-        for k, clip in enumerate(split_turns(turns, most, context, conv)):
-            frames = [t for t in clip if t["role"] == "frames"]
-            rows.append((conv, k, int(clip[0]["pos"]), int(clip[-1]["pos"]), int(sum(t["length"] for t in clip)), len(clip), int(min((t["start"] for t in frames), default=0)), int(max((t["end"] for t in frames), default=0))))
+        for k, clip in enumerate(cut_points(group, most, context, conv, per_image, separator)):
+            spans = _frames_of(group, clip)
+            rows.append((conv, k, int(pos[clip.first]), int(pos[clip.last]), clip.total, clip.last - clip.first + 1, min((a for a, _ in spans), default=0), max((b for _, b in spans), default=0)))
         return pd.DataFrame(rows, columns=["conv_id", "clip_idx", "first_pos", "last_pos", "seq_len", "n_turns", "start_frame", "end_frame"])
 
     return df.select("conv_id", "pos", "role", "length", "start", "end").groupBy("conv_id").applyInPandas(run, CLIP)
@@ -83,33 +112,41 @@ def greedy_samples(items: Column, length: str, most: int) -> Column:
     return F.aggregate(items, start, step, lambda a: a["ids"])
 
 
-def adjusted_times(turns: list[tuple[str, float]], least: float = 0.5, gap: float = 1.0, rounds: int = 1000) -> list[float]:
-    """Times moved until no turn but an answer to a user follows within ``least`` seconds: it, and following turns closer than ``gap``, go to ``gap`` after the one before."""
-    times = [t for _, t in turns]
-    for _ in range(rounds):
-        changed = False
-        for i in range(1, len(times)):
-            if times[i] - times[i - 1] < least and not (turns[i - 1][0] == "user" and turns[i][0] == "assistant"):
-                old, new = times[i], times[i - 1] + gap
-                last = i
-                while last + 1 < len(times) - 1 and times[last + 1] - old < gap:
-                    last += 1
-                for k in range(i, last + 1):
-                    times[k] = new
-                changed = changed or new != old
-        if not changed:
-            break
-    return times
+def adjusted_times(turns: Column, least: float = 0.5, gap: float = 1.0) -> Column:
+    """Times of an array of turns (role, time, ...), moved until no turn but an answer to a user follows within ``least`` seconds.
 
+    Such a turn goes to ``gap`` after the one before, and with it all turns next to it that are closer than ``gap`` to its old time, but for the last of
+    the conversation. One fold does what repeated passes do: a move changes no turn before it, so a pair that is apart stays apart; and
+    of several moves that reach a turn only the latest counts, as its old time is the new time of the one before. So a fold keeps the latest move alone.
+    """
+    n = F.size(turns)
+    start = F.struct(
+        F.lit(None).cast("double").alias("before"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("double").alias("from"), F.lit(None).cast("double").alias("to"), F.array().cast("array<double>").alias("times")
+    )
+
+    def step(acc: Column, turn: Column) -> Column:
+        own = turn["time"].cast("double")
+        last = F.size(acc["times"]) == n - 1
+        carried = F.coalesce((own - acc["from"] < gap) & ~last, F.lit(False))
+        time = F.when(carried, acc["to"]).otherwise(own)
+        close = F.coalesce((time - acc["before"] < least) & ~((turn["role"] == "assistant") & (acc["role"] == "user")), F.lit(False))
+        new = F.when(close, acc["before"] + gap).otherwise(time)
+        return F.struct(
+            new.alias("before"),
+            turn["role"].alias("role"),
+            F.when(close, time).when(carried, acc["from"]).alias("from"),
+            F.when(close, new).when(carried, acc["to"]).alias("to"),
+            F.concat(acc["times"], F.array(new)).alias("times"),
+        )
+
+    return F.aggregate(turns, start, step, lambda acc: acc["times"])
 
-def adjust_times(df: DataFrame, key: str) -> DataFrame:
-    """(key, pos, role, time) with times moved apart."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        return group.assign(time=adjusted_times(list(zip(group["role"], group["time"], strict=True))))
 
-    return df.select(key, "pos", "role", "time").groupBy(key).applyInPandas(run, f"{key} long, pos int, role string, time double")
+def adjust_times(df: DataFrame, key: str) -> DataFrame:
+    """(key, pos, role, time) with times moved apart; one fold in the JVM for each key."""
+    turns = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "role", "time"))).alias("_turns"))
+    moved = turns.withColumn("_times", adjusted_times(F.col("_turns")))
+    return moved.select(key, F.explode(F.arrays_zip("_turns", "_times")).alias("_t")).select(key, "_t._turns.pos", "_t._turns.role", F.col("_t._times").alias("time"))
 
 
 def until_summary(turns: Column, end: Column) -> Column:
@@ -131,34 +168,60 @@ def knowledge_in_first(turns: Column, knowledge: Column) -> Column:
     return F.transform(held, lambda t, i: F.when((i == F.coalesce(first, F.lit(-1))) & ~t["content"].contains(mark), grown(t)).otherwise(t))
 
 
-SAMPLE = "conv_id long, clip_idx int, first_pos int, last_pos int, seq_len long, start_frame long, end_frame long, progress string, has_summary boolean"
-
-
-def prepare_samples(df: DataFrame, most: int, system: int, summary: int, context: tuple[int, int] = (0, 0), summaries: bool = True) -> DataFrame:
-    """Training samples of conversations (conv_id, pos, role, length, start, end, progress).
-
-    Every clip has a system turn of ``system`` tokens, from the second on with the progress that the last assistant turn before it noted, and, with ``summaries``, ends in a summary
-    of ``summary`` tokens asked for on one more frame; both are taken off ``most`` before the turns are split. Samples that still exceed it are not kept, and do not count.
+SAMPLE = (
+    "conv_id long, clip_idx int, first_pos int, last_pos int, seq_len long, start_frame long, end_frame long, progress string, has_summary boolean, "
+    "conversation array<struct<role: string, content: string, start: long, end: long>>"
+)
+
+
+def prepare_samples(
+    df: DataFrame,
+    most: int,
+    system: int,
+    summary: int,
+    context: tuple[int, int] | None = None,
+    summaries: bool = True,
+    prompts: tuple[str, ...] = ("You assist.",),
+    ask: str = "Please summarize the progress.",
+    knowledge: str = "",
+    n_frames: int | None = None,
+    per_image: int = 10,
+) -> DataFrame:
+    """Training samples of conversations (conv_id, pos, role, length, start, end, progress, and content if there is one), with their turns.
+
+    A sample begins with a system turn of ``system`` tokens: a prompt, and from the second sample on the progress that the sample before noted last, and the knowledge.
+    With ``summaries`` it ends in the request, one more frame and the progress of its last answer, of ``summary`` tokens together, unless there is
+    no further frame or no progress. Both are taken off ``most`` before the turns are split. A sample without frames, or that reaches the end of ``n_frames``, is not kept and does not count.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
+        group = group.sort_values("pos").reset_index(drop=True)
         conv = int(group["conv_id"].iloc[0])
-        turns = group[["pos", "role", "length", "start", "end"]].fillna(0).to_dict("records")
-        noted = [(int(p), x) for p, r, x in zip(group["pos"], group["role"], group["progress"], strict=True) if r == "assistant" and isinstance(x, str)]
-        rows, number = [], 0
-        for clip in split_turns(turns, most - system - (summary if summaries else 0), context, conv):
-            first, last = int(clip[0]["pos"]), int(clip[-1]["pos"])
-            before = [x for p, x in noted if p < first]
-            frames = [t for t in clip if t["role"] == "frames"]
-            size = int(sum(t["length"] for t in clip)) + system + (summary if summaries else 0)
-            if size > most or not frames:
+        rows: list[tuple] = []
+        noted = None
+        for clip in cut_points(group, most - system - (summary if summaries else 0), context, conv, per_image):
+            part = group.iloc[clip.first : clip.last + 1]
+            spans = _frames_of(group, clip)
+            if not spans:
                 continue
-            rows.append((conv, number, first, last, size, int(frames[0]["start"]), int(frames[-1]["end"]) + int(summaries), before[-1] if before else None, summaries))
-            number += 1
-        return pd.DataFrame(rows, columns=["conv_id", "clip_idx", "first_pos", "last_pos", "seq_len", "start_frame", "end_frame", "progress", "has_summary"])
-
-    return df.select("conv_id", "pos", "role", "length", "start", "end", "progress").groupBy("conv_id").applyInPandas(run, SAMPLE)
+            start, end = spans[0][0], spans[-1][1]
+            own = part["progress"].iloc[-1]
+            ends = summaries and isinstance(own, str) and (n_frames is None or end + 1 < n_frames)
+            if n_frames is not None and end + int(ends) >= n_frames:
+                continue
+            head = " ".join([prompts[seeded_between(0, len(prompts) - 1, f"{conv}:{len(rows)}")], *([noted] if noted else []), *([knowledge] if rows and knowledge else [])])
+            told, left = [("system", head, None, None)], list(spans)
+            for role, text in zip(part["role"], part["content"], strict=True):
+                told.append((role, None, *left.pop(0)) if role == "frames" else (role, text, None, None))
+            if ends:
+                told += [("system", ask, None, None), ("frames", None, end, end + 1), ("assistant", own, None, None)]
+            rows.append((conv, len(rows), int(part["pos"].iloc[0]), int(part["pos"].iloc[-1]), clip.total + system + (summary if ends else 0), start, end + int(ends), noted, ends, told))
+            said = [x for r, x in zip(part["role"], part["progress"], strict=True) if r == "assistant" and isinstance(x, str)]
+            noted = said[-1] if said else None
+        return pd.DataFrame(rows, columns=["conv_id", "clip_idx", "first_pos", "last_pos", "seq_len", "start_frame", "end_frame", "progress", "has_summary", "conversation"])
+
+    content = F.col("content") if "content" in df.columns else F.lit(None).cast("string")
+    return df.select("conv_id", "pos", "role", content.alias("content"), "length", "start", "end", "progress").groupBy("conv_id").applyInPandas(run, SAMPLE)
 
 
 def pack_with_restarts(turns: list[int], most: int, head: int, restart: int, summary: int) -> list[tuple[int, int, int]]:

@@ -101,6 +101,22 @@ def frame_positions(df: DataFrame, keys: list[str], order: list[str], time: str,
     return out.withColumn("frame_start", F.coalesce(F.lag("frame_end").over(_w(keys, order)), F.col("_s"))).drop("_s", "_k", "_raw")
 
 
+def framed(df: DataFrame, keys: list[str], order: list[str], time: str, fps: float, length: str, offset: str | None = None, knowledge: Column | None = None) -> DataFrame:
+    """Timed turns (role, content) as conversations of frames: (keys, pos, role, content, start, end).
+
+    Before each turn stands the frames turn that leads to it; with ``knowledge``, a system turn with it follows the first user turn. Turns beyond the last frame go.
+    """
+    placed = frame_positions(df, keys, order, time, fps, length, offset)
+    shown = F.struct(F.lit("frames").alias("role"), F.lit(None).cast("string").alias("content"), F.col("frame_start").alias("start"), F.col("frame_end").alias("end"))
+    said = lambda role, text: F.struct(role.alias("role"), text.alias("content"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    parts = F.array(shown, said(F.col("role"), F.col("content")))
+    if knowledge is not None:
+        first = (F.col("role") == "user") & (F.sum((F.col("role") == "user").cast("int")).over(_so_far(keys, order)) == 1)
+        parts = F.when(first & (knowledge != ""), F.concat(parts, F.array(said(F.lit("system"), knowledge)))).otherwise(parts)
+    out = placed.withColumn("_parts", parts).select(*keys, *order, F.posexplode("_parts").alias("_part", "_turn"))
+    return out.select(*keys, F.row_number().over(_w(keys, [*order, "_part"])).alias("pos"), "_turn.*")
+
+
 def insert_after_first(df: DataFrame, keys: list[str], order: list[str], role: str, wanted: str, new_role: str, pos: str = "pos") -> DataFrame:
     """Rows numbered anew, with a row of ``new_role`` after each key's first row of the wanted role."""
     seen = F.sum((F.col(role) == wanted).cast("int")).over(_so_far(keys, order))

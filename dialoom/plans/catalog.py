@@ -345,18 +345,76 @@ def stream_metric_row(s: SparkSession, d: str) -> DataFrame:
     return out.select("n_matched", "n_good", *[F.round(c, 6).alias(c) for c in ("jaccard", "missing", "redundant", "precision", "recall", "time_diff", "f1")])
 
 
-@query()
-def conv_split_clips(s: SparkSession, d: str) -> DataFrame:
-    t = _turns(s, d).withColumn("length", F.when(F.col("role") == "frames", (F.col("end") - F.col("start")) * 10).otherwise(F.length("content")))
-    return packing.split_conversations(t.withColumnRenamed("user_id", "conv_id"), 120, (1, 2))
+CLIPS = """, t AS (SELECT user_id, pos - 1 AS i, role, content, CASE WHEN role = 'frames' THEN "end" - len END AS s, CASE WHEN role = 'frames' THEN "end" END AS e, CASE WHEN role = 'frames' THEN len * 10 ELSE length(content) END AS n, max(pos) OVER (PARTITION BY user_id) AS m FROM turns
+), l AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0, sum(n) OVER (PARTITION BY user_id ORDER BY i) AS c1 FROM t
+), walk AS (
+  SELECT user_id, 0 AS k, 0::BIGINT AS i, NULL::BIGINT AS head, false AS stop FROM l WHERE i = 0
+  UNION ALL
+  SELECT w.user_id, w.k + 1, q.nxt, CASE WHEN h.role = 'frames' THEN greatest(0, h.e - {low} - ('0x' || substr(md5(w.user_id || ':' || (w.k + 1)), 1, 8))::BIGINT % {span}) END, q.nxt IS NULL OR h.i IS NULL
+  FROM walk w JOIN LATERAL (
+    SELECT max(a.i) FILTER (WHERE a.c1 - f.c0 + coalesce((f.e - w.head) * 10 - f.n, 0) <= {most}) AS fit, min(a.i) FILTER (WHERE a.c1 - f.c0 + coalesce((f.e - w.head) * 10 - f.n, 0) > {most}) AS over
+    FROM l a, l f WHERE a.user_id = w.user_id AND a.role = 'assistant' AND a.i >= w.i AND f.user_id = w.user_id AND f.i = w.i
+  ) x ON true JOIN LATERAL (
+    SELECT CASE WHEN x.over IS NULL THEN NULL WHEN x.fit IS NOT NULL THEN x.fit + 1 WHEN x.over - 1 < w.i OR (SELECT p.role FROM l p WHERE p.user_id = w.user_id AND p.i = x.over - 1) <> 'frames' THEN NULL WHEN x.over - 1 = w.i AND w.head IS NOT NULL THEN x.over + 1 ELSE x.over - 1 END AS nxt
+  ) q ON true LEFT JOIN l h ON h.user_id = w.user_id AND h.i = q.nxt WHERE NOT w.stop
+), found AS (SELECT w.user_id, w.k, w.i AS a, w.head, max(l.i) AS b FROM walk w JOIN l f ON f.user_id = w.user_id AND f.i = w.i JOIN l ON l.user_id = w.user_id AND l.role = 'assistant' AND l.i >= w.i AND l.c1 - f.c0 + coalesce((f.e - w.head) * 10 - f.n, 0) <= {most} WHERE NOT w.stop GROUP BY ALL
+), clips AS (SELECT f.user_id, f.k, f.a, f.b, f.head, count(*) AS n_turns, sum(l.n + CASE WHEN l.i = f.a AND f.head IS NOT NULL THEN (l.e - f.head) * 10 - l.n ELSE 0 END) AS size, min(CASE WHEN l.i = f.a AND f.head IS NOT NULL THEN f.head ELSE l.s END) AS lo, max(l.e) AS hi
+  FROM found f JOIN l ON l.user_id = f.user_id AND l.i BETWEEN f.a AND f.b GROUP BY ALL)"""
 
 
-@query()
+def _lengths(s: SparkSession, d: str) -> DataFrame:
+    return _turns(s, d).withColumn("length", F.when(F.col("role") == "frames", (F.col("end") - F.col("start")) * 10).otherwise(F.length("content"))).withColumnRenamed("user_id", "conv_id")
+
+
+@query(f"""WITH RECURSIVE {TURNS}{CLIPS.format(low=1, span=12, most=120)}
+SELECT user_id AS conv_id, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS clip_idx, a + 1 AS first_pos, b + 1 AS last_pos, size::BIGINT AS seq_len, n_turns, coalesce(lo, 0)::BIGINT AS start_frame, coalesce(hi, 0)::BIGINT AS end_frame FROM clips""")
+def conv_split_clips(s: SparkSession, d: str) -> DataFrame:
+    return packing.split_conversations(_lengths(s, d), 120, (1, 12))
+
+
+@query(f"""WITH RECURSIVE {TURNS}{CLIPS.format(low=1, span=12, most=120)}, kept AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS clip_idx FROM clips WHERE hi IS NOT NULL AND hi + 1 < 150
+), noted AS (SELECT *, lag('p' || (b + 1)) OVER (PARTITION BY user_id ORDER BY clip_idx) AS progress FROM kept)
+SELECT n.user_id AS conv_id, n.clip_idx, n.a + 1 AS first_pos, n.b + 1 AS last_pos, (n.size + 20 + 30)::BIGINT AS seq_len, (arg_min(CASE WHEN l.i = n.a AND n.head IS NOT NULL THEN n.head ELSE l.s END, l.i) FILTER (WHERE l.role = 'frames'))::BIGINT AS start_frame, (n.hi + 1)::BIGINT AS end_frame, progress,
+  'system:You assist.' || coalesce(' ' || progress, '') || CASE WHEN n.clip_idx > 0 THEN ' know' ELSE '' END || ' | ' || string_agg(CASE WHEN l.role = 'frames' THEN 'frames:' || CASE WHEN l.i = n.a AND n.head IS NOT NULL THEN n.head ELSE l.s END::BIGINT || '-' || l.e::BIGINT ELSE l.role || ':' || l.content END, ' | ' ORDER BY l.i)
+    || ' | system:Please summarize the progress. | frames:' || n.hi::BIGINT || '-' || (n.hi + 1)::BIGINT || ' | assistant:p' || (n.b + 1) AS told
+FROM noted n JOIN l ON l.user_id = n.user_id AND l.i BETWEEN n.a AND n.b GROUP BY n.user_id, n.clip_idx, n.a, n.b, n.size, n.hi, progress, n.head""")
+def conv_prepared_samples(s: SparkSession, d: str) -> DataFrame:
+    """Samples with their conversations, written out."""
+    t = _lengths(s, d).withColumn("progress", F.when(F.col("role") == "assistant", F.concat(F.lit("p"), F.col("pos").cast("string"))))
+    out = packing.prepare_samples(t, 170, 20, 30, (1, 12), knowledge="know", n_frames=150)
+    shown = F.transform("conversation", lambda x: F.when(x["role"] == "frames", F.concat(F.lit("frames:"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))).otherwise(F.concat(x["role"], F.lit(":"), x["content"])))
+    return out.select("conv_id", "clip_idx", "first_pos", "last_pos", "seq_len", "start_frame", "end_frame", "progress", F.array_join(shown, " | ").alias("told"))
+
+
+@query(f"""WITH RECURSIVE {E}, t AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY t) AS pos, count(*) OVER (PARTITION BY user_id) AS m, CASE WHEN event_type = 'click' THEN 'assistant' ELSE 'user' END AS role, t / 86400 AS time FROM e
+), w AS (
+  SELECT user_id, pos, role, time AS before, NULL::DOUBLE AS fr, NULL::DOUBLE AS tt FROM t WHERE pos = 1
+  UNION ALL
+  SELECT t.user_id, t.pos, t.role, z.new, CASE WHEN z.near THEN z.now WHEN z.carried THEN z.fr END, CASE WHEN z.near THEN z.new WHEN z.carried THEN z.tt END FROM (
+    SELECT y.*, CASE WHEN near THEN before + 1.0 ELSE now END AS new FROM (
+      SELECT x.*, coalesce(now - before < 0.5, false) AND NOT (role = 'assistant' AND prole = 'user') AS near FROM (
+        SELECT t.user_id, t.pos, t.role, w.role AS prole, w.before, w.fr, w.tt, coalesce(t.time - w.fr < 1.0, false) AND t.pos < t.m AS carried, CASE WHEN coalesce(t.time - w.fr < 1.0, false) AND t.pos < t.m THEN w.tt ELSE t.time END AS now FROM w JOIN t ON t.user_id = w.user_id AND t.pos = w.pos + 1) x) y) z JOIN t ON t.user_id = z.user_id AND t.pos = z.pos
+) SELECT user_id, pos::INTEGER AS pos, role, before AS time FROM w""")
 def event_adjust_times(s: SparkSession, d: str) -> DataFrame:
     t = _events(s, d).select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("t")).cast("int").alias("pos"), F.when(F.col("event_type") == "click", "assistant").otherwise("user").alias("role"), (F.col("t") / 86400).alias("time"))
     return packing.adjust_times(t, "user_id")
 
 
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, role, left(text, 8) AS content, floor(turn * (conv_id % 7) * 0.9 * 2)::BIGINT AS raw, 9 + conv_id % 6 AS n, floor((conv_id % 3) * 0.8 * 2)::BIGINT AS s0 FROM conversations
+), w AS (
+  SELECT conv_id, turn, s0 AS a, CASE WHEN least(raw, n - 1) > s0 THEN least(raw, n - 1) ELSE s0 + 1 END AS b FROM c WHERE turn = 0 AND CASE WHEN least(raw, n - 1) > s0 THEN least(raw, n - 1) ELSE s0 + 1 END < n
+  UNION ALL
+  SELECT c.conv_id, c.turn, w.b, CASE WHEN least(raw, n - 1) > w.b THEN least(raw, n - 1) ELSE w.b + 1 END FROM w JOIN c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1 WHERE CASE WHEN least(raw, n - 1) > w.b THEN least(raw, n - 1) ELSE w.b + 1 END < n
+), x AS (SELECT w.conv_id, w.turn, 0 AS part, 'frames' AS role, NULL AS content, a AS start, b AS "end" FROM w UNION ALL SELECT w.conv_id, w.turn, 1, role, content, NULL, NULL FROM w JOIN c ON c.conv_id = w.conv_id AND c.turn = w.turn
+  UNION ALL SELECT conv_id, turn, 2, 'system', 'know ' || conv_id, NULL, NULL FROM (SELECT w.conv_id, min(w.turn) AS turn FROM w JOIN c ON c.conv_id = w.conv_id AND c.turn = w.turn WHERE role = 'user' GROUP BY ALL))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, part) AS pos, role, content, start, "end" FROM x""")
+def conv_framed(s: SparkSession, d: str) -> DataFrame:
+    """Timed turns as conversations of frames, with knowledge behind the first user turn."""
+    c = table(s, d, "conversations").withColumn("content", F.left("text", F.lit(8))).withColumn("time", F.col("turn") * (F.col("conv_id") % 7) * 0.9).withColumn("n", 9 + F.col("conv_id") % 6).withColumn("at", (F.col("conv_id") % 3) * 0.8)
+    out = wn.framed(c, ["conv_id"], ["turn"], "time", 2.0, "n", "at", F.concat(F.lit("know "), F.col("conv_id").cast("string")))
+    return out.select("conv_id", F.col("pos").cast("long").alias("pos"), "role", "content", "start", "end")
+
+
 # --- conversations and text
 
 

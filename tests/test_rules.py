@@ -2,8 +2,10 @@
 
 import itertools
 import json
+import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,10 +111,38 @@ def test_stream_metrics_case(spark):
     assert [m.jaccard, m.missing, m.redundant, m.precision, m.recall, m.f1] == pytest.approx([0.4, 0.285714, 0.375, 0.5, 0.571429, 0.533333], abs=1e-6)
 
 
-def test_adjust_times_cases():
-    turns = [("user", 1.0), ("assistant", 1.0), ("assistant", 1.2), ("user", 1.5), ("assistant", 4.0)]
-    assert packing.adjusted_times(turns) == [1.0, 1.0, 2.0, 3.0, 4.0]
-    assert packing.adjusted_times([("assistant", 1.0), ("assistant", 1.1)]) == [1.0, 2.0]
+def plain_times(turns):
+    """Passes until nothing moves."""
+    times = [t for _, t in turns]
+    while True:
+        moved = False
+        for i in range(1, len(times)):
+            if times[i] - times[i - 1] < 0.5 and (turns[i][0], turns[i - 1][0]) != ("assistant", "user"):
+                group, k = [i], i + 1
+                while k < len(times) - 1 and times[k] - times[i] < 1.0:
+                    group.append(k)
+                    k += 1
+                for g in group:
+                    times[g] = times[i - 1] + 1.0
+                moved = True
+        if not moved:
+            return times
+
+
+def test_adjust_times_cases(spark):
+    rng = random.Random(2)
+    cases = [[("user", 1.0), ("assistant", 1.0), ("assistant", 1.2), ("user", 1.5), ("assistant", 4.0)], [("assistant", 1.0), ("assistant", 1.1)]]
+    for _ in range(400):
+        at = sorted(rng.choice([0.25, 0.5, 1.0, 0.1]) * rng.randint(0, 20) for _ in range(rng.randint(1, 12)))
+        if rng.random() < 0.3:
+            rng.shuffle(at)
+        cases.append([(rng.choice(["user", "assistant", "user", "system"]), t) for t in at])
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, turns array<struct<role: string, time: double>>")
+    got = {r.i: r.times for r in df.select("i", packing.adjusted_times(F.col("turns")).alias("times")).collect()}
+    assert got[0] == [1.0, 1.0, 2.0, 3.0, 4.0]
+    assert got[1] == [1.0, 2.0]
+    for i, case in enumerate(cases):
+        assert got[i] == plain_times(case), case
 
 
 def test_split_turns_invariants():
@@ -124,13 +154,16 @@ def test_split_turns_invariants():
             n = int(rng.integers(1, 4)) if role == "frames" else 0
             turns.append({"pos": pos, "role": role, "length": n * 10 if role == "frames" else int(rng.integers(1, 30)), "start": frame, "end": frame + n})
             frame += n
-        clips = packing.split_turns(turns, 60, (1, 2), 0)
+        clips = packing.cut_points(pd.DataFrame(turns), 60, (1, 4), 0)
         last = -1
         for clip in clips:
-            assert clip[-1]["role"] == "assistant"
-            assert sum(t["length"] for t in clip) <= 60
-            assert clip[0]["pos"] > last - 1
-            last = clip[-1]["pos"]
+            part = [dict(t) for t in turns[clip.first : clip.last + 1]]
+            if clip.head is not None:
+                part[0] |= {"start": clip.head, "length": 10 * (part[0]["end"] - clip.head)}
+            assert part[-1]["role"] == "assistant"
+            assert sum(t["length"] for t in part) == clip.total <= 60
+            assert clip.first > last
+            last = clip.last
 
 
 def test_text_functions(spark):
@@ -287,7 +320,8 @@ def test_prepared_samples(spark):
         mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.clip_idx)
         assert [r.clip_idx for r in mine] == list(range(len(mine)))
         assert mine[0].progress is None
-        assert all(r.progress == f"p{r.first_pos - 1}" for r in mine[1:])
+        assert all(r.progress == f"p{before.last_pos}" for before, r in zip(mine, mine[1:], strict=False))
+        assert all(r.conversation[0].role == "system" and r.conversation[-1].content == f"p{r.last_pos}" for r in mine)
 
 
 def test_restarting_pack():
