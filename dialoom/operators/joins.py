@@ -42,20 +42,80 @@ def first_match(left: DataFrame, right: DataFrame, on: list[str], pos: str, how:
     return left.join(first, on, how).select(*left.columns, *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
+#: A bucket of an interval join is between an eighth and a half of the intervals that it holds; each level's buckets are so many times wider than those of the one below.
+_LEVELS = 4
+#: Levels above this one are one.
+_STEPS = 40
+
+
+def _bucket_width(inner: DataFrame, start: Column, end: Column) -> float:
+    """The width of the finest buckets: half of a short interval's length (the tenth percentile of those that have one); 0 if none has."""
+    length = (end - start).cast("double")
+    found = inner.select(length.alias("l")).where("l > 0").agg(F.percentile_approx("l", 0.1, 1000)).first()[0]
+    return (found or 0.0) / 2
+
+
+def _level(length: Column, width: float) -> Column:
+    """The level of an interval: 0 up to 8 widths, then one more for each factor of 4."""
+    return F.when(length <= 8 * width, 0).otherwise(F.least(F.ceil(F.log(float(_LEVELS), length / F.lit(8 * width))).cast("int"), F.lit(_STEPS)))
+
+
+def _holding(points: DataFrame, spans: DataFrame, key: str, at: Column, start: Column, end: Column) -> DataFrame:
+    """Pairs of a point and a span of one key with start <= at <= end, as (_p, _s) structs."""
+    return _bucketed(points, spans, key, at, start, end).where("_at >= _a and _at <= _b")
+
+
+def _bucketed(points: DataFrame, spans: DataFrame, key: str, at: Column, start: Column, end: Column) -> DataFrame:
+    """The pairs that meet in a bucket.
+
+    A span stands in all buckets that it touches at the level of its length, nine at most; a point in one bucket of each level in use. So of the
+    pairs that meet in a bucket about two thirds are kept, however many spans a key has, and a hot key is spread over its buckets.
+    """
+    width = _bucket_width(spans, start, end)
+    p = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("_p"), F.col(key).alias("_k"), at.cast("double").alias("_at"))
+    s = spans.select(F.struct(*[F.col(f"`{c}`") for c in spans.columns]).alias("_s"), F.col(key).alias("_k"), start.cast("double").alias("_a"), end.cast("double").alias("_b")).where("_a <= _b")
+    if not width:
+        return p.withColumn("_a", F.col("_at")).join(s, ["_k", "_a"])  # no span has a length
+    s = s.withColumn("_level", _level(F.col("_b") - F.col("_a"), width))
+    levels = sorted(r[0] for r in s.select("_level").distinct().collect())  # at most _STEPS + 1
+    size = F.lit(width) * F.pow(F.lit(float(_LEVELS)), F.col("_level"))
+    s = s.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_a") / size), F.floor(F.col("_b") / size))))
+    p = p.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]))).withColumn("_bucket", F.floor(F.col("_at") / size)) if levels else p.withColumn("_level", F.lit(0)).withColumn("_bucket", F.lit(0).cast("long"))
+    return p.join(s, ["_k", "_level", "_bucket"])
+
+
 def interval_contains(outer: DataFrame, inner: DataFrame, key: str, at: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Pairs of one key where ``at`` lies in [start, end], both ends included."""
-    return outer.join(inner, key).where(F.col(at).between(F.col(start), F.col(end)))
+    """Pairs of one key where ``at`` lies in [start, end], both ends included; ``outer`` has the points or ``inner`` has, whichever owns ``at``.
+
+    Pairs meet in buckets of a width taken from the intervals' lengths, longer ones in coarser buckets. Times are numbers.
+    """
+    points, spans = (outer, inner) if at in outer.columns else (inner, outer)
+    met = _holding(points, spans, key, F.col(at), F.col(start), F.col(end))
+    rest = [c for c in inner.columns if c != key]
+    mine, other = ("_p", "_s") if points is outer else ("_s", "_p")
+    return met.select(F.col(f"{mine}.`{key}`").alias(key), *[F.col(f"{mine}.`{c}`").alias(c) for c in outer.columns if c != key], *[F.col(f"{other}.`{c}`").alias(c) for c in rest])
 
 
 def interval_overlap(outer: DataFrame, inner: DataFrame, key: str, outer_span: tuple[str, str], inner_span: tuple[str, str]) -> DataFrame:
     """Every outer row with each inner row that meets it; outer rows without any stay.
 
-    An inner interval meets if it starts inside [start, end), ends inside (start, end], or spans the whole; one without length meets at either end.
+    An inner interval meets if it starts inside [start, end), ends inside (start, end], or spans the whole; one without length meets at either end, one that ends before it starts nowhere.
+    Two intervals that meet do so in one of two ways, each a join of points and intervals in buckets: the inner one starts inside the outer one, or the outer one inside the inner one, behind its start.
     """
     (s, e), (a, b) = (tuple(F.col(c) for c in span) for span in (outer_span, inner_span))
-    meets = ((a >= s) & (a < e)) | ((b > s) & (b <= e)) | ((a < s) & (b > e))
-    right = inner.withColumnRenamed(key, "_key")
-    return outer.join(right, (F.col(key) == F.col("_key")) & meets, "left").drop("_key")
+    inside = _holding(inner, outer, key, a, s, e).select(F.col("_s").alias("_o"), F.col("_p").alias("_i"))
+    behind = _holding(outer, inner, key, s, a, b).select(F.col("_p").alias("_o"), F.col("_s").alias("_i"))
+
+    def at(side: str, name: str) -> Column:
+        return F.col(f"{side}.`{name}`")
+
+    so, eo, ai, bi = at("_o", outer_span[0]), at("_o", outer_span[1]), at("_i", inner_span[0]), at("_i", inner_span[1])
+    meets = ((ai >= so) & (ai < eo)) | ((bi > so) & (bi <= eo)) | ((ai < so) & (bi > eo))
+    pairs = inside.unionByName(behind.where(ai < so)).where(meets & (ai <= bi))
+    row = outer.select(F.struct(*[F.col(f"`{c}`") for c in outer.columns]).alias("_o"))
+    alone = row.join(pairs.select(F.col("_o").alias("_met")).distinct(), F.col("_o").eqNullSafe(F.col("_met")), "left_anti")  # equal rows have equal partners
+    both = pairs.unionByName(alone.select("_o", F.lit(None).cast(pairs.schema["_i"].dataType).alias("_i")))
+    return both.select("_o.*", *[F.col(f"_i.`{c}`").alias(c) for c in inner.columns if c != key])
 
 
 def attach_to_last(events: DataFrame, key: str, order: list[str], is_step: Column, name: str = "step_no") -> DataFrame:

@@ -73,6 +73,35 @@ def test_overlap_case(spark):
     assert got == {"c1": {"a1", "a2", "a3", "a5"}, "c2": {"a2", "a3", "a4", "a5"}, "c3": {"a5"}}
 
 
+def test_overlap_against_all_pairs(spark):
+    """Lengths from nothing to the whole range, reversed and null spans, equal rows, rows without a partner."""
+    rng = random.Random(9)
+    span = lambda i: (i % 3, float(a := rng.randint(0, 400)), float(a + rng.choice([0, 0, 1, 2, 3, 9, 40, 300, -2])))
+    outer, inner = [(f"o{i}", *span(i)) for i in range(120)], [(f"i{i}", *span(i)) for i in range(150)]
+    outer += [outer[0], ("none", 7, 1.0, 2.0), ("null", None, 1.0, 2.0), ("open", 1, None, 2.0)]
+    left = spark.createDataFrame(outer, "o string, k int, s double, e double")
+    right = spark.createDataFrame(inner, "i string, k int, a double, b double")
+    meets = lambda s, e, a, b: s is not None and ((s <= a < e) or (s < b <= e) or (a < s and b > e))
+    want = []
+    for o, k, s, e in outer:
+        found = [i for i, k2, a, b in inner if k == k2 and meets(s, e, a, b) and a <= b and s <= e]
+        want += [(o, i) for i in found or [None]]
+    got = [(r.o, r.i) for r in joins.interval_overlap(left, right, "k", ("s", "e"), ("a", "b")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    held = [(r.o, r.i) for r in joins.interval_contains(left, right.drop("b"), "k", "a", "s", "e").collect()]
+    assert sorted(held) == sorted((o, i) for o, k, s, e in outer for i, k2, a, _ in inner if k == k2 and s is not None and s <= a <= e)
+
+
+def test_hot_key_meets_few_pairs(spark):
+    """100,000 intervals of one key, some a thousand times as long as others: pairs that meet are at most four times those kept."""
+    spans = spark.range(100_000).select(F.lit(1).alias("k"), (F.col("id") * 7919 % 1_000_000).cast("double").alias("start")).withColumn("end", F.col("start") + F.when(F.col("start") % 1000 == 0, 4000.0).otherwise(4.0 + F.col("start") % 17))
+    points = spark.range(20_000).select(F.lit(1).alias("k"), (F.col("id") * 104_729 % 1_000_000).cast("double").alias("at"))
+    met = joins._bucketed(points, spans, "k", F.col("at"), F.col("start"), F.col("end")).count()
+    kept = joins.interval_contains(spans, points, "k", "at").count()
+    assert kept > 20_000
+    assert met <= 4 * kept
+
+
 def test_parse_dialog_case(spark):
     text = "[1.0s] User: Hi\n[1.0s] User: Hi\n[2.5s] Assistant: Do it [initiative|instruction, info]\n[x s] User: bad\n[3.0s] Narrator: no\n[4.0s] User: (nods)"
     got = one(spark, tx.parse_dialog(F.lit(text)))
