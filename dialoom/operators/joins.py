@@ -111,7 +111,7 @@ def interval_overlap(outer: DataFrame, inner: DataFrame, key: str, outer_span: t
 
     so, eo, ai, bi = at("_o", outer_span[0]), at("_o", outer_span[1]), at("_i", inner_span[0]), at("_i", inner_span[1])
     meets = ((ai >= so) & (ai < eo)) | ((bi > so) & (bi <= eo)) | ((ai < so) & (bi > eo))
-    pairs = inside.unionByName(behind.where(ai < so)).where(meets & (ai <= bi))
+    pairs = inside.unionByName(behind.where(ai < so)).where(meets & (ai <= bi) & (so <= eo))
     row = outer.select(F.struct(*[F.col(f"`{c}`") for c in outer.columns]).alias("_o"))
     alone = row.join(pairs.select(F.col("_o").alias("_met")).distinct(), F.col("_o").eqNullSafe(F.col("_met")), "left_anti")  # equal rows have equal partners
     both = pairs.unionByName(alone.select("_o", F.lit(None).cast(pairs.schema["_i"].dataType).alias("_i")))

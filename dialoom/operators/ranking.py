@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.operators.running import group_key, places
+
 
 def top_one(df: DataFrame, keys: list[str], score: str, pos: str) -> DataFrame:
     """The row of highest score of each key, the first by ``pos`` of equals; partial aggregation, no sort."""
@@ -12,13 +14,18 @@ def top_one(df: DataFrame, keys: list[str], score: str, pos: str) -> DataFrame:
     return best.select("_best.*")
 
 
+def _with_size(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with _rn, the place among the key's rows, and _n, their number; a key's rows are spread over tasks."""
+    ranked = places(df, keys, order, "_rn").withColumn("_key", group_key(keys))
+    sizes = df.groupBy(group_key(keys).alias("_of")).agg(F.count("*").alias("_n"))
+    return ranked.join(sizes, F.col("_key") == F.col("_of")).drop("_key", "_of")
+
+
 def share_of(df: DataFrame, keys: list[str], order: list[Column], ratio: float) -> DataFrame:
     """The first ceil(n ratio) rows of each key; with a ratio over 1 all rows, int(ratio) times."""
     if ratio > 1:
         return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(int(ratio)))))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    return ranked.where(F.col("_rn") <= F.ceil(F.col("_n") * F.lit(ratio))).drop("_rn", "_n").withColumn("copy", F.lit(1))
+    return _with_size(df, keys, order).where(F.col("_rn") <= F.ceil(F.col("_n") * F.lit(ratio))).drop("_rn", "_n").withColumn("copy", F.lit(1))
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -33,21 +40,12 @@ def seeded_key(ids: Column, seed: int = 42) -> Column:
 
 def split_by_share(df: DataFrame, key: str, order: list[Column], share: float = 0.5, first: str = "val", rest: str = "test") -> DataFrame:
     """``df`` with split: of each key's rows in order the first int(share n) are ``first``."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    return ranked.withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(share)), first).otherwise(rest)).drop("_rn", "_n")
+    return _with_size(df, [key], order).withColumn("split", F.when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(share)), first).otherwise(rest)).drop("_rn", "_n")
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
-    """Rows with their place in the total order, without a window over the whole table.
-
-    Rows are range-partitioned and numbered inside each partition; the partitions' sizes, one row for each, give the offsets.
-    """
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").count()
-    offsets = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_offset"))
-    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return local.join(F.broadcast(offsets), "_part").withColumn(name, F.coalesce("_offset", F.lit(0)) + F.col("_rn")).drop("_part", "_offset", "_rn")
+    """Rows with their place in the total order, without a window over the whole table."""
+    return places(df, [], [F.col(c) for c in order], name)
 
 
 def split_at(df: DataFrame, order: list[str], n: int, first: str = "train", rest: str = "val") -> DataFrame:
@@ -57,8 +55,7 @@ def split_at(df: DataFrame, order: list[str], n: int, first: str = "train", rest
 
 def sample_share(df: DataFrame, keys: list[str], rate: float, ids: Column, order: list[str]) -> DataFrame:
     """max(int(rate (n - 1)), 1) rows of each key, chosen by a seeded hash."""
-    w = Window.partitionBy(*keys).orderBy(seeded_key(ids), *order)
-    ranked = df.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    ranked = _with_size(df, keys, [seeded_key(ids), *[F.col(c) for c in order]])
     return ranked.where(F.col("_rn") <= F.greatest(F.floor((F.col("_n") - 1) * F.lit(rate)), F.lit(1))).drop("_rn", "_n")
 
 

@@ -518,7 +518,24 @@ WITH {PAIRS}, t AS (SELECT ln(count(*)::DOUBLE) AS ln_n FROM p), df AS (SELECT n
 ), sm AS (SELECT hn.pair_id, sum(coalesce(dot / nullif(hn * rn, 0), 0)) AS s FROM hn JOIN rn USING (pair_id, n) LEFT JOIN dt USING (pair_id, n) GROUP BY hn.pair_id)
 SELECT p.pair_id, round(coalesce(s, 0) * exp(-pow(greatest(len(hyp) - 1, 0) - greatest(len(ref) - 1, 0), 2) / 72) / 4 * 10, 5) AS cider FROM p LEFT JOIN sm USING (pair_id)""")
 def cider_pairs(s: SparkSession, d: str) -> DataFrame:
-    return metrics.cider(_pairs(s, d)).select("pair_id", F.round("cider", 5).alias("cider"))
+    return metrics.cider(_pairs(s, d).select("pair_id", "hyp", F.array("ref").alias("refs"))).select("pair_id", F.round("cider", 5).alias("cider"))
+
+
+@query("""WITH p AS (SELECT conv_id AS id, list(string_split(left(lower(replace(text, chr(10), ' ')), 60), ' ') ORDER BY turn) AS t FROM conversations WHERE turn < 4 GROUP BY conv_id
+), x AS (SELECT id, k - 1 AS k, t[k] AS w, len(t) - 1 AS refs FROM p, range(1, 5) r(k) WHERE k <= len(t)
+), g AS (SELECT id, k, n, array_to_string(w[i:i + n - 1], ' ') AS g, count(*) AS c FROM x, range(1, 5) r(n), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) u GROUP BY ALL
+), df AS (SELECT n, g, count(DISTINCT id) AS df FROM g WHERE k > 0 GROUP BY ALL
+), v AS (SELECT g.id, g.k, g.n, g.g, g.c * (ln((SELECT count(*) FROM p)::DOUBLE) - ln(greatest(coalesce(df, 0), 1)::DOUBLE)) AS w FROM g LEFT JOIN df ON g.n = df.n AND g.g = df.g
+), norm AS (SELECT id, k, n, sqrt(sum(w * w)) AS norm FROM v GROUP BY ALL
+), dot AS (SELECT r.id, r.k, r.n, sum(least(h.w, r.w) * r.w) AS dot FROM v r JOIN v h ON h.id = r.id AND h.k = 0 AND h.n = r.n AND h.g = r.g WHERE r.k > 0 GROUP BY ALL
+), s AS (SELECT d.id, d.k, sum(coalesce(d.dot / nullif(a.norm * b.norm, 0), 0)) AS s FROM dot d JOIN norm a ON a.id = d.id AND a.k = 0 AND a.n = d.n JOIN norm b ON b.id = d.id AND b.k = d.k AND b.n = d.n GROUP BY ALL)
+SELECT x.id AS conv_id, round(coalesce(sum(coalesce(s, 0) * exp(-pow(greatest(len(h.w) - 1, 0) - greatest(len(x.w) - 1, 0), 2) / 72) / 4 * 10) FILTER (WHERE x.k > 0) / max(x.refs), 0), 5) AS cider FROM x JOIN x h ON h.id = x.id AND h.k = 0 LEFT JOIN s ON s.id = x.id AND s.k = x.k GROUP BY x.id""")
+def cider_references(s: SparkSession, d: str) -> DataFrame:
+    """Each conversation's first turn against up to three later ones as references."""
+    words = F.split(F.left(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), F.lit(60)), " ")
+    c = table(s, d, "conversations").where("turn < 4").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", words.alias("t")))), lambda x: x["t"]).alias("t"))
+    pairs = c.select(F.col("conv_id"), F.col("t")[0].alias("hyp"), F.slice("t", F.lit(2), F.lit(9)).alias("refs"))
+    return metrics.cider(pairs, id_col="conv_id").select("conv_id", F.round("cider", 5).alias("cider"))
 
 
 # --- curation, ranking, sets

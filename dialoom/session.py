@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +60,33 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: computed once, whatever reads it. ``discard`` deletes it, or else the end of the program."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_sweep)
+    _WRITTEN.append((df.sparkSession, path))
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written``, once nothing that is still to run reads them."""
+    for df in tables:
+        delete_path(df.sparkSession, df.cut_path)
+
+
+def _sweep() -> None:
+    for spark, path in _WRITTEN:
+        with contextlib.suppress(Py4JError, OSError):  # the session may be gone
+            delete_path(spark, path)
+
+
 def input_bytes(df: DataFrame, column: str = "text") -> int:
     """About how many bytes ``df`` reads: the sizes of its plan's sources, or, where a source has none, a count over ``column``."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -102,6 +102,18 @@ def test_hot_key_meets_few_pairs(spark):
     assert met <= 4 * kept
 
 
+def test_one_key_is_spread_over_tasks(spark):
+    """Shares of a key with all rows: equal to a window's, and no task has twice the mean."""
+    from dialoom.operators import running
+
+    df = spark.range(40_000).select(F.lit("k").alias("key"), (F.col("id") * 7919 % 40_000).alias("v"))
+    placed, kept = running.running_total(df, F.col("key"), [F.col("v").desc()], F.lit(1), "at")
+    assert placed.where(F.col("at") != 40_000 - F.col("v")).count() == 0
+    sizes = [r["count"] for r in kept.groupBy(running._PART).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * 40_000 / len(sizes)
+    assert ranking.share_of(df, ["key"], [F.col("v")], 0.25).agg(F.count("*"), F.max("v")).first()[:] == (10_000, 9_999)
+
+
 def test_parse_dialog_case(spark):
     text = "[1.0s] User: Hi\n[1.0s] User: Hi\n[2.5s] Assistant: Do it [initiative|instruction, info]\n[x s] User: bad\n[3.0s] Narrator: no\n[4.0s] User: (nods)"
     got = one(spark, tx.parse_dialog(F.lit(text)))
@@ -121,8 +133,12 @@ def test_bleu_and_cider_case(spark):
     df = spark.createDataFrame([(i, h.split(), r.split()) for i, (h, r) in enumerate(pairs)], "pair_id int, hyp array<string>, ref array<string>")
     row = metrics.bleu(df.select("pair_id", "hyp", F.array("ref").alias("refs"))).first()
     assert [row[f"bleu_{n}"] for n in range(1, 5)] == pytest.approx([0.733333, 0.605530, 0.546214, 0.482772], abs=1e-6)
-    got = [r.cider for r in metrics.cider(df).orderBy("pair_id").collect()]
+    got = [r.cider for r in metrics.cider(df.select("pair_id", "hyp", F.array("ref").alias("refs"))).orderBy("pair_id").collect()]
     assert got == pytest.approx([6.357869, 10.0, 0.606145], abs=1e-5)
+    several = df.select("pair_id", "hyp", F.when(F.col("pair_id") == 1, F.array().cast("array<array<string>>")).otherwise(F.array("ref", "ref")).alias("refs"))
+    scored = metrics.cider(several)
+    assert len(scored.collect()) == 3 and scored.where("pair_id = 1").first().cider == 0
+    assert metrics.cider(several)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") <= 3
 
 
 def test_stream_expand_case(spark):
