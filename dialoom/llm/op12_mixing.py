@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm.components import cut, drop
-from dialoom.llm.running import running_total
+from dialoom.operators.running import running_total
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -42,7 +42,7 @@ def word_count(text: Column) -> Column:
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, list[DataFrame]]:
     """((source, source_size, target, num, den), tables to drop) of (source, source_size); a source's documents are taken num / den times each."""
-    placed, table = running_total(sources, F.lit(0), [F.col("source").isNull(), F.col("source")], F.lit(1), "place")
+    placed, table = running_total(sources, F.lit(0), [F.col("source").asc_nulls_last()], F.lit(1), "place")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
     known = cut(placed.select("source", "source_size", weight.cast("long").alias("weight"), (F.col("source_size") * most).alias("cap")))
     total, share = known.agg(F.sum("source_size"), F.sum("weight")).first()

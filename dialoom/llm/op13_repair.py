@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from dialoom.llm.components import cut, drop
-from dialoom.llm.running import running_total
+from dialoom.operators.running import running_total
 
 DELETE, INSERT, REROLE, TRUNCATED = 2, 5, 1, 5
 START, SYSTEM, USER, ASSISTANT = range(4)
