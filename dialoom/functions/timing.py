@@ -134,3 +134,40 @@ def pad_size(width: Column, height: Column, side: int) -> tuple[Column, Column,
     scale = F.lit(float(side)) / F.greatest(width, height)
     w, h = F.round(width * scale).cast("int"), F.round(height * scale).cast("int")
     return w, h, F.floor((side - w) / 2).cast("int"), F.floor((side - h) / 2).cast("int")
+
+
+def marked_ranges(ids: Column, opening: tuple[int, ...], closing: int, frame: int, decision: int, rate: float = 1.0, key: Column | None = None) -> Column:
+    """Ranges (start, end, kind) of a token array that are learned: answers, then the places at which a frame decides to talk.
+
+    An answer runs from behind ``opening``, a sequence of tokens, up to and with the next ``closing``; an opening inside an answer is text, one without a closing is none. A frame's place is
+    the first ``decision`` token at or behind a ``frame`` token; it is 'talk' if ``closing`` follows, else 'w2t', of which a seeded share ``rate``, by ``key`` and place, is kept.
+    """
+    none = F.array().cast("array<int>")
+    places = F.when(F.size(ids) > 0, F.sequence(F.lit(0), F.size(ids) - 1)).otherwise(none)
+
+    def let(value: Column, body: object) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def at(token: int) -> Column:
+        return F.filter(places, lambda i: F.get(ids, i) == token)
+
+    def opens(i: Column) -> Column:
+        held = F.get(ids, i) == opening[0]
+        for k, token in enumerate(opening[1:], 1):
+            held = held & F.coalesce(F.get(ids, i + k) == token, F.lit(False))
+        return held
+
+    def between(marks: Column, ends: Column, own: int) -> Column:
+        """For each end the first mark behind the end before it, and before it or, with ``own``, at it."""
+        return F.transform(ends, lambda e, j: F.struct(F.get(F.filter(marks, lambda m: (m > F.when(j == 0, -1).otherwise(F.get(ends, F.greatest(j - 1, F.lit(0))))) & (m < e + own)), F.lit(0)).alias("mark"), e.alias("end")))
+
+    def made(start: Column, end: Column, kind: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), kind.alias("kind"))
+
+    answers = let(at(closing), lambda ends: F.transform(F.filter(between(F.filter(places, opens), ends, 0), lambda x: x["mark"].isNotNull()), lambda x: made(x["mark"] + len(opening), x["end"] + 1, F.lit("assistant"))))
+    kind = lambda p: F.when(F.coalesce(F.get(ids, p + 1) == closing, F.lit(False)), "talk").otherwise("w2t")
+    frames = let(at(decision), lambda ends: F.transform(F.filter(between(at(frame), ends, 1), lambda x: x["mark"].isNotNull()), lambda x: made(x["end"], x["end"] + 1, kind(x["end"]))))
+    if rate < 1:
+        share = lambda x: F.conv(F.substring(F.md5(F.concat_ws(":", (F.lit("") if key is None else key).cast("string"), x["start"].cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296
+        frames = F.filter(frames, lambda x: (x["kind"] == "talk") | (share(x) < rate))
+    return F.concat(answers, frames)

@@ -32,3 +32,8 @@ def members(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
 
 def common(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key).intersect(b.select(key))
+
+
+def with_each(df: DataFrame, name: str, values: list[str]) -> DataFrame:
+    """Every row with each of a list of labels, in a column of that name; an explode, not a join."""
+    return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))

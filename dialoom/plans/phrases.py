@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.functions import text as tx
+from dialoom.functions import timing as tm
+from dialoom.functions.chat import chat_format
 from dialoom.operators import packing
+from dialoom.operators import sets as st
 from dialoom.operators import windows as wn
 from dialoom.plans.catalog import query
 from dialoom.session import table
@@ -165,3 +168,58 @@ def knowledge_placed(s: SparkSession, d: str) -> DataFrame:
     numbered = _told(s, d).select("conv_id", F.transform("turns", lambda t, i: t.withField("start", F.floor(i / 2))).alias("turns"))
     placed = numbered.select("conv_id", F.explode(packing.knowledge_in_first(F.col("turns"), _cat("know ", F.col("conv_id")))).alias("t"))
     return placed.where("t.role <> 'frames'").select("conv_id", F.col("t.start").alias("turn"), "t.role", "t.content")
+
+
+_SHOWN = """t AS (SELECT conv_id, 2 * turn AS i, 'frames' AS role, repeat('<i><i>;', (1 + turn % 3)::INT)[:-2] AS text, 1 + turn % 3 AS n FROM conversations
+  UNION ALL SELECT conv_id, 2 * turn + 1, role, {said}, 0 FROM conversations)"""
+
+
+def _shown(s: SparkSession, d: str) -> DataFrame:
+    """Conversations with one to three frames before each turn."""
+    frames = F.struct(F.lit("frames").alias("role"), F.lit("").alias("content"), F.lit(0).alias("start"), (1 + F.col("turn") % 3).cast("int").alias("end"))
+    said = F.struct("role", F.concat(F.lit(" "), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(9)), F.lit(" \n")).alias("content"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    both = table(s, d, "conversations").select("conv_id", F.struct("turn", F.array(frames, said).alias("t")).alias("x"))
+    return both.groupBy("conv_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"])).alias("turns"))
+
+
+@query(f"""WITH {_SHOWN.format(said="'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || trim(left(replace(text, chr(10), ' '), 9)) || '<|eot_id|>'")}
+SELECT conv_id, 'headers' AS kind, '<|begin_of_text|>' || string_agg(text, '' ORDER BY i) AS chat FROM t GROUP BY conv_id
+UNION ALL SELECT conv_id, 'plain', string_agg(text, '' ORDER BY i) FROM (SELECT conv_id, i, CASE WHEN n > 0 THEN text ELSE upper(role[1]) || role[2:] || ': ' || trim(replace(split_part(text, '<|end_header_id|>' || chr(10) || chr(10), 2), '<|eot_id|>', '')) || chr(10) END AS text FROM t) GROUP BY conv_id""")
+def chat_formats(s: SparkSession, d: str) -> DataFrame:
+    """Conversations in each registered chat format."""
+    shown = _shown(s, d)
+    out = None
+    for kind in ("headers", "plain"):
+        text = chat_format(kind, image="<i>", per_image=2, separator=";").text(F.col("turns"))
+        one = shown.select("conv_id", F.lit(kind).alias("kind"), text.alias("chat"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {_SHOWN.format(said="'<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || trim(left(replace(text, chr(10), ' '), 9)) || '<|eot_id|>'")}
+, p AS (SELECT *, 17 + coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM t)
+SELECT conv_id, b::BIGINT AS start, (b + length(text))::BIGINT AS "end" FROM p WHERE role = 'assistant' UNION ALL SELECT conv_id, (b + k * 7 - 1)::BIGINT, (b + k * 7)::BIGINT FROM p, range(1, 3) r(k) WHERE role = 'frames' AND k < n""")
+def chat_learn_ranges(s: SparkSession, d: str) -> DataFrame:
+    """What is learned of a conversation's text: its answers, and the separators between frames."""
+    ranges = chat_format("headers", image="<i>", per_image=2, separator=";").learn_ranges(F.col("turns"))
+    out = _shown(s, d).select("conv_id", F.explode(ranges).alias("r"))
+    return out.select("conv_id", F.col("r")[0].cast("long").alias("start"), F.col("r")[1].cast("long").alias("end"))
+
+
+@query("""WITH w AS (SELECT conv_id * 100 + turn AS id, string_split_regex(trim(text), '\\s+') AS w FROM conversations
+), t AS (SELECT id, unnest(range(len(w))) AS i, length(unnest(w)) % 9 AS x FROM w
+), e AS (SELECT id, i AS e, lag(i, 1, -1) OVER (PARTITION BY id ORDER BY i) AS before FROM t WHERE x = 4
+), o AS (SELECT a.id, a.i FROM t a JOIN t b ON a.id = b.id AND b.i = a.i + 1 WHERE a.x = 2 AND b.x = 3
+), f AS (SELECT id, i AS e, lag(i, 1, -1) OVER (PARTITION BY id ORDER BY i) AS before FROM t WHERE x = 6)
+SELECT e.id, (min(o.i) + 2)::INTEGER AS start, (e.e + 1)::INTEGER AS "end", 'assistant' AS kind FROM e JOIN o ON o.id = e.id AND o.i > e.before AND o.i < e.e GROUP BY e.id, e.e
+UNION ALL SELECT f.id, f.e::INTEGER, (f.e + 1)::INTEGER, CASE WHEN max(n.x) = 4 THEN 'talk' ELSE 'w2t' END FROM f JOIN t g ON g.id = f.id AND g.x = 5 AND g.i > f.before AND g.i <= f.e LEFT JOIN t n ON n.id = f.id AND n.i = f.e + 1 GROUP BY f.id, f.e""")
+def token_learn_ranges(s: SparkSession, d: str) -> DataFrame:
+    """Answers and frame decisions in arrays of tokens, here the lengths of a turn's words modulo 9."""
+    ids = F.transform(F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+"), lambda w: (F.length(w) % 9).cast("int"))
+    c = table(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), ids.alias("ids"))
+    return c.select("id", F.explode(tm.marked_ranges(F.col("ids"), (2, 3), 4, 5, 6)).alias("r")).select("id", "r.*")
+
+
+@query("""SELECT n_name, split FROM nation, (VALUES ('train'), ('val'), ('test')) s(split)""")
+def labels_by_split(s: SparkSession, d: str) -> DataFrame:
+    return st.with_each(table(s, d, "nation").select("n_name"), "split", ["train", "val", "test"])
