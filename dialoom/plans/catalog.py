@@ -187,7 +187,7 @@ def event_forward_bucket(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {E}, x AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY t) AS p FROM e) SELECT event_id, coalesce(p, 0.5) - value > 10 AS talk FROM x""")
+WITH {E}, x AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY t) AS p FROM e) SELECT event_id, coalesce(p - value > 10, false) OR value <= 0.5 AS talk FROM x""")
 def event_talk_drop(s: SparkSession, d: str) -> DataFrame:
     return wn.talk_drop(_events(s, d), ["user_id"], ["t"], "value", 10.0).select("event_id", "talk")
 
