@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialoom.session import written
+
 #: Costs of the pairs of two lists of texts.
 TextCost = Callable[[list[str], list[str]], np.ndarray]
 
@@ -161,9 +163,9 @@ def proven(frames: DataFrame, left: int, right: int, factor: float = 0.3, power:
     ``optimal`` is checked on the results by joins: no column is taken twice, no pair of the band costs less than its two prices, column prices
     are not above 0, and the placed pairs cost as much as all prices together.
     """
-    found = priced_matches(frames, left, right, None, factor, power)
+    found = written(priced_matches(frames, left, right, None, factor, power))
     columns = found.select("sample_idx", F.explode("column_prices").alias("c")).select("sample_idx", F.col("c.pos").alias("pos"), F.col("c.price").alias("column_price"))
-    spoken = _speaking(frames).select("sample_idx", "pos", "n", (F.col("ref") != "").alias("told"))
+    spoken = written(_speaking(frames)).select("sample_idx", "pos", "n", (F.col("ref") != "").alias("told"))
     reach = float(max(abs(left), right)) ** power
     pairs = found.join(spoken.groupBy("sample_idx").agg(F.first("n").alias("n")), "sample_idx").withColumn("pos", F.explode(F.sequence(F.greatest(F.col("row_pos") + left, F.lit(0)), F.least(F.col("row_pos") + right, F.col("n") - 1))))
     told = spoken.where("told").select("sample_idx", "pos", F.lit(0.0).alias("text"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,55 +43,30 @@ def bleu(pairs: DataFrame, hyp: str = "hyp", refs: str = "refs", id_col: str = "
     return row.select("test_len", "ref_len", *out)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once for each row, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _heads(items: Column, of: Callable[[Column], Column]) -> Column:
-    """Places, from 0 on, of a sorted array at which another value begins."""
-    marked = F.transform(items, lambda x, i: F.when((i == 0) | (of(x) != of(F.get(items, F.greatest(i - 1, F.lit(0))))), i))
-    return F.filter(marked, lambda i: i.isNotNull())
-
-
-def _gram_counts(texts: Column, most: int = N) -> Column:
-    """Array of (n, gram, ks) of an array of token arrays: each gram of any text with (k, c) for every text k that has it c times; sorted and counted inside the row."""
-
-    def of(n: int) -> Column:
-        def grams(t: Column, k: Column) -> Column:
-            starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.struct(F.array_join(F.slice(t, i, n), " ").alias("gram"), k.alias("k")))
-
-        def runs(items: Column, heads: Column, made: Callable[[Column, Column], Column]) -> Column:
-            return F.transform(heads, lambda i, j: made(i, F.coalesce(F.get(heads, j + 1), F.size(items)) - i))
-
-        def by_text(items: Column) -> Column:
-            return _let(_heads(items, lambda x: x), lambda h: runs(items, h, lambda i, c: F.struct(F.get(items, i)["gram"].alias("gram"), F.get(items, i)["k"].alias("k"), c.alias("c"))))
-
-        def by_gram(items: Column) -> Column:
-            own = lambda i, c: F.transform(F.slice(items, i + 1, c), lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c")))
-            return _let(_heads(items, lambda x: x["gram"]), lambda h: runs(items, h, lambda i, c: F.struct(F.lit(n).alias("n"), F.get(items, i)["gram"].alias("gram"), own(i, c).alias("ks"))))
-
-        return _let(F.array_sort(F.flatten(F.transform(texts, grams))), lambda items: _let(by_text(items), by_gram))
-
-    return F.concat(*[of(n) for n in range(1, most + 1)])
-
-
 def cider(pairs: DataFrame, hyp: str = "hyp", refs: str = "refs", id_col: str = "pair_id") -> DataFrame:
     """(id, cider) of pairs with several references: tf-idf cosines of n-grams with clipped counts and a length penalty, the mean over n and references times 10.
 
-    A gram's document frequency is the number of pairs that have it in a reference. A pair's grams are counted inside its row, meet their
-    frequencies once, and their products come back to the pair: three shuffles, that by grams split by adaptive execution where a gram is common. A pair without references scores 0.
+    A gram's document frequency is the number of pairs that have it in a reference. Texts are dealt by pair, so a pair's grams are counted where they are; they meet their
+    frequencies once, by gram, where adaptive execution splits common ones, and their products come back to the pair. A pair without references scores 0.
     """
     texts = F.concat(F.array(F.col(hyp)), F.coalesce(F.col(refs), F.array().cast(pairs.schema[refs].dataType)))
-    known = pairs.select(id_col, (F.size(texts) - 1).alias("_refs"), F.transform(texts, lambda t: F.greatest(F.size(t) - 1, F.lit(0))).alias("_length"), _gram_counts(texts).alias("_grams"))
-    flat = known.select(id_col, "_refs", "_length", F.explode_outer("_grams").alias("x")).select(id_col, "_refs", "_length", "x.*")
-    df = flat.where(F.exists("ks", lambda x: x["k"] > 0)).groupBy(F.col("n").alias("_n"), F.col("gram").alias("_gram")).agg(F.count("*").alias("df"))
+    dealt = pairs.select(id_col, texts.alias("_texts")).repartition(id_col)
+    known = dealt.select(id_col, (F.size("_texts") - 1).alias("_refs"), F.transform("_texts", lambda t: F.greatest(F.size(t) - 1, F.lit(0))).alias("_length"), F.posexplode("_texts").alias("k", "_t"))
+    t = F.col("_t")
+
+    def grams(n: int) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, n), " ").alias("gram")))
+
+    said = known.select(id_col, "_refs", "_length", "k", F.explode_outer(F.concat(*[grams(n) for n in range(1, N + 1)])).alias("g"))
+    counted = said.groupBy(id_col, "_refs", "_length", "g.n", "g.gram", "k").agg(F.count("g.gram").alias("c"))
+    flat = counted.groupBy(id_col, "_refs", "_length", "n", "gram").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("ks"))
+    df = flat.where(F.col("gram").isNotNull() & (F.get("ks", F.size("ks") - 1)["k"] > 0)).groupBy(F.col("n").alias("_n"), F.col("gram").alias("_gram")).agg(F.count("*").alias("df"))
     total = pairs.agg(F.log(F.count("*").cast("double")).alias("log_n"))
     met = flat.join(df, (F.col("n") == F.col("_n")) & (F.col("gram") == F.col("_gram")), "left").crossJoin(F.broadcast(total))
     idf = F.col("log_n") - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))
-    said = F.when(F.get("ks", F.lit(0))["k"] == 0, F.get("ks", F.lit(0))["c"]).otherwise(0)
-    each = met.select(id_col, "_refs", "_length", "n", idf.alias("idf"), said.alias("c0"), F.explode_outer("ks").alias("x")).repartition(id_col)
+    own = F.when(F.get("ks", F.lit(0))["k"] == 0, F.get("ks", F.lit(0))["c"]).otherwise(0)
+    each = met.select(id_col, "_refs", "_length", "n", idf.alias("idf"), own.alias("c0"), F.explode_outer("ks").alias("x")).repartition(id_col)
     w, w0 = F.col("x.c") * F.col("idf"), F.col("c0") * F.col("idf")
     per_text = each.groupBy(id_col, "_refs", "_length", "n", "x.k").agg(F.sum(F.least(w, w0) * w).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"))
     delta = F.get("_length", F.lit(0)) - F.get("_length", F.col("k"))

@@ -138,7 +138,7 @@ def test_bleu_and_cider_case(spark):
     several = df.select("pair_id", "hyp", F.when(F.col("pair_id") == 1, F.array().cast("array<array<string>>")).otherwise(F.array("ref", "ref")).alias("refs"))
     scored = metrics.cider(several)
     assert len(scored.collect()) == 3 and scored.where("pair_id = 1").first().cider == 0
-    assert metrics.cider(several)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") <= 3
+    assert metrics.cider(several)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") <= 5  # texts by pair (shown twice, run once), grams and frequencies by gram, products by pair
 
 
 def test_stream_expand_case(spark):
