@@ -1,12 +1,13 @@
 """Arrow files as tables of frames: one row for each frame, read by ranges of rows.
 
-A data source ``arrow_frames`` over Arrow IPC streams and files. Planning reads the messages' heads only: it notes where each record
-batch lies and which rows it holds, and gives runs of batches as partitions. A range of frames, by option or
-by a filter on ``frame_idx`` that Spark pushes down, leaves out all batches that it does not meet.
+A data source ``arrow_frames`` over Arrow IPC streams and files. Planning lists the files, and gives small ones, many together, as partitions; tasks open them.
+Of large files it reads the messages' heads only: it notes where each record batch lies and which rows it holds, and gives runs of batches as partitions.
+A range of frames, by option or by a filter on ``frame_idx`` that Spark pushes down, leaves out all batches that it does not meet.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,11 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import from_arrow_schema
 
-#: Rows that a partition aims at.
+#: Rows that a partition aims at; a row counts ROW_BYTES where only a file's size is known, and at most FILES small files are one partition.
 PARTITION_ROWS = 65_536
+ROW_BYTES, FILES = 64, 512
+#: Rows that small files' batches are joined to before Spark gets them.
+JOINED_ROWS = 8192
 _FILE_MAGIC = b"ARROW1"
 
 
@@ -29,16 +33,39 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def arrow_files(path: str) -> list[str]:
-    """``path`` itself, or all Arrow files under it, in order of their names."""
+def arrow_files(path: str) -> list[tuple[str, int]]:
+    """(Path, bytes) of ``path`` itself, or of all Arrow files under it, in order of their names."""
     system, where = located(path)
     info = system.get_file_info(where)
     if info.type == fs.FileType.File:
-        return [path]
+        return [(path, info.size)]
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = system.get_file_info(fs.FileSelector(where, recursive=True))
-    return sorted(f.path for f in found if f.is_file and f.path.endswith(".arrow"))
+    return sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".arrow"))
+
+
+def first_arrow_file(path: str) -> str:
+    """The first of ``arrow_files``, without listing the folders behind it."""
+    system, where = located(path)
+    if system.get_file_info(where).type == fs.FileType.File:
+        return path
+
+    def first(folder: str) -> str | None:
+        found = system.get_file_info(fs.FileSelector(folder))
+        for name, is_file in sorted((f.path, True) if f.is_file else (f.path + "/", False) for f in found):
+            if not is_file:
+                under = first(name.rstrip("/"))
+                if under is not None:
+                    return under
+            elif name.endswith(".arrow"):
+                return name
+        return None
+
+    one = first(where)
+    if one is None:
+        raise FileNotFoundError(f"no Arrow files under {path}")
+    return one
 
 
 def _opened(path: str) -> pa.NativeFile:
@@ -116,6 +143,117 @@ class Run(InputPartition):
     end: int
 
 
+@dataclass
+class Files(InputPartition):
+    """Small files as a whole, by their names in a folder, and the rows of each that are asked for; ``strict`` if all of these must be there."""
+
+    folder: str
+    names: list[str]
+    start: int
+    end: int | None
+    strict: bool
+
+
+def _checked(path: str, start: int, end: int | None, strict: bool, total: int) -> None:
+    if strict and end > total or start < 0:
+        raise ValueError(f"frames [{start}, {end}) are out of range: {path} has {total}")
+
+
+def _small(part: Files, path: str) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """(Rows asked for, number of the first) of a small file's batches."""
+    _checked(path, part.start, None, False, 0)
+    total = 0
+    with _opened(path) as source:
+        is_file = source.read(len(_FILE_MAGIC)) == _FILE_MAGIC
+        source.seek(0)
+        if is_file:
+            reader = pa.ipc.open_file(source)
+            batches = (reader.get_batch(i) for i in range(reader.num_record_batches))
+        else:
+            batches = pa.ipc.open_stream(source)
+        for batch in batches:
+            lo = max(part.start - total, 0)
+            hi = batch.num_rows if part.end is None else min(part.end - total, batch.num_rows)
+            if lo < hi:
+                yield batch.slice(lo, hi - lo), total + lo
+            total += batch.num_rows
+            if part.end is not None and total >= part.end:
+                return
+    _checked(path, part.start, part.end, part.strict, total)
+
+
+def _named(path: str, batch: pa.RecordBatch, first: int) -> pa.RecordBatch:
+    name = path.rsplit("/", 1)[-1].removesuffix(".arrow")
+    index = pa.array(range(first, first + batch.num_rows), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows, pa.string()), index, *batch.columns], names=["video_uid", "frame_idx", *batch.schema.names])
+
+
+def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows``; a batch of another schema is not joined with those before."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if held and (n >= rows or batch.schema != held[0].schema):
+            yield pa.concat_batches(held)
+            held, n = [], 0
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield pa.concat_batches(held)
+
+
+@dataclass
+class Files(InputPartition):
+    """Small files as a whole, by the common start of their paths and the rest, and the rows of each that are asked for; ``strict`` if these must be there."""
+
+    prefix: str
+    rest: list[str]
+    start: int
+    end: int | None
+    strict: bool
+
+
+def _checked(path: str, start: int, end: int | None, strict: bool, total: int) -> None:
+    if strict and end > total or start < 0:
+        raise ValueError(f"frames [{start}, {end}) are out of range: {path} has {total}")
+
+
+def _slices(path: str, part: Files) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(Number of the first, rows asked for) of a small file's batches."""
+    total = 0
+    with _opened(path) as source:
+        is_file = source.read(len(_FILE_MAGIC)) == _FILE_MAGIC
+        source.seek(0)
+        reader = pa.ipc.open_file(source) if is_file else pa.ipc.open_stream(source)
+        for batch in (reader.get_batch(i) for i in range(reader.num_record_batches)) if is_file else reader:
+            lo, hi = max(part.start - total, 0), batch.num_rows if part.end is None else min(part.end - total, batch.num_rows)
+            if lo < hi:
+                yield total + lo, batch.slice(lo, hi - lo)
+            total += batch.num_rows
+            if part.end is not None and total >= part.end:
+                break
+    _checked(path, part.start, part.end, part.strict, total)
+
+
+def _named(path: str, first: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    name = path.rsplit("/", 1)[-1].removesuffix(".arrow")
+    index = pa.array(range(first, first + batch.num_rows), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows, pa.string()), index, *batch.columns], names=["video_uid", "frame_idx", *batch.schema.names])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about JOINED_ROWS or more; one with another schema or with dictionaries stays apart."""
+    held, rows = [], 0
+    for batch in batches:
+        if held and (rows >= JOINED_ROWS or batch.schema != held[0].schema or any(pa.types.is_dictionary(f.type) for f in batch.schema)):
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, rows = [], 0
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
 class ArrowFramesReader(DataSourceReader):
     def __init__(self, path: str, start: int, end: int | None, rows: int):
         self.path, self.start, self.end, self.rows = path, start, end, rows
@@ -138,34 +276,51 @@ class ArrowFramesReader(DataSourceReader):
     def _until(self, end: int) -> None:
         self.end, self.strict = end if self.end is None else min(self.end, end), False
 
-    def partitions(self) -> list[Run]:
-        out = []
-        for path in arrow_files(self.path):
-            _, batches, dictionaries = batches_of(path)
-            total = batches[-1].first + batches[-1].rows if batches else 0
-            if self.strict and self.end > total or self.start < 0:
-                raise ValueError(f"frames [{self.start}, {self.end}) are out of range: {path} has {total}")
-            end = total if self.end is None else self.end
-            run: list[Batch] = []
-            for batch in batches:
-                if batch.rows and batch.first < end and batch.first + batch.rows > self.start:
-                    if run and sum(b.rows for b in run) + batch.rows > self.rows:
-                        out.append(Run(path, dictionaries, run, self.start, end))
-                        run = []
-                    run.append(batch)
-            if run:
-                out.append(Run(path, dictionaries, run, self.start, end))
+    def partitions(self) -> list[Run | Files]:
+        out, small, size, most = [], [], 0, self.rows * ROW_BYTES
+
+        def together() -> None:
+            prefix = os.path.commonprefix(small)
+            out.append(Files(prefix, [path[len(prefix) :] for path in small], self.start, self.end, self.strict))
+
+        for path, n in arrow_files(self.path):
+            if n > most:
+                out += self._runs(path)
+                continue
+            if small and (size + n > most or len(small) == FILES):
+                together()
+                small, size = [], 0
+            small.append(path)
+            size += n
+        if small:
+            together()
         return out
 
-    def read(self, partition: Run | None) -> Iterator[pa.RecordBatch]:
+    def _runs(self, path: str) -> Iterator[Run]:
+        _, batches, dictionaries = batches_of(path)
+        total = batches[-1].first + batches[-1].rows if batches else 0
+        _checked(path, self.start, self.end, self.strict, total)
+        end = total if self.end is None else self.end
+        run: list[Batch] = []
+        for batch in batches:
+            if batch.rows and batch.first < end and batch.first + batch.rows > self.start:
+                if run and sum(b.rows for b in run) + batch.rows > self.rows:
+                    yield Run(path, dictionaries, run, self.start, end)
+                    run = []
+                run.append(batch)
+        if run:
+            yield Run(path, dictionaries, run, self.start, end)
+
+    def read(self, partition: Run | Files | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # nothing to read
             return
-        name = partition.path.rsplit("/", 1)[-1].removesuffix(".arrow")
+        if isinstance(partition, Files):
+            paths = [partition.prefix + rest for rest in partition.rest]
+            yield from _joined(_named(path, first, batch) for path in paths for first, batch in _slices(path, partition))
+            return
         for place, batch in zip(partition.batches, _read(partition.path, partition.dictionaries, [b.at for b in partition.batches]), strict=True):
             lo, hi = max(partition.start - place.first, 0), min(partition.end - place.first, place.rows)
-            part = batch.slice(lo, hi - lo)
-            index = pa.array(range(place.first + lo, place.first + hi), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([name] * (hi - lo), pa.string()), index, *part.columns], names=["video_uid", "frame_idx", *part.schema.names])
+            yield _named(partition.path, place.first + lo, batch.slice(lo, hi - lo))
 
 
 class ArrowFrames(DataSource):
@@ -176,7 +331,7 @@ class ArrowFrames(DataSource):
         return "arrow_frames"
 
     def schema(self) -> T.StructType:
-        with _opened(arrow_files(self.options["path"])[0]) as source:
+        with _opened(first_arrow_file(self.options["path"])) as source:
             is_file = source.read(len(_FILE_MAGIC)) == _FILE_MAGIC
             source.seek(0)
             own = pa.ipc.open_file(source).schema if is_file else pa.ipc.read_schema(source)

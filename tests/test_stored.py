@@ -141,3 +141,25 @@ def test_one_file_from_two_tasks_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="several tasks"):
         df.write.format("named_files").mode("overwrite").option("path", str(tmp_path / "t")).option("kind", "jsonl").save()
     assert files_in(tmp_path / "t") == []
+
+
+def small_files(folder, n):
+    for i in range(n):
+        (folder / f"{i % 7}").mkdir(parents=True, exist_ok=True)
+        arrow_file(folder / f"{i % 7}/v{i:03d}.arrow", [2, 0, i % 4], "file" if i % 2 else "stream", dictionary=False)
+
+
+def test_small_files_share_partitions(spark, tmp_path):
+    small_files(tmp_path, 60)
+    path = str(tmp_path)
+    assert len(arrow_files.ArrowFramesReader(path, 0, None, arrow_files.PARTITION_ROWS).partitions()) == 1
+    assert arrow_files.first_arrow_file(path) == arrow_files.arrow_files(path)[0][0]
+    whole = arrow_files.arrow_frames(spark, path)
+    assert whole.rdd.getNumPartitions() == 1
+    want = [(f"v{i:03d}", k, k) for i in range(60) for k in range(2 + i % 4)]
+    assert sorted((r.video_uid, r.frame_idx, r.n) for r in whole.collect()) == want
+    pushed = whole.where("frame_idx >= 1 and frame_idx < 4")
+    assert sorted((r.video_uid, r.frame_idx, r.n) for r in pushed.collect()) == [w for w in want if 1 <= w[1] < 4]
+    assert arrow_files.arrow_frames(spark, path, 0, 2).count() == 120
+    with pytest.raises(Exception, match="out of range"):
+        arrow_files.arrow_frames(spark, path, 0, 3).collect()
