@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,7 +108,7 @@ class NamedFilesWriter(DataSourceArrowWriter):
         system, target = located(self.target)
         files = [f for m in messages if m is not None for f in m.files]
         names = [name for _, name, _ in files]
-        twice = {n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else set()
+        twice = {n for n, c in Counter(names).items() if c > 1} if len(set(names)) < len(names) else set()
         if twice:
             self.abort(messages)
             raise ValueError(f"several tasks wrote the files {sorted(twice)[:5]}: rows of one file must be in one partition")
@@ -116,10 +117,10 @@ class NamedFilesWriter(DataSourceArrowWriter):
             for old in system.get_file_info(fs.FileSelector(target, recursive=True)):
                 if old.is_file and "/_staging-" not in old.path:
                     system.delete_file(old.path)
+        for folder in {name.rpartition("/")[0] for name in names} - {""}:
+            system.create_dir(f"{target}/{folder}", recursive=True)
         for staged, name, _ in files:
-            where = f"{target}/{name}"
-            system.create_dir(where.rsplit("/", 1)[0], recursive=True)
-            system.move(staged, where)
+            system.move(staged, f"{target}/{name}")
         with system.open_output_stream(f"{target}/_manifest.json") as out:
             out.write(json.dumps({name: rows for _, name, rows in sorted(files, key=lambda f: f[1])}).encode())
         self._clear(system)
