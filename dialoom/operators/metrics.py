@@ -2,38 +2,86 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 N = 4
 
 
-def ngrams(df: DataFrame, id_col: str, tokens: str, most: int = N) -> DataFrame:
-    """(id, n, gram, c): how often each text has each of its n-grams, n = 1 to ``most``."""
-    t = F.col(tokens)
+@dataclass
+class Texts:
+    """The texts of some pairs, one after the other: of each its pair, its place (0 the hypothesis, then the references) and its length; ``words`` names all their tokens, of which ``names`` are the different ones."""
 
-    def of(n: int) -> Column:
-        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, n), " ").alias("gram")))
+    pair: np.ndarray
+    place: np.ndarray
+    length: np.ndarray
+    words: np.ndarray
+    names: pa.Array
+
+
+def texts_of(hyp: pa.ListArray, refs: pa.ListArray) -> Texts:
+    """A null text has no tokens; a null token is a token of its own."""
+    count = refs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    inner = refs.flatten()
+    length = [x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (hyp, inner)]
+    words = pa.concat_arrays([hyp.flatten(), inner.flatten()]).dictionary_encode(null_encoding="encode")
+    first = np.repeat(np.cumsum(count) - count, count)
+    pair = np.concatenate([np.arange(len(hyp)), np.repeat(np.arange(len(hyp)), count)])
+    place = np.concatenate([np.zeros(len(hyp), np.int64), np.arange(len(inner)) - first + 1])
+    return Texts(pair, place, np.concatenate(length), words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary)
 
-    sets = [of(n) for n in range(1, most + 1)]
-    return df.select(id_col, F.explode(F.concat(*sets)).alias("g")).groupBy(id_col, "g.n", "g.gram").agg(F.count("*").alias("c"))
+
+def starts_of(t: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(Place of its first token, text) of every n-gram."""
+    text = np.repeat(np.arange(len(t.length)), t.length)
+    rest = np.repeat(np.cumsum(t.length), t.length) - np.arange(len(text))
+    at = np.flatnonzero(rest >= n)
+    return at, text[at]
+
+
+def _clipped(hyp: pa.Array, refs: pa.Array) -> pa.Array:
+    """For each pair and n, how many n-grams of the hypothesis are in a reference, each as often at most as in one of them."""
+    t = texts_of(hyp, refs)
+    out = np.zeros((len(hyp), N), np.int64)
+    gram = t.words
+    for n in range(1, N + 1):
+        at, text = starts_of(t, n)
+        if not len(at):
+            break
+        if n > 1:  # the (n - 1)-gram and the next token, numbered anew
+            whole = np.zeros(len(t.words), np.int64)
+            whole[at] = np.unique(gram[at] * len(t.names) + t.words[at + n - 1], return_inverse=True)[1]
+            gram = whole
+        wide = int(gram.max()) + 1
+        of, c = np.unique(text * wide + gram[at], return_counts=True)
+        text, g = of // wide, of % wide
+        key, said = t.pair[text] * wide + g, t.place[text] == 0
+        own, own_c = key[said], c[said]
+        order = np.argsort(key[~said], kind="stable")
+        ref, ref_c = key[~said][order], c[~said][order]
+        head = np.flatnonzero(np.diff(ref, prepend=-1))
+        if len(head):
+            _, i, j = np.intersect1d(own, ref[head], assume_unique=True, return_indices=True)
+            np.add.at(out[:, n - 1], own[i] // wide, np.minimum(own_c[i], np.maximum.reduceat(ref_c, head)[j]))
+    return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), N).cast(pa.list_(pa.int64()))
 
 
 def bleu(pairs: DataFrame, hyp: str = "hyp", refs: str = "refs", id_col: str = "pair_id") -> DataFrame:
     """One row with bleu_1..bleu_4 over all pairs of a token array and an array of reference token arrays.
 
-    Counts are clipped by the largest of the references; the reference length is the closest one's, the shorter of equals.
+    Counts are clipped by the largest of the references; the reference length is the closest one's, the shorter of equals. A pair's grams are
+    counted where the pair is, and only sums travel.
     """
-    said = ngrams(pairs.select(id_col, F.col(hyp).alias("t")), id_col, "t")
-    flat = pairs.select(id_col, F.posexplode(refs).alias("_ref", "t")).withColumn("_key", F.struct(id_col, "_ref"))
-    reference = ngrams(flat.select("_key", "t"), "_key", "t").groupBy(F.col(f"_key.{id_col}").alias(id_col), "n", "gram").agg(F.max("c").alias("most"))
-    hits = said.join(reference, [id_col, "n", "gram"], "left").groupBy("n").agg(F.sum(F.least("c", F.coalesce("most", F.lit(0)))).alias("correct"))
     length = F.size(hyp)
     closest = F.array_min(F.transform(refs, lambda r: F.struct(F.abs(F.size(r) - length).alias("d"), F.size(r).alias("len"))))["len"]
-    sizes = pairs.agg(F.sum(length).alias("test_len"), F.sum(closest).alias("ref_len"), *[F.sum(F.greatest(length - (n - 1), F.lit(0))).alias(f"guess_{n}") for n in range(1, N + 1)])
-    correct = hits.groupBy().pivot("n", list(range(1, N + 1))).agg(F.first("correct"))
-    row = sizes.crossJoin(correct)
+    hits = F.arrow_udf(_clipped, "array<bigint>")(F.col(hyp), F.col(refs))
+    each = pairs.select(length.alias("_own"), closest.alias("_closest"), hits.alias("_hits"))
+    sums = [F.sum(F.greatest(F.col("_own") - (n - 1), F.lit(0))).alias(f"guess_{n}") for n in range(1, N + 1)]
+    row = each.agg(F.sum("_own").alias("test_len"), F.sum("_closest").alias("ref_len"), *sums, *[F.sum(F.col("_hits")[n - 1]).alias(f"{n}") for n in range(1, N + 1)])
     ratio = (F.col("test_len") + 1e-15) / (F.col("ref_len") + 1e-9)
     brevity = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
     product, out = F.lit(1.0), []

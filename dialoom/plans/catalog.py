@@ -484,9 +484,11 @@ def event_step_times(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    c = table(s, d, "conversations").select("conv_id", "turn", F.split(F.trim(F.lower("text")), r"\s+").alias("hyp"))
-    c = c.withColumn("ref", F.lag("hyp").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return c.where("ref is not null").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "hyp", "ref")
+    """Turns and those before them; texts travel as they are and become words afterwards."""
+    c = table(s, d, "conversations").select("conv_id", "turn", "text")
+    c = c.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    words = [F.split(F.trim(F.lower(x)), r"\s+").alias(name) for x, name in (("text", "hyp"), ("before", "ref"))]
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), *words)
 
 
 PAIRS = """p AS (SELECT conv_id * 1000 + turn AS pair_id, hyp, ref FROM (

@@ -2,7 +2,9 @@
 
 import itertools
 import json
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -389,3 +391,34 @@ def test_clip_history(spark):
     clips = spark.createDataFrame([(1, i, f"d{i}") for i in range(5)], "v long, clip_idx int, description string")
     got = expand.generate_by_clip(clips, "v", lambda d, h: [f"{d}|{len(h)}", "x"], 3).orderBy("turn").collect()
     assert [r.text for r in got if r.text != "x"] == ["d0|0", "d1|2", "d2|3", "d3|3", "d4|3"]
+
+
+def plain_counts(words):
+    return [Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) for n in range(1, 5)]
+
+
+def many_pairs():
+    """Pairs of common and rare words with up to three references; no words, no references and nulls among them."""
+    words = lambda i, n: [f"w{(i * 7 + k * k) % (5 + i % 11)}" for k in range(n)]
+    out = [(i, words(i, i % 9), [words(i + j, (i + 3 * j) % 8) for j in range(i % 4)]) for i in range(90)]
+    return out + [(90, None, [["w1", "w2"]]), (91, ["w1"], None), (92, ["w1", "w1"], [None, ["w1"]])]
+
+
+PAIRS_SCHEMA = "pair_id int, hyp array<string>, refs array<array<string>>"
+
+
+def test_bleu_counts_where_the_pair_is(spark):
+    df = spark.createDataFrame(many_pairs(), PAIRS_SCHEMA)
+    got = metrics.bleu(df)
+    hits, guess = [0] * 4, [0] * 4
+    for _, h, refs in many_pairs():
+        for n, said in enumerate(plain_counts(h or [])):
+            guess[n] += sum(said.values())
+            hits[n] += sum(min(c, max((plain_counts(r or [])[n][g] for r in refs or []), default=0)) for g, c in said.items())
+    row = got.first()
+    ratio = row.test_len / row.ref_len
+    brevity = math.exp(1 - 1 / ratio) if ratio < 1 else 1.0
+    want = [math.prod(hits[k] / guess[k] for k in range(n)) ** (1 / n) * brevity for n in range(1, 5)]
+    assert [row[f"bleu_{n}"] for n in range(1, 5)] == pytest.approx(want, abs=1e-9)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()  # only sums travel
+    assert metrics.bleu(df.where("pair_id < 0")).first().test_len is None
