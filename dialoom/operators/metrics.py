@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 N = 4
 
 
+#: Tokens of pairs that a block of CIDEr aims at, and those whose grams one bucket counts.
+BLOCK_TOKENS, BUCKET_TOKENS = 250_000, 2_000_000
+
+
 @dataclass
 class Texts:
     """The texts of some pairs, one after the other: of each its pair, its place (0 the hypothesis, then the references) and its length; ``words`` names all their tokens, of which ``names`` are the different ones."""
@@ -91,37 +98,115 @@ def bleu(pairs: DataFrame, hyp: str = "hyp", refs: str = "refs", id_col: str = "
     return row.select("test_len", "ref_len", *out)
 
 
-def cider(pairs: DataFrame, hyp: str = "hyp", refs: str = "refs", id_col: str = "pair_id") -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective finaliser of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashed(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(Different grams' hashes, rising; of every gram its number among them; its text; where the grams of each n end)."""
+    names = np.array(["" if w is None else "=" + w for w in t.names.to_pylist()], dtype=object)
+    word = pd.util.hash_array(names, categorize=False)[t.words] if len(names) else np.empty(0, np.uint64)
+    gram, grams, texts = _mixed(word), [], []
+    for n in range(1, N + 1):
+        at, text = starts_of(t, n)
+        if n > 1:
+            longer = np.zeros(len(word), np.uint64)
+            longer[at] = _mixed(gram[at] * np.uint64(0x9E3779B97F4A7C15) + word[at + n - 1] + np.uint64(n))
+            gram = longer
+        grams.append(gram[at])
+        texts.append(text)
+    found, number = np.unique(np.concatenate(grams), return_inverse=True)
+    return found, number, np.concatenate(texts), np.cumsum([len(g) for g in grams]).tolist()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    whole = table.column(name).combine_chunks()
+    return whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
+
+
+def _asked(n_buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A block's grams for each bucket, and in how many of its pairs a reference has them."""
+        t = texts_of(_column(table, "_hyp"), _column(table, "_refs"))
+        found, number, text, _ = _hashed(t)
+        of_ref = t.place[text] > 0
+        both = np.unique(t.pair[text[of_ref]] * max(len(found), 1) + number[of_ref])
+        pairs = np.bincount(both % max(len(found), 1), minlength=len(found)).astype("<u4")
+        bucket = ((found >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)  # rises with the hash
+        cuts = np.searchsorted(bucket, np.arange(n_buckets + 1)).tolist()
+        rows = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
+        columns = {"_bucket": [b for b, _, _ in rows], "_grams": [found[lo:hi].astype("<u8").tobytes() for _, lo, hi in rows], "_pairs": [pairs[lo:hi].tobytes() for _, lo, hi in rows]}
+        block = pa.array([table.column("_block")[0].as_py()] * len(rows), pa.int32())
+        return pa.table([pa.array(columns["_bucket"], pa.int32()), block, pa.array(columns["_grams"], pa.binary()), pa.array(columns["_pairs"], pa.binary())], names=["_bucket", "_block", "_grams", "_pairs"])
+
+    return run
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """Of the grams that each block asked a bucket for, in how many pairs' references they are."""
+    asked = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("_grams")]
+    pairs = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("_pairs")])
+    _, number = np.unique(np.concatenate(asked), return_inverse=True)
+    df = np.bincount(number, weights=pairs).astype("<u4")[number]
+    parts = np.split(df, np.cumsum([len(a) for a in asked])[:-1])
+    return pa.table([_column(table, "_bucket"), _column(table, "_block"), pa.array([p.tobytes() for p in parts], pa.binary())], names=["_bucket", "_block", "_df"])
+
+
+def _scored(id_col: str, log_n: float):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        t = texts_of(_column(table, "_hyp"), _column(table, "_refs"))
+        found, number, text, ends = _hashed(t)
+        got = [x.as_buffer() for x in answers.sort_by("_bucket").column("_df")]
+        df = np.concatenate([np.frombuffer(x, "<u4") for x in got]) if got else np.empty(0, "<u4")
+        idf = log_n - np.log(np.maximum(df, 1).astype(float))
+        score = np.zeros(len(t.length))
+        own = t.pair  # hypotheses come first, in the order of their pairs
+        wide = max(len(found), 1)
+        for lo, hi in zip([0, *ends], ends, strict=False):
+            of, c = np.unique(text[lo:hi] * wide + number[lo:hi], return_counts=True)
+            x, g = of // wide, of % wide
+            w = c * idf[g]
+            norm = np.sqrt(np.bincount(x, w * w, len(t.length)))
+            said = t.place[x] == 0
+            key, w0 = of[said], w[said]
+            ref, wr, xr = own[x[~said]] * wide + g[~said], w[~said], x[~said]
+            if not len(key) or not len(ref):
+                continue
+            at = np.minimum(np.searchsorted(key, ref), len(key) - 1)
+            same = key[at] == ref
+            dot = np.bincount(xr[same], np.minimum(wr[same], w0[at[same]]) * wr[same], len(t.length))
+            both = norm * norm[own]
+            score += np.divide(dot, both, out=np.zeros(len(both)), where=both > 0)
+        size = np.maximum(t.length - 1, 0)
+        delta = (size[own] - size).astype(float)
+        is_ref = t.place > 0
+        sums = np.bincount(own[is_ref], (score * np.exp(-(delta * delta) / (2 * 36.0)))[is_ref], table.num_rows)
+        refs = np.bincount(own[is_ref], minlength=table.num_rows)
+        cider = np.divide(sums, refs, out=np.zeros(len(sums)), where=refs > 0) / N * 10
+        return pa.table([_column(table, id_col), pa.array(cider)], names=[id_col, "cider"])
+
+    return run
+
+
+def cider(pairs: DataFrame, hyp: str = "hyp", refs: str = "refs", id_col: str = "pair_id", together: Column | None = None) -> DataFrame:
     """(id, cider) of pairs with several references: tf-idf cosines of n-grams with clipped counts and a length penalty, the mean over n and references times 10.
 
-    A gram's document frequency is the number of pairs that have it in a reference. Texts are dealt by pair, so a pair's grams are counted where they are; they meet their
-    frequencies once, by gram, where adaptive execution splits common ones, and their products come back to the pair. A pair without references scores 0.
+    A gram's document frequency is the number of pairs that have it in a reference. Pairs are dealt in blocks, by ``together`` if pairs of equal values share texts. A block asks
+    each bucket of gram hashes (64 bits) once for its different grams, in packed arrays, and the frequencies come back to it; a gram that all pairs have costs its bucket one entry for each
+    block. Blocks and buckets grow in number with the tokens, which are counted beforehand. A pair without references scores 0.
     """
-    texts = F.concat(F.array(F.col(hyp)), F.coalesce(F.col(refs), F.array().cast(pairs.schema[refs].dataType)))
-    dealt = pairs.select(id_col, texts.alias("_texts")).repartition(id_col)
-    known = dealt.select(id_col, (F.size("_texts") - 1).alias("_refs"), F.transform("_texts", lambda t: F.greatest(F.size(t) - 1, F.lit(0))).alias("_length"), F.posexplode("_texts").alias("k", "_t"))
-    t = F.col("_t")
-
-    def grams(n: int) -> Column:
-        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, n), " ").alias("gram")))
-
-    said = known.select(id_col, "_refs", "_length", "k", F.explode_outer(F.concat(*[grams(n) for n in range(1, N + 1)])).alias("g"))
-    counted = said.groupBy(id_col, "_refs", "_length", "g.n", "g.gram", "k").agg(F.count("g.gram").alias("c"))
-    flat = counted.groupBy(id_col, "_refs", "_length", "n", "gram").agg(F.sort_array(F.collect_list(F.struct("k", "c"))).alias("ks"))
-    df = flat.where(F.col("gram").isNotNull() & (F.get("ks", F.size("ks") - 1)["k"] > 0)).groupBy(F.col("n").alias("_n"), F.col("gram").alias("_gram")).agg(F.count("*").alias("df"))
-    total = pairs.agg(F.log(F.count("*").cast("double")).alias("log_n"))
-    met = flat.join(df, (F.col("n") == F.col("_n")) & (F.col("gram") == F.col("_gram")), "left").crossJoin(F.broadcast(total))
-    idf = F.col("log_n") - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double"))
-    own = F.when(F.get("ks", F.lit(0))["k"] == 0, F.get("ks", F.lit(0))["c"]).otherwise(0)
-    each = met.select(id_col, "_refs", "_length", "n", idf.alias("idf"), own.alias("c0"), F.explode_outer("ks").alias("x")).repartition(id_col)
-    w, w0 = F.col("x.c") * F.col("idf"), F.col("c0") * F.col("idf")
-    per_text = each.groupBy(id_col, "_refs", "_length", "n", "x.k").agg(F.sum(F.least(w, w0) * w).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"))
-    delta = F.get("_length", F.lit(0)) - F.get("_length", F.col("k"))
-    part = F.when(F.col("k") > 0, F.struct("dot", "norm", F.exp(-(delta * delta) / (2 * 36.0)).alias("penalty")))
-    per_n = per_text.groupBy(id_col, "_refs", "n").agg(F.max(F.when(F.col("k") == 0, F.col("norm"))).alias("own"), F.collect_list(part).alias("parts"))
-    score = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + F.coalesce(F.try_divide(p["dot"], p["norm"] * F.col("own")), F.lit(0.0)) * p["penalty"])
-    return per_n.groupBy(id_col).agg(F.coalesce(F.try_divide(F.sum(score), F.max("_refs")) / N * 10, F.lit(0.0)).alias("cider"))
+    size = F.coalesce(F.size(hyp), F.lit(0)) + F.coalesce(F.aggregate(refs, F.lit(0), lambda a, r: a + F.coalesce(F.size(r), F.lit(0))), F.lit(0))
+    n, tokens = pairs.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    n_blocks, n_buckets = (max(1, -(-tokens // most)) for most in (BLOCK_TOKENS, BUCKET_TOKENS))
+    block = F.pmod(F.xxhash64(F.col(id_col) if together is None else together), F.lit(n_blocks)).cast("int")
+    dealt = pairs.select(F.col(id_col), F.col(hyp).alias("_hyp"), F.col(refs).alias("_refs"), block.alias("_block"))
+    asked = dealt.groupBy("_block").applyInArrow(_asked(n_buckets), "_bucket int, _block int, _grams binary, _pairs binary")
+    answered = asked.groupBy("_bucket").applyInArrow(_answered, "_bucket int, _block int, _df binary")
+    out = T.StructType([T.StructField(id_col, pairs.schema[id_col].dataType), T.StructField("cider", T.DoubleType())])
+    return dealt.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(_scored(id_col, math.log(max(n, 1))), out)
 
 
 def stream_metrics(matches: DataFrame, fps: float, threshold: float = 0.5) -> DataFrame:

@@ -520,7 +520,9 @@ WITH {PAIRS}, t AS (SELECT ln(count(*)::DOUBLE) AS ln_n FROM p), df AS (SELECT n
 ), sm AS (SELECT hn.pair_id, sum(coalesce(dot / nullif(hn * rn, 0), 0)) AS s FROM hn JOIN rn USING (pair_id, n) LEFT JOIN dt USING (pair_id, n) GROUP BY hn.pair_id)
 SELECT p.pair_id, round(coalesce(s, 0) * exp(-pow(greatest(len(hyp) - 1, 0) - greatest(len(ref) - 1, 0), 2) / 72) / 4 * 10, 5) AS cider FROM p LEFT JOIN sm USING (pair_id)""")
 def cider_pairs(s: SparkSession, d: str) -> DataFrame:
-    return metrics.cider(_pairs(s, d).select("pair_id", "hyp", F.array("ref").alias("refs"))).select("pair_id", F.round("cider", 5).alias("cider"))
+    pairs = _pairs(s, d).select("pair_id", "hyp", F.array("ref").alias("refs"))
+    # A turn is in two pairs, whose ids follow each other.
+    return metrics.cider(pairs, together=F.floor(F.col("pair_id") / 64)).select("pair_id", F.round("cider", 5).alias("cider"))
 
 
 @query("""WITH p AS (SELECT conv_id AS id, list(string_split(left(lower(replace(text, chr(10), ' ')), 60), ' ') ORDER BY turn) AS t FROM conversations WHERE turn < 4 GROUP BY conv_id

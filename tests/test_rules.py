@@ -404,9 +404,35 @@ def many_pairs():
     return out + [(90, None, [["w1", "w2"]]), (91, ["w1"], None), (92, ["w1", "w1"], [None, ["w1"]])]
 
 
+def plain_cider(pairs):
+    counts = {i: (plain_counts(h or []), [plain_counts(r or []) for r in refs or []]) for i, h, refs in pairs}
+    df = [Counter(g for _, refs in counts.values() for g in {g for r in refs for g in r[n]}) for n in range(4)]
+    out = {}
+    for i, h, refs in pairs:
+        own, total = counts[i][0], 0.0
+        for words, ref in zip(refs or [], counts[i][1], strict=True):
+            delta = max(len(h or []) - 1, 0) - max(len(words or []) - 1, 0)
+            for n in range(4):
+                idf = lambda g: math.log(len(pairs)) - math.log(max(df[n][g], 1))  # noqa: E731, B023
+                a, b = ({g: c * idf(g) for g, c in x[n].items()} for x in (own, ref))
+                norm = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
+                total += sum(min(a.get(g, 0), v) * v for g, v in b.items()) / norm * math.exp(-(delta**2) / 72) if norm else 0
+        out[i] = total / len(refs) / 4 * 10 if refs else 0.0
+    return out
+
+
 PAIRS_SCHEMA = "pair_id int, hyp array<string>, refs array<array<string>>"
 
 
+def test_cider_in_blocks_and_buckets_equals_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "BLOCK_TOKENS", 60)
+    monkeypatch.setattr(metrics, "BUCKET_TOKENS", 150)
+    got = metrics.cider(spark.createDataFrame(many_pairs(), PAIRS_SCHEMA), together=F.floor(F.col("pair_id") / 8))
+    assert {r.pair_id: r.cider for r in got.collect()} == pytest.approx(plain_cider(many_pairs()), abs=1e-9)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()  # no rows of single grams
+    assert metrics.cider(spark.createDataFrame([], PAIRS_SCHEMA)).collect() == []
+
+
 def test_bleu_counts_where_the_pair_is(spark):
     df = spark.createDataFrame(many_pairs(), PAIRS_SCHEMA)
     got = metrics.bleu(df)
