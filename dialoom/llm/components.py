@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.session import delete_path, ensure_checkpoint_dir
 
+#: Edges that a task joins to trees at a time.
+EDGES = 1 << 18
+
 
 def cut(df: DataFrame, merged: bool = True) -> DataFrame:
     """``df`` as a table written to the shared checkpoint folder: no lineage, and none of a plan's constraints, which grow from round to round.
@@ -71,3 +77,61 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             drop(both)
             return fresh.select("id", "label")
         labels = fresh
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges (a, b) and the least node of its component."""
+    code, nodes = pd.factorize(np.concatenate([a, b]), sort=True)
+    left, right, root = code[: len(a)], code[len(a) :], np.arange(len(nodes))
+    while len(left):
+        np.minimum.at(root, np.maximum(root[left], root[right]), np.minimum(root[left], root[right]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[left] != root[right]
+        left, right = left[apart], right[apart]
+    return nodes, nodes[root]
+
+
+def _trees(most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows (id, label) of ``roots`` for ``most`` edges of a task at a time."""
+        held, size = [], 0
+        for frame in batches:
+            for at in range(0, len(frame), most):
+                part = frame.iloc[at : at + most]
+                if held and size + len(part) > most:
+                    yield _tree(held)
+                    held, size = [], 0
+                held.append(part)
+                size += len(part)
+        if held:
+            yield _tree(held)
+
+    return run
+
+
+def _tree(held: list[pd.DataFrame]) -> pd.DataFrame:
+    edges = pd.concat(held, ignore_index=True)
+    nodes, root = roots(edges["a"].to_numpy(), edges["b"].to_numpy())
+    return pd.DataFrame({"id": nodes, "label": root})
+
+
+def joined_components(edges: DataFrame) -> DataFrame:
+    """(id, label) as of ``connected_components``, out of a written table (a, b).
+
+    Tasks first join EDGES edges each to trees, without a shuffle. Nodes of several trees link these trees' roots, and only such
+    links, none if there is one tree's worth of edges, go through the rounds.
+    """
+    there = edges.select("a", "b").where("a is not null and b is not null and a != b")
+    kind = edges.schema["a"].dataType.simpleString()
+    parts = -(-edges.count() // EDGES)
+    trees = cut(there.coalesce(max(1, parts)).mapInPandas(_trees(EDGES), f"id {kind}, label {kind}"), merged=False)
+    if parts <= 1:
+        return trees
+    known = cut(trees.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("last")), merged=False)
+    met = known.where("label != last").select("id", F.col("label").alias("a"))
+    between = cut(trees.join(met, "id").select("a", F.col("label").alias("b")).where("a != b").distinct())
+    upper = connected_components(between).select(F.col("id").alias("label"), F.col("label").alias("up"))
+    out = cut(known.join(upper, "label", "left").select("id", F.coalesce("up", "label").alias("label")))
+    drop(trees, known, between)
+    return out

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import blocks as B
-from dialoom.llm.components import connected_components, cut, drop, release
+from dialoom.llm.components import cut, drop, joined_components, release
 from dialoom.llm.texts import text_key
 from dialoom.session import input_bytes
 
@@ -46,6 +46,8 @@ CHUNK, STAR = 2048, 128
 NEAREST, MORE = 4, 16
 #: Keys of 16 bytes that may be broadcast to pick the texts or rows that are needed; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
+#: Rows of a written table of pairs or labels that may be broadcast to joins.
+BROADCAST_PAIRS = 50_000
 LEAST_BITS, BITS_EACH = 512, 4
 #: Texts that are signed at a time, in bytes.
 BLOCK = 3 << 20
@@ -289,14 +291,20 @@ def _verify(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
     return pairs.loc[good, ["a", "b"]] if len(pairs) else pd.DataFrame({"a": [], "b": []}, dtype=object)
 
 
-def _verified(near: DataFrame, texts: DataFrame, n_buckets: int) -> DataFrame:
+def _few(df: DataFrame) -> bool:
+    """Whether the written table has so few rows that it, or what its rows make, is broadcast rather than dealt."""
+    return df.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+
+
+def _verified(near: DataFrame, texts: DataFrame, n_buckets: int, few: bool) -> DataFrame:
     """The pairs (a, b), a < b, whose texts are linked. Each text goes to the bucket of its least partner, in shares of STAR texts."""
+    small = F.broadcast if few else lambda df: df
     least = near.groupBy("b").agg(F.min("a").alias("m"))
     shares = least.groupBy("m").agg(F.expr(f"cast(ceil(count(*) / {STAR}) as int)").alias("shares"))
-    placed = near.join(least, "b").join(shares, "m")
+    placed = near.join(small(least), "b").join(small(shares), "m")
     placed = placed.select("a", "b", F.expr(f"cast(pmod(xxhash64(m, pmod(xxhash64(b), shares)), {n_buckets}) as int)").alias("bucket"))
     needed = placed.select((F.col("bucket") + 0).alias("spot"), F.explode(F.array("a", "b")).alias("key")).distinct()
-    there = needed.join(texts.select("key", "text"), "key")
+    there = texts.select("key", "text").join(small(needed), "key").select("spot", "key", "text")
     return placed.groupBy("bucket").cogroup(there.groupBy("spot")).applyInPandas(B.freed(_verify), "a binary, b binary")
 
 
@@ -353,7 +361,7 @@ def _residual(many: DataFrame, about: DataFrame, labels: DataFrame, n_buckets: i
     its whole sketch or, to find which sets have open pairs at all (``most`` 0), its small one, which leaves open all that the whole one does.
     """
     of = labels.select(F.col("id").alias("key"), "label")
-    member = many.join(of, "key", "left").select("code", "key", F.coalesce("label", "key").alias("label"))
+    member = many.join(F.broadcast(of) if _few(labels) else of, "key", "left").select("code", "key", F.coalesce("label", "key").alias("label"))
     print_of = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(name) for k, name in ((0, "f"), (1, "g"))]
     by_part = member.groupBy("code", "label").agg(F.count("*").alias("size"), *print_of)
     spread = by_part.groupBy("code").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.max("size").alias("top"), F.max_by("label", F.struct("size", "label")).alias("largest"), F.bit_xor("f").alias("f"), F.bit_xor("g").alias("g"))
@@ -380,12 +388,14 @@ def _near_pairs(pairs: DataFrame, about: DataFrame, by: str) -> DataFrame:
 
 def _linked_pairs(pairs: DataFrame, docs: DataFrame, n_buckets: int) -> DataFrame:
     """The pairs (a, b) of keys, a < b, that are linked; where few texts are in them, these are picked without dealing all texts."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    few = _few(pairs)
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    keys = keys if few else keys.distinct()
     own = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+    if few or keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         own = own.join(F.broadcast(keys), "key", "left_semi")
     texts = own.groupBy("key").agg(F.first("text").alias("text"))
-    found = cut(_verified(pairs, texts, n_buckets))
+    found = cut(_verified(pairs, texts, n_buckets, few), merged=False)
     release(docs.sparkSession)
     return found
 
@@ -395,29 +405,29 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_buckets = B.bucket_count(input_bytes(docs), 10 << 20)
     given = docs.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text")
     kept = given.mapInPandas(_sign(n_buckets), "bucket int, kind int, payload binary").groupBy("bucket").applyInPandas(B.freed(_candidates), "kind int, a long, b long, key binary, bits binary, small binary")
-    kept = cut(kept)
+    kept = cut(kept, merged=False)
     release(docs.sparkSession)
     many = kept.where("kind = 1").select(F.col("a").alias("code"), F.col("b").alias("id")).distinct()
     about = kept.where("kind = 2").select("key", F.col("a").alias("id"), F.col("b").alias("n"), "bits", "small")
-    near = cut(_near_pairs(kept.where("kind = 0").select("a", "b").distinct(), about, "id"))
+    near = cut(_near_pairs(kept.where("kind = 0").select("a", "b").distinct(), about, "id"), merged=False)
     release(docs.sparkSession)
     links = _linked_pairs(near, docs, 4 * n_buckets)
     drop(near)
-    labels = connected_components(links)
+    labels = joined_components(links)
     many = many.join(about.select("id", "key"), "id").select("code", "key")
-    many = cut(_residual(many, about, labels, n_buckets, 0).select("code", F.col("x").alias("key")).distinct())
+    many = cut(_residual(many, about, labels, n_buckets, 0).select("code", F.col("x").alias("key")).distinct(), merged=False)
     release(docs.sparkSession)
     most, tried = NEAREST, None
     while True:
-        rest = cut(_residual(many, about, labels, n_buckets, most))
+        rest = cut(_residual(many, about, labels, n_buckets, most), merged=False)
         release(docs.sparkSession)
         pairs = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = cut(_near_pairs(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), about, "key"))
+        pairs = cut(_near_pairs(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), about, "key"), merged=False)
         if pairs.limit(1).count():
             found = _linked_pairs(pairs, docs, 4 * n_buckets)
             if found.limit(1).count():
                 links = links.unionByName(found)
-                labels = connected_components(links)
+                labels = joined_components(links)
         if not rest.where("more").limit(1).count():
             return about.select("key", "n"), labels
         many = cut(many.join(rest.where("more").select("code").distinct(), "code", "left_semi"))  # all others have yielded all
