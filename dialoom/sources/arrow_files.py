@@ -1,6 +1,7 @@
 """Arrow files as tables of frames: one row for each frame, read by ranges of rows.
 
-A data source ``arrow_frames`` over Arrow IPC streams and files. Planning lists the files, and gives small ones, many together, as partitions; tasks open them.
+A data source ``arrow_frames`` over Arrow IPC streams and files. Planning goes through one folder at a time, and gives small files, many together, as partitions:
+folders of few small files by the folder's name, so that planning keeps no list of the files, others by their own. Tasks open them.
 Of large files it reads the messages' heads only: it notes where each record batch lies and which rows it holds, and gives runs of batches as partitions.
 A range of frames, by option or by a filter on ``frame_idx`` that Spark pushes down, leaves out all batches that it does not meet.
 """
@@ -33,16 +34,51 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def arrow_files(path: str) -> list[tuple[str, int]]:
-    """(Path, bytes) of ``path`` itself, or of all Arrow files under it, in order of their names."""
+def entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(Name, whether it is a file, bytes of an Arrow file) of what lies in a folder, in any order."""
+    if not isinstance(system, fs.LocalFileSystem):
+        yield from ((f.base_name, f.is_file, f.size or 0) for f in system.get_file_info(fs.FileSelector(folder)))
+        return
+    with os.scandir(folder) as found:
+        for e in found:
+            is_file = e.is_file()
+            if is_file or e.is_dir():
+                yield e.name, is_file, e.stat().st_size if is_file and e.name.endswith(".arrow") else 0
+
+
+def _under(system: fs.FileSystem, folder: str) -> tuple[list[tuple[str, int]], list[str]]:
+    """A folder's own Arrow files as (path, bytes), and the names of its folders, both in order."""
+    files, folders = [], []
+    for name, is_file, size in entries(system, folder):
+        if not is_file:
+            folders.append(name)
+        elif name.endswith(".arrow"):
+            files.append((f"{folder}/{name}", size))
+    return sorted(files), sorted(folders)
+
+
+def arrow_folders(path: str) -> Iterator[tuple[str | None, list[tuple[str, int]]]]:
+    """(Folder, its own Arrow files as (path, bytes)) of ``path`` and of all folders under it, one at a time; no folder if ``path`` is a file."""
     system, where = located(path)
     info = system.get_file_info(where)
     if info.type == fs.FileType.File:
-        return [(path, info.size)]
+        yield None, [(path, info.size)]
+        return
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    found = system.get_file_info(fs.FileSelector(where, recursive=True))
-    return sorted((f.path, f.size) for f in found if f.is_file and f.path.endswith(".arrow"))
+
+    def listed(folder: str) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+        files, folders = _under(system, folder)
+        yield folder, files
+        for name in folders:
+            yield from listed(f"{folder}/{name}")
+
+    yield from listed(where.rstrip("/"))
+
+
+def arrow_files(path: str) -> list[tuple[str, int]]:
+    """(Path, bytes) of ``path`` itself, or of all Arrow files under it, in order of their names."""
+    return sorted(f for _, files in arrow_folders(path) for f in files)
 
 
 def first_arrow_file(path: str) -> str:
@@ -52,17 +88,16 @@ def first_arrow_file(path: str) -> str:
         return path
 
     def first(folder: str) -> str | None:
-        found = system.get_file_info(fs.FileSelector(folder))
-        for name, is_file in sorted((f.path, True) if f.is_file else (f.path + "/", False) for f in found):
-            if not is_file:
-                under = first(name.rstrip("/"))
+        for name in sorted(name if is_file else name + "/" for name, is_file, _ in entries(system, folder)):
+            if name.endswith("/"):
+                under = first(f"{folder}/{name.rstrip('/')}")
                 if under is not None:
                     return under
             elif name.endswith(".arrow"):
-                return name
+                return f"{folder}/{name}"
         return None
 
-    one = first(where)
+    one = first(where.rstrip("/"))
     if one is None:
         raise FileNotFoundError(f"no Arrow files under {path}")
     return one
@@ -204,10 +239,14 @@ def _joined(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 
 @dataclass
 class Files(InputPartition):
-    """Small files as a whole, by the common start of their paths and the rest, and the rows of each that are asked for; ``strict`` if these must be there."""
+    """Small files as a whole, by the common start of their paths and the rest, and the rows of each that are asked for; ``strict`` if these must be there.
+
+    A path with a slash at its end is a folder and stands for its own Arrow files; ``files`` is the number of all.
+    """
 
     prefix: str
     rest: list[str]
+    files: int
     start: int
     end: int | None
     strict: bool
@@ -218,6 +257,21 @@ def _checked(path: str, start: int, end: int | None, strict: bool, total: int) -
         raise ValueError(f"frames [{start}, {end}) are out of range: {path} has {total}")
 
 
+def _paths(part: Files) -> Iterator[str]:
+    """A partition's files, listed again where it names their folder; an error if there are not as many as when it was planned."""
+    n = 0
+    for path in (part.prefix + rest for rest in part.rest):
+        if path.endswith("/"):
+            system, folder = located(path)
+            found = [f for f, _ in _under(system, folder.rstrip("/"))[0]]
+        else:
+            found = [path]
+        n += len(found)
+        yield from found
+    if n != part.files:
+        raise ValueError(f"{part.files} files were planned and {n} found under {part.prefix}: they changed before they were read")
+
+
 def _slices(path: str, part: Files) -> Iterator[tuple[int, pa.RecordBatch]]:
     """(Number of the first, rows asked for) of a small file's batches."""
     total = 0
@@ -277,21 +331,28 @@ class ArrowFramesReader(DataSourceReader):
         self.end, self.strict = end if self.end is None else min(self.end, end), False
 
     def partitions(self) -> list[Run | Files]:
-        out, small, size, most = [], [], 0, self.rows * ROW_BYTES
+        out, small, files, size, most = [], [], 0, 0, self.rows * ROW_BYTES
 
         def together() -> None:
             prefix = os.path.commonprefix(small)
-            out.append(Files(prefix, [path[len(prefix) :] for path in small], self.start, self.end, self.strict))
+            out.append(Files(prefix, [path[len(prefix) :] for path in small], files, self.start, self.end, self.strict))
 
-        for path, n in arrow_files(self.path):
-            if n > most:
-                out += self._runs(path)
-                continue
-            if small and (size + n > most or len(small) == FILES):
-                together()
-                small, size = [], 0
-            small.append(path)
-            size += n
+        for folder, found in arrow_folders(self.path):
+            whole = sum(n for _, n in found)
+            if folder is not None and found and len(found) <= FILES and whole <= most:
+                units = [(f"{folder}/", len(found), whole)]
+            else:
+                units = [(path, 1, n) for path, n in found]
+            for path, count, n in units:
+                if n > most:
+                    out += self._runs(path)
+                    continue
+                if small and (size + n > most or files + count > FILES):
+                    together()
+                    small, files, size = [], 0, 0
+                small.append(path)
+                files += count
+                size += n
         if small:
             together()
         return out
@@ -315,8 +376,7 @@ class ArrowFramesReader(DataSourceReader):
         if partition is None:  # nothing to read
             return
         if isinstance(partition, Files):
-            paths = [partition.prefix + rest for rest in partition.rest]
-            yield from _joined(_named(path, first, batch) for path in paths for first, batch in _slices(path, partition))
+            yield from _joined(_named(path, first, batch) for path in _paths(partition) for first, batch in _slices(path, partition))
             return
         for place, batch in zip(partition.batches, _read(partition.path, partition.dictionaries, [b.at for b in partition.batches]), strict=True):
             lo, hi = max(partition.start - place.first, 0), min(partition.end - place.first, place.rows)

@@ -2,14 +2,16 @@
 
 Each task writes its files into a staging folder beside the target; only when all tasks are done does the
 driver move them to their names, so a failed or repeated task leaves no half-written and no double file.
+The names lie in sorted lists in the staging folder, which the driver merges line by line: it holds a line of each list, not the names.
 """
 
 from __future__ import annotations
 
+import heapq
+import io
 import json
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,16 +19,62 @@ from pyarrow import fs
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from dialoom.sources.arrow_files import located
+from dialoom.sources.arrow_files import entries, located
 
 NAME = "_file"
+#: Names that a task holds to sort them, and lists that the driver has open at once.
+HELD, OPEN_LISTS = 32_768, 256
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """(Staged path, name, rows) of a task's files."""
+    """Names in the staging folder of the lists of a task's files."""
 
-    files: list[tuple[str, str, int]]
+    lists: list[str]
+
+
+def _reads(system: fs.FileSystem, path: str) -> Iterator[str]:
+    """The lines of a list: a file's name as in JSON, its rows and its place in the staging folder, with tabs between."""
+    with io.TextIOWrapper(system.open_input_stream(path), encoding="ascii", newline="\n") as lines:
+        yield from lines
+
+
+def _writes(system: fs.FileSystem, path: str) -> io.TextIOWrapper:
+    return io.TextIOWrapper(system.open_output_stream(path), encoding="ascii", newline="\n")
+
+
+class _Lists:
+    """Lists of a task's files, each in order: one if the names come in order."""
+
+    def __init__(self, system: fs.FileSystem, staging: str, task: str):
+        self.system, self.staging, self.task = system, staging, task
+        self.names, self.held, self.out, self.last = [], [], None, ""
+
+    def add(self, name: str, rows: int, staged: str) -> None:
+        if name is None:
+            raise ValueError(f"{rows} rows name no file")
+        self.held.append(f"{json.dumps(name)[1:-1]}\t{rows}\t{staged}\n")
+        if len(self.held) == HELD:
+            self._put()
+
+    def _put(self) -> None:
+        self.held.sort()
+        if self.out is None or self.held[0] < self.last:
+            self._end()
+            self.names.append(f"{self.task}/list-{len(self.names)}")
+            self.out = _writes(self.system, f"{self.staging}/{self.names[-1]}")
+        self.out.writelines(self.held)
+        self.last, self.held = self.held[-1], []
+
+    def _end(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+    def close(self) -> list[str]:
+        if self.held:
+            self._put()
+        self._end()
+        return self.names
 
 
 class _Text:
@@ -76,14 +124,15 @@ class NamedFilesWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, staging = located(self.staging)
-        system.create_dir(staging, recursive=True)
-        done, name, out, writer, rows = [], None, None, None, 0
+        task = uuid.uuid4().hex
+        system.create_dir(f"{staging}/{task}", recursive=True)
+        done, name, out, writer, rows, files = _Lists(system, staging, task), None, None, None, 0, 0
 
         def finish() -> None:
             if writer is not None:
                 writer.close()
                 out.close()
-                done.append((staged, name, rows))
+                done.add(name, rows, staged)
 
         for batch in iterator:
             names = batch.column(NAME).to_pylist()
@@ -95,36 +144,70 @@ class NamedFilesWriter(DataSourceArrowWriter):
                     to += 1
                 if names[at] != name:
                     finish()
-                    name, rows, staged = names[at], 0, f"{staging}/{uuid.uuid4().hex}"
-                    out = system.open_output_stream(staged)
+                    name, rows, staged, files = names[at], 0, f"{task}/{files}", files + 1
+                    out = system.open_output_stream(f"{staging}/{staged}")
                     writer = _KINDS[self.options["kind"]](out, body.schema, self.options)
                 writer.add(body.slice(at, to - at))
                 rows += to - at
                 at = to
         finish()
-        return Written(done)
+        return Written(done.close())
 
     def commit(self, messages: list[Written | None]) -> None:
         system, target = located(self.target)
-        files = [f for m in messages if m is not None for f in m.files]
-        names = [name for _, name, _ in files]
-        twice = {n for n, c in Counter(names).items() if c > 1} if len(set(names)) < len(names) else set()
+        staging = located(self.staging)[1]
+        system.create_dir(staging, recursive=True)
+        twice = self._merge(system, staging, [name for m in messages if m is not None for name in m.lists])
         if twice:
             self.abort(messages)
-            raise ValueError(f"several tasks wrote the files {sorted(twice)[:5]}: rows of one file must be in one partition")
-        system.create_dir(target, recursive=True)
+            raise ValueError(f"several tasks wrote the files {twice}: rows of one file must be in one partition")
         if self.overwrite:
-            for old in system.get_file_info(fs.FileSelector(target, recursive=True)):
-                if old.is_file and "/_staging-" not in old.path:
-                    system.delete_file(old.path)
-        for folder in {name.rpartition("/")[0] for name in names} - {""}:
-            system.create_dir(f"{target}/{folder}", recursive=True)
-        for staged, name, _ in files:
-            system.move(staged, f"{target}/{name}")
-        with system.open_output_stream(f"{target}/_manifest.json") as out:
-            out.write(json.dumps({name: rows for _, name, rows in sorted(files, key=lambda f: f[1])}).encode())
+            for old in self._old(system, target):
+                system.delete_file(old)
+        last = ""
+        for line in _reads(system, f"{staging}/files"):
+            text, _, staged = line.rstrip("\n").split("\t")
+            name = json.loads(f'"{text}"')
+            folder = name.rpartition("/")[0]
+            if folder != last:
+                system.create_dir(f"{target}/{folder}", recursive=True)
+                last = folder
+            system.move(f"{staging}/{staged}", f"{target}/{name}")
+        system.move(f"{staging}/manifest", f"{target}/_manifest.json")
         self._clear(system)
 
+    def _merge(self, system: fs.FileSystem, staging: str, lists: list[str]) -> list[str]:
+        """Writes all files as one list, ``files``, and as the manifest; returns the first names that are there twice, of which neither must be used."""
+        for n in range(len(lists)):
+            if len(lists) <= OPEN_LISTS:
+                break
+            with _writes(system, f"{staging}/merged-{n}") as out:
+                out.writelines(self._merged(system, staging, lists[:OPEN_LISTS]))
+            lists = [*lists[OPEN_LISTS:], f"merged-{n}"]
+        twice, last = [], None
+        with _writes(system, f"{staging}/files") as files, _writes(system, f"{staging}/manifest") as manifest:
+            manifest.write("{")
+            for line in self._merged(system, staging, lists):
+                text, rows, _ = line.split("\t")
+                if text == last and len(twice) < 5 and text not in twice:
+                    twice.append(text)
+                manifest.write(f'{"" if last is None else ", "}"{text}": {rows}')
+                files.write(line)
+                last = text
+            manifest.write("}")
+        return [json.loads(f'"{text}"') for text in twice]
+
+    def _merged(self, system: fs.FileSystem, staging: str, lists: list[str]) -> Iterable[str]:
+        return heapq.merge(*(_reads(system, f"{staging}/{name}") for name in lists))
+
+    def _old(self, system: fs.FileSystem, folder: str) -> Iterator[str]:
+        """Files of an earlier write, without those that are staged."""
+        for name, is_file in [(name, is_file) for name, is_file, _ in entries(system, folder) if not name.startswith("_staging-")]:
+            if is_file:
+                yield f"{folder}/{name}"
+            else:
+                yield from self._old(system, f"{folder}/{name}")
+
     def abort(self, messages: list[Written | None]) -> None:
         self._clear(located(self.target)[0])
 
